@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, exact_dedup, packing, secrets, token_files
+from tessera.llm import decontaminate, exact_dedup, language, packing, quality, recompression, secrets, simhash, token_files, warc
 from tessera.llm.tokens import default_tokenizer
 
 
@@ -12,6 +13,27 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.fit(docs, _read(spark, sf_dir, "labels")))
+    held_out = quality.remainder(F.col("doc_id"), 5) == 0
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held_out = quality.remainder(F.col("doc_id"), 4) == 2
+    return language.predict(docs, language.fit(docs)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.substring_dedup(_read(spark, sf_dir, "documents")).drop("kept_text")
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_dedup(_read(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), default_tokenizer(), 2)
 
@@ -20,6 +42,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_read(spark, sf_dir, "documents"), default_tokenizer(), 1)
 
@@ -34,7 +60,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.fit(docs)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op5_packing, op6_exact_dedup, op8_token_files, op9_decontamination, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op3_substring_dedup, op4_simhash, op5_packing, op6_exact_dedup, op7_warc, op8_token_files, op9_decontamination, op10_secrets)}
 
 OP6_SQL = """
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents),
@@ -42,4 +68,13 @@ w AS (SELECT *, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*)
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM w
 """
 
-ORACLE_SQL = {"op6_exact_dedup": OP6_SQL}
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest, min(page_id) OVER (PARTITION BY sha256(html)) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN first_id END AS refers_to
+FROM d
+"""
+
+ORACLE_SQL = {"op6_exact_dedup": OP6_SQL, "op7_warc": OP7_SQL}
