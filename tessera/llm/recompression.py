@@ -197,7 +197,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, text: str = "text", d
     than each other; a null id is larger than any other. Other columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    shards = input_parts(rows, SHARD_BYTES)
+    shards = input_parts(docs, SHARD_BYTES)
     buckets = max(4, shards // 2)
     bounds = rows.agg(F.percentile_approx("doc_id", F.array(*(F.lit(k / shards) for k in range(1, shards))), 20 * shards)).first()[0] if shards > 1 else []
     edges = sorted(set(bounds or []))

@@ -121,7 +121,7 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
     large = own.filter(F.octet_length("html") >= REVISIT_FROM).select("page_id", digest.alias("digest")).checkpoint()
     won = with_winners(large, "digest", "page_id", least=True)
     again = won.filter("keep_id IS NOT NULL AND NOT (page_id <=> keep_id)").select(F.col("page_id").alias("own_id"), F.col("digest").alias("own_digest"), F.col("keep_id").alias("refers_to")).distinct()
-    parts = input_parts(own)
+    parts = input_parts(pages)
     marked = own.withColumn("digest", digest).join(again, F.col("page_id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest")), "left")
 
     def render(batches):
