@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tessera.plans import media, tabular
+
+QUERIES: dict = {**tabular.QUERIES, **media.QUERIES}
+ORACLE_SQL: dict = {**tabular.ORACLE_SQL}
