@@ -1,0 +1,208 @@
+"""SimHash near-dedup by a share of common shingles: wide fingerprints under two vantage-point metrics.
+
+Documents that share a given part of their word shingles have fingerprints within a share of differing bits, far more
+than the radius at which Hamming balls alone prune. The empty document prunes first: it is a vantage point of the
+symmetric difference of shingle sets, its distance to a document is the document's number of shingles, and by the
+triangle bound two documents of similarity s differ in size by a factor of s at most. Rings of sizes hold
+vantage-point trees over the Hamming metric as in ``simhash``; a document asks every ring and leaf that the bounds
+can't exclude. Fingerprints are wide enough that chance links stay rare however many documents there are.
+
+The price of so wide a radius: within reach of the size bound all pairs of fingerprints are compared, so the work
+grows with the square of the input over the number of rings in reach, at a few nanoseconds a pair.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.llm.cluster import fresh, shared_dir
+from tessera.llm.simhash import SAMPLE, SEED, Tree, _connected, merged
+from tessera.llm.textblocks import blocks, mix
+
+SHINGLE, SIMILARITY = 5, 0.8
+#: Words of 64 bits in a fingerprint. Sets with a share s of common shingles differ in acos(2s/(1+s))/pi of the bits.
+WIDTH = 4
+#: Standard deviations of the number of differing bits that the radius leaves room for.
+MARGIN = 1.6
+#: Fingerprints per leaf at about.
+LEAF = 8192
+
+
+def radius(similarity: float = SIMILARITY, width: int = WIDTH, margin: float = MARGIN) -> int:
+    """Differing bits of two documents of that similarity: the expected number and ``margin`` standard deviations."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(64 * width * share + margin * math.sqrt(64 * width * share * (1 - share)))
+
+
+def wide_fingerprint(text: str | None, shingle: int = SHINGLE, width: int = WIDTH) -> tuple[np.ndarray, int]:
+    """(fingerprint of ``width`` words, number of distinct shingles) over the set of shingles; (zeros, 0) without words."""
+    import xxhash
+
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(width, np.uint64), 0
+    body = b" ".join(words)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    stop = np.cumsum(size + 1) - 1
+    first = stop - size
+    if len(words) > shingle:
+        first, stop = first[: len(words) - shingle + 1], stop[shingle - 1 :]
+    else:
+        first, stop = first[:1], stop[-1:]
+    digest = xxhash.xxh64_intdigest
+    codes = np.unique(np.array([digest(body[a:b], SEED) for a, b in zip(first.tolist(), stop.tolist(), strict=True)], np.uint64))
+    out = np.zeros(width, np.uint64)
+    for k in range(width):
+        ones, own = np.zeros(64, np.int64), codes if not k else mix(codes + np.uint64(0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF))
+        for at in range(0, len(own), 1 << 16):
+            ones += np.unpackbits(own[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        out[k] = np.packbits(2 * ones > len(own)).view(">u8")[0]
+    return out, len(codes)
+
+
+def joined(points: np.ndarray, sizes: np.ndarray, own: int, within: int, similarity: float) -> np.ndarray:
+    """Labels over ``points`` (the first ``own`` are indexed, the others ask): links within the radius and the size bound."""
+    label = np.arange(len(points))
+    order = np.argsort(sizes[:own], kind="stable")
+    inside, ascending = np.ascontiguousarray(points[order].T), sizes[order]
+    low = np.searchsorted(ascending, np.ceil(sizes * similarity - 1e-9), "left")
+    high = np.searchsorted(ascending, np.floor(sizes / similarity + 1e-9), "right")
+    by_low = np.argsort(low, kind="stable")
+    at = 0
+    while at < len(by_low):
+        step = max(1, (1 << 19) // max(1, int(high[by_low[at]] - low[by_low[at]])))
+        part = by_low[at : at + step]
+        a, b = int(low[part[0]]), int(high[part].max())
+        at += len(part)
+        if a >= b:
+            continue
+        distance = np.zeros((len(part), b - a), np.uint8)
+        half = (points.shape[1] + 1) // 2
+        for k in range(half):
+            distance += np.bitwise_count(points[part, k][:, None] ^ inside[k, None, a:b])
+        i, j = np.nonzero(distance <= within)
+        total = distance[i, j].astype(np.int64)
+        for k in range(half, points.shape[1]):
+            total += np.bitwise_count(points[part[i], k] ^ inside[k, a + j])
+        ok = (total <= within) & (a + j >= low[part[i]]) & (a + j < high[part[i]])
+        label = merged(label, part[i[ok]], order[a + j[ok]])
+    return label
+
+
+class Rings:
+    """Rings of sizes, each with a vantage-point tree over the first word of the fingerprints where it holds many."""
+
+    def __init__(self, sizes: np.ndarray, prints: np.ndarray, each: int, similarity: float):
+        self.similarity = similarity
+        parts = max(1, len(sizes) * each // LEAF)
+        self.edges = np.unique(np.sort(sizes)[np.arange(1, parts) * len(sizes) // parts]) if len(sizes) else np.zeros(0, np.int64)
+        ring = self.ring(sizes)
+        count = np.bincount(ring, minlength=len(self.edges) + 1) * each
+        self.trees = [Tree.fitted(prints[ring == r], max(0, math.ceil(math.log2(max(1, n) / (2 * LEAF))))) for r, n in enumerate(count.tolist())]
+        self.base = np.concatenate([[0], np.cumsum([1 << t.depth for t in self.trees])])
+
+    def ring(self, sizes: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.edges, sizes, "right")
+
+    def home(self, sizes: np.ndarray, prints: np.ndarray) -> np.ndarray:
+        ring, out = self.ring(sizes), np.zeros(len(sizes), np.int64)
+        for r in np.unique(ring).tolist():
+            at = ring == r
+            out[at] = self.base[r] + self.trees[r].leaf(prints[at])
+        return out
+
+    def reach(self, sizes: np.ndarray, prints: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray]:
+        """(index, leaf) for all leaves that may hold a link to a document of at least the same size."""
+        first, last = self.ring(sizes), self.ring(np.floor(sizes / self.similarity + 1e-9).astype(np.int64))
+        index, leaf = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for r in range(int(first.min(initial=0)), int(last.max(initial=-1)) + 1):
+            at = np.flatnonzero((first <= r) & (r <= last))
+            i, own = self.trees[r].reach(prints[at], within)
+            index.append(at[i])
+            leaf.append(self.base[r] + own)
+        return np.concatenate(index), np.concatenate(leaf)
+
+
+def _stars(points: DataFrame, n: int, within: int, similarity: float, width: int) -> DataFrame:
+    """``fp, star`` for every point (row key ``fp``) with a link, for every star it belongs to."""
+    every = max(1, n // SAMPLE)
+    sample = points.filter(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).select("size", "wide").toArrow()  # at most about 2 * SAMPLE rows
+    wide = np.frombuffer(b"".join(sample.column("wide").to_pylist()), "<u8").reshape(-1, width)
+    sizes = sample.column("size").to_numpy().astype(np.int64)
+    order = np.lexsort((wide[:, 0], sizes))
+    rings = points.sparkSession.sparkContext.broadcast(Rings(sizes[order], wide[order, 0].astype(np.uint64), every, similarity))
+    row = 8 * (2 + width)
+
+    def deal(batches):
+        own = rings.value
+        for batch in batches:
+            key, size = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            prints = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(-1, width).astype(np.uint64)
+            home = own.home(size, prints[:, 0])
+            index, leaf = own.reach(size, prints[:, 0], within)
+            # Within a ring the leaf of larger number is asked; the other direction finds the same pairs.
+            asks = leaf > home[index]
+            index, leaf = np.concatenate([np.arange(len(key)), index[asks]]), np.concatenate([home, leaf[asks]])
+            asked = np.arange(len(index)) >= len(key)
+            order = np.lexsort((asked, leaf))
+            code = leaf[order] * 2 + asked[order]
+            cut = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
+            values = np.column_stack([key.view(np.uint64), size.astype(np.uint64), prints])[index[order]].astype("<u8")
+            blob = [values[a:b].tobytes() for a, b in zip(cut.tolist(), np.append(cut[1:], len(code)).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(code[cut] >> 1), pa.array((code[cut] & 1).astype(bool)), pa.array(blob, pa.binary())], ["leaf", "asking", "points"])
+
+    def link(table: pa.Table) -> pa.Table:
+        asking = table.column("asking").to_numpy()
+        parts = [np.frombuffer(b, "<u8").reshape(-1, row // 8) for b in table.column("points").to_pylist()]
+        none = [np.zeros((0, row // 8), np.uint64)]
+        indexed = np.concatenate(none + [p for p, a in zip(parts, asking, strict=True) if not a])
+        both = np.concatenate([indexed, *(p for p, a in zip(parts, asking, strict=True) if a)]).astype(np.uint64)
+        label = joined(both[:, 2:], both[:, 1].astype(np.int64), len(indexed), within, similarity)
+        linked = np.flatnonzero(np.bincount(label, minlength=len(both))[label] > 1)
+        number = label[linked].astype(np.int64) + (int(table.column("leaf")[0].as_py()) << 32)
+        return pa.table({"fp": both[linked, 0].view(np.int64), "star": number})
+
+    dealt = points.select("fp", "size", "wide").mapInArrow(deal, "leaf long, asking boolean, points binary")
+    return dealt.groupBy("leaf").applyInArrow(link, "fp long, star long")
+
+
+def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, component_id``, the smallest ``doc_id`` of its component.
+
+    Texts link if their fingerprints differ in at most ``radius(similarity)`` bits and the number of their shingles by
+    a factor of ``similarity`` at most. Texts without words are equal to each other; null ids never name a component
+    unless it has no other id. Other columns are ignored; an empty table gives an empty result.
+    """
+    within = radius(similarity, width)
+    shared_dir(docs.sparkSession, "similar")
+
+    def look(batches):
+        for batch in blocks(batches):
+            found = [wide_fingerprint(t, shingle, width) for t in batch.column("text").to_pylist()]
+            columns = [batch.column("doc_id"), pa.array([n for _, n in found], pa.int64()), pa.array([w.astype("<u8").tobytes() for w, _ in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "size", "wide"])
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    own = rows.mapInArrow(look, "doc_id long, size long, wide binary").withColumn("fp", F.xxhash64("wide", "size")).checkpoint()
+    points = own.groupBy("fp", "size", "wide").agg(F.min("doc_id").alias("low")).checkpoint()
+    roots = _connected(_stars(points, points.count(), within, similarity, width))
+    named = points.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")).checkpoint()
+    whole = named.groupBy("root").agg(F.min("low").alias("component_id")).checkpoint()
+    classes = named.select("fp", "root").join(whole, "root").select("fp", "component_id").checkpoint()
+    return own.join(classes, "fp").select("doc_id", "component_id")
+
+
+def drop_similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one document of each component, the one with the smallest ``doc_id``; columns unchanged.
+
+    Rows that repeat that ``doc_id`` stay; a component of null ids only stays whole.
+    """
+    gone = similar_documents(docs, shingle=shingle, similarity=similarity).filter("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)")
+    name = fresh(docs, "gone_id")
+    ids = gone.select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids[name]), "left_anti")

@@ -1,0 +1,67 @@
+"""Near-dedup by similarity against brute force over wide fingerprints."""
+
+import random
+
+import numpy as np
+
+from tessera.llm import similar
+
+
+def made(n_base=25, copies=6, seed=3):
+    draw, rows = random.Random(seed), []
+    for b in range(n_base):
+        base = [f"w{draw.randint(0, 10**6)}" for _ in range(draw.choice([30, 120, 400, 900]))]
+        rows.append((10 * b * copies, " ".join(base)))
+        for c in range(1, copies):
+            own = list(base)
+            for _ in range(max(1, len(own) // 90) if c % 2 else len(own) // 4):
+                own[draw.randrange(len(own))] = f"x{draw.randint(0, 10**6)}"
+            rows.append((10 * b * copies + c, " ".join(own)))
+    return rows + [(99990, None), (99991, ""), (99992, " \n"), (None, rows[0][1]), rows[5]]
+
+
+def brute(rows, within, similarity):
+    found = [similar.wide_fingerprint(t) for _, t in rows]
+    label = list(range(len(rows)))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i, (a, n) in enumerate(found):
+        for j in range(i):
+            b, m = found[j]
+            if min(n, m) >= max(n, m) * similarity - 1e-9 and int(np.bitwise_count(a ^ b).sum()) <= within:
+                label[find(i)] = find(j)
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            low[find(i)] = min(low.get(find(i), d), d)
+    return sorted(((d, low.get(find(i))) for i, (d, _) in enumerate(rows)), key=repr)
+
+
+def test_equals_brute_force(spark, monkeypatch):
+    rows = made()
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, similar.radius(), 0.8)
+    assert sorted(map(tuple, similar.similar_documents(frame).collect()), key=repr) == want
+    monkeypatch.setattr(similar, "LEAF", 8)
+    assert sorted(map(tuple, similar.similar_documents(frame).collect()), key=repr) == want
+    assert similar.similar_documents(frame.limit(0)).count() == 0
+
+
+def test_close_copies_link_and_others_stay(spark, docs):
+    rows = made(40, 2, 8)
+    frame = spark.createDataFrame([(i, t, 1) for i, t in rows if i is not None], "doc_id long, text string, gone_id int")
+    left = similar.drop_similar(frame)
+    assert left.columns == frame.columns
+    kept = {r.doc_id for r in left.collect()}
+    close = [(rows[n][0], rows[n + 1][0]) for n in range(0, 80, 2) if len(rows[n][1].split()) > 100]
+    assert sum(not {a, b} <= kept for a, b in close) >= 0.9 * len(close)
+    assert all(rows[n][0] in kept for n in range(0, 80, 2))
+    assert similar.drop_similar(docs).columns == docs.columns
+
+
+def test_radius():
+    assert 44 <= similar.radius(0.8, 4) <= 50 and similar.radius(1.0) == 0
