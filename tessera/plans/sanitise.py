@@ -28,16 +28,15 @@ POLICY = [
     (GIF, b"header", None, False, False), (GIF, b"image", None, False, False), (GIF, b"control", None, False, False), (GIF, b"trailer", None, False, False),
     *((GIF, name, None, True, False) for name in LOOPS), (GIF, PROFILE, None, True, False),
 ]
-REWRITTEN = {b"eXIf", b"EXIF", b"ANMF", b"image", b"control", *LOOPS}
-PROFILES = {b"iCCP", b"ICCP", PROFILE}
+REWRITTEN = {b"eXIf", b"EXIF", b"ANMF", b"image", b"control", b"iCCP", b"ICCP", PROFILE, *LOOPS}
 MAX_DROPPED, MEGAPIXELS, ANIMATION_MEGAPIXELS, FRAME = 1024, 268, 64, 1 << 16
 
 
 def decided(table: DataFrame) -> DataFrame:
     """``parts`` with ``keep`` and ``refusal`` (a key, by part) under the policy."""
     spark = table.sparkSession
-    rows = [(f, p, s, o, b, p in REWRITTEN, p in PROFILES) for f, p, s, o, b in POLICY]
-    policy = spark.createDataFrame(rows, "kind string, part binary, sizes array<int>, once boolean, early boolean, is_rewritten boolean, is_profile boolean")
+    rows = [(f, p, s, o, b, p in REWRITTEN) for f, p, s, o, b in POLICY]
+    policy = spark.createDataFrame(rows, "kind string, part binary, sizes array<int>, once boolean, early boolean, is_rewritten boolean")
     by = Window.partitionBy("file_id")
     order = by.orderBy("ord")
     code = F.col("part").cast("string")
@@ -45,7 +44,7 @@ def decided(table: DataFrame) -> DataFrame:
     known = F.col("known")
     image_at = F.min(F.when((F.col("kind") == PNG) & (code == "IDAT"), F.col("ord"))).over(by)
     color = F.max(F.when((code == "IHDR") & (F.col("ord") == 0), F.conv(F.hex(F.substring("payload", 10, 1)), 16, 10).cast("int"))).over(by)
-    usable = known & (~F.col("is_rewritten") | F.col("rewritten").isNotNull() | code.isin("eXIf", "EXIF"))
+    usable = known & (~F.col("is_rewritten") | F.col("rewritten").isNotNull() | code.isin("eXIf", "EXIF") | F.col("rewriting").isNotNull())
     late = F.coalesce(F.col("early") & (image_at < F.col("ord")), F.lit(False))
     again = F.coalesce(F.col("once"), F.lit(False)) & (F.sum(F.when(usable, 1).otherwise(0)).over(Window.partitionBy("file_id", "part").orderBy("ord")) > 1)
     flagged = joined.withColumns({"image_at": image_at, "color": color, "late": late, "again": again, "usable": usable})
@@ -69,7 +68,7 @@ def decided(table: DataFrame) -> DataFrame:
         .when((F.col("kind") == GIF) & (dropped > MAX_DROPPED), "unsupported_part")
         .when(skip, None)
         .when(known & (wrong_size | ((code == "fdAT") & (F.octet_length("payload") < 4))), "damaged")
-        .when(F.col("is_profile"), "unsupported_profile")
+        .when(F.col("rewriting").isNotNull(), F.col("rewriting"))
         .when(critical, "unsupported_part")
     )
     emptied = F.col("is_rewritten") & F.col("rewritten").isNull()
@@ -185,12 +184,13 @@ def finish_webp(own: list[tuple[bytes, bytes]]) -> bytes:
         across, down = (int.from_bytes(header[k : k + 3], "little") + 1 for k in (4, 7))
         _need(across * down <= (ANIMATION_MEGAPIXELS if header[0] & 2 else MEGAPIXELS) * 10**6, "too_large")
         shown = shown_image(rest)
-        body = [c for n, c in enumerate(rest) if c[0] in (b"ANIM", b"ANMF") or n in shown]
+        body = [c for n, c in enumerate(rest) if c[0] in (b"ICCP", b"ANIM", b"ANMF") or n in shown]
         turned = [c for c in rest if c[0] == b"EXIF"]
         codes = {code for code, _ in body}
         _need(bool(codes & {b"VP8 ", b"VP8L", b"ANMF"}))
-        if turned or codes & {b"ALPH", b"ANIM", b"ANMF"}:
-            flags = header[0] & 0x12 | (8 if turned else 0)  # alpha and animation as they were, EXIF if held
+        if turned or codes & {b"ICCP", b"ALPH", b"ANIM", b"ANMF"}:
+            # Alpha and animation as they were, profile and EXIF if held.
+            flags = header[0] & 0x12 | (0x20 if b"ICCP" in codes else 0) | (8 if turned else 0)
             own = [(b"VP8X", bytes([flags, 0, 0, 0]) + header[4:]), *body, *turned]
         else:
             own = [c for c in body if c[0] in (b"VP8 ", b"VP8L")][:1]

@@ -57,6 +57,28 @@ def vp8x(flags: int, width: int = 2, height: int = 2) -> tuple[bytes, bytes]:
     return b"VP8X", bytes([flags, 0xFF, 0, 0]) + (width - 1).to_bytes(3, "little") + (height - 1).to_bytes(3, "little")
 
 
+def profile(*extra: tuple[bytes, bytes], version: int = 4, room: int = 200, maker: bytes = SECRET[:4]) -> bytes:
+    """A small RGB display profile with a description that must go."""
+    xyz, curve = b"XYZ " + bytes(4) + bytes(12), b"curv" + bytes(4) + (1).to_bytes(4, "big") + b"\x02\x33" + bytes(2)
+    tags = [(b"desc", b"desc" + bytes(4) + SECRET), (b"rXYZ", xyz), (b"gXYZ", xyz), (b"bXYZ", xyz), (b"rTRC", curve), (b"gTRC", curve), (b"bTRC", curve), *extra]
+    at, table, body = 132 + 12 * len(tags), b"", b""
+    places: dict[bytes, int] = {}
+    for name, own in tags:
+        if own not in places:
+            places[own] = at + len(body)
+            body += own + bytes(-len(own) % 4)
+        table += struct.pack(">4sII", name, places[own], len(own))
+    head = bytearray(128)
+    head[8], head[12:24], head[36:40], head[48:52], head[80:84] = version, b"mntrRGB XYZ ", b"acsp", maker, maker
+    struct.pack_into(">3i", head, 68, 0xF6D6, 0x10000, 0xD32D)
+    whole = bytes(head) + len(tags).to_bytes(4, "big") + table + body + bytes(room)
+    return len(whole).to_bytes(4, "big") + whole[4:]
+
+
+def iccp(own: bytes) -> bytes:
+    return png_chunk(b"iCCP", SECRET + b"\0\0" + zlib.compress(own))
+
+
 def cases() -> list[tuple[str, bytes, str, str | None, list[bytes]]]:
     """(name, content, expected status, expected key, byte strings that must survive)."""
     text, private, gama = png_chunk(b"tEXt", b"Comment\0" + SECRET), png_chunk(b"prVt", SECRET), png_chunk(b"gAMA", b"\0\0\xb1\x8f")
@@ -81,6 +103,14 @@ def cases() -> list[tuple[str, bytes, str, str | None, list[bytes]]]:
         ("png.truncated", png()[:-8], "refused", "damaged", []),
         ("png.huge", png(size=(20000, 20000), lines=b""), "refused", "too_large", []),
         ("png.profile", png(png_chunk(b"iCCP", b"x\0\0" + zlib.compress(SECRET))), "refused", "unsupported_profile", []),
+        ("png.clean_profile", png(iccp(profile())), "cleaned", None, [b"iCCP"]),
+        ("png.profile_v2", png(iccp(profile(version=2))), "cleaned", None, [b"iCCP"]),
+        ("png.profile_unknown_tag", png(iccp(profile((b"zzzz", b"text" + bytes(4) + SECRET)))), "refused", "unsupported_profile", []),
+        ("png.profile_hidden_in_curve", png(iccp(profile((b"kTRC", b"curv" + bytes(8) + SECRET)))), "refused", "unsupported_profile", []),
+        ("png.profile_not_packed", png(png_chunk(b"iCCP", SECRET)), "refused", "damaged", []),
+        ("png.second_profile_broken", png(iccp(profile()), png_chunk(b"iCCP", SECRET)), "cleaned", None, [b"iCCP"]),
+        ("gif.profile", gif(gif_extension(0xFF, b"ICCRGBG1012", *(profile()[n : n + 255] for n in range(0, len(profile()), 255)))), "cleaned", None, [b"ICCRGBG1012"]),
+        ("webp.profile", webp(vp8x(0x2C), (b"ICCP", profile()), image, (b"ICCP", SECRET)), "cleaned", None, [b"ICCP", image[1]]),
         ("apng.frames", png(text, animated=3), "cleaned", None, [b"acTL", b"fdAT"]),
         ("apng.stray_frames", png(after=(png_chunk(b"fdAT", SECRET),)), "cleaned", None, []),
         ("gif.plain", gif(), "cleaned", None, []),

@@ -1,7 +1,7 @@
 """Media files as tables of parts.
 
-A parser yields (part, payload, sound, rewritten): the part's code, its bytes, whether its checksum holds, and what
-replaces it in a clean copy where that isn't the payload itself. A framing error ends a file's rows with one row whose
+A parser yields (part, payload, sound, rewritten, refusal): the part's code, its bytes, whether its checksum holds, what
+replaces it in a clean copy where that isn't the payload itself, and why it can't be rewritten. A framing error ends a file's rows with one row whose
 ``error`` is set; the other parts before it are kept, so that the first error in file order decides.
 """
 
@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import exif
+from tessera.functions import exif, icc
 
 PNG, APNG, GIF, WEBP = "PNG", "APNG", "GIF", "WEBP"
-Part = tuple[bytes, bytes, bool, bytes | None]
+Part = tuple[bytes, bytes, bool, bytes | None, str | None]
 
 
 class Refused(Exception):
@@ -48,6 +48,29 @@ def kind_of(content: Column) -> Column:
     return kind.when(boxed & brand.isin("isom", "iso2", "iso4", "iso5", "iso6", "mp41", "mp42", "avc1", "M4V ", "3gp4", "3gp5"), "MP4")
 
 
+def _profile(rewrite: Callable[[], bytes]) -> tuple[bytes | None, str | None]:
+    """What ``rewrite`` makes, or the key why it can't."""
+    try:
+        return rewrite(), None
+    except icc.BadProfile:
+        return None, "unsupported_profile"
+    except Refused as refused:
+        return None, refused.key
+
+
+def _inflated(body: bytes) -> bytes:
+    """The profile of an iCCP chunk: a name of 1 to 79 bytes, a zero, method 0, one zlib stream and nothing behind it."""
+    name, separator, packed = body.partition(b"\0")
+    stream = zlib.decompressobj()
+    try:
+        profile = stream.decompress(packed[1:], icc.LARGEST + 1)
+    except zlib.error:
+        raise Refused("damaged") from None
+    if not separator or not 1 <= len(name) <= 79 or packed[:1] != b"\0" or len(profile) > icc.LARGEST or not stream.eof or stream.unused_data:
+        raise Refused("damaged")
+    return profile
+
+
 def png(data: bytes) -> Iterator[Part]:
     at = 8
     while True:
@@ -56,7 +79,10 @@ def png(data: bytes) -> Iterator[Part]:
         if at + 12 > len(data) or end > len(data) or not code.isalpha():
             raise Refused("damaged")
         body = data[at + 8 : end - 4]
-        yield code, body, zlib.crc32(code + body) == int.from_bytes(data[end - 4 : end], "big"), exif.minimal(exif.orientation(body)) if code == b"eXIf" else None
+        rewritten, refusal = exif.minimal(exif.orientation(body)) if code == b"eXIf" else None, None
+        if code == b"iCCP":
+            rewritten, refusal = _profile(lambda own=body: b"Clean\0\0" + zlib.compress(icc.clean_profile(_inflated(own))))
+        yield code, body, zlib.crc32(code + body) == int.from_bytes(data[end - 4 : end], "big"), rewritten, refusal
         if code == b"IEND":
             return
         at = end
@@ -89,8 +115,10 @@ def webp(data: bytes) -> Iterator[Part]:
     if len(data) < 20 or int.from_bytes(data[4:8], "little") + 8 > len(data):
         raise Refused("damaged")
     for code, body in riff(data, 12, 8 + int.from_bytes(data[4:8], "little")):
-        rewritten = None
-        if code == b"ANMF":
+        rewritten, refusal = None, None
+        if code == b"ICCP":
+            rewritten, refusal = _profile(lambda own=body: icc.clean_profile(own))
+        elif code == b"ANMF":
             if len(body) < 16:
                 raise Refused("damaged")
             inner = list(riff(body, 16, len(body)))
@@ -101,7 +129,7 @@ def webp(data: bytes) -> Iterator[Part]:
             rewritten = body[:15] + bytes([body[15] & 3]) + b"".join(riff_chunk(*c) for c in own)
         elif code == b"EXIF":
             rewritten = exif.minimal(exif.orientation(body))
-        yield code, body, True, rewritten
+        yield code, body, True, rewritten, refusal
 
 
 def _colors(flags: int) -> int:
@@ -136,14 +164,14 @@ def gif(data: bytes) -> Iterator[Part]:
     at = 13 + _colors(data[10]) if len(data) >= 13 else len(data) + 1
     if at > len(data):
         raise Refused("damaged")
-    yield b"header", data[:at], True, None
+    yield b"header", data[:at], True, None, None
     while at < len(data) and data[at] != 0x3B:
         start = at
         if data[at] == 0x2C and at + 10 < len(data):
             code_size = at + 10 + _colors(data[at + 9])
             pieces, at = _blocks(data, code_size + 1)
             flags = data[start + 9] & 0xE7  # without the reserved bits
-            yield b"image", data[start:at], True, data[start : start + 9] + bytes([flags]) + data[start + 10 : code_size + 1] + _cut(b"".join(pieces))
+            yield b"image", data[start:at], True, data[start : start + 9] + bytes([flags]) + data[start + 10 : code_size + 1] + _cut(b"".join(pieces)), None
         elif data[at] == 0x21 and at + 1 < len(data):
             label = data[at + 1]
             pieces, at = _blocks(data, at + 2)
@@ -151,22 +179,26 @@ def gif(data: bytes) -> Iterator[Part]:
             if label == 0xF9:
                 if [len(p) for p in pieces] != [4]:
                     raise Refused("damaged")
-                yield b"control", body, True, body[:3] + bytes([body[3] & 0x1F]) + body[4:]
+                yield b"control", body, True, body[:3] + bytes([body[3] & 0x1F]) + body[4:], None
             elif label == 0xFF:
                 if not pieces or len(pieces[0]) != 11:
                     raise Refused("damaged")
+                if pieces[0] == PROFILE:
+                    rewritten, refusal = _profile(lambda own=pieces: b"\x21\xff\x0b" + PROFILE + _cut(icc.clean_profile(b"".join(own[1:]))))
+                    yield PROFILE, body, True, rewritten, refusal
+                    continue
                 loop = next((p for p in pieces[1:] if len(p) == 3 and p[0] == 1), None)
                 kept = pieces[0] in LOOPS and loop is not None
-                yield pieces[0], body, True, b"\x21\xff\x0b" + pieces[0] + b"\x03" + loop + b"\0" if kept else None
+                yield pieces[0], body, True, b"\x21\xff\x0b" + pieces[0] + b"\x03" + loop + b"\0" if kept else None, None
             else:
-                yield b"label%d" % label, body, True, None
+                yield b"label%d" % label, body, True, None, None
         else:
             raise Refused("damaged")
-    yield b"trailer", b"\x3b", True, None
+    yield b"trailer", b"\x3b", True, None, None
 
 
 PARSERS: dict[str, Callable[[bytes], Iterator[Part]]] = {PNG: png, GIF: gif, WEBP: webp}
-SCHEMA = "file_id long, kind string, ord int, part binary, payload binary, sound boolean, rewritten binary, error string"
+SCHEMA = "file_id long, kind string, ord int, part binary, payload binary, sound boolean, rewritten binary, rewriting string, error string"
 
 
 def parts(files: DataFrame) -> DataFrame:
@@ -177,12 +209,12 @@ def parts(files: DataFrame) -> DataFrame:
             for file_id, kind, content in zip(*(batch.column(c) for c in ("file_id", "kind", "content")), strict=True):
                 rows, kind = [], kind.as_py()
                 try:
-                    for n, (part, payload, sound, rewritten) in enumerate(PARSERS[kind](content.as_py())):
-                        rows.append((n, part, payload, sound, rewritten, None))
+                    for n, part in enumerate(PARSERS[kind](content.as_py())):
+                        rows.append((n, *part, None))
                 except Refused as refused:
-                    rows.append((len(rows), b"", b"", False, None, refused.key))
+                    rows.append((len(rows), b"", b"", False, None, None, refused.key))
                 columns = list(zip(*rows, strict=True))
-                kinds = [pa.int32(), pa.binary(), pa.binary(), pa.bool_(), pa.binary(), pa.string()]
+                kinds = [pa.int32(), pa.binary(), pa.binary(), pa.bool_(), pa.binary(), pa.string(), pa.string()]
                 head = [pa.array([file_id.as_py()] * len(rows), pa.int64()), pa.array([kind] * len(rows), pa.string())]
                 yield pa.RecordBatch.from_arrays([*head, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], [f.split()[0] for f in SCHEMA.split(", ")])
 

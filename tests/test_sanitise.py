@@ -1,9 +1,11 @@
 """Clean copies: markers gone, kept bytes kept, keys of refusals, idempotence, publishing."""
 
 import os
+import struct
 
 import pytest
 
+from tessera.functions import icc
 from tessera.plans import sanitise
 from tessera.sources import fixtures, parts, publish
 
@@ -32,7 +34,7 @@ def test_cleaning_twice_changes_nothing(spark, outcomes):
 
 def test_frames_are_numbered_from_zero(outcomes):
     (result,) = (bytes(r.result) for (name, *_), r in outcomes if name == "apng.frames")
-    numbers = [int.from_bytes(body[:4], "big") for code, body, _, _ in parts.png(result) if code in (b"fcTL", b"fdAT")]
+    numbers = [int.from_bytes(body[:4], "big") for code, body, *_ in parts.png(result) if code in (b"fcTL", b"fdAT")]
     assert numbers == list(range(5))
 
 
@@ -62,3 +64,22 @@ def test_load_and_publish(spark, tmp_path):
     assert not [p for p in os.listdir(tmp_path) if "unfinished" in p]
     assert {(r.status, r.n) for r in publish.summary(outcomes).collect()} == {("cleaned", 1), ("refused", 1)}
     assert sanitise.clean(files.limit(0)).count() == 0
+
+
+def test_profiles():
+    for version in (2, 4):
+        own = fixtures.profile(version=version)
+        clean = icc.clean_profile(own)
+        assert len(clean) == len(own) and fixtures.SECRET not in clean and icc.clean_profile(clean) == clean
+        assert {k: v for k, v in icc._tags(clean).items() if k not in icc.ORIGIN} == {k: v for k, v in icc._tags(own).items() if k not in icc.ORIGIN}
+        assert clean[48:52] == bytes(4) and clean[80:84] == bytes(4)
+    lut = b"mft1" + bytes(4) + b"\x03\x03\x02\0" + bytes(36) + bytes(256 * 3 + 8 * 3 + 256 * 3)
+    curve = b"para" + bytes(4) + bytes(4) + b"\0\1\0\0"
+    mab = b"mAB " + bytes(4) + b"\x03\x03\0\0" + struct.pack(">5I", 32, 0, 0, 0, 0) + 3 * curve
+    for good in ((b"A2B0", lut), (b"A2B0", mab), (b"tech", b"sig " + bytes(4) + b"CRT "), (b"chad", b"sf32" + bytes(40)), (b"cicp", b"cicp" + bytes(8))):
+        icc.clean_profile(fixtures.profile(good))
+    for bad in ((b"A2B0", lut + b"x"), (b"A2B0", lut[:-1]), (b"A2B0", mab[:-4]), (b"tech", b"sig " + bytes(4) + b"oops"), (b"cicp", b"cicp" + bytes(7) + b"\2"), (b"rTR2", curve), (b"hdgm", b"gmap" + bytes(90))):
+        with pytest.raises(icc.BadProfile):
+            icc.clean_profile(fixtures.profile(bad))
+    with pytest.raises(icc.BadProfile):
+        icc.clean_profile(fixtures.profile(room=0)[:-4] + b"")
