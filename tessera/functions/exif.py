@@ -40,6 +40,82 @@ def orientation(block: bytes) -> int | None:
     return turn if 1 <= turn <= 8 else None
 
 
+# Tags of the fields that change how an image is shown.
+_X, _Y, _UNIT, _EXIF, _INTEROP, _SPACE, _INDEX = 0x011A, 0x011B, 0x0128, 0x8769, 0xA005, 0xA001, 0x0001
+
+
+def display(block: bytes) -> dict:
+    """``turn``, ``resolution`` ((x, y) as fractions and a unit), ``space`` and ``index``; what can't be read is None."""
+    block = block.removeprefix(b"Exif\0\0")
+    out: dict = {"turn": orientation(block), "resolution": None, "space": None, "index": None}
+    order = {b"II": "<", b"MM": ">"}.get(block[:2])
+    if order is None or len(block) < 8 or struct.unpack_from(order + "H", block, 2) != (42,):
+        return out
+
+    def value(fields: dict, tag: int, kinds: tuple, code: str):
+        kind, count, body = fields.get(tag, (0, 0, b""))
+        return struct.unpack(order + code, body) if kind in kinds and count == 1 else None
+
+    def below(fields: dict, tag: int) -> dict:
+        at = value(fields, tag, (4, 13), "I")
+        return entries(block, at[0], order) if at else {}
+
+    top = entries(block, struct.unpack_from(order + "I", block, 4)[0], order)
+    x, y = value(top, _X, (5,), "II"), value(top, _Y, (5,), "II")
+    unit = (value(top, _UNIT, (3,), "H") or (2,))[0] or 2
+    if x and y and all((*x, *y)) and unit in (1, 2, 3):
+        out["resolution"] = (x, y, unit)
+    camera = below(top, _EXIF)
+    space = value(camera, _SPACE, (3,), "H")
+    out["space"] = space[0] if space else None
+    kind, _, name = below(camera, _INTEROP).get(_INDEX, (0, 0, b""))
+    out["index"] = name.rstrip(b"\0") if kind == 2 and name.rstrip(b"\0") in (b"R98", b"R03") else None
+    return out
+
+
+def _directory(fields: list[tuple[int, int, bytes]], at: int) -> bytes:
+    """A big-endian directory that starts at ``at``, values of more than four bytes behind it."""
+    table, behind = len(fields).to_bytes(2, "big"), b""
+    room = at + 6 + 12 * len(fields)
+    for tag, kind, body in sorted(fields):
+        table += struct.pack(">HHI", tag, kind, len(body) // SIZES[kind])
+        if len(body) <= 4:
+            table += body.ljust(4, b"\0")
+        else:
+            table += (room + len(behind)).to_bytes(4, "big")
+            behind += body + bytes(len(body) % 2)
+    return table + bytes(4) + behind
+
+
+def build(fields: dict) -> bytes:
+    """A big-endian block with the given display fields alone; empty if there are none."""
+    levels: list[list[tuple[int, int, bytes]]] = [[], [], []]
+    if fields["turn"]:
+        levels[0].append((_ORIENTATION, 3, struct.pack(">H", fields["turn"])))
+    if fields["resolution"]:
+        x, y, unit = fields["resolution"]
+        levels[0] += [(_X, 5, struct.pack(">II", *x)), (_Y, 5, struct.pack(">II", *y)), (_UNIT, 3, struct.pack(">H", unit))]
+    if fields["space"] is not None:
+        levels[1].append((_SPACE, 3, struct.pack(">H", fields["space"])))
+    if fields["index"]:
+        levels[2].append((_INDEX, 2, fields["index"] + b"\0"))
+    while levels and not levels[-1]:
+        levels.pop()
+    if not levels:
+        return b""
+    for level, pointer in zip(levels, (_EXIF, _INTEROP), strict=False):
+        if level is not levels[-1]:
+            level.append((pointer, 4, bytes(4)))
+    at, out = 8, b""
+    for n, level in enumerate(levels):
+        after = at + len(_directory(level, at))
+        if n + 1 < len(levels):
+            level[-1] = (*level[-1][:2], after.to_bytes(4, "big"))
+        out += _directory(level, at)
+        at = after
+    return struct.pack(">2sHI", b"MM", 42, 8) + out
+
+
 def minimal(turn: int | None) -> bytes | None:
     """A big-endian block with the orientation alone; None if it says nothing."""
     if turn in (None, 1):

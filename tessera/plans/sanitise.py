@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.sources.parts import GIF, LOOPS, PARSERS, PNG, PROFILE, WEBP, Refused, parts, riff_chunk, shown_image
+from tessera.sources import jpeg
+from tessera.sources.parts import GIF, JPEG, LOOPS, PARSERS, PNG, PROFILE, WEBP, Refused, parts, riff_chunk, shown_image
 
 # Parts that a clean copy may hold. (format, part, sizes or none for any, once, only before image data)
 POLICY = [
@@ -25,13 +26,24 @@ POLICY = [
     (PNG, b"fdAT", None, False, False), (PNG, b"iCCP", None, True, True), (PNG, b"eXIf", None, True, False),
     (WEBP, b"VP8X", [10], False, False), (WEBP, b"VP8 ", None, False, False), (WEBP, b"VP8L", None, False, False), (WEBP, b"ALPH", None, False, False),
     (WEBP, b"ANIM", [6], True, False), (WEBP, b"ANMF", None, False, False), (WEBP, b"ICCP", None, True, False), (WEBP, b"EXIF", None, True, False),
+    (JPEG, b"SOI", None, False, False), (JPEG, b"EOI", None, False, False), (JPEG, b"DB", None, False, False), (JPEG, b"C4", None, False, False),
+    (JPEG, b"DRI", None, False, False), (JPEG, b"SOS", None, False, False), (JPEG, b"coding", None, False, False), (JPEG, b"DNL", None, False, False),
+    (JPEG, b"JFIF", None, True, False), (JPEG, b"Exif", None, True, False), (JPEG, b"ICC", None, False, False), (JPEG, b"Adobe", None, True, False),
     (GIF, b"header", None, False, False), (GIF, b"image", None, False, False), (GIF, b"control", None, False, False), (GIF, b"trailer", None, False, False),
     *((GIF, name, None, True, False) for name in LOOPS), (GIF, PROFILE, None, True, False),
 ]
-REWRITTEN = {b"eXIf", b"EXIF", b"ANMF", b"image", b"control", b"iCCP", b"ICCP", PROFILE, *LOOPS}
+REWRITTEN = {b"eXIf", b"EXIF", b"ANMF", b"image", b"control", b"iCCP", b"ICCP", PROFILE, *LOOPS, b"DNL", b"JFIF", b"Exif", b"ICC", b"Adobe", b"coding", b"DRI", b"SOS"}
 MAX_DROPPED, MEGAPIXELS, ANIMATION_MEGAPIXELS, FRAME = 1024, 268, 64, 1 << 16
 
 
+def alive(table: DataFrame) -> DataFrame:
+    """``file_id, ord`` of the coding tables that a scan reads: of each slot the last definition before the scan."""
+    own = table.filter((F.col("kind") == JPEG) & F.col("note").isNotNull()).select("file_id", "ord", "note", (F.col("part") == b"SOS").alias("reads"))
+    slots = own.withColumn("slot", F.explode(F.split("note", ",")))
+    latest = F.last(F.when(~F.col("reads"), F.col("ord")), ignorenulls=True).over(Window.partitionBy("file_id", "slot").orderBy("ord"))
+    return slots.withColumn("latest", latest).filter(F.col("reads") & F.col("latest").isNotNull()).select("file_id", F.col("latest").alias("ord")).distinct()
+
+
 def decided(table: DataFrame) -> DataFrame:
     """``parts`` with ``keep`` and ``refusal`` (a key, by part) under the policy."""
     spark = table.sparkSession
@@ -41,10 +53,11 @@ def decided(table: DataFrame) -> DataFrame:
     order = by.orderBy("ord")
     code = F.col("part").cast("string")
     joined = table.join(F.broadcast(policy), ["kind", "part"], "left").withColumn("known", F.col("once").isNotNull())  # a fixed table of a few rows
+    joined = joined.join(alive(table).withColumn("is_alive", F.lit(True)), ["file_id", "ord"], "left")
     known = F.col("known")
     image_at = F.min(F.when((F.col("kind") == PNG) & (code == "IDAT"), F.col("ord"))).over(by)
     color = F.max(F.when((code == "IHDR") & (F.col("ord") == 0), F.conv(F.hex(F.substring("payload", 10, 1)), 16, 10).cast("int"))).over(by)
-    usable = known & (~F.col("is_rewritten") | F.col("rewritten").isNotNull() | code.isin("eXIf", "EXIF") | F.col("rewriting").isNotNull())
+    usable = known & (~F.col("is_rewritten") | F.col("rewritten").isNotNull() | code.isin("eXIf", "EXIF", "Exif") | F.col("rewriting").isNotNull())
     late = F.coalesce(F.col("early") & (image_at < F.col("ord")), F.lit(False))
     again = F.coalesce(F.col("once"), F.lit(False)) & (F.sum(F.when(usable, 1).otherwise(0)).over(Window.partitionBy("file_id", "part").orderBy("ord")) > 1)
     flagged = joined.withColumns({"image_at": image_at, "color": color, "late": late, "again": again, "usable": usable})
@@ -57,7 +70,8 @@ def decided(table: DataFrame) -> DataFrame:
     dropped = F.sum(F.when((F.col("kind") == GIF) & (~F.col("usable") | F.col("again")), 1).otherwise(0)).over(order)
     # A simple WebP is its first chunk.
     simple = (F.col("kind") == WEBP) & (F.col("ord") > 0) & F.first(code).over(order).isin("VP8 ", "VP8L")
-    skip = F.col("late") | F.col("again") | stray | plain | overruled | simple
+    dead = F.col("note").isNotNull() & (code != "SOS") & F.col("is_alive").isNull()
+    skip = F.col("late") | F.col("again") | stray | plain | overruled | simple | dead
     wrong_size = F.col("sizes").isNotNull() & ~F.array_contains("sizes", F.octet_length("payload"))
     critical = (F.col("kind") == PNG) & ~known & code.rlike("^[A-Z]")
     is_png = F.col("kind") == PNG
@@ -202,7 +216,7 @@ def finish_gif(own: list[tuple[bytes, bytes]]) -> bytes:
     return b"".join(body for _, body in own)
 
 
-FINISH = {PNG: finish_png, WEBP: finish_webp, GIF: finish_gif}
+FINISH = {PNG: finish_png, WEBP: finish_webp, GIF: finish_gif, JPEG: jpeg.join}
 _RESULT = "file_id long, kind string, result binary, refusal string"
 
 
@@ -224,7 +238,7 @@ def rebuilt(files: DataFrame) -> DataFrame:
                 if refusal is None:
                     try:
                         result = FINISH[row["kind"]]([(p["part"], p["payload"]) for p in row["kept"]])
-                    except Refused as refused:
+                    except (Refused, jpeg.Broken) as refused:
                         refusal = refused.key
                 columns = [pa.array([row["file_id"]], pa.int64()), pa.array([row["kind"]], pa.string()), pa.array([result], pa.binary()), pa.array([refusal], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["file_id", "kind", "result", "refusal"])

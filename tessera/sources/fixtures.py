@@ -79,6 +79,21 @@ def iccp(own: bytes) -> bytes:
     return png_chunk(b"iCCP", SECRET + b"\0\0" + zlib.compress(own))
 
 
+def jpeg_segment(marker: int, body: bytes) -> bytes:
+    return bytes([0xFF, marker]) + (len(body) + 2).to_bytes(2, "big") + body
+
+
+def jpeg_table(marker: int, slot: int, fill: int) -> bytes:
+    """A quantisation table of one value, or a Huffman table of one code."""
+    return jpeg_segment(marker, bytes([slot]) + (bytes([fill]) * 64 if marker == 0xDB else b"\1" + bytes(15) + bytes([fill])))
+
+
+def jpeg(*head: bytes, middle: tuple[bytes, ...] = (), scan: bytes = b"\x12\xff\0\x34", frame: int = 0xC0, height: int = 8, tail: bytes = b"", scan_tail: bytes = b"\0\x3f\0") -> bytes:
+    """A gray JPEG with segments before its frame and between its tables and its scan."""
+    coding = jpeg_table(0xDB, 0, 1) + jpeg_segment(frame, b"\x08" + height.to_bytes(2, "big") + b"\0\x08\1\1\x11\0") + jpeg_table(0xC4, 0x00, 2) + jpeg_table(0xC4, 0x10, 3)
+    return b"\xff\xd8" + b"".join(head) + coding + b"".join(middle) + jpeg_segment(0xDA, b"\1\1\0" + scan_tail) + scan + tail + b"\xff\xd9"
+
+
 def cases() -> list[tuple[str, bytes, str, str | None, list[bytes]]]:
     """(name, content, expected status, expected key, byte strings that must survive)."""
     text, private, gama = png_chunk(b"tEXt", b"Comment\0" + SECRET), png_chunk(b"prVt", SECRET), png_chunk(b"gAMA", b"\0\0\xb1\x8f")
@@ -127,6 +142,20 @@ def cases() -> list[tuple[str, bytes, str, str | None, list[bytes]]]:
         ("webp.animation", webp(vp8x(0x02), (b"ANIM", bytes(6)), (b"ANIM", SECRET), (b"ANMF", frame + inner)), "cleaned", None, [b"ANIM", b"ANMF", image[1]]),
         ("webp.no_image", webp(vp8x(0), (b"XMP ", SECRET)), "refused", "damaged", []),
         ("webp.huge_animation", webp(vp8x(2, 9000, 9000), (b"ANIM", bytes(6)), (b"ANMF", frame + inner)), "refused", "too_large", []),
+        ("jpeg.plain", jpeg(), "cleaned", None, []),
+        ("jpeg.private_segments", jpeg(jpeg_segment(0xE0, b"JFIF\0\1\2\1\0\x48\0\x48\1\1" + SECRET[:3]), jpeg_segment(0xED, SECRET), jpeg_segment(0xFE, SECRET), jpeg_segment(0xE1, b"http://ns.adobe.com/xap/1.0/\0" + SECRET), jpeg_segment(0xEE, b"Adobe\0\x64\0\0\0\0\0")) + SECRET, "cleaned", None, [b"JFIF\0\1\2\1\0\x48\0\x48\0\0", b"Adobe\0\x64"]),
+        ("jpeg.orientation", jpeg(jpeg_segment(0xE1, b"Exif\0\0" + tiff(6)), jpeg_segment(0xE1, b"Exif\0\0" + tiff(3))), "cleaned", None, [b"Exif\0\0MM\0*"]),
+        ("jpeg.dead_tables", jpeg(jpeg_table(0xDB, 0, 0x53), jpeg_table(0xDB, 1, 0x45), middle=(jpeg_segment(0xDD, b"\0\7"), jpeg_segment(0xDD, b"\0\5"), jpeg_table(0xC4, 0x13, 0x46))), "cleaned", None, [jpeg_table(0xDB, 0, 1), jpeg_segment(0xDD, b"\0\5"), jpeg_table(0xC4, 0x10, 3)]),
+        ("jpeg.fill_bytes", jpeg(b"\xff" * 9, scan=b"\1\xff\xff\xd0\2", scan_tail=SECRET[:3]), "cleaned", None, [b"\1\xff\xd0\2", b"\1\1\0\0\x3f\0"]),
+        ("jpeg.profile", jpeg(jpeg_segment(0xE2, b"ICC_PROFILE\0\2\2" + profile()[300:]), jpeg_segment(0xE2, b"ICC_PROFILE\0\1\2" + profile()[:300])), "cleaned", None, [b"ICC_PROFILE\0\1\2"]),
+        ("jpeg.profile_incomplete", jpeg(jpeg_segment(0xE2, b"ICC_PROFILE\0\1\2" + profile())), "refused", "damaged", []),
+        ("jpeg.progressive", jpeg(frame=0xC2, scan_tail=b"\0\0\0"), "cleaned", None, []),
+        ("jpeg.line_count", jpeg(height=0, tail=jpeg_segment(0xDC, b"\0\x08") + jpeg_segment(0xDC, SECRET)), "cleaned", None, [jpeg_segment(0xDC, b"\0\x08")]),
+        ("jpeg.unneeded_line_count", jpeg(tail=jpeg_segment(0xDC, SECRET)), "cleaned", None, []),
+        ("jpeg.several_pictures", jpeg(jpeg_segment(0xE2, b"MPF\0" + SECRET)), "refused", "unsupported_variant", []),
+        ("jpeg.unknown_marker", jpeg(jpeg_segment(0xF3, SECRET)), "refused", "unsupported_part", []),
+        ("jpeg.no_end", jpeg()[:-2], "refused", "damaged", []),
+        ("jpeg.much_fill", jpeg(b"\xff" * 2000), "refused", "damaged", []),
         ("other.text", SECRET * 3, "refused", "unsupported_format", []),
     ]
 

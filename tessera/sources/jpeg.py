@@ -1,0 +1,212 @@
+"""JPEG images as parts: segments, one part per coding table, scans with the tables they read.
+
+A table part's note is the slot it fills; a scan's note lists the slots it reads when it starts. Which definitions are
+alive is decided outside, as the last one of a slot before a scan that reads it. Images that come with others
+(multi-picture index) or with gain-map data are refused for now, and XMP is dropped.
+"""
+
+from __future__ import annotations
+
+import re
+import struct
+from collections.abc import Iterator
+
+from tessera.functions import exif, icc
+
+# Marker codes by role, and limits on what a real file holds.
+FRAMES = {*range(0xC0, 0xD0)} - {0xC4, 0xC8, 0xCC}
+READABLE = {0xC0, 0xC1, 0xC2}
+DHT, DAC, DQT, DRI, DNL, SOS, EOI, COM = 0xC4, 0xCC, 0xDB, 0xDD, 0xDC, 0xDA, 0xD9, 0xFE
+ALONE = {0x01, *range(0xD0, 0xD8)}
+MOST_SEGMENTS, MOST_FILL = 1 << 16, 1024
+_EXIF, _ICC, _MPF = b"Exif\0\0", b"ICC_PROFILE\0", b"MPF\0"
+_GAIN = (b"urn:iso:std:iso:ts:21496:-1\0", b"AROT\0\0")
+_SCAN_STOP = re.compile(rb"\xff+[^\xff\x00\xd0-\xd7]")
+_FILL = re.compile(rb"\xff{2,}")
+
+
+class Broken(Exception):
+    """A JPEG that can't be cleaned, by the key of its message."""
+
+    def __init__(self, key: str = "damaged"):
+        self.key = key
+        super().__init__(key)
+
+
+def segment(marker: int, body: bytes) -> bytes:
+    if len(body) > 65533:
+        raise Broken()
+    return bytes([0xFF, marker]) + struct.pack(">H", len(body) + 2) + body
+
+
+def segments(data: bytes) -> Iterator[tuple[int, bytes, bytes]]:
+    """(marker, payload, compressed data behind it) up to the end of the image; fill bytes between segments vanish."""
+    at, n = 2, 0
+    while True:
+        start = at
+        while data[at : at + 1] == b"\xff":
+            at += 1
+        n += 1
+        if at == start or at - start > MOST_FILL + 1 or at >= len(data) or data[at] in (0, 0xD8):
+            raise Broken()
+        if n > MOST_SEGMENTS:
+            raise Broken("unsupported_part")
+        marker, at = data[at], at + 1
+        if marker == EOI or marker in ALONE:
+            yield marker, b"", b""
+            if marker == EOI:
+                return
+            continue
+        size = int.from_bytes(data[at : at + 2], "big")
+        if size < 2 or at + size > len(data):
+            raise Broken()
+        body, at, scan = data[at + 2 : at + size], at + size, b""
+        if marker == SOS:
+            stop = _SCAN_STOP.search(data, at)
+            if not stop:
+                raise Broken()
+            # Fill before the next marker belongs to it, unless data goes on with a restart marker.
+            scan, at = data[at : stop.start()], stop.start()
+        yield marker, body, scan
+
+
+def _without_fill(scan: bytes) -> bytes:
+    """Compressed data without fill before restart markers; fill before anything else is damage."""
+
+    def one(run: re.Match) -> bytes:
+        if scan[run.end() : run.end() + 1] not in {bytes([m]) for m in range(0xD0, 0xD8)}:
+            raise Broken()
+        return b"\xff"
+
+    return _FILL.sub(one, scan)
+
+
+def tables(marker: int, body: bytes) -> list[tuple[str, bytes]]:
+    """(slot, bytes) of each table of a segment."""
+    out, at = [], 0
+    while at < len(body):
+        high, low = divmod(body[at], 16)
+        if high > 1 or low > 3:
+            raise Broken()
+        size = 65 + 64 * high if marker == DQT else 17 + sum(body[at + 1 : at + 17])
+        if at + size > len(body) or marker == DHT and at + 17 > len(body):
+            raise Broken()
+        out.append((f"q{low}" if marker == DQT else f"h{high}{low}", body[at : at + size]))
+        at += size
+    return out
+
+
+class _Frame:
+    """What scans of the one frame read; for images of other kinds it follows nothing."""
+
+    def __init__(self, found: list[tuple[int, bytes, bytes]]):
+        frames = [(m, b) for m, b, _ in found if m in FRAMES]
+        self.followed = len(frames) == 1 and frames[0][0] in READABLE
+        if self.followed:
+            marker, body = frames[0]
+            if len(body) < 6 or len(body) != 6 + 3 * body[5]:
+                raise Broken()
+            self.sequential, self.flat = marker != 0xC2, not int.from_bytes(body[1:3], "big")
+            self.wanted = {body[k]: f"q{body[k + 2]}" for k in range(6, len(body), 3)}
+            self.components = set(self.wanted)
+
+    def reads(self, header: bytes) -> str:
+        """Slots that a scan reads: a component's quantisation table at its first scan, Huffman tables, the restart interval."""
+        n = header[0] if header else 0
+        if len(header) != 4 + 2 * n:
+            raise Broken()
+        first, last, refines = header[-3], header[-2], header[-1] >> 4
+        slots = ["r"]
+        for component, selected in zip(header[1:-3:2], header[2:-3:2], strict=True):
+            if component not in self.components:
+                raise Broken()
+            slots.append(self.wanted.pop(component, "r"))
+            if self.sequential or first == 0 and not refines:
+                slots.append(f"h0{selected >> 4}")
+            if self.sequential or last > 0:
+                slots.append(f"h1{selected & 15}")
+        return ",".join(dict.fromkeys(slots))
+
+
+def _profiles(found: list[tuple[int, bytes, bytes]]) -> list[bytes]:
+    """The clean profile cut like the original's segments, in file order."""
+    pieces = [b[len(_ICC) :] for m, b, _ in found if m == 0xE2 and b.startswith(_ICC)]
+    if not pieces:
+        return []
+    if any(len(p) < 2 for p in pieces) or sorted(p[0] for p in pieces) != list(range(1, len(pieces) + 1)) or {p[1] for p in pieces} != {len(pieces)}:
+        raise Broken()
+    in_order = sorted(pieces, key=lambda p: p[0])
+    try:
+        clean, at, cut = icc.clean_profile(b"".join(p[2:] for p in in_order)), 0, {}
+    except icc.BadProfile:
+        raise Broken("unsupported_profile") from None
+    for p in in_order:
+        cut[p[0]], at = clean[at : at + len(p) - 2], at + len(p) - 2
+    return [_ICC + p[:2] + cut[p[0]] for p in pieces]
+
+
+def jpeg(data: bytes) -> Iterator[tuple[bytes, bytes, bool, bytes | None, str | None, str | None]]:
+    """Parts as (part, payload, sound, rewritten, refusal, note); a table's payload starts with its segment's number."""
+    found = list(segments(data))
+    frame, profile = _Frame(found), iter(_profiles(found))
+    seen_lines = False
+    yield b"SOI", b"\xff\xd8", True, None, None, None
+    for number, (marker, body, scan) in enumerate(found):
+        whole = segment(marker, body) if marker != EOI and marker not in ALONE else bytes([0xFF, marker])
+        name, kept, refusal = b"%02X" % marker, None, None
+        if marker in (DQT, DHT) and frame.followed:
+            for slot, table in tables(marker, body):
+                yield name, number.to_bytes(4, "big") + table, True, None, None, slot
+            continue
+        if marker == SOS:
+            note = frame.reads(body) if frame.followed else None
+            head = segment(SOS, body[:-3] + b"\0\x3f\0") if frame.followed and frame.sequential else whole
+            yield b"SOS", whole, True, head + _without_fill(scan), None, note
+            continue
+        if marker == DRI and frame.followed:
+            if len(body) != 2:
+                raise Broken()
+            yield b"DRI", whole, True, whole, None, "r"
+            continue
+        if marker == EOI:
+            yield b"EOI", whole, True, whole, None, None
+            return
+        if marker == 0xE0 and body.startswith(b"JFIF\0"):
+            if len(body) < 14:
+                raise Broken()
+            name, kept = b"JFIF", segment(marker, body[:12] + b"\0\0")
+        elif marker == 0xE1 and body.startswith(_EXIF):
+            block = exif.build(exif.display(body))
+            name, kept = b"Exif", segment(marker, _EXIF + block) if block else None
+        elif marker == 0xE2 and body.startswith(_ICC):
+            name, kept = b"ICC", segment(marker, next(profile))
+        elif marker in (0xE2, 0xEA) and body.startswith((_MPF, *_GAIN)):
+            name, refusal = b"HDR", "unsupported_variant"
+        elif marker == 0xEE and body.startswith(b"Adobe") and len(body) == 12:
+            name, kept = b"Adobe", whole
+        elif marker == DNL and frame.followed:
+            name, kept, seen_lines = b"DNL", whole if frame.flat and not seen_lines else None, True
+        elif marker == DAC and frame.followed:
+            name = b"unread"
+        elif marker in FRAMES or marker in (DQT, DHT, DAC, DRI, DNL):
+            name, kept = b"coding", whole
+        elif marker in ALONE or marker == COM or 0xE0 <= marker <= 0xEF:
+            name = b"unread"
+        else:
+            refusal = "unsupported_part"
+        yield name, body, True, kept, refusal, None
+
+
+def join(parts: list[tuple[bytes, bytes]]) -> bytes:
+    """The kept parts as a file; tables of one segment share a segment again."""
+    out, held = bytearray(), None
+    for code, body in [*parts, (b"", b"")]:
+        is_table = code in (b"DB", b"C4")
+        if held and (not is_table or held[0] != (code, body[:4])):
+            out += segment(int(held[0][0], 16), held[1])
+            held = None
+        if is_table:
+            held = ((code, body[:4]), (held[1] if held else b"") + body[4:])
+        else:
+            out += body
+    return bytes(out)

@@ -1,7 +1,7 @@
 """Media files as tables of parts.
 
 A parser yields (part, payload, sound, rewritten, refusal): the part's code, its bytes, whether its checksum holds, what
-replaces it in a clean copy where that isn't the payload itself, and why it can't be rewritten. A framing error ends a file's rows with one row whose
+replaces it in a clean copy where that isn't the payload itself, why it can't be rewritten, and maybe a note. A framing error ends a file's rows with one row whose
 ``error`` is set; the other parts before it are kept, so that the first error in file order decides.
 """
 
@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import exif, icc
+from tessera.sources import jpeg
 
-PNG, APNG, GIF, WEBP = "PNG", "APNG", "GIF", "WEBP"
+PNG, APNG, GIF, WEBP, JPEG = "PNG", "APNG", "GIF", "WEBP", "JPEG"
 Part = tuple[bytes, bytes, bool, bytes | None, str | None]
 
 
@@ -30,7 +31,7 @@ class Refused(Exception):
 
 
 # Signatures of the formats by offset, the first that fits decides.
-SIGNATURES = [(1, b"\x89PNG\r\n\x1a\n", PNG), (1, b"GIF87a", GIF), (1, b"GIF89a", GIF), (1, b"\xff\xd8\xff", "JPEG"), (1, b"II*\0", "TIFF"), (1, b"MM\0*", "TIFF"), (1, b"BM", "BMP")]
+SIGNATURES = [(1, b"\x89PNG\r\n\x1a\n", PNG), (1, b"GIF87a", GIF), (1, b"GIF89a", GIF), (1, b"\xff\xd8\xff", JPEG), (1, b"II*\0", "TIFF"), (1, b"MM\0*", "TIFF"), (1, b"BM", "BMP")]
 
 
 def kind_of(content: Column) -> Column:
@@ -197,8 +198,8 @@ def gif(data: bytes) -> Iterator[Part]:
     yield b"trailer", b"\x3b", True, None, None
 
 
-PARSERS: dict[str, Callable[[bytes], Iterator[Part]]] = {PNG: png, GIF: gif, WEBP: webp}
-SCHEMA = "file_id long, kind string, ord int, part binary, payload binary, sound boolean, rewritten binary, rewriting string, error string"
+PARSERS: dict[str, Callable[[bytes], Iterator[Part]]] = {PNG: png, GIF: gif, WEBP: webp, JPEG: jpeg.jpeg}
+SCHEMA = "file_id long, kind string, ord int, part binary, payload binary, sound boolean, rewritten binary, rewriting string, note string, error string"
 
 
 def parts(files: DataFrame) -> DataFrame:
@@ -210,11 +211,11 @@ def parts(files: DataFrame) -> DataFrame:
                 rows, kind = [], kind.as_py()
                 try:
                     for n, part in enumerate(PARSERS[kind](content.as_py())):
-                        rows.append((n, *part, None))
-                except Refused as refused:
-                    rows.append((len(rows), b"", b"", False, None, None, refused.key))
+                        rows.append((n, *part, *[None] * (7 - len(part))))
+                except (Refused, jpeg.Broken) as refused:
+                    rows.append((len(rows), b"", b"", False, None, None, None, refused.key))
                 columns = list(zip(*rows, strict=True))
-                kinds = [pa.int32(), pa.binary(), pa.binary(), pa.bool_(), pa.binary(), pa.string(), pa.string()]
+                kinds = [pa.int32(), pa.binary(), pa.binary(), pa.bool_(), pa.binary(), pa.string(), pa.string(), pa.string()]
                 head = [pa.array([file_id.as_py()] * len(rows), pa.int64()), pa.array([kind] * len(rows), pa.string())]
                 yield pa.RecordBatch.from_arrays([*head, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], [f.split()[0] for f in SCHEMA.split(", ")])
 

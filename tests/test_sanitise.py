@@ -5,9 +5,9 @@ import struct
 
 import pytest
 
-from tessera.functions import icc
+from tessera.functions import exif, icc
 from tessera.plans import sanitise
-from tessera.sources import fixtures, parts, publish
+from tessera.sources import fixtures, jpeg, parts, publish
 
 
 @pytest.fixture(scope="module")
@@ -38,6 +38,28 @@ def test_frames_are_numbered_from_zero(outcomes):
     assert numbers == list(range(5))
 
 
+def test_dead_coding_tables_are_gone(outcomes):
+    (result,) = (bytes(r.result) for (name, *_), r in outcomes if name == "jpeg.dead_tables")
+    tables = [b for code, b, *_ in jpeg.jpeg(result) if code in (b"DB", b"C4", b"DRI")]
+    assert len(tables) == 4 and not any(bytes([v]) * 64 in result for v in (0x53, 0x45)) and b"\0\7" not in result
+
+
+def test_tables_of_one_segment_stay_together():
+    one, two = fixtures.jpeg_table(0xC4, 0x00, 2)[4:], fixtures.jpeg_table(0xC4, 0x10, 3)[4:]
+    n = (5).to_bytes(4, "big")
+    assert jpeg.join([(b"C4", n + one), (b"C4", n + two), (b"EOI", b"\xff\xd9")]) == fixtures.jpeg_segment(0xC4, one + two) + b"\xff\xd9"
+
+
+def test_display_fields_round_trip():
+    fields = {"turn": 6, "resolution": ((72, 1), (300, 4), 2), "space": 65535, "index": b"R03"}
+    assert exif.display(exif.build(fields)) == fields and exif.display(b"Exif\0\0" + exif.build(fields)) == fields
+    for empty in (b"", b"II*\0", b"MM\0*\0\0\0\x08\xff\xff", bytes(40)):
+        assert exif.build(exif.display(empty)) == b""
+    only = {"turn": None, "resolution": None, "space": None, "index": b"R98"}
+    assert exif.display(exif.build(only)) == only
+    assert exif.display(exif.minimal(8))["turn"] == 8 and exif.minimal(1) is None
+
+
 def test_truncations_never_raise(spark):
     rows = []
     for n, (_, content, *_) in enumerate(fixtures.cases()):
