@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.sources import jpeg
-from tessera.sources.parts import GIF, JPEG, LOOPS, PARSERS, PNG, PROFILE, WEBP, Refused, parts, riff_chunk, shown_image
+from tessera.sources import jpeg, tiff
+from tessera.sources.parts import GIF, JPEG, LOOPS, PARSERS, PNG, PROFILE, TIFF, WEBP, Refused, parts, riff_chunk, shown_image
 
 # Parts that a clean copy may hold. (format, part, sizes or none for any, once, only before image data)
 POLICY = [
@@ -29,10 +29,11 @@ POLICY = [
     (JPEG, b"SOI", None, False, False), (JPEG, b"EOI", None, False, False), (JPEG, b"DB", None, False, False), (JPEG, b"C4", None, False, False),
     (JPEG, b"DRI", None, False, False), (JPEG, b"SOS", None, False, False), (JPEG, b"coding", None, False, False), (JPEG, b"DNL", None, False, False),
     (JPEG, b"JFIF", None, True, False), (JPEG, b"Exif", None, True, False), (JPEG, b"ICC", None, False, False), (JPEG, b"Adobe", None, True, False),
+    (TIFF, b"head", [2], False, False), (TIFF, b"block", None, False, False), *((TIFF, b"tag%d" % tag, None, False, False) for tag in tiff.KEPT),
     (GIF, b"header", None, False, False), (GIF, b"image", None, False, False), (GIF, b"control", None, False, False), (GIF, b"trailer", None, False, False),
     *((GIF, name, None, True, False) for name in LOOPS), (GIF, PROFILE, None, True, False),
 ]
-REWRITTEN = {b"eXIf", b"EXIF", b"ANMF", b"image", b"control", b"iCCP", b"ICCP", PROFILE, *LOOPS, b"DNL", b"JFIF", b"Exif", b"ICC", b"Adobe", b"coding", b"DRI", b"SOS"}
+REWRITTEN = {b"eXIf", b"EXIF", b"ANMF", b"image", b"control", b"iCCP", b"ICCP", PROFILE, *LOOPS, b"DNL", b"JFIF", b"Exif", b"ICC", b"Adobe", b"coding", b"DRI", b"SOS", b"tag34675"}
 MAX_DROPPED, MEGAPIXELS, ANIMATION_MEGAPIXELS, FRAME = 1024, 268, 64, 1 << 16
 
 
@@ -216,7 +217,7 @@ def finish_gif(own: list[tuple[bytes, bytes]]) -> bytes:
     return b"".join(body for _, body in own)
 
 
-FINISH = {PNG: finish_png, WEBP: finish_webp, GIF: finish_gif, JPEG: jpeg.join}
+FINISH = {PNG: finish_png, WEBP: finish_webp, GIF: finish_gif, JPEG: jpeg.join, TIFF: tiff.join}
 _RESULT = "file_id long, kind string, result binary, refusal string"
 
 

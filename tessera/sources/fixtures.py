@@ -94,6 +94,33 @@ def jpeg(*head: bytes, middle: tuple[bytes, ...] = (), scan: bytes = b"\x12\xff\
     return b"\xff\xd8" + b"".join(head) + coding + b"".join(middle) + jpeg_segment(0xDA, b"\1\1\0" + scan_tail) + scan + tail + b"\xff\xd9"
 
 
+def tiff_file(*extra: tuple[int, int, bytes], order: str = "<", pages: int = 1, block: bytes = bytes(6), strips: int = 1, tail: bytes = b"", loop: bool = False) -> bytes:
+    """Gray pages of 3 by 2 pixels in strips, with more tags of (number, type, value)."""
+    out, link = bytearray((b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 0)), 4
+    first = None
+    for _ in range(pages):
+        at = len(out)
+        out += block + bytes(len(block) % 2)
+        h = lambda v: struct.pack(order + "H", v)
+        tags = {256: (3, h(3)), 257: (3, h(2)), 258: (3, h(8)), 259: (3, h(1)), 262: (3, h(1)), 277: (3, h(1)), 278: (3, h(2 // strips))}
+        tags[273] = (4, struct.pack(f"{order}{strips}I", *(at + n * (len(block) // strips) for n in range(strips))))
+        tags[279] = (4, struct.pack(f"{order}{strips}I", *[len(block) // strips] * strips))
+        tags |= {n: (kind, body) for n, kind, body in extra}
+        struct.pack_into(order + "I", out, link, len(out))
+        first = first or len(out)
+        link = len(out) + 2 + 12 * len(tags)
+        table, behind = h(len(tags)), b""
+        sizes = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1}
+        for n, (kind, body) in sorted(tags.items()):
+            table += struct.pack(order + "HHI", n, kind, len(body) // sizes[kind])
+            table += struct.pack(order + "I", link + 4 + len(behind)) if len(body) > 4 else body.ljust(4, b"\0")
+            behind += body if len(body) > 4 else b""
+        out += table + bytes(4) + behind + bytes(len(behind) % 2)
+    if loop:
+        struct.pack_into(order + "I", out, link, first)
+    return bytes(out) + tail
+
+
 def cases() -> list[tuple[str, bytes, str, str | None, list[bytes]]]:
     """(name, content, expected status, expected key, byte strings that must survive)."""
     text, private, gama = png_chunk(b"tEXt", b"Comment\0" + SECRET), png_chunk(b"prVt", SECRET), png_chunk(b"gAMA", b"\0\0\xb1\x8f")
@@ -156,6 +183,21 @@ def cases() -> list[tuple[str, bytes, str, str | None, list[bytes]]]:
         ("jpeg.unknown_marker", jpeg(jpeg_segment(0xF3, SECRET)), "refused", "unsupported_part", []),
         ("jpeg.no_end", jpeg()[:-2], "refused", "damaged", []),
         ("jpeg.much_fill", jpeg(b"\xff" * 2000), "refused", "damaged", []),
+        ("tiff.plain", tiff_file(), "cleaned", None, []),
+        ("tiff.big_endian_pages", tiff_file(order=">", pages=3, tail=SECRET), "cleaned", None, []),
+        ("tiff.private_tags", tiff_file((270, 2, SECRET), (305, 2, SECRET), (65000, 7, SECRET), (274, 3, b"\6\0"), (320, 3, SECRET + b"xx"), (347, 7, SECRET)), "refused", "damaged", []),
+        ("tiff.texts", tiff_file((270, 2, SECRET), (305, 2, SECRET), (65000, 7, SECRET), (274, 3, b"\6\0"), (347, 7, SECRET)), "cleaned", None, []),
+        ("tiff.strips", tiff_file(strips=2), "cleaned", None, []),
+        ("tiff.extra_data", tiff_file(block=bytes(6) + SECRET), "refused", "extra_image_data", []),
+        ("tiff.short_data", tiff_file(block=bytes(5)), "refused", "damaged", []),
+        ("tiff.profile", tiff_file((34675, 7, profile())), "cleaned", None, []),
+        ("tiff.profile_broken", tiff_file((34675, 7, SECRET)), "refused", "unsupported_profile", []),
+        ("tiff.raw", tiff_file((50706, 1, b"\1\4\0\0")), "refused", "raw_photo", []),
+        ("tiff.old_jpeg", tiff_file((259, 3, b"\6\0")), "refused", "unsupported_variant", []),
+        ("tiff.wrong_count", tiff_file((274, 3, b"\6\0\6\0")), "refused", "damaged", []),
+        ("tiff.loop", tiff_file(loop=True), "refused", "damaged", []),
+        ("tiff.big", b"II+\0" + bytes(30), "refused", "unsupported_variant", []),
+        ("tiff.truncated", tiff_file()[:-9], "refused", "damaged", []),
         ("other.text", SECRET * 3, "refused", "unsupported_format", []),
     ]
 

@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import exif, icc
-from tessera.sources import jpeg
+from tessera.sources import jpeg, tiff
 
-PNG, APNG, GIF, WEBP, JPEG = "PNG", "APNG", "GIF", "WEBP", "JPEG"
+PNG, APNG, GIF, WEBP, JPEG, TIFF = "PNG", "APNG", "GIF", "WEBP", "JPEG", "TIFF"
 Part = tuple[bytes, bytes, bool, bytes | None, str | None]
 
 
@@ -31,7 +31,7 @@ class Refused(Exception):
 
 
 # Signatures of the formats by offset, the first that fits decides.
-SIGNATURES = [(1, b"\x89PNG\r\n\x1a\n", PNG), (1, b"GIF87a", GIF), (1, b"GIF89a", GIF), (1, b"\xff\xd8\xff", JPEG), (1, b"II*\0", "TIFF"), (1, b"MM\0*", "TIFF"), (1, b"BM", "BMP")]
+SIGNATURES = [(1, b"\x89PNG\r\n\x1a\n", PNG), (1, b"GIF87a", GIF), (1, b"GIF89a", GIF), (1, b"\xff\xd8\xff", JPEG), (1, b"II*\0", TIFF), (1, b"MM\0*", TIFF), (1, b"II+\0", TIFF), (1, b"MM\0+", TIFF), (1, b"BM", "BMP")]
 
 
 def kind_of(content: Column) -> Column:
@@ -198,7 +198,7 @@ def gif(data: bytes) -> Iterator[Part]:
     yield b"trailer", b"\x3b", True, None, None
 
 
-PARSERS: dict[str, Callable[[bytes], Iterator[Part]]] = {PNG: png, GIF: gif, WEBP: webp, JPEG: jpeg.jpeg}
+PARSERS: dict[str, Callable[[bytes], Iterator[Part]]] = {PNG: png, GIF: gif, WEBP: webp, JPEG: jpeg.jpeg, TIFF: tiff.tiff}
 SCHEMA = "file_id long, kind string, ord int, part binary, payload binary, sound boolean, rewritten binary, rewriting string, note string, error string"
 
 
