@@ -35,6 +35,10 @@ def tiff_clean(spark: SparkSession, d: str) -> DataFrame:
     return _clean(spark, (parts.TIFF,))
 
 
+def bmp_to_png(spark: SparkSession, d: str) -> DataFrame:
+    return _clean(spark, (parts.BMP,))
+
+
 def media_parts(spark: SparkSession, d: str) -> DataFrame:
     table = sanitise.decided(parts.parts(fixtures.files(spark)))
     return table.groupBy("kind", F.decode("part", F.lit("ISO-8859-1")).alias("part"), "keep", "refusal").agg(F.count(F.lit(1)).alias("n"))
@@ -44,4 +48,4 @@ def media_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return publish.summary(sanitise.clean(fixtures.files(spark)))
 
 
-QUERIES = {f.__name__: f for f in (png_clean, gif_clean, webp_clean, jpeg_clean, tiff_clean, media_parts, media_outcomes)}
+QUERIES = {f.__name__: f for f in (png_clean, gif_clean, webp_clean, jpeg_clean, tiff_clean, bmp_to_png, media_parts, media_outcomes)}

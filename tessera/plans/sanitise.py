@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.sources import jpeg, tiff
-from tessera.sources.parts import GIF, JPEG, LOOPS, PARSERS, PNG, PROFILE, TIFF, WEBP, Refused, parts, riff_chunk, shown_image
+from tessera.sources.parts import BMP, GIF, JPEG, LOOPS, PARSERS, PNG, PROFILE, TIFF, WEBP, Refused, parts, riff_chunk, shown_image
 
 # Parts that a clean copy may hold. (format, part, sizes or none for any, once, only before image data)
 POLICY = [
@@ -248,7 +248,7 @@ def rebuilt(files: DataFrame) -> DataFrame:
 
 
 def clean(files: DataFrame) -> DataFrame:
-    """Outcomes of ``files`` (``file_id, kind, content``): ``file_id, kind, status, error_key, result``.
+    """Outcomes of ``files`` (``file_id, kind, content``): ``file_id, kind, status, error_key, result``, the kind being the result's.
 
     A result counts only if cleaning it again yields the same bytes and every part of it is allowed; else the file is
     refused as ``verification_failed``. Files without content are ``not_a_file``, unknown kinds ``unsupported_format``.
@@ -258,6 +258,6 @@ def clean(files: DataFrame) -> DataFrame:
     checked = first.join(again.select("file_id", F.sha2("result", 256).alias("digest")), "file_id", "left")
     proven = checked.withColumn("proven", F.coalesce(F.sha2("result", 256) == F.col("digest"), F.lit(False))).drop("digest")
     outcome = files.select("file_id", F.col("kind").alias("file_kind"), F.col("content").isNull().alias("missing")).join(proven, "file_id", "left")
-    key = F.when(F.col("missing"), "not_a_file").when(F.col("file_kind").isNull() | ~F.col("file_kind").isin(*PARSERS), "unsupported_format")
+    key = F.when(F.col("missing"), "not_a_file").when(F.col("file_kind").isNull() | ~F.col("file_kind").isin(BMP, *PARSERS), "unsupported_format")
     key = key.when(F.col("refusal").isNotNull(), F.col("refusal")).when(~F.coalesce("proven", F.lit(False)), "verification_failed")
-    return outcome.select("file_id", F.col("file_kind").alias("kind"), F.when(key.isNull(), "cleaned").otherwise("refused").alias("status"), key.alias("error_key"), F.when(key.isNull(), F.col("result")).alias("result"))
+    return outcome.select("file_id", F.coalesce("kind", "file_kind").alias("kind"), F.when(key.isNull(), "cleaned").otherwise("refused").alias("status"), key.alias("error_key"), F.when(key.isNull(), F.col("result")).alias("result"))

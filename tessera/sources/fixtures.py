@@ -121,6 +121,13 @@ def tiff_file(*extra: tuple[int, int, bytes], order: str = "<", pages: int = 1,
     return bytes(out) + tail
 
 
+def bmp(depth: int, rows: bytes, palette: bytes = b"", method: int = 0, width: int = 3, height: int = 2, header: int = 40, more: bytes = b"", tail: bytes = SECRET) -> bytes:
+    """A BMP whose rows are given as stored."""
+    info = struct.pack("<IiiHHIIiiII", header, width, height, 1, depth, method, len(rows), 2835, 2835, len(palette) // 4, 0) + more
+    offset = 14 + len(info) + len(palette)
+    return b"BM" + struct.pack("<IHHI", offset + len(rows), 0x5345, 0x4352, offset) + info + palette + rows + tail
+
+
 def cases() -> list[tuple[str, bytes, str, str | None, list[bytes]]]:
     """(name, content, expected status, expected key, byte strings that must survive)."""
     text, private, gama = png_chunk(b"tEXt", b"Comment\0" + SECRET), png_chunk(b"prVt", SECRET), png_chunk(b"gAMA", b"\0\0\xb1\x8f")
@@ -198,6 +205,13 @@ def cases() -> list[tuple[str, bytes, str, str | None, list[bytes]]]:
         ("tiff.loop", tiff_file(loop=True), "refused", "damaged", []),
         ("tiff.big", b"II+\0" + bytes(30), "refused", "unsupported_variant", []),
         ("tiff.truncated", tiff_file()[:-9], "refused", "damaged", []),
+        ("bmp.rgb", bmp(24, bytes(range(9)) + b"abc" + bytes(range(9)) + b"xyz"), "cleaned", None, [b"pHYs"]),
+        ("bmp.palette", bmp(8, b"\0\1\1z\1\0\0z", palette=bytes(range(8))), "cleaned", None, [b"\2\1\0\6\5\4"]),
+        ("bmp.run_lengths", bmp(8, b"\2\1\1\0\0\0\0\3\1\0\1\0\0\1", palette=bytes(range(8)), method=1), "cleaned", None, [b"PLTE"]),
+        ("bmp.fields", bmp(32, bytes(24), method=3, more=struct.pack("<III", 0xFF0000, 0xFF00, 0xFF) + bytes(4)), "cleaned", None, []),
+        ("bmp.four_bit_runs", bmp(4, bytes(8), palette=bytes(64), method=2), "refused", "unsupported_variant", []),
+        ("bmp.index_out_of_range", bmp(8, b"\0\7\1z\1\0\0z", palette=bytes(8)), "refused", "damaged", []),
+        ("bmp.truncated", bmp(24, bytes(12), tail=b""), "refused", "damaged", []),
         ("other.text", SECRET * 3, "refused", "unsupported_format", []),
     ]
 

@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import exif, icc
-from tessera.sources import jpeg, tiff
+from tessera.sources import bmp, jpeg, tiff
 
-PNG, APNG, GIF, WEBP, JPEG, TIFF = "PNG", "APNG", "GIF", "WEBP", "JPEG", "TIFF"
+PNG, APNG, GIF, WEBP, JPEG, TIFF, BMP = "PNG", "APNG", "GIF", "WEBP", "JPEG", "TIFF", "BMP"
 Part = tuple[bytes, bytes, bool, bytes | None, str | None]
 
 
@@ -31,7 +31,7 @@ class Refused(Exception):
 
 
 # Signatures of the formats by offset, the first that fits decides.
-SIGNATURES = [(1, b"\x89PNG\r\n\x1a\n", PNG), (1, b"GIF87a", GIF), (1, b"GIF89a", GIF), (1, b"\xff\xd8\xff", JPEG), (1, b"II*\0", TIFF), (1, b"MM\0*", TIFF), (1, b"II+\0", TIFF), (1, b"MM\0+", TIFF), (1, b"BM", "BMP")]
+SIGNATURES = [(1, b"\x89PNG\r\n\x1a\n", PNG), (1, b"GIF87a", GIF), (1, b"GIF89a", GIF), (1, b"\xff\xd8\xff", JPEG), (1, b"II*\0", TIFF), (1, b"MM\0*", TIFF), (1, b"II+\0", TIFF), (1, b"MM\0+", TIFF), (1, b"BM", BMP)]
 
 
 def kind_of(content: Column) -> Column:
@@ -208,9 +208,11 @@ def parts(files: DataFrame) -> DataFrame:
     def walk(batches):
         for batch in batches:
             for file_id, kind, content in zip(*(batch.column(c) for c in ("file_id", "kind", "content")), strict=True):
-                rows, kind = [], kind.as_py()
+                rows, kind, data = [], kind.as_py(), content.as_py()
                 try:
-                    for n, part in enumerate(PARSERS[kind](content.as_py())):
+                    if kind == BMP:  # saved as a PNG, which is then cleaned
+                        kind, data = PNG, bmp.as_png(data)
+                    for n, part in enumerate(PARSERS[kind](data)):
                         rows.append((n, *part, *[None] * (7 - len(part))))
                 except (Refused, jpeg.Broken) as refused:
                     rows.append((len(rows), b"", b"", False, None, None, None, refused.key))
@@ -219,7 +221,7 @@ def parts(files: DataFrame) -> DataFrame:
                 head = [pa.array([file_id.as_py()] * len(rows), pa.int64()), pa.array([kind] * len(rows), pa.string())]
                 yield pa.RecordBatch.from_arrays([*head, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], [f.split()[0] for f in SCHEMA.split(", ")])
 
-    return files.filter(F.col("kind").isin(*PARSERS)).select("file_id", "kind", "content").mapInArrow(walk, SCHEMA)
+    return files.filter(F.col("kind").isin(BMP, *PARSERS)).select("file_id", "kind", "content").mapInArrow(walk, SCHEMA)
 
 
 def load(spark, paths: list[str]) -> DataFrame:

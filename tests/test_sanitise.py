@@ -2,12 +2,13 @@
 
 import os
 import struct
+import zlib
 
 import pytest
 
 from tessera.functions import exif, icc
 from tessera.plans import sanitise
-from tessera.sources import fixtures, jpeg, parts, publish
+from tessera.sources import bmp, fixtures, jpeg, parts, publish
 
 
 @pytest.fixture(scope="module")
@@ -105,3 +106,16 @@ def test_profiles():
             icc.clean_profile(fixtures.profile(bad))
     with pytest.raises(icc.BadProfile):
         icc.clean_profile(fixtures.profile(room=0)[:-4] + b"")
+
+
+def test_bitmap_pixels():
+    def pixels(data):
+        return zlib.decompress(b"".join(body for code, body, *_ in parts.png(bmp.as_png(data)) if code == b"IDAT"))
+
+    rows = bytes(range(9)) + b"..." + bytes(range(9, 18)) + b"..."  # blue, green, red; the lowest row first
+    assert pixels(fixtures.bmp(24, rows)) == b"\0" + bytes([11, 10, 9, 14, 13, 12, 17, 16, 15]) + b"\0" + bytes([2, 1, 0, 5, 4, 3, 8, 7, 6])
+    assert pixels(fixtures.bmp(1, b"\xa0...\x40...", palette=bytes(8))) == b"\0\0\1\0" + b"\0\1\0\1"
+    assert pixels(fixtures.bmp(4, b"\x12\x30..\x01\x20..", palette=bytes(64))) == b"\0\0\1\2" + b"\0\1\2\3"
+    runs = b"\2\1\1\0\0\0\0\3\1\0\1\0\0\1"
+    assert pixels(fixtures.bmp(8, runs, palette=bytes(8), method=1)) == b"\0\1\0\1" + b"\0\1\1\0"
+    assert pixels(fixtures.bmp(16, b"\x00\x7c\xe0\x03\x1f\x00zz" * 2)) == (b"\0" + bytes([255, 0, 0, 0, 255, 0, 0, 0, 255])) * 2
