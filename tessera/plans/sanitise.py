@@ -28,12 +28,12 @@ POLICY = [
     (WEBP, b"ANIM", [6], True, False), (WEBP, b"ANMF", None, False, False), (WEBP, b"ICCP", None, True, False), (WEBP, b"EXIF", None, True, False),
     (JPEG, b"SOI", None, False, False), (JPEG, b"EOI", None, False, False), (JPEG, b"DB", None, False, False), (JPEG, b"C4", None, False, False),
     (JPEG, b"DRI", None, False, False), (JPEG, b"SOS", None, False, False), (JPEG, b"coding", None, False, False), (JPEG, b"DNL", None, False, False),
-    (JPEG, b"JFIF", None, True, False), (JPEG, b"Exif", None, True, False), (JPEG, b"ICC", None, False, False), (JPEG, b"Adobe", None, True, False),
+    (JPEG, b"JFIF", None, True, False), (JPEG, b"Exif", None, True, False), (JPEG, b"XMP", None, True, False), (JPEG, b"ICC", None, False, False), (JPEG, b"Adobe", None, True, False),
     (TIFF, b"head", [2], False, False), (TIFF, b"block", None, False, False), *((TIFF, b"tag%d" % tag, None, False, False) for tag in tiff.KEPT),
     (GIF, b"header", None, False, False), (GIF, b"image", None, False, False), (GIF, b"control", None, False, False), (GIF, b"trailer", None, False, False),
     *((GIF, name, None, True, False) for name in LOOPS), (GIF, PROFILE, None, True, False),
 ]
-REWRITTEN = {b"eXIf", b"EXIF", b"ANMF", b"image", b"control", b"iCCP", b"ICCP", PROFILE, *LOOPS, b"DNL", b"JFIF", b"Exif", b"ICC", b"Adobe", b"coding", b"DRI", b"SOS", b"tag34675"}
+REWRITTEN = {b"eXIf", b"EXIF", b"ANMF", b"image", b"control", b"iCCP", b"ICCP", PROFILE, *LOOPS, b"DNL", b"JFIF", b"Exif", b"ICC", b"Adobe", b"coding", b"DRI", b"SOS", b"XMP", b"tag34675"}
 MAX_DROPPED, MEGAPIXELS, ANIMATION_MEGAPIXELS, FRAME = 1024, 268, 64, 1 << 16
 
 
@@ -58,7 +58,7 @@ def decided(table: DataFrame) -> DataFrame:
     known = F.col("known")
     image_at = F.min(F.when((F.col("kind") == PNG) & (code == "IDAT"), F.col("ord"))).over(by)
     color = F.max(F.when((code == "IHDR") & (F.col("ord") == 0), F.conv(F.hex(F.substring("payload", 10, 1)), 16, 10).cast("int"))).over(by)
-    usable = known & (~F.col("is_rewritten") | F.col("rewritten").isNotNull() | code.isin("eXIf", "EXIF", "Exif") | F.col("rewriting").isNotNull())
+    usable = known & (~F.col("is_rewritten") | F.col("rewritten").isNotNull() | code.isin("eXIf", "EXIF", "Exif", "XMP") | F.col("rewriting").isNotNull())
     late = F.coalesce(F.col("early") & (image_at < F.col("ord")), F.lit(False))
     again = F.coalesce(F.col("once"), F.lit(False)) & (F.sum(F.when(usable, 1).otherwise(0)).over(Window.partitionBy("file_id", "part").orderBy("ord")) > 1)
     flagged = joined.withColumns({"image_at": image_at, "color": color, "late": late, "again": again, "usable": usable})

@@ -128,6 +128,9 @@ def bmp(depth: int, rows: bytes, palette: bytes = b"", method: int = 0, width: i
     return b"BM" + struct.pack("<IHHI", offset + len(rows), 0x5345, 0x4352, offset) + info + palette + rows + tail
 
 
+XMP = b'<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description xmlns:hdrgm="http://ns.adobe.com/hdr-gain-map/1.0/" xmlns:dc="http://purl.org/dc/elements/1.1/" dc:creator="%s" hdrgm:Gamma="2.50"/></rdf:RDF></x:xmpmeta>' % SECRET
+
+
 def cases() -> list[tuple[str, bytes, str, str | None, list[bytes]]]:
     """(name, content, expected status, expected key, byte strings that must survive)."""
     text, private, gama = png_chunk(b"tEXt", b"Comment\0" + SECRET), png_chunk(b"prVt", SECRET), png_chunk(b"gAMA", b"\0\0\xb1\x8f")
@@ -179,6 +182,7 @@ def cases() -> list[tuple[str, bytes, str, str | None, list[bytes]]]:
         ("jpeg.plain", jpeg(), "cleaned", None, []),
         ("jpeg.private_segments", jpeg(jpeg_segment(0xE0, b"JFIF\0\1\2\1\0\x48\0\x48\1\1" + SECRET[:3]), jpeg_segment(0xED, SECRET), jpeg_segment(0xFE, SECRET), jpeg_segment(0xE1, b"http://ns.adobe.com/xap/1.0/\0" + SECRET), jpeg_segment(0xEE, b"Adobe\0\x64\0\0\0\0\0")) + SECRET, "cleaned", None, [b"JFIF\0\1\2\1\0\x48\0\x48\0\0", b"Adobe\0\x64"]),
         ("jpeg.orientation", jpeg(jpeg_segment(0xE1, b"Exif\0\0" + tiff(6)), jpeg_segment(0xE1, b"Exif\0\0" + tiff(3))), "cleaned", None, [b"Exif\0\0MM\0*"]),
+        ("jpeg.rendering_fields", jpeg(jpeg_segment(0xE1, b"http://ns.adobe.com/xap/1.0/\0" + XMP), jpeg_segment(0xE1, b"http://ns.adobe.com/xap/1.0/\0" + XMP.replace(b"2.50", b"3.0"))), "cleaned", None, [b'hdrgm:Gamma="2.5"']),
         ("jpeg.dead_tables", jpeg(jpeg_table(0xDB, 0, 0x53), jpeg_table(0xDB, 1, 0x45), middle=(jpeg_segment(0xDD, b"\0\7"), jpeg_segment(0xDD, b"\0\5"), jpeg_table(0xC4, 0x13, 0x46))), "cleaned", None, [jpeg_table(0xDB, 0, 1), jpeg_segment(0xDD, b"\0\5"), jpeg_table(0xC4, 0x10, 3)]),
         ("jpeg.fill_bytes", jpeg(b"\xff" * 9, scan=b"\1\xff\xff\xd0\2", scan_tail=SECRET[:3]), "cleaned", None, [b"\1\xff\xd0\2", b"\1\1\0\0\x3f\0"]),
         ("jpeg.profile", jpeg(jpeg_segment(0xE2, b"ICC_PROFILE\0\2\2" + profile()[300:]), jpeg_segment(0xE2, b"ICC_PROFILE\0\1\2" + profile()[:300])), "cleaned", None, [b"ICC_PROFILE\0\1\2"]),

@@ -2,7 +2,7 @@
 
 A table part's note is the slot it fills; a scan's note lists the slots it reads when it starts. Which definitions are
 alive is decided outside, as the last one of a slot before a scan that reads it. Images that come with others
-(multi-picture index) or with gain-map data are refused for now, and XMP is dropped.
+(multi-picture index) or with gain-map data are refused for now; of XMP the fields that rendering reads stay.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import re
 import struct
 from collections.abc import Iterator
 
-from tessera.functions import exif, icc
+from tessera.functions import exif, hdr, icc
 
 # Marker codes by role, and limits on what a real file holds.
 FRAMES = {*range(0xC0, 0xD0)} - {0xC4, 0xC8, 0xCC}
@@ -19,7 +19,7 @@ READABLE = {0xC0, 0xC1, 0xC2}
 DHT, DAC, DQT, DRI, DNL, SOS, EOI, COM = 0xC4, 0xCC, 0xDB, 0xDD, 0xDC, 0xDA, 0xD9, 0xFE
 ALONE = {0x01, *range(0xD0, 0xD8)}
 MOST_SEGMENTS, MOST_FILL = 1 << 16, 1024
-_EXIF, _ICC, _MPF = b"Exif\0\0", b"ICC_PROFILE\0", b"MPF\0"
+_EXIF, _ICC, _MPF, _XMP = b"Exif\0\0", b"ICC_PROFILE\0", b"MPF\0", b"http://ns.adobe.com/xap/1.0/\0"
 _GAIN = (b"urn:iso:std:iso:ts:21496:-1\0", b"AROT\0\0")
 _SCAN_STOP = re.compile(rb"\xff+[^\xff\x00\xd0-\xd7]")
 _FILL = re.compile(rb"\xff{2,}")
@@ -178,6 +178,12 @@ def jpeg(data: bytes) -> Iterator[tuple[bytes, bytes, bool, bytes | None, str |
         elif marker == 0xE1 and body.startswith(_EXIF):
             block = exif.build(exif.display(body))
             name, kept = b"Exif", segment(marker, _EXIF + block) if block else None
+        elif marker == 0xE1 and body.startswith(_XMP):
+            try:
+                packet = hdr.packet(hdr.rendering_fields(body[len(_XMP) :]))
+            except hdr.BadPacket:
+                packet = b""
+            name, kept = b"XMP", segment(marker, _XMP + packet) if packet else None
         elif marker == 0xE2 and body.startswith(_ICC):
             name, kept = b"ICC", segment(marker, next(profile))
         elif marker in (0xE2, 0xEA) and body.startswith((_MPF, *_GAIN)):

@@ -6,7 +6,7 @@ import zlib
 
 import pytest
 
-from tessera.functions import exif, icc
+from tessera.functions import exif, icc, messages
 from tessera.plans import sanitise
 from tessera.sources import bmp, fixtures, jpeg, parts, publish
 
@@ -119,3 +119,10 @@ def test_bitmap_pixels():
     runs = b"\2\1\1\0\0\0\0\3\1\0\1\0\0\1"
     assert pixels(fixtures.bmp(8, runs, palette=bytes(8), method=1)) == b"\0\1\0\1" + b"\0\1\1\0"
     assert pixels(fixtures.bmp(16, b"\x00\x7c\xe0\x03\x1f\x00zz" * 2)) == (b"\0" + bytes([255, 0, 0, 0, 255, 0, 0, 0, 255])) * 2
+
+
+def test_every_refusal_has_a_text(spark, outcomes):
+    rows = [(r.kind, r.error_key) for _, r in outcomes]
+    table = messages.with_texts(spark.createDataFrame(rows, "kind string, error_key string"))
+    assert table.count() == len(rows)
+    assert table.filter("(error_key IS NULL) <> (message IS NULL) OR message LIKE '%{%'").isEmpty()
