@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.plans import sanitise
-from tessera.sources import fixtures, parts, publish
+from tessera.sources import fixtures, fuzz, parts, publish
 
 
 def _clean(spark: SparkSession, kinds: tuple[str, ...]) -> DataFrame:
@@ -48,4 +48,8 @@ def media_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return publish.summary(sanitise.clean(fixtures.files(spark)))
 
 
-QUERIES = {f.__name__: f for f in (png_clean, gif_clean, webp_clean, jpeg_clean, tiff_clean, bmp_to_png, media_parts, media_outcomes)}
+def damaged_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return publish.summary(sanitise.clean(fuzz.files(spark, 1000)))
+
+
+QUERIES = {f.__name__: f for f in (png_clean, gif_clean, webp_clean, jpeg_clean, tiff_clean, bmp_to_png, media_parts, media_outcomes, damaged_outcomes)}
