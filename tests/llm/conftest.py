@@ -1,9 +1,13 @@
 """A small corpus with nulls, empty and long texts, ties, repeated rows and clashing column names."""
 
+import os
 import random
+import sys
 
 import pytest
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, key string, n long, ids string, shard long, state string"
 
 

@@ -2,8 +2,6 @@
 
 import hashlib
 import re
-import string
-import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -11,24 +9,14 @@ import pytest
 
 from tessera.llm import decontaminate, exact_dedup, packing, secrets, token_files
 from tessera.llm.rangecoder import compress, decompress
-from tessera.llm.tokens import Encoder, default_tokenizer
-
-LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+from tessera.llm.tokens import default_tokenizer
+from tests_llm_help import LOWER, brute_hits, check_pieces, crc, library_ids
 
 
 def tuples(df, *columns):
     return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
 
 
-def library_ids(texts, end_id):
-    library = Encoder.shared(default_tokenizer()).library
-    return [library.encode(t or "", add_special_tokens=False).ids + [end_id] for t in texts]
-
-
-def crc(ids):
-    return zlib.crc32(np.array(ids, "<u4").tobytes())
-
-
 def test_exact_dedup(docs, no_docs, rows):
     groups = defaultdict(list)
     for r in rows:
@@ -90,25 +78,6 @@ def test_token_records_across_blocks(monkeypatch):
         list(token_files.records(record[:40] + bytes([record[40] ^ 1]) + record[41:]))
 
 
-def check_pieces(pieces, rows, end_id, window):
-    ids = defaultdict(list)
-    for r, i in zip(rows, library_ids([r[1] for r in rows], end_id), strict=True):
-        ids[r[0]].append(i)
-    sequences, cover = defaultdict(list), defaultdict(Counter)
-    for p in pieces:
-        assert any(p.ids_crc32 == crc(i[p.start : p.start + p.length]) and p.doc_tokens == len(i) for i in ids[p.doc_id])
-        sequences[p.sequence_id].append((p.offset, p.length))
-        cover[p.doc_id].update(range(p.start, p.start + p.length))
-    for key, own in ids.items():
-        assert cover[key] == sum((Counter(range(len(i))) for i in own), Counter())
-    for parts in sequences.values():
-        at = 0
-        for offset, length in sorted(parts):
-            assert offset == at and length > 0
-            at += length
-        assert at == window or at < window and at & (at - 1) == 0
-
-
 def test_packing(docs, no_docs, rows):
     check_pieces(packing.pack(docs, default_tokenizer(), 2, window=256).collect(), rows, 2, 256)
     assert packing.pack(no_docs, default_tokenizer(), 2).count() == 0
@@ -124,20 +93,6 @@ def test_packing_prefers_lexical_neighbours():
     assert [d for d, *_ in first] == [0, 2]
 
 
-def brute_hits(text, items, window):
-    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
-    words, hit, met = split(text), set(), set()
-    for name, body in items:
-        own = split(body)
-        size = min(window, len(own))
-        for k in range(len(own) - size + 1) if own else ():
-            for at in range(len(words) - size + 1):
-                if words[at : at + size] == own[k : k + size]:
-                    hit.update(range(at, at + size))
-                    met.add(str(name))
-    return len(words), len(hit), len(met), hashlib.sha256(",".join(sorted(met)).encode()).hexdigest(), bool(hit)
-
-
 def items():
     p = [f"w{k}" for k in range(30)]
     return [(0, " ".join(p)), (10, " ".join(p[5:20]) + " X Y"), (2, "one two"), (3, "ONE"), (4, ""), (5, None), (6, "the the the the the the the the the the the"), (7, "nothing here at all"), (None, "one"), (2, "one two"), (11, "Alpha--beta")]

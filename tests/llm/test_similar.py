@@ -2,9 +2,8 @@
 
 import random
 
-import numpy as np
-
 from tessera.llm import similar
+from tests_llm_help import brute_near
 
 
 def made(n_base=25, copies=6, seed=3):
@@ -20,31 +19,11 @@ def made(n_base=25, copies=6, seed=3):
     return rows + [(99990, None), (99991, ""), (99992, " \n"), (None, rows[0][1]), rows[5]]
 
 
-def brute(rows, within, similarity):
-    found = [similar.wide_fingerprint(t) for _, t in rows]
-    label = list(range(len(rows)))
-
-    def find(x):
-        while label[x] != x:
-            x = label[x]
-        return x
-
-    for i, (a, n) in enumerate(found):
-        for j in range(i):
-            b, m = found[j]
-            if min(n, m) >= max(n, m) * similarity - 1e-9 and int(np.bitwise_count(a ^ b).sum()) <= within:
-                label[find(i)] = find(j)
-    low = {}
-    for i, (d, _) in enumerate(rows):
-        if d is not None:
-            low[find(i)] = min(low.get(find(i), d), d)
-    return sorted(((d, low.get(find(i))) for i, (d, _) in enumerate(rows)), key=repr)
-
-
 def test_equals_brute_force(spark, monkeypatch):
     rows = made()
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    want = brute(rows, similar.radius(), 0.8)
+    low = brute_near(rows, similar.radius(), 0.8)
+    want = sorted(((d, c) for (d, _), c in zip(rows, low, strict=True)), key=repr)
     assert sorted(map(tuple, similar.similar_documents(frame).collect()), key=repr) == want
     monkeypatch.setattr(similar, "LEAF", 8)
     assert sorted(map(tuple, similar.similar_documents(frame).collect()), key=repr) == want
