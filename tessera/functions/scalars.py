@@ -46,3 +46,21 @@ def scanline_bytes(width: Column, height: Column, bits: Column, interlaced: Colu
         columns, rows = F.floor((width - x + dx - 1) / dx), F.floor((height - y + dy - 1) / dy)
         total = total + F.when((columns > 0) & (rows > 0), rows * line(columns)).otherwise(0)
     return F.when(interlaced, total).otherwise(height * line(width)).cast("long")
+
+
+def all_zero(value: Column) -> Column:
+    """Whether every byte is zero; an empty value is."""
+    return F.translate(F.hex(value), "0", "") == ""
+
+
+def equal_outside(one: Column, two: Column, start: Column, end: Column) -> Column:
+    """Whether two byte strings agree but for the span [start, end)."""
+    head = F.substring(one, F.lit(1), start) == F.substring(two, F.lit(1), start)
+    rest = F.substring(one, end + 1, F.octet_length(one)) == F.substring(two, end + 1, F.octet_length(two))
+    return head & rest & (F.octet_length(one) == F.octet_length(two))
+
+
+def fixed_point(value: Column, start: int) -> Column:
+    """The signed 16.16 fixed-point number at ``start`` as a double."""
+    whole = unsigned(value, start, 4)
+    return F.when(whole >= 1 << 31, whole - (1 << 32)).otherwise(whole) / 65536

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,3 +33,14 @@ def against_baseline(run: DataFrame, baseline: DataFrame, key: str, status: str)
     joined = run.join(before, F.col(key) == F.col("old_key"), "left")
     note = F.when(F.col("old_key").isNull(), "new").when(F.col(status).eqNullSafe(F.col("before")), "same").otherwise("changed")
     return joined.select(key, F.col(status).alias("now"), "before", note.alias("note"))
+
+
+def not_subsequences(now: DataFrame, then: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """Groups of ``now`` that aren't a subsequence of ``then``'s group by values that occur once in a group.
+
+    Elements may have been dropped, not added or reordered; the check is a join on the value and one window.
+    """
+    place = then.select(*keys, F.col(value).alias("then_value"), F.col(order).alias("then_at"))
+    joined = now.join(place, [now[k] == place[k] for k in keys] + [now[value].eqNullSafe(place.then_value)], "left").select(*(now[k] for k in keys), now[order].alias("now_at"), "then_at")
+    before = F.max("then_at").over(Window.partitionBy(*keys).orderBy("now_at").rowsBetween(Window.unboundedPreceding, -1))
+    return joined.withColumn("before", before).filter("then_at IS NULL OR before >= then_at").select(*keys).distinct()

@@ -67,3 +67,23 @@ def concat_in_order(rows: DataFrame, keys: list[str], order: str, value: str, na
     """The values of a group joined in order."""
     parts = F.array_sort(F.collect_list(F.struct(order, value)))
     return rows.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x[value]), "").alias(name))
+
+
+def expanded_runs(runs: DataFrame, keys: list[str], order: str, count: str, values: list[str], name: str = "n") -> DataFrame:
+    """A row per element of run-length tables: ``name`` from 0 within the group and the run's values."""
+    by = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = runs.filter(F.col(count) > 0).withColumn("run_start", F.coalesce(F.sum(count).over(by), F.lit(0)))
+    return placed.select(*keys, *values, F.explode(F.sequence(F.col("run_start"), F.col("run_start") + F.col(count) - 1)).alias(name))
+
+
+def in_force(rows: DataFrame, rules: DataFrame, keys: list[str], at: str, start: str, values: list[str]) -> DataFrame:
+    """``rows`` with the values of the last rule of their group that starts at or before ``at``; null before the first."""
+    own = rows.withColumns({"force_at": F.col(at).cast("long"), "force_turn": F.lit(1), "force_rule": F.lit(None).cast(_struct(rules, values))})
+    other = rules.select(*keys, F.col(start).cast("long").alias("force_at"), F.lit(0).alias("force_turn"), F.struct(*values).alias("force_rule"))
+    by = Window.partitionBy(*keys).orderBy("force_at", "force_turn").rowsBetween(Window.unboundedPreceding, 0)
+    both = own.unionByName(other, allowMissingColumns=True).withColumn("force_last", F.last("force_rule", ignorenulls=True).over(by))
+    return both.filter("force_turn = 1").select(*rows.columns, *(F.col(f"force_last.{v}").alias(v) for v in values))
+
+
+def _struct(rules: DataFrame, values: list[str]) -> str:
+    return rules.select(F.struct(*values).alias("rule")).schema["rule"].dataType.simpleString()
