@@ -288,3 +288,48 @@ def strip_name_dates(spark, d):
 
     names = _t(spark, d, "events").select(F.concat(F.lit("IMG_"), F.date_format("ts", "yyyyMMdd_HHmmss")).alias("stem"))
     return names.select(without_dates("stem").alias("base")).groupBy("base").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT c.user_id, c.event_id, v.event_id AS rule_id, v.value AS rule_value FROM (SELECT * FROM events WHERE event_type = 'click') c ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON c.user_id = v.user_id AND c.event_id >= v.event_id")
+def rule_in_force(spark, d):
+    e = _t(spark, d, "events")
+    rules = e.filter("event_type = 'view'").select("user_id", F.col("event_id").alias("rule_id"), F.col("value").alias("rule_value"))
+    rows = e.filter("event_type = 'click'").select("user_id", "event_id")
+    return sequence.in_force(rows, rules, ["user_id"], "event_id", "rule_id", ["rule_id", "rule_value"])
+
+
+@query("""WITH r AS (SELECT p_brand, p_type, p_size % 4 AS c, coalesce(sum(p_size % 4) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM part)
+SELECT p_brand, p_type, unnest(range(s, s + c)) AS n FROM r""")
+def run_expansion(spark, d):
+    runs = _t(spark, d, "part").select("p_brand", "p_partkey", "p_type", (F.col("p_size") % 4).alias("count"))
+    return sequence.expanded_runs(runs, ["p_brand"], "p_partkey", "count", ["p_type"])
+
+
+_PASSES = "(0, 8, 0, 8), (4, 8, 0, 8), (0, 4, 4, 8), (2, 4, 0, 4), (0, 2, 2, 4), (1, 2, 0, 2), (0, 1, 1, 2)"
+
+
+@query(f"""WITH p(x, dx, y, dy) AS (VALUES {_PASSES}), s AS (SELECT p_partkey, p_size AS w, p_partkey % 97 + 1 AS h, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 24 END AS b FROM part)
+SELECT p_partkey, h * (1 + (w * b + 7) // 8) AS plain, (SELECT sum(CASE WHEN w > x AND h > y THEN ((h - y + dy - 1) // dy) * (1 + (((w - x + dx - 1) // dx) * b + 7) // 8) ELSE 0 END) FROM p)::BIGINT AS interlaced FROM s""")
+def scanline_sizes(spark, d):
+    p = _t(spark, d, "part").select("p_partkey", F.col("p_size").alias("w"), (F.col("p_partkey") % 97 + 1).alias("h"), F.when(F.col("p_partkey") % 3 == 0, 1).otherwise(24).alias("b"))
+    size = lambda passes: scalars.scanline_bytes(F.col("w"), F.col("h"), F.col("b"), F.lit(passes))
+    return p.select("p_partkey", size(False).alias("plain"), size(True).alias("interlaced"))
+
+
+@query("""WITH e AS (SELECT user_id % 40 AS g, event_id, event_type || value AS v FROM events), o AS (SELECT g, v, max(event_id) AS pos FROM e WHERE event_id % 10 <> 3 GROUP BY 1, 2),
+n AS (SELECT g, event_id, v FROM e WHERE event_id % 3 = 0 AND (event_id % 10 <> 3 OR g % 4 = 0)), j AS (SELECT n.g, n.event_id, o.pos, max(o.pos) OVER (PARTITION BY n.g ORDER BY n.event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM n LEFT JOIN o ON o.g = n.g AND o.v = n.v)
+SELECT DISTINCT g FROM j WHERE pos IS NULL OR b >= pos""")
+def subsequence_check(spark, d):
+    e = _t(spark, d, "events").select((F.col("user_id") % 40).alias("g"), "event_id", F.concat("event_type", F.col("value").cast("string")).alias("v"))
+    then = e.filter("event_id % 10 <> 3").groupBy("g", "v").agg(F.max("event_id").alias("event_id"))
+    now = e.filter("event_id % 3 = 0 AND (event_id % 10 <> 3 OR g % 4 = 0)")
+    return compare.not_subsequences(now, then, ["g"], "event_id", "v")
+
+
+@query("SELECT page_id, source_kind, key FROM (SELECT page_id, 'JPEG' AS source_kind, CASE page_id % 5 WHEN 0 THEN 'EXIF:IFD0:Orientation' WHEN 1 THEN 'EXIF:IFD0:Model' WHEN 2 THEN 'GPS:GPSLatitude' WHEN 3 THEN 'XMP:XMP-hdrgm:Gamma' ELSE 'PNG:Comment' END AS key FROM pages) q WHERE key IN ('EXIF:IFD0:Model', 'GPS:GPSLatitude', 'PNG:Comment')")
+def tag_report_remaining(spark, d):
+    from tessera.operators import tag_report
+
+    keys = F.array(*map(F.lit, ("EXIF:IFD0:Orientation", "EXIF:IFD0:Model", "GPS:GPSLatitude", "XMP:XMP-hdrgm:Gamma", "PNG:Comment")))
+    report = _t(spark, d, "pages").select("page_id", F.lit("JPEG").alias("kind"), F.get(keys, (F.col("page_id") % 5).cast("int")).alias("key"), F.array(F.lit("2.5")).alias("values"))
+    return tag_report.remaining(report).select("page_id", F.col("kind").alias("source_kind"), "key")
