@@ -128,6 +128,12 @@ def bmp(depth: int, rows: bytes, palette: bytes = b"", method: int = 0, width: i
     return b"BM" + struct.pack("<IHHI", offset + len(rows), 0x5345, 0x4352, offset) + info + palette + rows + tail
 
 
+def multi_picture(*kinds: int) -> bytes:
+    """The index of a multi-picture file with images of these types."""
+    fields = struct.pack(">HHI4s", 0xB000, 7, 4, b"0100") + struct.pack(">HHII", 0xB001, 4, 1, len(kinds)) + struct.pack(">HHII", 0xB002, 7, 16 * len(kinds), 50)
+    return jpeg_segment(0xE2, b"MPF\0MM\0*\0\0\0\x08\0\3" + fields + bytes(4) + b"".join(struct.pack(">IIIHH", k, 100, 0, 0, 0) for k in kinds))
+
+
 XMP = b'<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description xmlns:hdrgm="http://ns.adobe.com/hdr-gain-map/1.0/" xmlns:dc="http://purl.org/dc/elements/1.1/" dc:creator="%s" hdrgm:Gamma="2.50"/></rdf:RDF></x:xmpmeta>' % SECRET
 
 
@@ -190,7 +196,9 @@ def cases() -> list[tuple[str, bytes, str, str | None, list[bytes]]]:
         ("jpeg.progressive", jpeg(frame=0xC2, scan_tail=b"\0\0\0"), "cleaned", None, []),
         ("jpeg.line_count", jpeg(height=0, tail=jpeg_segment(0xDC, b"\0\x08") + jpeg_segment(0xDC, SECRET)), "cleaned", None, [jpeg_segment(0xDC, b"\0\x08")]),
         ("jpeg.unneeded_line_count", jpeg(tail=jpeg_segment(0xDC, SECRET)), "cleaned", None, []),
-        ("jpeg.several_pictures", jpeg(jpeg_segment(0xE2, b"MPF\0" + SECRET)), "refused", "unsupported_variant", []),
+        ("jpeg.previews", jpeg(multi_picture(0x030000, 0x010001)) + jpeg(jpeg_segment(0xFE, SECRET)), "cleaned", None, []),
+        ("jpeg.several_pictures", jpeg(multi_picture(0x030000, 0)) + jpeg(), "refused", "unsupported_variant", []),
+        ("jpeg.broken_index", jpeg(jpeg_segment(0xE2, b"MPF\0" + SECRET)), "refused", "damaged", []),
         ("jpeg.unknown_marker", jpeg(jpeg_segment(0xF3, SECRET)), "refused", "unsupported_part", []),
         ("jpeg.no_end", jpeg()[:-2], "refused", "damaged", []),
         ("jpeg.much_fill", jpeg(b"\xff" * 2000), "refused", "damaged", []),

@@ -2,7 +2,8 @@
 
 A table part's note is the slot it fills; a scan's note lists the slots it reads when it starts. Which definitions are
 alive is decided outside, as the last one of a slot before a scan that reads it. Images that come with others
-(multi-picture index) or with gain-map data are refused for now; of XMP the fields that rendering reads stay.
+than previews (by their multi-picture index) or with gain-map data are refused for now; of XMP the fields that rendering
+reads stay.
 """
 
 from __future__ import annotations
@@ -128,6 +129,26 @@ class _Frame:
         return ",".join(dict.fromkeys(slots))
 
 
+# Tags of a multi-picture index, the types of its previews, and bits that other formats than JPEG set.
+_COUNT, _LIST, _PREVIEWS, _OTHER = 0xB001, 0xB002, (0x010001, 0x010002), 0x07000000
+
+
+def only_previews(index: bytes) -> bool:
+    """Whether a multi-picture index lists no other images than the first and previews of it."""
+    order = {b"MM": ">", b"II": "<"}.get(index[:2])
+    try:
+        magic, at = struct.unpack_from(order + "HI", index, 2)
+        (n,) = struct.unpack_from(order + "H", index, at)
+        fields = {tag: rest for tag, *rest in (struct.unpack_from(order + "HHII", index, at + 2 + 12 * k) for k in range(n))}
+        (kind, one, total), (list_kind, size, start) = fields[_COUNT], fields[_LIST]
+        flags = [struct.unpack_from(order + "IIIHH", index, start + 16 * k)[0] for k in range(total if total <= 4090 else 0)]
+    except (struct.error, TypeError, KeyError):
+        raise Broken() from None
+    if magic != 42 or (kind, one, list_kind, size) != (4, 1, 7, 16 * total) or not flags or any(f & _OTHER for f in flags):
+        raise Broken()
+    return all(f & 0xFFFFFF in _PREVIEWS for f in flags[1:])
+
+
 def _profiles(found: list[tuple[int, bytes, bytes]]) -> list[bytes]:
     """The clean profile cut like the original's segments, in file order."""
     pieces = [b[len(_ICC) :] for m, b, _ in found if m == 0xE2 and b.startswith(_ICC)]
@@ -149,7 +170,7 @@ def jpeg(data: bytes) -> Iterator[tuple[bytes, bytes, bool, bytes | None, str |
     """Parts as (part, payload, sound, rewritten, refusal, note); a table's payload starts with its segment's number."""
     found = list(segments(data))
     frame, profile = _Frame(found), iter(_profiles(found))
-    seen_lines = False
+    seen_lines = indexed = False
     yield b"SOI", b"\xff\xd8", True, None, None, None
     for number, (marker, body, scan) in enumerate(found):
         whole = segment(marker, body) if marker != EOI and marker not in ALONE else bytes([0xFF, marker])
@@ -186,7 +207,12 @@ def jpeg(data: bytes) -> Iterator[tuple[bytes, bytes, bool, bytes | None, str |
             name, kept = b"XMP", segment(marker, _XMP + packet) if packet else None
         elif marker == 0xE2 and body.startswith(_ICC):
             name, kept = b"ICC", segment(marker, next(profile))
-        elif marker in (0xE2, 0xEA) and body.startswith((_MPF, *_GAIN)):
+        elif marker == 0xE2 and body.startswith(_MPF):
+            if indexed:
+                raise Broken()
+            indexed = True
+            name, refusal = b"unread", None if only_previews(body[len(_MPF) :]) else "unsupported_variant"
+        elif marker in (0xE2, 0xEA) and body.startswith(_GAIN):
             name, refusal = b"HDR", "unsupported_variant"
         elif marker == 0xEE and body.startswith(b"Adobe") and len(body) == 12:
             name, kept = b"Adobe", whole
