@@ -31,6 +31,8 @@ WIDTH = 4
 MARGIN = 1.6
 #: Fingerprints per leaf at about.
 LEAF = 8192
+#: Pairs of fingerprints compared at once.
+PAIRS = 1 << 19
 
 
 def radius(similarity: float = SIMILARITY, width: int = WIDTH, margin: float = MARGIN) -> int:
@@ -73,11 +75,14 @@ def joined(points: np.ndarray, sizes: np.ndarray, own: int, within: int, similar
     low = np.searchsorted(ascending, np.ceil(sizes * similarity - 1e-9), "left")
     high = np.searchsorted(ascending, np.floor(sizes / similarity + 1e-9), "right")
     by_low = np.argsort(low, kind="stable")
+    furthest = np.maximum.accumulate(high[by_low]) if len(by_low) else high
     at = 0
     while at < len(by_low):
-        step = max(1, (1 << 19) // max(1, int(high[by_low[at]] - low[by_low[at]])))
+        # As many as compare at most PAIRS pairs at once.
+        ahead = furthest[at : at + PAIRS] - low[by_low[at]]
+        step = max(1, int(np.searchsorted(ahead * np.arange(1, len(ahead) + 1), PAIRS, "right")))
         part = by_low[at : at + step]
-        a, b = int(low[part[0]]), int(high[part].max())
+        a, b = int(low[part[0]]), int(furthest[at + len(part) - 1])
         at += len(part)
         if a >= b:
             continue

@@ -6,13 +6,14 @@ not the partition; a text longer than a block makes a block of its own and is st
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text in one block; a single longer text is a block by itself.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 #: ASCII white space: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = np.zeros(256, bool)
@@ -23,6 +24,7 @@ _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -38,6 +40,14 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = B
             stop = max(at + 1, int(np.searchsorted(total, base + limit, "right")))
             yield batch.slice(at, stop - at)
             at = stop
+        release()
+
+
+def release() -> None:
+    """Give memory that the allocators hold for later back to the system: a worker lives through many stages."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
