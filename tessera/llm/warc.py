@@ -15,13 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.cluster import input_parts, shared_dir
+from tessera.llm.cluster import shared_dir
 from tessera.llm.exact_dedup import with_winners
 
 #: Bytes of a record's block beyond which it is segmented, and of a transfer chunk.
 SEGMENT, CHUNK = 48 << 10, 16 << 10
 #: Payloads of fewer bytes are always written whole.
 REVISIT_FROM = 100
+#: Revisits, of some 50 bytes each, up to which they are broadcast instead of shuffling the pages.
+BROADCAST_ROWS = 100_000
 _URN = "urn:tessera:page:"
 
 
@@ -120,8 +122,9 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
     digest = F.unhex(F.sha2(F.col("html"), 256))
     large = own.filter(F.octet_length("html") >= REVISIT_FROM).select("page_id", digest.alias("digest")).checkpoint()
     won = with_winners(large, "digest", "page_id", least=True)
-    again = won.filter("keep_id IS NOT NULL AND NOT (page_id <=> keep_id)").select(F.col("page_id").alias("own_id"), F.col("digest").alias("own_digest"), F.col("keep_id").alias("refers_to")).distinct()
-    parts = input_parts(pages)
+    again = won.filter("keep_id IS NOT NULL AND NOT (page_id <=> keep_id)").select(F.col("page_id").alias("own_id"), F.col("digest").alias("own_digest"), F.col("keep_id").alias("refers_to")).distinct().checkpoint()
+    if again.count() <= BROADCAST_ROWS:
+        again = F.broadcast(again)  # counted just now; pages then stay where they are
     marked = own.withColumn("digest", digest).join(again, F.col("page_id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest")), "left")
 
     def render(batches):
@@ -136,8 +139,7 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
                     n += 1
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    spread = marked.select("page_id", "url", "html", "refers_to").repartition(parts, F.xxhash64("page_id", "url"))
-    spread.mapInArrow(render, "record binary").select(F.col("record").cast("string").alias("value")).write.option("compression", "gzip").text(path)
+    marked.select("page_id", "url", "html", "refers_to").mapInArrow(render, "record binary").select(F.col("record").cast("string").alias("value")).write.option("compression", "gzip").text(path)
 
 
 _FIELDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
