@@ -15,7 +15,6 @@ answers are one bit per symbol or window. A window without a decided symbol coun
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +25,9 @@ from tessera.llm.cluster import input_parts
 from tessera.llm.textblocks import SPACE, flat, gather, hashes, mix, spans
 
 WINDOW = 13
-#: Pair rounds after the round of runs; symbols stand for four words on average then.
-ROUNDS = 5
+#: Pair rounds after the round of runs; symbols stand for two and a half words on average then. More rounds make rarer
+#: symbols but leave windows of 13 words without one that they decide.
+ROUNDS = 3
 #: Bytes of input, as stored, that make a shard.
 SHARD_BYTES = 4 << 20
 _NOT_SPACE = ~SPACE
