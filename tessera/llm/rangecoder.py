@@ -20,6 +20,8 @@ _SLOTS = 1 << 18
 _TOP, _LOW = 48, 32
 _SCALE = 16
 _STEP = 24
+#: Steps between changes of the order-0 frequencies.
+_REFRESH = 4
 _HEAD = struct.Struct("<III")
 
 
@@ -32,6 +34,7 @@ class _Model:
         self.guess2, self.sure2 = np.zeros(_SLOTS, np.int64), np.zeros(_SLOTS, np.int64)
         self.seen = np.tile(np.array([2, 2, 8], np.int64), (32, 1))
         self.freq = np.ones(size, np.int64)
+        self.waiting: list[np.ndarray] = []
         self.last, self.before = np.full(lanes, size, np.int64), np.full(lanes, size, np.int64)
         self.total()
 
@@ -53,11 +56,14 @@ class _Model:
         """``way``: 0 the order-2 prediction, 1 the order-1 prediction, 2 an escape."""
         self.seen += np.bincount(self.context * 3 + way, minlength=96).reshape(32, 3) * 2
         for at, guess, sure, p, c in ((self.slot, self.guess2, self.sure2, self.p2, self.c2), (self.one, self.guess1, self.sure1, self.p1, self.c1)):
-            hit, none = p == ids, c == 0
-            sure[at] = np.where(hit, np.minimum(c + 1, 3), np.where(none, 1, c - 1))
+            none = c == 0
+            sure[at] = np.where(none | (p == ids), np.minimum(c + 1, 3), c - 1)
             guess[at] = np.where(none, ids, p)
-        self.freq += _STEP * np.bincount(ids, minlength=self.size)
-        self.total()
+        self.waiting.append(ids)
+        if len(self.waiting) == _REFRESH:
+            self.freq += _STEP * np.bincount(np.concatenate(self.waiting), minlength=self.size)
+            self.total()
+            self.waiting.clear()
         self.before[: self.k], self.last[: self.k] = self.last[: self.k], ids
 
 
@@ -97,9 +103,11 @@ def compress(ids: np.ndarray) -> bytes:
         k = -(-(n - step) // steps)  # lanes that reach this step
         x = table[step, :k]
         model.predict(k)
-        way = np.where((model.c2 > 0) & (model.p2 == x), 0, np.where((model.c1 > 0) & (model.p1 == x), 1, 2))
-        start = np.where(way == 0, 0, np.where(way == 1, model.w2, model.w2 + model.w1))
-        width = np.where(way == 0, model.w2, np.where(way == 1, model.w1, 65536 - model.w2 - model.w1))
+        two, one = (model.c2 > 0) & (model.p2 == x), (model.c1 > 0) & (model.p1 == x)
+        way = np.where(two, 0, 2 - one)
+        both = model.w2 + model.w1
+        start = np.where(two, 0, np.where(one, model.w2, both))
+        width = np.where(two, model.w2, np.where(one, model.w1, 65536 - both))
         put(slice(0, k), start, width, span[:k] >> _SCALE)
         lane = np.flatnonzero(way == 2)
         if len(lane):
@@ -149,11 +157,12 @@ def decompress(block: bytes) -> np.ndarray:
         r = span[:k] >> _SCALE
         value = np.minimum(code[:k] // r, 65535)
         both = model.w2 + model.w1
-        way = np.where(value < model.w2, 0, np.where(value < both, 1, 2))
-        start = np.where(way == 0, 0, np.where(way == 1, model.w2, both))
-        width = np.where(way == 0, model.w2, np.where(way == 1, model.w1, 65536 - both))
+        two, one = value < model.w2, value < both
+        way = 2 - one.astype(np.int64) - two
+        start = np.where(two, 0, np.where(one, model.w2, both))
+        width = np.where(two, model.w2, np.where(one, model.w1, 65536 - both))
         take(slice(0, k), start, width, r)
-        x = np.where(way == 0, model.p2, model.p1)
+        x = np.where(two, model.p2, model.p1)
         lane = np.flatnonzero(way == 2)
         if len(lane):
             r = span[lane] // model.cum[-1]
