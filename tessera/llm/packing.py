@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.cluster import stored
 from tessera.llm.textblocks import blocks, flat
-from tessera.llm.tokens import Encoder, with_end
+from tessera.llm.tokens import BLOCK_BYTES, Encoder, with_end
 
 WINDOW = 4096
 #: A shard closes when it holds so many documents or ids (one document may exceed the ids by itself).
@@ -35,7 +35,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text",
 
     def encode(batches):
         encoder = Encoder.shared(tokenizer)
-        for batch in blocks(batches):
+        for batch in blocks(batches, limit=BLOCK_BYTES):
             ids, counts = with_end(*encoder.encode(*flat(batch.column("text"))), end_id)
             ends = np.concatenate([[0], np.cumsum(counts)]) * 4
             column = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])

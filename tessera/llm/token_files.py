@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tessera.llm.cluster import input_parts, shared_dir
 from tessera.llm.rangecoder import compress, decompress
 from tessera.llm.textblocks import blocks, flat
-from tessera.llm.tokens import Encoder, with_end
+from tessera.llm.tokens import BLOCK_BYTES, Encoder, with_end
 
 MAGIC = b"TSR1"
 #: Ids in a block; the coder's model is reset after it.
@@ -69,7 +69,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, t
                 if part:
                     held_counts[0] -= part
 
-        for batch in blocks(batches):
+        for batch in blocks(batches, limit=BLOCK_BYTES):
             ids, counts = with_end(*encoder.encode(*flat(batch.column("text"))), end_id)
             held = held + batch.column("doc_id").to_pylist()
             held_ids, held_counts = np.concatenate([held_ids, ids]), np.concatenate([held_counts, counts])
@@ -77,7 +77,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, t
         yield from cut(True)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    spread = rows.repartitionByRange(input_parts(rows), "doc_id").sortWithinPartitions("doc_id")
+    spread = rows.repartitionByRange(input_parts(docs), "doc_id").sortWithinPartitions("doc_id")
     spread.mapInArrow(encode, "record binary").select(F.col("record").cast("string").alias("value")).write.text(path)
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from tessera.llm.textblocks import SPACE, gather, hashes
 
 #: Pieces that a worker remembers; beyond it the memory is emptied and filled anew.
-REMEMBERED = 700_000
+REMEMBERED = 1_500_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
@@ -27,6 +27,10 @@ _SIGN = np.zeros(256, bool)
 _SIGN[[*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
 
+#: Bytes of text that are encoded at once: pieces repeat more in larger blocks.
+BLOCK_BYTES = 2 << 20
+
+
 def default_tokenizer() -> str:
     """Path of the public vocabulary file that the queries use."""
     import public_tokenizers
@@ -63,12 +67,13 @@ class Encoder:
         return cls._made[path]
 
     def _empty(self) -> None:
-        self.slots: dict[int, int] = {}
+        #: Hashes of known pieces in order, and the slot of each.
+        self.keys, self.slot_of = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.known = 0
         self.begin, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(4096, np.uint16), 0
 
-    def _learn(self, keys: list[int], pieces: list[bytes]) -> None:
+    def _learn(self, pieces: list[bytes]) -> None:
         words = [p.lower().decode() if p.isascii() else p.decode() for p in pieces]
         plain, other = [], []
         for n, w in enumerate(words):
@@ -86,13 +91,12 @@ class Encoder:
             self.flat = self.flat.astype(np.uint32)
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.known + len(keys) > len(self.begin):
+        while self.known + len(pieces) > len(self.begin):
             self.begin, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length))
         self.flat[self.used : self.used + len(flat)] = flat
-        self.begin[self.known : self.known + len(keys)] = self.used + np.cumsum(sizes) - sizes
-        self.length[self.known : self.known + len(keys)] = sizes
-        self.slots.update(zip(keys, range(self.known, self.known + len(keys)), strict=True))
-        self.known += len(keys)
+        self.begin[self.known : self.known + len(pieces)] = self.used + np.cumsum(sizes) - sizes
+        self.length[self.known : self.known + len(pieces)] = sizes
+        self.known += len(pieces)
         self.used += len(flat)
 
     def encode(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,14 +110,22 @@ class Encoder:
         index, unique = coded.indices.to_numpy(), coded.dictionary.to_numpy()
         if self.known + len(unique) > REMEMBERED and self.known:
             self._empty()
-        got = [self.slots.get(k, -1) for k in unique.tolist()]
-        slot = np.array(got, np.int64)
-        if len(new := np.flatnonzero(slot < 0)):
+        order = np.argsort(unique)
+        wanted = unique[order]
+        place = np.searchsorted(self.keys, wanted)
+        known = place < len(self.keys)
+        known[known] = self.keys[place[known]] == wanted[known]
+        found = np.zeros(len(unique), np.int64)
+        found[known] = self.slot_of[place[known]]
+        if len(new := np.flatnonzero(~known)):
             at = np.zeros(len(unique), np.int32)
             at[index] = np.arange(len(index), dtype=np.int32)
-            at, body = at[new], raw.tobytes()
-            self._learn(unique[new].tolist(), [body[a:b] for a, b in zip(begin[at].tolist(), stop[at].tolist(), strict=True)])
-            slot[new] = np.arange(self.known - len(new), self.known)
+            at, body = at[order[new]], raw.tobytes()
+            found[new] = np.arange(self.known, self.known + len(new))
+            self._learn([body[a:b] for a, b in zip(begin[at].tolist(), stop[at].tolist(), strict=True)])
+            self.keys, self.slot_of = np.insert(self.keys, place[new], wanted[new]), np.insert(self.slot_of, place[new], found[new])
+        slot = np.empty(len(unique), np.int64)
+        slot[order] = found
         slot = slot[index]
         length = self.length[slot]
         ids = self.flat[gather(self.begin[slot], length)].astype(np.uint32)
