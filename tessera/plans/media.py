@@ -41,7 +41,7 @@ def bmp_to_png(spark: SparkSession, d: str) -> DataFrame:
 
 def media_parts(spark: SparkSession, d: str) -> DataFrame:
     table = sanitise.decided(parts.parts(fixtures.files(spark)))
-    return table.groupBy("kind", F.decode("part", F.lit("ISO-8859-1")).alias("part"), "keep", "refusal").agg(F.count(F.lit(1)).alias("n"))
+    return table.groupBy("kind", F.decode("part", "ISO-8859-1").alias("part"), "keep", "refusal").agg(F.count(F.lit(1)).alias("n"))
 
 
 def media_outcomes(spark: SparkSession, d: str) -> DataFrame:
