@@ -9,6 +9,9 @@ can't exclude. Fingerprints are wide enough that chance links stay rare however
 
 The price of so wide a radius: within reach of the size bound all pairs of fingerprints are compared, so the work
 grows with the square of the input over the number of rings in reach, at a few nanoseconds a pair.
+
+Fingerprints estimate: they miss some pairs at the similarity and link some below it. Where documents are dropped, as in
+the pipeline, ``drop_similar`` compares the shingle sets themselves.
 """
 
 from __future__ import annotations
@@ -20,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.cluster import fresh, shared_dir
-from tessera.llm.simhash import SAMPLE, SEED, Tree, _connected, merged
+from tessera.llm.cluster import shared_dir
+from tessera.llm.jaccard import drop_alike, shingles
+from tessera.llm.simhash import SAMPLE, Tree, _connected, merged
 from tessera.llm.textblocks import blocks, mix
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -43,21 +47,9 @@ def radius(similarity: float = SIMILARITY, width: int = WIDTH, margin: float = M
 
 def wide_fingerprint(text: str | None, shingle: int = SHINGLE, width: int = WIDTH) -> tuple[np.ndarray, int]:
     """(fingerprint of ``width`` words, number of distinct shingles) over the set of shingles; (zeros, 0) without words."""
-    import xxhash
-
-    words = (text or "").encode().lower().split()
-    if not words:
+    codes = shingles(text, shingle)
+    if not len(codes):
         return np.zeros(width, np.uint64), 0
-    body = b" ".join(words)
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    stop = np.cumsum(size + 1) - 1
-    first = stop - size
-    if len(words) > shingle:
-        first, stop = first[: len(words) - shingle + 1], stop[shingle - 1 :]
-    else:
-        first, stop = first[:1], stop[-1:]
-    digest = xxhash.xxh64_intdigest
-    codes = np.unique(np.array([digest(body[a:b], SEED) for a, b in zip(first.tolist(), stop.tolist(), strict=True)], np.uint64))
     out = np.zeros(width, np.uint64)
     for k in range(width):
         ones, own = np.zeros(64, np.int64), codes if not k else mix(codes + np.uint64(0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF))
@@ -203,11 +195,8 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
 
 
 def drop_similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest ``doc_id``; columns unchanged.
+    """``docs`` with one document of each component under exact similarity (``jaccard``), the one with the smallest ``doc_id``.
 
-    Rows that repeat that ``doc_id`` stay; a component of null ids only stays whole.
+    Columns are unchanged. Rows that repeat that ``doc_id`` stay; a component of null ids only stays whole.
     """
-    gone = similar_documents(docs, shingle=shingle, similarity=similarity).filter("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)")
-    name = fresh(docs, "gone_id")
-    ids = gone.select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids[name]), "left_anti")
+    return drop_alike(docs, shingle, similarity)
