@@ -17,14 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.cluster import stored
-from tessera.llm.textblocks import blocks, flat
+from tessera.llm.textblocks import blocks, flat, release
 from tessera.llm.tokens import BLOCK_BYTES, Encoder, with_end
 
 WINDOW = 4096
 #: A shard closes when it holds so many documents or ids (one document may exceed the ids by itself).
 SHARD_DOCS, SHARD_IDS = 1024, 1 << 21
-#: A seed's distinct ids with the largest BM25 weights form its query.
-QUERY_TERMS = 48
+#: Postings summed at once.
+POSTINGS = 1 << 17
 K1, B = 1.2, 0.75
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -75,28 +75,34 @@ class Shard:
 
     def __init__(self, ids: np.ndarray, lengths: np.ndarray, idf: np.ndarray, mean: float):
         self.n, size = len(lengths), len(idf)
-        doc = np.repeat(np.arange(self.n), lengths)
-        pair = np.sort(doc * size + ids)
+        pair = np.repeat(np.arange(self.n) * size, lengths)
+        pair += ids
+        pair.sort()
         new = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
-        tf = np.diff(np.append(new, len(pair)))
-        self.doc, self.term = pair[new] // size, pair[new] % size
+        tf, pair = np.diff(np.append(new, len(pair))), pair[new]
+        self.doc, self.term = (pair // size).astype(np.int32), (pair % size).astype(np.int32)
         weight = idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / mean))
         self.first = np.searchsorted(self.doc, np.arange(self.n + 1))
         self.weight = weight
         order = np.argsort(self.term, kind="stable")
         self.posted, self.posted_weight = self.doc[order], weight[order]
-        sorted_terms = self.term[order]
-        self.low, self.high = np.searchsorted(sorted_terms, self.term, "left"), np.searchsorted(sorted_terms, self.term, "right")
+        start = np.searchsorted(self.term, np.arange(size + 1), sorter=order).astype(np.int32)
+        self.low, self.high = start[self.term], start[self.term + 1]
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents by descending BM25 score against the seed's strongest ids, ties by position."""
-        a, b = self.first[seed], self.first[seed + 1]
-        own = np.arange(a, b)
-        if len(own) > QUERY_TERMS:
-            own = own[np.argpartition(-self.weight[own], QUERY_TERMS)[:QUERY_TERMS]]
-        size = self.high[own] - self.low[own]
-        at = np.repeat(self.low[own] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        score = np.bincount(self.posted[at], weights=self.posted_weight[at], minlength=self.n)
+        """Unused documents by descending BM25 score against all ids of the seed, ties by position."""
+        own = np.arange(self.first[seed], self.first[seed + 1])
+        own = own[self.weight[own] > 0]  # an id in over half of the documents adds nothing to any score
+        score = np.zeros(self.n)
+        ends = np.cumsum(self.high[own].astype(np.int64) - self.low[own])
+        at = 0
+        while at < len(own):  # about POSTINGS at once
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + POSTINGS, "right")))
+            part = own[at:stop]
+            size = (self.high[part] - self.low[part]).astype(np.int64)
+            where = np.repeat(self.low[part] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            score += np.bincount(self.posted[where], weights=self.posted_weight[where], minlength=self.n)
+            at = stop
         left = np.flatnonzero(unused)
         return left[np.argsort(-score[left], kind="stable")]
 
@@ -177,7 +183,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW) ->
         def close():
             nonlocal doc_ids, parts, sizes, sequence
             lengths, flat_ids = np.concatenate(sizes), np.concatenate(parts)
-            shard, begin = Shard(flat_ids.astype(np.int64), lengths, idf, mean), np.cumsum(lengths) - lengths
+            shard, begin = Shard(flat_ids, lengths, idf, mean), np.cumsum(lengths) - lengths
             names = pa.concat_arrays(doc_ids)
             out = []
             for full in fill(lengths, shard, window):
@@ -190,6 +196,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW) ->
                     sequence += 1
             columns = [pa.array(x, pa.int64()) for x in zip(*out, strict=True)]
             doc_ids, parts, sizes = [], [], []
+            del shard, out
+            release()
             return pa.RecordBatch.from_arrays([names.take(columns[0]), *columns[1:]], [x.split()[0] for x in PIECES.split(", ")])
 
         held = 0
