@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and strings that a character Markov model of random strings explains better than one of ordinary identifiers.
 
-Both models are order-2 chains over the characters of keys, fitted to labelled samples; ``train`` takes any. The
-default random samples are drawn from a seeded generator in the alphabets that keys use; the default ordinary ones are
-identifiers joined from words of a bounded sample of the texts (``SAMPLE_ROWS`` rows).
+Both models are order-2 chains over the characters of keys. The ordinary one counts the characters of identifiers
+joined from the words of all whole texts, in one aggregate; the random one learns from strings that a seeded generator
+draws in the alphabets that keys use. ``train`` takes labelled samples instead.
 """
 
 from __future__ import annotations
@@ -29,8 +29,12 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 CHARS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Mean log-likelihood ratio per character above which a string counts as random.
 THRESHOLD = 0.3
-#: Rows whose words make up ordinary identifiers, and strings per label.
-SAMPLE_ROWS, SAMPLE_STRINGS = 400, 4000
+#: Strings of the random class; of the ordinary one where no text has a word.
+SAMPLE_STRINGS = 4000
+#: Words that make up identifiers, and how many of them the identifiers of a text hold in turn.
+NAME_WORD, IN_NAME = re.compile("[a-z]{3,12}"), (2, 3, 4, 5)
+#: Share of identifiers that end in a number below NUMBERS.
+NUMBERED, NUMBERS = 0.3, 2031
 
 
 @dataclass
@@ -49,24 +53,33 @@ class Models:
 CODE = {c: n + 1 for n, c in enumerate(CHARS)}
 
 
-def train(samples: list[tuple[str, int]], smoothing: float = 0.3, threshold: float = THRESHOLD) -> Models:
-    """Models from (string, label) pairs, label 1 for random strings and 0 for ordinary identifiers."""
+def triples(samples) -> np.ndarray:
+    """How often each character follows each two, over the strings; before its first character a string has two zeros."""
     n = len(CHARS) + 1
+    out = np.zeros((n, n, n))
+    for text in samples:
+        if text:
+            c = np.array([CODE.get(x, 0) for x in text], np.int64)
+            np.add.at(out, (np.append([0, 0], c[:-1])[: len(c)], np.append([0], c[:-1]), c), 1)
+    return out
+
+
+def models(random_counts: np.ndarray, ordinary_counts: np.ndarray, smoothing: float = 0.3, threshold: float = THRESHOLD) -> Models:
+    """Models from the counts of both classes (as ``triples`` gives them)."""
     logs = []
-    for label in (1, 0):
-        pair, triple = np.full((n, n), smoothing), np.zeros((n, n, n))
-        for text, own in samples:
-            if own == label and text:
-                c = np.array([CODE.get(x, 0) for x in text], np.int64)
-                one, two = np.append([0], c[:-1]), np.append([0, 0], c[:-1])[: len(c)]
-                np.add.at(pair, (one, c), 1)
-                np.add.at(triple, (two, one, c), 1)
+    for triple in (random_counts, ordinary_counts):
+        pair = smoothing + triple.sum(0)
         back = pair / pair.sum(1, keepdims=True)
         weight = 4.0  # of the order-1 chain in the order-2 one
         logs.append(np.log((triple + weight * back) / (triple.sum(2, keepdims=True) + weight)))
     return Models(logs[0] - logs[1], threshold)
 
 
+def train(samples: list[tuple[str, int]], smoothing: float = 0.3, threshold: float = THRESHOLD) -> Models:
+    """Models from (string, label) pairs, label 1 for random strings and 0 for ordinary identifiers."""
+    return models(*(triples(text for text, own in samples if own == label) for label in (1, 0)), smoothing, threshold)
+
+
 def random_strings(n: int, seed: int = 7) -> list[str]:
     """Strings as key generators make them: hex, base 32, base 62, base 64."""
     draw, out = random.Random(seed), []
@@ -87,23 +100,101 @@ def ordinary_strings(words: list[str], n: int, seed: int = 11) -> list[str]:
     return out
 
 
+#: Codes of ASCII bytes, and the separators that stand between words of a name: "_" or, between names, two zeros.
+_CODES = np.array([CODE.get(chr(b), 0) for b in range(128)], np.int64)
+_UNDER = CODE["_"]
+_BETWEEN = [s for n in IN_NAME for s in ["_"] * (n - 1) + ["\0\0"]]
+
+
+def _counted(code: np.ndarray) -> np.ndarray:
+    n = len(CHARS) + 1
+    at = np.flatnonzero(code[2:])  # a zero is no character
+    return np.bincount((code[at] * n + code[at + 1]) * n + code[at + 2], minlength=n**3)
+
+
+def identifier_counts(texts) -> np.ndarray:
+    """Rows of (snake, camel, plain, ends): counts of characters after two in identifiers of each text's distinct words.
+
+    Words are taken in order of their first occurrence, in names of IN_NAME words in turn; ``ends`` counts the last two
+    characters of the names of each style, as (style, two, one).
+    """
+    n, parts = len(CHARS) + 1, []
+    for text in texts:
+        words = list(dict.fromkeys(NAME_WORD.findall((text or "").lower())))
+        if words:
+            between = (_BETWEEN * (len(words) // len(_BETWEEN) + 1))[: len(words)]
+            between[-1] = "\0\0"
+            parts += [w for pair in zip(words, between, strict=True) for w in pair]
+    snake = _CODES[np.frombuffer(("\0\0" + "".join(parts)).encode(), np.uint8)]
+    under = snake == _UNDER
+    camel = snake.copy()
+    camel[1:][under[:-1]] += CODE["A"] - CODE["a"]
+    out = [_counted(snake), _counted(camel[~under]), _counted(snake[~under])]
+    ends = np.zeros((3, n, n), np.int64)
+    for k, code in enumerate((snake, camel[~under], snake[~under])):
+        at = np.flatnonzero((code[2:-1] > 0) & (code[3:] == 0)) + 2
+        ends[k] = np.bincount(code[at - 1] * n + code[at], minlength=n * n).reshape(n, n)
+    return np.concatenate([*out, ends.reshape(-1)])
+
+
+def ordinary_counts(total: np.ndarray) -> np.ndarray:
+    """Characters after two in identifiers of all six styles, from summed ``identifier_counts``."""
+    n = len(CHARS) + 1
+    snake, camel, plain = total[: 3 * n**3].reshape(3, n, n, n).astype(float)
+    ends = total[3 * n**3 :].reshape(3, n, n).astype(float)
+    upper = np.arange(n)
+    for small in range(26):
+        upper[[CODE["a"] + small, CODE["A"] + small]] = CODE["A"] + small, CODE["a"] + small
+    instead = lambda c: np.array([{_UNDER: CODE[c], CODE[c]: _UNDER}.get(k, k) for k in range(n)])
+    out, last = camel + plain, ends[1] + ends[2]
+    for change in (np.arange(n), instead("-"), instead("/"), upper):
+        out = out + snake[np.ix_(change, change, change)]
+        last = last + ends[0][np.ix_(change, change)]
+    digits = np.zeros((n, n, n))
+    first, pair = np.zeros(n), np.zeros((n, n))
+    for number in map(str, range(NUMBERS)):
+        c = [CODE[d] for d in number]
+        first[c[0]] += 1
+        for k in range(1, len(c)):
+            if k == 1:
+                pair[c[0], c[1]] += 1
+            else:
+                digits[c[k - 2], c[k - 1], c[k]] += 1
+    share = NUMBERED / NUMBERS
+    out += share * (last[:, :, None] * first + last.sum(0)[:, None, None] * pair + last.sum() * digits)
+    return out
+
+
 def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Models:
-    """Models for these texts: random strings against identifiers from words of at most SAMPLE_ROWS rows (smallest hashed ids)."""
-    key = F.xxhash64(F.col(doc_id).cast("string"))
-    chosen = docs.select(key.alias("k"), doc_id).orderBy("k", doc_id).limit(SAMPLE_ROWS).select(F.col(doc_id).alias("chosen")).distinct()
-    rows = docs.join(F.broadcast(chosen), docs[doc_id] == F.col("chosen"), "left_semi")  # at most SAMPLE_ROWS ids
-    split = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit("[A-Za-z]{3,12}"), F.lit(0)))
-    words = sorted({w.lower() for r in rows.select(F.slice(split, 1, 500).alias("w")).limit(SAMPLE_ROWS).collect() for w in r.w})
-    words = words or ["user", "name", "value", "index", "table", "path", "file", "page"]
-    return train([(s, 1) for s in random_strings(SAMPLE_STRINGS)] + [(s, 0) for s in ordinary_strings(words, SAMPLE_STRINGS)])
+    """Models for these texts: random strings against identifiers from the words of all whole texts.
+
+    Each task counts into one array of fixed size, and the counts are summed in one aggregate. They are scaled to the
+    number of characters of the random class, so that smoothing weighs the same in both.
+    """
+
+    def count(batches):
+        total = 0
+        for batch in blocks(batches):
+            total = total + identifier_counts(batch.column("text").to_pylist())
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(np.atleast_1d(total)[used])], ["cell", "n"])
+
+    n = len(CHARS) + 1
+    rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "cell long, n long")
+    cells = rows.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most 3 * (n^3 + n^2) rows
+    total = np.zeros(3 * (n**3 + n**2), np.int64)
+    total[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+    chance = triples(random_strings(SAMPLE_STRINGS))
+    ordinary = ordinary_counts(total) if total.any() else triples(ordinary_strings(["user", "name", "value", "index", "table", "path", "file", "page"], SAMPLE_STRINGS))
+    return models(chance, ordinary * (chance.sum() / ordinary.sum()))
 
 
-def spans(text: str, models: Models | None) -> list[tuple[str, int, int]]:
+def spans(text: str, fitted: Models | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every secret, by start, then kind as listed in KINDS. Code points, end exclusive."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    if models is not None:
+    if fitted is not None:
         base = [(a, b) for a, _, b in found]
         for m in CANDIDATE.finditer(text):
             a, b = m.span()
@@ -111,7 +202,7 @@ def spans(text: str, models: Models | None) -> list[tuple[str, int, int]]:
             if any(x < b and a < y for x, y in base):
                 continue
             mixed = any(c.isdigit() for c in own) or not (own.islower() or own.isupper())
-            if mixed and models.score(own) > models.threshold:
+            if mixed and fitted.score(own) > fitted.threshold:
                 found.append((a, 3, b))
     return [(KINDS[k], a, b) for a, k, b in sorted(found)]
 
