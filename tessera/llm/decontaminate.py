@@ -120,7 +120,7 @@ def _grouped(benchmark: DataFrame, item_id: str, text: str):
     """Groups of (item_id as string, text) with about GROUP_WORDS words each; the driver holds one item at a time beside them."""
     group, words = [], 0
     for name, body in benchmark.select(F.col(item_id).cast("string"), F.col(text).cast("string")).toLocalIterator():
-        if name is None or not body:
+        if not body:
             continue
         n = len(body) // 2 + 1  # words have a byte and a separator at least
         if group and words + n > 6 * GROUP_WORDS:
@@ -135,8 +135,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str
     """``docs`` with ``n_words, n_hit, n_items, items_sha256, contaminated`` and ``matches``.
 
     ``matches`` lists (item_id, item_word, word, length): the maximal verbatim runs shared with an item, in words.
-    A null text has no words; items that are null or without words match nothing; repeated items count once per item
-    id; columns of ``docs`` keep their values, the new names must be free.
+    A null text has no words; items whose text is null or without words match nothing; an item with a null id is searched
+    like any other, only ``n_items`` and ``items_sha256`` leave it out; repeated items count once per item id;
+    columns of ``docs`` keep their values, the new names must be free.
     """
     import pickle
 
@@ -185,8 +186,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str
                 n_hit, upto = 0, 0
                 for a, b in sorted(spans_):
                     n_hit, upto = n_hit + max(0, b - max(a, upto)), max(b, upto)
-                names = sorted({m[0] for m in matches})
-                for k, v in zip(out, (n, n_hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), n_hit > 0, [dict(zip(("item_id", "item_word", "word", "length"), m, strict=True)) for m in sorted(set(matches))]), strict=True):
+                names = sorted({m[0] for m in matches if m[0] is not None})
+                for k, v in zip(out, (n, n_hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), n_hit > 0, [dict(zip(("item_id", "item_word", "word", "length"), m, strict=True)) for m in sorted(set(matches), key=lambda m: (m[0] is not None, m[0] or "", m[1:]))]), strict=True):
                     out[k].append(v)
             match = pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int64()), ("word", pa.int64()), ("length", pa.int64())]))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), match]
