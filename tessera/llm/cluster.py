@@ -49,3 +49,22 @@ def fresh(df: DataFrame, stem: str) -> str:
     while stem in taken:
         stem += "_"
     return stem
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ... in order, so that no name clashes with another, repeated ones included."""
+    return df.toDF(*(f"c{n}" for n in range(len(df.columns))))
+
+
+def renamed(df: DataFrame, before: list[str], added: list[str]) -> DataFrame:
+    """The columns of a ``numbered`` table under their names ``before``, but for those that clash with ``added``, then ``added``."""
+    new = {a.lower() for a in added}
+    kept = [(n, name) for n, name in enumerate(before) if name.lower() not in new]
+    return df.select(*(f"c{n}" for n, _ in kept), *added).toDF(*(name for _, name in kept), *added)
+
+
+def place_of(df: DataFrame, name: str) -> int:
+    """The index of a column, found by its exact name first, then by its name in any case."""
+    if name in df.columns:
+        return df.columns.index(name)
+    return [c.lower() for c in df.columns].index(name.lower())

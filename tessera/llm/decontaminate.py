@@ -17,9 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.cluster import fresh
-from tessera.llm.textblocks import blocks, flat, hashes, lowered, spans
+from tessera.llm.cluster import numbered, place_of, renamed
+from tessera.llm.textblocks import blocks, flat, hashes, lowered, same_bytes, spans
 
 WINDOW = 10
 #: Words of test items in one group; an item is never split.
@@ -30,18 +31,51 @@ WORD = np.zeros(256, bool)
 WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
+class Words:
+    """Distinct words, numbered from 1 in order of their hashes and told apart by their bytes."""
+
+    def __init__(self, words: set[bytes]):
+        listed = sorted(words)
+        size = np.fromiter(map(len, listed), np.int64, len(listed))
+        body = np.frombuffer(b"".join(listed), np.uint8)
+        end = np.cumsum(size)
+        key = hashes(body, end - size, end)
+        order = np.argsort(key, kind="stable")
+        self.body, self.keys, self.at, self.end = body, key[order], (end - size)[order], end[order]
+        #: How many words share a hash at most.
+        self.twins = int(np.unique(key, return_counts=True)[1].max()) if len(key) else 0
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def numbers(self, raw: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """The number of each span's word, 0 for words that aren't here."""
+        out, key = np.zeros(len(begin), np.int64), hashes(raw, begin, stop)
+        if not len(self.keys):
+            return out
+        place = np.searchsorted(self.keys, key)
+        for _ in range(self.twins):
+            spot = np.minimum(place, len(self.keys) - 1)
+            look = np.flatnonzero((out == 0) & (self.keys[spot] == key))
+            own = spot[look]
+            same = same_bytes(raw, begin[look], stop[look], self.body, self.at[own], self.end[own])
+            out[look[same]] = own[same] + 1
+            place += 1
+        return out
+
+
 class TestSet:
     """Windows of a group of test items, as rows of word numbers."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int):
+    def __init__(self, items: list[tuple[str | None, str]], window: int):
         self.window = window
         self.names = [name for name, _ in items]
         raw, starts, ends = flat(pa.array([text for _, text in items], pa.string()))
         raw = lowered(raw)
         begin, stop, row = spans(raw, starts, ends, WORD)
-        key = hashes(raw, begin, stop)
-        self.words = np.unique(key)
-        self.seq = np.searchsorted(self.words, key) + 1
+        body = raw.tobytes()
+        self.words = Words({body[a:b] for a, b in zip(begin.tolist(), stop.tolist(), strict=True)})
+        self.seq = self.words.numbers(raw, begin, stop)
         self.first = np.searchsorted(row, np.arange(len(items) + 1))
         size = np.diff(self.first)
         pairs = self.seq[:-1] * np.int64(len(self.words) + 1) + self.seq[1:]
@@ -79,9 +113,7 @@ def search(tests: TestSet, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray
     """
     raw = lowered(raw)
     begin, stop, row = spans(raw, starts, ends, WORD)
-    key = hashes(raw, begin, stop)
-    at = np.minimum(np.searchsorted(tests.words, key), max(0, len(tests.words) - 1))
-    number = np.where(tests.words[at] == key, at + 1, 0) if len(tests.words) else np.zeros(len(key), np.int64)
+    number = tests.words.numbers(raw, begin, stop)
     # Words of two rows must not form a window: a zero, which no test word has, ends each row.
     seq = np.insert(number, ends_at := np.searchsorted(row, np.arange(1, len(starts) + 1)), 0) if len(starts) else number
     place = np.arange(len(number)) + row  # of each word in seq
@@ -131,71 +163,111 @@ def _grouped(benchmark: DataFrame, item_id: str, text: str):
     yield group
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` with ``n_words, n_hit, n_items, items_sha256, contaminated`` and ``matches``.
+#: Columns that ``hits`` adds, and the state that passes from group to group: covered ranges, items met, matches.
+_MATCH = T.ArrayType(T.StructType([T.StructField("item_id", T.StringType()), *(T.StructField(n, T.LongType()) for n in ("item_word", "word", "length"))]))
+_ADDED = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())]
+_STATE = [T.StructField("words", T.LongType()), *(T.StructField(n, T.ArrayType(T.LongType())) for n in ("lows", "highs")), T.StructField("met", T.ArrayType(T.StringType())), T.StructField("matches", _MATCH)]
+_ARROW_MATCH = pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int64()), ("word", pa.int64()), ("length", pa.int64())]))
+
+
+def _listed(row: np.ndarray, n: int, values) -> pa.Array:
+    """Lists of ``values`` for rows 0 to n - 1; ``row`` says whose each value is, in order."""
+    ends = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), values)
+
+
+def _joined(old, new: pa.Array) -> pa.Array:
+    """Row by row both lists one after the other; ``old`` is None before the first group."""
+    if old is None or not len(new.values):
+        return new if old is None else old
+    a, b = old.value_lengths().to_numpy(zero_copy_only=False), new.value_lengths().to_numpy(zero_copy_only=False)
+    row = np.concatenate([np.repeat(np.arange(len(a)), a), np.repeat(np.arange(len(b)), b)])
+    order = np.argsort(row, kind="stable")
+    return _listed(row[order], len(a), pa.concat_arrays([old.flatten(), new.flatten()]).take(pa.array(order)))
+
+
+def _looked(tests: TestSet, text: pa.Array, old: dict | None, with_matches: bool) -> list[pa.Array]:
+    """The columns of _STATE after searching one group of items in the texts of a block."""
+    rows = len(text)
+    counts, _, _, seq, found = search(tests, *flat(text))
+    begin = np.cumsum(counts + 1) - (counts + 1)  # of each row in seq
+    mark = np.zeros(len(seq) + 1, np.int32)
+    met, matches = [np.zeros(0, np.int64)], []
+    for n, where, which in found:
+        np.add.at(mark, where, 1)
+        np.add.at(mark, np.minimum(where + n, len(seq)), -1)
+        of = np.searchsorted(begin, where, "right") - 1
+        _, start, _, item = next(x[1:] for x in tests.by_length if x[0] == n)
+        once = np.unique(of * np.int64(len(start)) + which)
+        row, key = once // len(start), once % len(start)
+        size = start[key + 1] - start[key]
+        met.append(np.unique(np.repeat(row, size) * np.int64(len(tests.names)) + item[np.repeat(start[key] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]))
+        if with_matches:
+            matches += _maximal(tests, n, where, which, of, begin, seq)
+    covered = np.cumsum(mark[:-1]) > 0
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], covered.view(np.int8), [0]])))
+    low, high = edge[::2], edge[1::2]
+    of = np.searchsorted(begin, low, "right") - 1
+    pair = np.unique(np.concatenate(met))
+    pair = pair[[tests.names[i] is not None for i in (pair % len(tests.names)).tolist()]] if len(pair) else pair
+    names = pa.array([tests.names[i] for i in (pair % max(1, len(tests.names))).tolist()], pa.string())
+    matches.sort(key=lambda m: m[0])
+    listed = pa.array([dict(zip(("item_id", "item_word", "word", "length"), m[1:], strict=True)) for m in matches], _ARROW_MATCH.value_type)
+    new = [
+        _listed(of, rows, pa.array(low - begin[of])), _listed(of, rows, pa.array(high - begin[of])),
+        _listed(pair // max(1, len(tests.names)), rows, names), _listed(np.array([m[0] for m in matches], np.int64), rows, listed),
+    ]
+    return [pa.array(counts), *(_joined(old and old[k], x) for k, x in zip(("lows", "highs", "met", "matches"), new, strict=True))]
+
+
+def _finished(batch: pa.RecordBatch, with_matches: bool) -> list[pa.Array]:
+    """The columns of _ADDED, and ``matches`` if asked for, from those of _STATE."""
+    out: list[list] = [[], [], [], []]
+    for low, high, met in zip(*(batch.column(k).to_pylist() for k in ("lows", "highs", "met")), strict=True):
+        n_hit, upto = 0, 0
+        for a, b in sorted(zip(low, high, strict=True)):
+            n_hit, upto = n_hit + max(0, b - max(a, upto)), max(b, upto)
+        names = sorted(set(met))
+        for k, v in zip(out, (n_hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), n_hit > 0), strict=True):
+            k.append(v)
+    columns = [batch.column("words"), *(pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True))]
+    if with_matches:
+        rank = lambda m: (m["item_id"] is not None, m["item_id"] or "", m["item_word"], m["word"], m["length"])
+        columns.append(pa.array([sorted({rank(m): m for m in own}.values(), key=rank) for own in batch.column("matches").to_pylist()], _ARROW_MATCH))
+    return columns
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item_id: str = "item_id", item_text: str = "text", matches: bool = True) -> DataFrame:
+    """``docs`` with ``n_words, n_hit, n_items, items_sha256, contaminated`` and, unless told otherwise, ``matches``.
 
     ``matches`` lists (item_id, item_word, word, length): the maximal verbatim runs shared with an item, in words.
     A null text has no words; items whose text is null or without words match nothing; an item with a null id is searched
     like any other, only ``n_items`` and ``items_sha256`` leave it out; repeated items count once per item id;
-    columns of ``docs`` keep their values, the new names must be free.
+    columns of ``docs`` keep their values, but one that has the name of a new column gives way to it.
     """
-    import pickle
-
-    first = True
-    state = fresh(docs, "state")
-    rows = docs.withColumn(state, F.lit(None).cast("binary"))
+    before, rows = docs.columns, numbered(docs)
+    body = f"c{place_of(docs, text)}"
+    rows = rows.withColumn(body, F.col(body).cast("string"))
+    own_fields = list(rows.schema.fields)
+    state, first = T.StructType([*own_fields, *_STATE]), True
     for group in _grouped(benchmark, item_id, item_text):
-        broadcast = docs.sparkSession.sparkContext.broadcast(TestSet(group, window))
+        broadcast = docs.sparkSession.sparkContext.broadcast(TestSet(group, window))  # GROUP_WORDS words at about
 
         def look(batches, tests=broadcast, first=first):
-            own = tests.value
-            for batch in blocks(batches, text):
-                counts, row, place, seq, found = search(own, *flat(batch.column(text)))
-                begin = np.cumsum(counts + 1) - (counts + 1)  # of each row in seq
-                mark = np.zeros(len(seq) + 1, np.int32)
-                met: list[tuple] = []
-                for n, where, which in found:
-                    np.add.at(mark, where, 1)
-                    np.add.at(mark, np.minimum(where + n, len(seq)), -1)
-                    of = np.searchsorted(begin, where, "right") - 1
-                    met += _maximal(own, n, where, which, of, begin, seq)
-                covered = np.cumsum(mark[:-1]) > 0
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], covered.view(np.int8), [0]])))
-                lows, highs = edge[::2], edge[1::2]
-                of = np.searchsorted(begin, lows, "right") - 1
-                ranges: dict[int, list] = {}
-                for r, a, b in zip(of.tolist(), lows.tolist(), highs.tolist(), strict=True):
-                    ranges.setdefault(r, []).append((a - int(begin[r]), b - int(begin[r])))
-                items: dict[int, list] = {}
-                for r, *match in met:
-                    items.setdefault(r, []).append(tuple(match))
-                old = batch.column(state).to_pylist()
-                new = []
-                for r, before in enumerate(old):
-                    n, spans_, matches = (int(counts[r]), [], []) if before is None else pickle.loads(before)
-                    new.append(pickle.dumps((n, spans_ + ranges.get(r, []), matches + items.get(r, []))) if first or r in ranges or before is None else before)
-                yield batch.set_column(batch.schema.get_field_index(state), state, pa.array(new, pa.binary()))
-
-        rows, first = rows.mapInArrow(look, rows.schema), False
+            for batch in blocks(batches, body):
+                old = None if first else {f.name: batch.column(f.name) for f in _STATE}
+                kept = batch.columns[: len(own_fields)]
+                yield pa.RecordBatch.from_arrays([*kept, *_looked(tests.value, batch.column(body), old, matches)], state.names)
+
+        rows, first = rows.mapInArrow(look, state), False
+    added = [*_ADDED, *([T.StructField("matches", _MATCH)] if matches else [])]
 
     def finish(batches):
         for batch in batches:
-            out = {"n_words": [], "n_hit": [], "n_items": [], "items_sha256": [], "contaminated": [], "matches": []}
-            for body in batch.column(state).to_pylist():
-                n, spans_, matches = pickle.loads(body)
-                n_hit, upto = 0, 0
-                for a, b in sorted(spans_):
-                    n_hit, upto = n_hit + max(0, b - max(a, upto)), max(b, upto)
-                names = sorted({m[0] for m in matches if m[0] is not None})
-                for k, v in zip(out, (n, n_hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), n_hit > 0, [dict(zip(("item_id", "item_word", "word", "length"), m, strict=True)) for m in sorted(set(matches), key=lambda m: (m[0] is not None, m[0] or "", m[1:]))]), strict=True):
-                    out[k].append(v)
-            match = pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int64()), ("word", pa.int64()), ("length", pa.int64())]))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), match]
-            left = batch.drop_columns([state])
-            yield pa.RecordBatch.from_arrays([*left.columns, *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))], [*left.schema.names, *out])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return rows.mapInArrow(finish, f"{fields}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, matches array<struct<item_id string, item_word long, word long, length long>>")
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(own_fields)], *_finished(batch, matches)], [*(f.name for f in own_fields), *(f.name for f in added)])
+
+    return renamed(rows.mapInArrow(finish, T.StructType([*own_fields, *added])), before, [f.name for f in added])
 
 
 def _maximal(tests: TestSet, n: int, where: np.ndarray, which: np.ndarray, of: np.ndarray, begin: np.ndarray, seq: np.ndarray) -> list[tuple]:
@@ -217,9 +289,6 @@ def _maximal(tests: TestSet, n: int, where: np.ndarray, which: np.ndarray, of: n
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold a window of a test item; columns unchanged."""
-    added = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "matches"]
-    apart = docs.select(*(F.col(c).alias(f"c{n}") for n, c in enumerate(docs.columns)))
-    at = f"c{docs.columns.index(text)}"
-    kept = hits(apart, benchmark, window, text=at).filter("NOT contaminated").drop(*added)
-    return kept.select(*(F.col(f"c{n}").alias(c) for n, c in enumerate(docs.columns)))
+    """``docs`` without the documents that hold a window of a test item; columns unchanged, whatever their names."""
+    kept = hits(numbered(docs), benchmark, window, text=f"c{place_of(docs, text)}", matches=False).filter("NOT contaminated")
+    return kept.drop(*(f.name for f in _ADDED)).toDF(*docs.columns)

@@ -8,8 +8,11 @@ them all holds the symbol in every text it occurs in.
 
 Texts are dealt into shards by ranges of their id. Per shard the distinct high-level symbols go to buckets by hash,
 and each bucket answers which of them another document has too. Only windows whose symbols are all shared can repeat;
-their exact hashes go to buckets in turn, and each bucket answers which of them a shard of smaller ids has. Both
+their digests go to buckets in turn, and each bucket answers which of them a shard of smaller ids has. Both
 answers are one bit per symbol or window. A window without a decided symbol counts as shared, so nothing is lost.
+
+Symbols only filter and are named by 64 bits. Windows decide: words have two independent 64-bit names, and a window's
+digest mixes each chain of names by itself, 128 bits that no arrangement of words or letters is known to equate.
 """
 
 from __future__ import annotations
@@ -110,7 +113,7 @@ class Shard:
         self.ids, self.window = ids[order], window
         self.raw, self.starts, self.ends = flat(self.table.column("text"))
         self.begin, self.stop, self.row = spans(self.raw, self.starts, self.ends, _NOT_SPACE)
-        self.names = hashes(self.raw, self.begin, self.stop)
+        self.names, self.second = hashes(self.raw, self.begin, self.stop, 2)
         #: First words of windows.
         n = len(self.names)
         self.at = np.flatnonzero(self.row[: n - window + 1] == self.row[window - 1 :]) if n >= window else np.zeros(0, np.int64)
@@ -137,15 +140,10 @@ class Shard:
         return self.at[np.cumsum(mark)[self.at] == 0]
 
     def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct windows among those at ``at`` in order (two words of hash each) and the place of each window's."""
-        wide = [mix(self.names), mix(self.names ^ np.uint64(0x5851F42D4C957F2D))]
-        total = []
-        for names, base in zip(wide, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), strict=True):
-            code = np.zeros(len(at), np.uint64)
-            for k in range(self.window):
-                code = code * np.uint64(base) + names[at + k]
-            total.append(mix(code))
-        one, two = total[0], total[1] >> np.uint64(32)
+        """Distinct windows among those at ``at`` in order (digests of two numbers) and the place of each window's."""
+        one, two = np.full(len(at), 0x452821E638D01377, np.uint64), np.full(len(at), 0xBE5466CF34E90C6C, np.uint64)
+        for k in range(self.window):
+            one, two = mix(one ^ self.names[at + k]), mix(two ^ self.second[at + k])
         order = np.lexsort((two, one))
         new = np.append(True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])) if len(order) else np.zeros(0, bool)
         place = np.empty(len(order), np.int64)
@@ -238,15 +236,15 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, text: str = "text", d
         parsed, keys, place_ = shard.symbols()
         at = shard.candidates(parsed, place_, keys, _answers(answers, 0, _cuts(keys, 8 * _SYMBOL_BYTES, buckets)))
         one, two, _ = shard.windows(at)
-        pack = lambda a, b: one[a:b].astype("<u8").tobytes() + two[a:b].astype("<u4").tobytes()
+        pack = lambda a, b: one[a:b].astype("<u8").tobytes() + two[a:b].astype("<u8").tobytes()
         return _blobs(texts.column("shard")[0].as_py(), 1, _cuts(one, 64, buckets), pack)
 
     def answer_windows(table: pa.Table) -> pa.Table:
         """For each shard's windows in this bucket: does a shard of smaller ids have it?"""
         blobs = table.column("blob").to_pylist()
-        size = np.array([len(b) // 12 for b in blobs])
+        size = np.array([len(b) // 16 for b in blobs])
         one = np.concatenate([np.frombuffer(b, "<u8", n) for b, n in zip(blobs, size.tolist(), strict=True)])
-        two = np.concatenate([np.frombuffer(b, "<u4", n, 8 * n) for b, n in zip(blobs, size.tolist(), strict=True)])
+        two = np.concatenate([np.frombuffer(b, "<u8", n, 8 * n) for b, n in zip(blobs, size.tolist(), strict=True)])
         shard = np.repeat(table.column("shard").to_numpy(), size)
         order = np.lexsort((shard, two, one))
         again = np.append(False, (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1]))

@@ -19,11 +19,13 @@ BLOCK_BYTES = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-_rng = np.random.default_rng(20240117)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
+#: Spans beyond so many bytes are hashed one by one.
+LONG = 256
+#: Lower bytes of a little-endian word of eight.
+_LOWER = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Odd multipliers, and starts, of the independent hashes.
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+_START = np.array([0x243F6A8885A308D3, 0x13198A2E03707344], np.uint64)
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
@@ -88,15 +90,6 @@ def spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, inside: np.ndar
     return begin, stop, np.searchsorted(starts, begin, "right") - 1
 
 
-def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        grown = np.full(max(n, BLOCK_BYTES // 2), base, np.uint64)
-        grown[0] = 1
-        have = _powers[name] = np.multiply.accumulate(grown)
-    return have[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser over unsigned 64-bit integers."""
     x = x ^ (x >> np.uint64(32))
@@ -106,17 +99,60 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def hashes(raw: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes: a polynomial over the ring of 64-bit integers, finalised."""
-    n = len(raw)
-    if not len(begin):
-        return np.zeros(0, np.uint64)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * _power("up", _BASE, n), out=total[1:])
-    value = (total[stop] - total[begin]) * _power("down", _INVERSE, n)[begin]
-    if n > 4 * BLOCK_BYTES:
-        _powers.clear()
-    return mix(value + (stop - begin).astype(np.uint64))
+def _eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position as one number, little-endian; zeros beyond the end."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray((len(raw) + 1,), "<u8", padded, 0, (1,))
+
+
+def hashes(raw: np.ndarray, begin: np.ndarray, stop: np.ndarray, lanes: int = 1):
+    """A 64-bit hash of each span of bytes; with two ``lanes`` two independent ones as a list.
+
+    Eight bytes at a time are mixed into a state that depends on all before, so no repetitive texts cancel out.
+    Results must still not rest on one lane alone: ``same_bytes`` confirms, or both lanes are asked for.
+    """
+    size = stop - begin
+    out = [mix(_START[k] + size.astype(np.uint64) * _ODD[k]) for k in range(lanes)]
+    if len(begin):
+        words = _eights(raw)
+        usual = size <= LONG
+        own = None if usual.all() else np.flatnonzero(usual)
+        at, left = (begin, size) if own is None else (begin[own], size[own])
+        while len(at):
+            piece = words[at] & _LOWER[np.minimum(left, 8)]
+            for k in range(lanes):
+                if own is None:
+                    out[k] = mix(out[k] ^ (piece * _ODD[k]))
+                else:
+                    out[k][own] = mix(out[k][own] ^ (piece * _ODD[k]))
+            more = np.flatnonzero(left > 8)
+            own, at, left = (more if own is None else own[more]), at[more] + 8, left[more] - 8
+        for n in np.flatnonzero(~usual).tolist():
+            import xxhash
+
+            digest = xxhash.xxh3_128_intdigest(raw[begin[n] : stop[n]].tobytes())
+            for k in range(lanes):
+                out[k][n] = digest >> (64 * k) & 0xFFFFFFFFFFFFFFFF
+    return out[0] if lanes == 1 else out
+
+
+def same_bytes(raw: np.ndarray, begin: np.ndarray, stop: np.ndarray, other: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether each span of ``raw`` holds the same bytes as the span [at, end) of ``other`` in its place."""
+    size = stop - begin
+    same = size == end - at
+    one, two = _eights(raw), _eights(other)
+    usual = same & (size <= LONG)
+    own = np.flatnonzero(usual)
+    a, b, left = begin[own], at[own], size[own]
+    while len(own):
+        differ = ((one[a] ^ two[b]) & _LOWER[np.minimum(left, 8)]) != 0
+        same[own[differ]] = False
+        more = np.flatnonzero((left > 8) & ~differ)
+        own, a, b, left = own[more], a[more] + 8, b[more] + 8, left[more] - 8
+    for n in np.flatnonzero(same & ~usual).tolist():
+        same[n] = raw[begin[n] : stop[n]].tobytes() == other[at[n] : end[n]].tobytes()
+    return same
 
 
 def lowered(raw: np.ndarray) -> np.ndarray:

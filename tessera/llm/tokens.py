@@ -3,7 +3,9 @@
 The vocabulary file splits texts at white space and between letters and other characters before it merges
 anything, so the ids of a text are the ids of its pieces, one after the other. Pieces are cut here at ASCII white
 space and between an ASCII letter and an ASCII sign other than the apostrophe; each distinct piece goes through the
-library once per worker. Texts that may hold a special token's string go through the library as they are.
+library once per worker, and is known again by its bytes: hashes only say where to look. Texts that may hold a special
+token's string, or a piece whose hash another piece has, go through the library as they are, and so do all texts where
+the vocabulary file normalises or splits otherwise than ``NORMAL`` and ``SPLIT`` say.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from unicodedata import normalize
 import numpy as np
 import pyarrow as pa
 
-from tessera.llm.textblocks import SPACE, gather, hashes
+from tessera.llm.textblocks import SPACE, gather, hashes, same_bytes
 
 #: Pieces that a worker remembers; beyond it the memory is emptied and filled anew.
 REMEMBERED = 1_500_000
@@ -27,6 +29,16 @@ _SIGN = np.zeros(256, bool)
 _SIGN[[*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
 
+# How a vocabulary file must normalise and split for its texts to be encoded piece by piece.
+NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
 #: Bytes of text that are encoded at once: pieces repeat more in larger blocks.
 BLOCK_BYTES = 2 << 20
 
@@ -54,10 +66,13 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         bare = json.loads(self.library.to_str())
+        special = [t["content"] for t in bare["added_tokens"]]
+        #: Whether pieces may be encoded apart from each other.
+        self.by_piece = bare["normalizer"] == NORMAL and bare["pre_tokenizer"] == SPLIT and not (bare["truncation"] or bare["padding"]) and all(t.startswith("<|") for t in special)
         bare["normalizer"] = None
         bare["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
         #: The same merges without normalising and splitting, for single runs of letters in normal form.
-        self.letters = Tokenizer.from_str(json.dumps(bare))
+        self.letters = Tokenizer.from_str(json.dumps(bare)) if self.by_piece else None
         self._empty()
 
     @classmethod
@@ -72,6 +87,9 @@ class Encoder:
         self.known = 0
         self.begin, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(4096, np.uint16), 0
+        #: The bytes of known pieces, one after the other, and where each begins and ends.
+        self.body, self.written = np.zeros(4096, np.uint8), 0
+        self.body_at, self.body_end = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
 
     def _learn(self, pieces: list[bytes]) -> None:
         words = [p.lower().decode() if p.isascii() else p.decode() for p in pieces]
@@ -92,7 +110,15 @@ class Encoder:
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while self.known + len(pieces) > len(self.begin):
-            self.begin, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length))
+            self.begin, self.length, self.body_at, self.body_end = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length, self.body_at, self.body_end))
+        whole = np.frombuffer(b"".join(pieces), np.uint8)
+        while self.written + len(whole) > len(self.body):
+            self.body = np.concatenate([self.body, np.zeros_like(self.body)])
+        self.body[self.written : self.written + len(whole)] = whole
+        bytes_ = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self.body_end[self.known : self.known + len(pieces)] = self.written + np.cumsum(bytes_)
+        self.body_at[self.known : self.known + len(pieces)] = self.written + np.cumsum(bytes_) - bytes_
+        self.written += len(whole)
         self.flat[self.used : self.used + len(flat)] = flat
         self.begin[self.known : self.known + len(pieces)] = self.used + np.cumsum(sizes) - sizes
         self.length[self.known : self.known + len(pieces)] = sizes
@@ -104,6 +130,8 @@ class Encoder:
         counts = np.zeros(len(starts), np.int64)
         if not len(raw):
             return np.zeros(0, np.uint32), counts
+        if not self.by_piece:
+            return self._whole(raw, starts, ends, np.zeros(0, np.uint32), counts, np.arange(len(starts)))
         begin, stop = _pieces(raw, starts, ends)
         key = hashes(raw, begin, stop).view(np.int64)
         coded = pa.array(key).dictionary_encode()
@@ -131,12 +159,13 @@ class Encoder:
         ids = self.flat[gather(self.begin[slot], length)].astype(np.uint32)
         upto = np.concatenate([[0], np.cumsum(length)])
         counts = np.diff(upto[np.searchsorted(begin, np.append(starts, len(raw)))])
-        return self._special(raw, starts, ends, ids, counts)
+        # Texts with ``<|`` may hold a special token's string; a piece with another's hash has ids of its own.
+        other = begin[~same_bytes(raw, begin, stop, self.body, self.body_at[slot], self.body_end[slot])]
+        hit = np.concatenate([np.flatnonzero((raw[:-1] == 0x3C) & (raw[1:] == 0x7C)), other])
+        return self._whole(raw, starts, ends, ids, counts, np.unique(np.searchsorted(starts, hit, "right") - 1) if len(hit) else hit)
 
-    def _special(self, raw, starts, ends, ids, counts):
-        """Texts with ``<|`` may hold a special token's string: the library alone decides there."""
-        hit = np.flatnonzero((raw[:-1] == 0x3C) & (raw[1:] == 0x7C))
-        rows = np.unique(np.searchsorted(starts, hit, "right") - 1) if len(hit) else hit
+    def _whole(self, raw, starts, ends, ids, counts, rows):
+        """The ids with those of ``rows`` as the library gives them for the whole texts."""
         if not len(rows):
             return ids, counts
         parts, done, at = [], 0, np.concatenate([[0], np.cumsum(counts)])
