@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.cluster import fresh, shared_dir
+from tessera.llm.exact_dedup import split_join
 from tessera.llm.textblocks import blocks
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -188,13 +189,13 @@ def _connected(stars: DataFrame) -> DataFrame:
     labels = members.select("fp").distinct().select("fp", F.col("fp").alias("root")).checkpoint()
     while True:
         of_star = members.join(labels, "fp").groupBy("star").agg(F.min("root").alias("root")).checkpoint()
-        new = members.join(of_star, "star").groupBy("fp").agg(F.min("root").alias("low"))
+        new = split_join(members, of_star, "star").groupBy("fp").agg(F.min("root").alias("low"))
         step = labels.join(new, "fp").select("fp", "root", "low").checkpoint()
         if step.filter("low <> root").isEmpty():
             return labels
         # Jump over the root's own label, so that long chains shorten.
         jump = step.select(F.col("fp").alias("low"), F.col("low").alias("next"))
-        labels = step.select("fp", "low").join(jump, "low").select("fp", F.col("next").alias("root")).checkpoint()
+        labels = split_join(step.select("fp", "low"), jump, "low").select("fp", F.col("next").alias("root")).checkpoint()
 
 
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, within: int = RADIUS) -> DataFrame:
@@ -211,8 +212,8 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shin
     roots = _connected(_stars(points, points.count(), within))
     named = points.join(roots, "fp", "left").select("fp", "low", "rows", F.coalesce("root", "fp").alias("root")).checkpoint()
     whole = named.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("rows").alias("total")).checkpoint()
-    classes = named.select("fp", "root").join(whole, "root").select("fp", "component_id", "total").checkpoint()
-    found = own.join(classes, "fp")
+    classes = split_join(named.select("fp", "root"), whole, "root").select("fp", "component_id", "total").checkpoint()
+    found = split_join(own, classes, "fp")
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", (F.col("total") - 1).alias("n_links"))
 
 

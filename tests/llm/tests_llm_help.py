@@ -8,7 +8,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from tessera.llm import similar
 from tessera.llm.tokens import Encoder, default_tokenizer
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -60,9 +59,12 @@ def brute_hits(text, items, window):
     return len(words), len(hit), len(met), hashlib.sha256(",".join(sorted(met)).encode()).hexdigest(), bool(hit)
 
 
-def brute_near(rows, within, similarity):
+def brute_near(rows, similarity=0.8):
     """The smallest id of each row's component, in order of the rows."""
-    found = [similar.wide_fingerprint(t) for _, t in rows]
+    sets = []
+    for _, text in rows:
+        words = (text or "").lower().split()
+        sets.append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
     label = list(range(len(rows)))
 
     def find(x):
@@ -70,10 +72,10 @@ def brute_near(rows, within, similarity):
             x = label[x]
         return x
 
-    for i, (a, n) in enumerate(found):
+    for i, a in enumerate(sets):
         for j in range(i):
-            b, m = found[j]
-            if min(n, m) >= max(n, m) * similarity - 1e-9 and int(np.bitwise_count(a ^ b).sum()) <= within:
+            b = sets[j]
+            if a == b or 10 * len(a & b) >= round(10 * similarity) * len(a | b) > 0:
                 label[find(i)] = find(j)
     low = {}
     for i, (d, _) in enumerate(rows):
