@@ -17,29 +17,29 @@ class BadProfile(ValueError):
 LARGEST = 64 << 20
 
 # Where the standard puts header fields, which bits of them it defines, and what they may hold.
-CLASSES = "scnr mntr prtr link spac abst nmcl".split()
+CLASSES = ("scnr", "mntr", "prtr", "link", "spac", "abst", "nmcl")
 SPACES = ["XYZ ", "Lab ", "Luv ", "YCbr", "Yxy ", "RGB ", "GRAY", "HSV ", "HLS ", "CMYK", "CMY ", *(f"{d}CLR" for d in "23456789ABCDEF")]
 CONNECTIONS = ["XYZ ", "Lab "]
 MASKS = {44: (4, 0x3), 56: (8, 0xF), 64: (4, 0xFFFF)}
 ILLUMINANT = (0xF6D6, 0x10000, 0xD32D)
 NEUTRAL_DATE = (2000, 1, 1, 0, 0, 0)
 # Tags that describe a profile's origin or a display, and go.
-ORIGIN = "desc cprt dmnd dmdd dscm vued calt targ meta pseq psid mmod devs scrd crdi ndin vcgt vcgp".split()
+ORIGIN = ("desc", "cprt", "dmnd", "dmdd", "dscm", "vued", "calt", "targ", "meta", "pseq", "psid", "mmod", "devs", "scrd", "crdi", "ndin", "vcgt", "vcgp")
 # Colour tags with the types they may have.
 TYPES = {
-    **dict.fromkeys("rXYZ gXYZ bXYZ wtpt bkpt lumi".split(), ["XYZ "]),
-    **dict.fromkeys("rTRC gTRC bTRC kTRC".split(), ["curv", "para"]),
-    **dict.fromkeys("aarg aagg aabg".split(), ["para"]),
-    **dict.fromkeys("tech rig0 rig2 ciis".split(), ["sig "]),
-    **dict.fromkeys("A2B0 A2B1 A2B2".split(), ["mft1", "mft2", "mAB "]),
-    **dict.fromkeys("B2A0 B2A1 B2A2".split(), ["mft1", "mft2", "mBA "]),
-    **dict.fromkeys("pre0 pre1 pre2 gamt".split(), ["mft1", "mft2", "mAB ", "mBA "]),
+    **dict.fromkeys(("rXYZ", "gXYZ", "bXYZ", "wtpt", "bkpt", "lumi"), ["XYZ "]),
+    **dict.fromkeys(("rTRC", "gTRC", "bTRC", "kTRC"), ["curv", "para"]),
+    **dict.fromkeys(("aarg", "aagg", "aabg"), ["para"]),
+    **dict.fromkeys(("tech", "rig0", "rig2", "ciis"), ["sig "]),
+    **dict.fromkeys(("A2B0", "A2B1", "A2B2"), ["mft1", "mft2", "mAB "]),
+    **dict.fromkeys(("B2A0", "B2A1", "B2A2"), ["mft1", "mft2", "mBA "]),
+    **dict.fromkeys(("pre0", "pre1", "pre2", "gamt"), ["mft1", "mft2", "mAB ", "mBA "]),
     "chad": ["sf32"], "chrm": ["chrm"], "cicp": ["cicp"], "view": ["view"], "meas": ["meas"],
 }
 # Signatures that signature tags may hold.
 LISTED = {
     "tech": ["fscn", "dcam", "rscn", "ijet", "twax", "epho", "esta", "dsub", "rpho", "fprn", "vidm", "vidc", "pjtv", "CRT ", "PMD ", "AMD ", "KPCD", "imgs", "grav", "offs", "silk", "flex", "mpfs", "mpfr", "dmpc", "dcpj"],
-    "ciis": "scoe sape fpce rhoc rpoc".split(),
+    "ciis": ("scoe", "sape", "fpce", "rhoc", "rpoc"),
     "rig0": ["prmg"],
     "rig2": ["prmg"],
 }

@@ -17,14 +17,57 @@ def multiset_diff(now: DataFrame, then: DataFrame) -> DataFrame:
 def equal_sequences(rows: DataFrame, key: str, order: list[str], values: list[str]) -> DataFrame:
     """``key, twin``: every key with the smallest other key that has an equal sequence of values in order.
 
-    Sequences are compared by value after grouping; a group's keys aren't paired with each other.
+    Only a SHA-256 of each sequence, with the type and length of every value told apart, is grouped and joined; a group's
+    keys aren't paired with each other: its two smallest are found by one aggregate.
     """
     sequence = F.transform(F.array_sort(F.collect_list(F.struct(*order, *values))), lambda x: F.struct(*(x[v].alias(v) for v in values)))
-    whole = rows.groupBy(key).agg(sequence.alias("sequence"))
-    groups = whole.groupBy("sequence").agg(F.min(key).alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    seconds = whole.join(groups, "sequence").filter(F.col(key) > F.col("low")).groupBy("sequence").agg(F.min(key).alias("second"))
+    whole = rows.groupBy(key).agg(F.unhex(F.sha2(F.to_json(sequence), 256)).alias("digest"))
+    low = whole.groupBy("digest").agg(F.min(key).alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    grouped = whole.join(low, "digest")
+    seconds = grouped.filter(F.col(key) > F.col("low")).groupBy("digest").agg(F.min(key).alias("second"))
     twin = F.when(F.col(key) == F.col("low"), F.col("second")).otherwise(F.col("low"))
-    return whole.join(groups, "sequence").join(seconds, "sequence").select(key, twin.alias("twin"))
+    return grouped.join(seconds, "digest").select(key, twin.alias("twin"))
+
+
+def zipped(one: DataFrame, two: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
+    """Rows of both tables paired by their place in order within ``keys``: ``keys, place`` (from 0) and each value of both.
+
+    The columns of values are ``<name>_one`` and ``<name>_two``; where one side is longer the other's are null and
+    ``missing`` says which side lacks the row (``one``, ``two`` or null).
+    """
+    sides = []
+    for name, side in (("one", one), ("two", two)):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+        sides.append(side.withColumn("place", place).select(*keys, "place", F.lit(True).alias(f"in_{name}"), *(F.col(v).alias(f"{v}_{name}") for v in values)))
+    missing = F.when(F.col("in_one").isNull(), "one").when(F.col("in_two").isNull(), "two")
+    return sides[0].join(sides[1], [*keys, "place"], "full").withColumn("missing", missing).drop("in_one", "in_two")
+
+
+def pairwise_unequal(one: DataFrame, two: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
+    """The ``keys`` whose rows differ somewhere when paired in order, in number or in a value."""
+    differs = F.col("missing").isNotNull()
+    for v in values:
+        differs = differs | ~F.col(f"{v}_one").eqNullSafe(F.col(f"{v}_two"))
+    return zipped(one, two, keys, order, values).filter(differs).select(*keys).distinct()
+
+
+def coalesced(first: DataFrame, then: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows of both lists with each combination of ``keys`` once: the earliest of ``first`` wins, then that of ``then``."""
+    ranked = first.withColumn("list_rank", F.lit(0)).unionByName(then.withColumn("list_rank", F.lit(1)))
+    best = F.row_number().over(Window.partitionBy(*keys).orderBy("list_rank", *order))
+    return ranked.withColumn("best", best).filter("best = 1").drop("best", "list_rank")
+
+
+def set_relations(one: DataFrame, two: DataFrame, key: str, value: str) -> DataFrame:
+    """``key, shared, only_one, only_two``: how the sets of values of each key on both sides relate.
+
+    One pass over the distinct values of both sides; subset, superset, equality and intersection follow from the counts.
+    Nulls are values like any other.
+    """
+    both = one.select(key, value).distinct().withColumn("side", F.lit(1)).unionByName(two.select(key, value).distinct().withColumn("side", F.lit(2)))
+    sides = both.groupBy(key, value).agg(F.sum("side").alias("sides"))
+    count = lambda n: F.sum(F.when(F.col("sides") == n, 1).otherwise(0))
+    return sides.groupBy(key).agg(count(3).alias("shared"), count(1).alias("only_one"), count(2).alias("only_two"))
 
 
 def against_baseline(run: DataFrame, baseline: DataFrame, key: str, status: str) -> DataFrame:

@@ -2,28 +2,35 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.lineage import shared_folder
+
+
+#: Levels that are kept apart before they are written as one table.
+LEVELS_APART = 16
+
 
 def closure(edges: DataFrame, seeds: DataFrame, levels: int = 10_000) -> DataFrame:
     """``node``: the seeds and everything reachable along ``edges`` (``origin``, ``target``); cycles end by themselves.
 
-    Each level joins only the nodes that are new, and cuts lineage with a checkpoint.
+    Each level joins only the nodes that are new and is written once; what was seen is the union of the levels, which
+    are written as one table only every LEVELS_APART levels.
     """
-    context = edges.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        import tempfile
-
-        context.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+    shared_folder(edges.sparkSession)
     fresh = seeds.select("node").distinct().checkpoint()
-    seen = fresh
+    parts = [fresh]
     for _ in range(levels):
         if fresh.isEmpty():
-            return seen
+            return reduce(DataFrame.unionByName, parts)
         targets = edges.join(fresh, F.col("origin") == F.col("node"), "left_semi").select(F.col("target").alias("node")).distinct()
-        fresh = targets.join(seen, "node", "left_anti").checkpoint()
-        seen = seen.unionByName(fresh).checkpoint()
+        fresh = targets.join(reduce(DataFrame.unionByName, parts), "node", "left_anti").checkpoint()
+        parts.append(fresh)
+        if len(parts) > LEVELS_APART:
+            parts = [reduce(DataFrame.unionByName, parts).checkpoint()]
     raise ValueError(f"references go deeper than {levels} levels")
 
 

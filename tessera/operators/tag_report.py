@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from tessera.functions.hdr import ADOBE, APPLE, NUMBERS, PIXELS, WORDS, is_plain_number
 
 # Groups that are private as a whole, groups that are never looked at, and tags by what they mean.
-PRIVATE_GROUPS = "XMP IPTC MakerNotes Photoshop GPS PLIST".split()
-PASSED_GROUPS = "SourceFile ExifTool ICC_Profile Composite".split()
-DISPLAY_TAGS = "Orientation ColorSpace Gamma InteropIndex ExifVersion FlashpixVersion ComponentsConfiguration YCbCrPositioning XResolution YResolution ResolutionUnit".split()
+PRIVATE_GROUPS = ("XMP", "IPTC", "MakerNotes", "Photoshop", "GPS", "PLIST")
+PASSED_GROUPS = ("SourceFile", "ExifTool", "ICC_Profile", "Composite")
+DISPLAY_TAGS = ("Orientation", "ColorSpace", "Gamma", "InteropIndex", "ExifVersion", "FlashpixVersion", "ComponentsConfiguration", "YCbCrPositioning", "XResolution", "YResolution", "ResolutionUnit")
 TIFF_TAGS = (
-    "ImageWidth ImageHeight BitsPerSample Compression PhotometricInterpretation Thresholding FillOrder StripOffsets SamplesPerPixel RowsPerStrip "
-    "StripByteCounts PlanarConfiguration T4Options T6Options Group3Options Group4Options PageNumber TransferFunction WhitePoint PrimaryChromaticities "
-    "ColorMap HalftoneHints TileWidth TileLength TileOffsets TileByteCounts ExtraSamples SampleFormat SMinSampleValue SMaxSampleValue MinSampleValue "
-    "MaxSampleValue JPEGTables JPEGProc YCbCrCoefficients YCbCrSubSampling ReferenceBlackWhite Predictor InkSet NumberofInks DotRange TransferRange "
-    "SubfileType OldSubfileType GrayResponseUnit GrayResponseCurve PreviewImageStart PreviewImageLength PreviewImage"
-).split()
+    "ImageWidth", "ImageHeight", "BitsPerSample", "Compression", "PhotometricInterpretation", "Thresholding", "FillOrder", "StripOffsets",
+    "SamplesPerPixel", "RowsPerStrip", "StripByteCounts", "PlanarConfiguration", "T4Options", "T6Options", "Group3Options", "Group4Options",
+    "PageNumber", "TransferFunction", "WhitePoint", "PrimaryChromaticities", "ColorMap", "HalftoneHints", "TileWidth", "TileLength", "TileOffsets",
+    "TileByteCounts", "ExtraSamples", "SampleFormat", "SMinSampleValue", "SMaxSampleValue", "MinSampleValue", "MaxSampleValue", "JPEGTables",
+    "JPEGProc", "YCbCrCoefficients", "YCbCrSubSampling", "ReferenceBlackWhite", "Predictor", "InkSet", "NumberofInks", "DotRange", "TransferRange",
+    "SubfileType", "OldSubfileType", "GrayResponseUnit", "GrayResponseCurve", "PreviewImageStart", "PreviewImageLength", "PreviewImage",
+)
 PRIVATE_TAG = (
     "(?i)gps|latitude|longitude|location|serialnumber|ownername|^(?:make|model|artist|author|creator|comment|description|imagedescription|copyright|"
     "software|datetimeoriginal|createdate|modifydate|creationdate|creationtime|trackcreatedate|trackmodifydate|mediacreatedate|mediamodifydate)$"

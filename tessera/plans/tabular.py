@@ -244,17 +244,17 @@ def output_suffix(spark, d):
     return _t(spark, d, "pages").select("page_id", scalars.output_suffix(F.col("url"), [".jpg", ".jpeg", ".com"], ".jpg").alias("suffix"))
 
 
-@query("SELECT page_id, replace(replace(substring(html, 1, 300), chr(10), '\\x0a'), chr(9), '\\x09') AS shown FROM pages")
+@query("SELECT page_id, replace(replace(html, chr(10), '\\x0a'), chr(9), '\\x09') AS shown FROM pages")
 def visible_escape(spark, d):
-    return _t(spark, d, "pages").select("page_id", scalars.visible(F.substring("html", 1, 300)).alias("shown"))
+    return _t(spark, d, "pages").select("page_id", scalars.visible(F.col("html")).alias("shown"))
 
 
-@query("""WITH n AS (SELECT page_id, substring(html, 1, 300) AS name FROM pages), c AS (SELECT page_id, name, unnest(range(0, length(name) + 1)) AS k FROM n)
+@query("""WITH n AS (SELECT page_id, html AS name FROM pages), c AS (SELECT page_id, name, unnest(range(0, least(length(name), 244) + 1)) AS k FROM n)
 SELECT page_id, arg_max(substring(name, 1, CAST(k AS BIGINT)), k) || '_clean.html' AS fitted FROM c WHERE strlen(substring(name, 1, CAST(k AS BIGINT))) <= 244 GROUP BY 1""")
 def fitted_name(spark, d):
     from tessera.functions.names import fitted
 
-    return _t(spark, d, "pages").select("page_id", fitted(F.substring("html", 1, 300), F.lit("_clean.html")).alias("fitted"))
+    return _t(spark, d, "pages").select("page_id", fitted(F.col("html"), F.lit("_clean.html")).alias("fitted"))
 
 
 @query("SELECT s.p_partkey AS part, b.p_partkey AS big FROM part s JOIN part b ON s.p_brand = b.p_brand AND s.p_type = b.p_type WHERE s.p_size > 0 AND s.p_size <= b.p_size AND s.p_partkey % 90 + 1 <= b.p_partkey % 90 + 1 AND abs(s.p_size * (b.p_partkey % 90 + 1) - (s.p_partkey % 90 + 1) * b.p_size) <= greatest(b.p_size, b.p_partkey % 90 + 1)")
@@ -282,20 +282,49 @@ def part_totals(spark, d):
     return lines.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"))
 
 
-@query("SELECT 'IMG' AS base, count(*) AS n FROM events")
+@query("""SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'IMG' WHEN 1 THEN 'Screenshot' WHEN 2 THEN 'signal' WHEN 3 THEN '家庭聚会' WHEN 4 THEN 'a b' || user_id
+WHEN 5 THEN 'DSC_' || user_id WHEN 6 THEN 'mmexport' ELSE 'IMG-WA' || user_id END AS base FROM events""")
 def strip_name_dates(spark, d):
     from tessera.functions.names import without_dates
 
-    names = _t(spark, d, "events").select(F.concat(F.lit("IMG_"), F.date_format("ts", "yyyyMMdd_HHmmss")).alias("stem"))
-    return names.select(without_dates("stem").alias("base")).groupBy("base").agg(F.count(F.lit(1)).alias("n"))
+    at = lambda pattern: F.date_format("ts", pattern)
+    shapes = [
+        F.concat(F.lit("IMG_"), at("yyyyMMdd_HHmmss")), F.concat(F.lit("Screenshot "), at("yyyy-MM-dd 'at' HH.mm.ss")), F.concat(F.lit("signal-"), at("yyyy-MM-dd-HHmmss")),
+        F.concat(F.lit("家庭聚会 "), at("dd.MM.yyyy")), F.concat(F.lit("a "), at("yyyy-MM-dd"), F.lit(" b"), F.col("user_id")), F.concat(F.lit("DSC_"), F.col("user_id")),
+        F.concat(F.lit("mmexport"), F.lit(1_500_000_000_000) + F.col("event_id")), F.concat(F.lit("IMG-"), at("yyyyMMdd"), F.lit("-WA"), F.col("user_id")),
+    ]
+    stem = F.coalesce(*(F.when(F.col("event_id") % len(shapes) == n, shape) for n, shape in enumerate(shapes)))
+    return _t(spark, d, "events").select("event_id", without_dates(stem).alias("base"))
 
 
-@query("SELECT c.user_id, c.event_id, v.event_id AS rule_id, v.value AS rule_value FROM (SELECT * FROM events WHERE event_type = 'click') c ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON c.user_id = v.user_id AND c.event_id >= v.event_id")
-def rule_in_force(spark, d):
-    e = _t(spark, d, "events")
-    rules = e.filter("event_type = 'view'").select("user_id", F.col("event_id").alias("rule_id"), F.col("value").alias("rule_value"))
-    rows = e.filter("event_type = 'click'").select("user_id", "event_id")
-    return sequence.in_force(rows, rules, ["user_id"], "event_id", "rule_id", ["rule_id", "rule_value"])
+@query("""WITH a AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place FROM events WHERE event_type = 'view'),
+b AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place FROM events WHERE event_type = 'click')
+SELECT user_id, place::INTEGER AS place, a.value AS value_one, b.value AS value_two, CASE WHEN a.value IS NULL THEN 'one' WHEN b.value IS NULL THEN 'two' END AS missing FROM a FULL JOIN b USING (user_id, place)""")
+def positional_zip(spark, d):
+    e = _t(spark, d, "events").select("user_id", "event_id", "event_type", "value")
+    return compare.zipped(e.filter("event_type = 'view'"), e.filter("event_type = 'click'"), ["user_id"], ["event_id"], ["value"])
+
+
+@query("""WITH l AS (SELECT l_orderkey AS k, list(l_returnflag ORDER BY l_linenumber) AS q FROM lineitem GROUP BY 1)
+SELECT o_orderkey FROM orders LEFT JOIN l ON k = o_orderkey WHERE list_resize(['N', 'R', 'A', 'N', 'R', 'A', 'N'], 1 + o_orderkey % 7) IS DISTINCT FROM q""")
+def pairwise_unequal(spark, d):
+    flags = F.array(*map(F.lit, "NRANRAN"))
+    wanted = _t(spark, d, "orders").select("o_orderkey", F.posexplode(F.slice(flags, F.lit(1), (1 + F.col("o_orderkey") % 7).cast("int")))).select("o_orderkey", F.col("pos").alias("at"), F.col("col").alias("flag"))
+    found = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("at"), F.col("l_returnflag").alias("flag"))
+    return compare.pairwise_unequal(wanted, found, ["o_orderkey"], ["at"], ["flag"])
+
+
+@query("""SELECT user_id, event_type, event_id, value FROM events WHERE event_id % 2 = 0 OR event_id % 5 = 0 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id % 2, event_id) = 1""")
+def coalescing_merge(spark, d):
+    e = _t(spark, d, "events").select("user_id", "event_type", "event_id", "value")
+    return compare.coalesced(e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1 AND event_id % 5 = 0"), ["user_id", "event_type"], ["event_id"])
+
+
+@query("""WITH n AS (SELECT user_id, event_type AS v, max(CASE WHEN value > 80 THEN 1 ELSE 0 END) AS a, max(CASE WHEN value <= 40 THEN 1 ELSE 0 END) AS b FROM events GROUP BY 1, 2)
+SELECT user_id, sum(a * b)::BIGINT AS shared, sum(a * (1 - b))::BIGINT AS only_one, sum((1 - a) * b)::BIGINT AS only_two FROM n WHERE a + b > 0 GROUP BY 1""")
+def set_relations(spark, d):
+    e = _t(spark, d, "events").select("user_id", "event_type", "value")
+    return compare.set_relations(e.filter("value > 80"), e.filter("value <= 40"), "user_id", "event_type")
 
 
 @query("""WITH r AS (SELECT p_brand, p_type, p_size % 4 AS c, coalesce(sum(p_size % 4) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM part)
@@ -317,19 +346,38 @@ def scanline_sizes(spark, d):
 
 
 @query("""WITH e AS (SELECT user_id % 40 AS g, event_id, event_type || value AS v FROM events), o AS (SELECT g, v, max(event_id) AS pos FROM e WHERE event_id % 10 <> 3 GROUP BY 1, 2),
-n AS (SELECT g, event_id, v FROM e WHERE event_id % 3 = 0 AND (event_id % 10 <> 3 OR g % 4 = 0)), j AS (SELECT n.g, n.event_id, o.pos, max(o.pos) OVER (PARTITION BY n.g ORDER BY n.event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM n LEFT JOIN o ON o.g = n.g AND o.v = n.v)
+n AS (SELECT g, event_id, v FROM e WHERE event_id % 10 <> 3 OR g % 4 = 0), j AS (SELECT n.g, n.event_id, o.pos, max(o.pos) OVER (PARTITION BY n.g ORDER BY n.event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM n LEFT JOIN o ON o.g = n.g AND o.v = n.v)
 SELECT DISTINCT g FROM j WHERE pos IS NULL OR b >= pos""")
 def subsequence_check(spark, d):
     e = _t(spark, d, "events").select((F.col("user_id") % 40).alias("g"), "event_id", F.concat("event_type", F.col("value").cast("string")).alias("v"))
     then = e.filter("event_id % 10 <> 3").groupBy("g", "v").agg(F.max("event_id").alias("event_id"))
-    now = e.filter("event_id % 3 = 0 AND (event_id % 10 <> 3 OR g % 4 = 0)")
+    now = e.filter("event_id % 10 <> 3 OR g % 4 = 0")
     return compare.not_subsequences(now, then, ["g"], "event_id", "v")
 
 
-@query("SELECT page_id, source_kind, key FROM (SELECT page_id, 'JPEG' AS source_kind, CASE page_id % 5 WHEN 0 THEN 'EXIF:IFD0:Orientation' WHEN 1 THEN 'EXIF:IFD0:Model' WHEN 2 THEN 'GPS:GPSLatitude' WHEN 3 THEN 'XMP:XMP-hdrgm:Gamma' ELSE 'PNG:Comment' END AS key FROM pages) q WHERE key IN ('EXIF:IFD0:Model', 'GPS:GPSLatitude', 'PNG:Comment')")
+_REPORT_GROUPS = ("EXIF:IFD0", "GPS", "XMP:XMP-hdrgm", "MakerNotes:Apple", "File", "PNG", "QuickTime:Track1", "ICC_Profile", "IPTC", "File:System", "XMP:XMP-dc")
+_REPORT_TAGS = ("Orientation", "Model", "GPSLatitude", "Gamma", "Comment", "HDRHeadroom", "Unknown_0x0011", "ImageWidth", "CreateDate", "BitsPerSample", "Version", "MediaTag", "OwnerName")
+
+
+def _remaining_sql() -> str:
+    from tessera.operators import tag_report
+
+    quoted = lambda names: ", ".join(f"'{n}'" for n in names)
+    return f"""WITH r AS (SELECT event_id, CASE WHEN user_id % 2 = 1 THEN 'TIFF' ELSE 'JPEG' END AS kind, [{quoted(_REPORT_GROUPS)}][1 + event_id % {len(_REPORT_GROUPS)}] AS place, [{quoted(_REPORT_TAGS)}][1 + user_id % {len(_REPORT_TAGS)}] AS tag,
+CASE WHEN event_id % 7 = 0 THEN '' WHEN event_id % 5 = 0 THEN '1 2' ELSE CAST(event_id % 1000 AS VARCHAR) || '.5' END AS v FROM events),
+p AS (SELECT *, split_part(place, ':', 1) AS g, regexp_full_match(v, '[0-9]+[.]5') AS is_number FROM r)
+SELECT event_id, kind, place || ':' || tag AS key FROM p WHERE g NOT IN ({quoted(tag_report.PASSED_GROUPS)}) AND place <> 'File:System'
+AND NOT (is_number AND (place = 'MakerNotes:Apple' AND tag = 'HDRHeadroom' OR place = 'XMP:XMP-hdrgm' AND tag IN ('Gamma', 'Version')))
+AND (g IN ({quoted(tag_report.PRIVATE_GROUPS)}) OR g = 'EXIF' AND tag <> 'Orientation' AND NOT (kind = 'TIFF' AND tag IN ('ImageWidth', 'BitsPerSample')) AND tag <> 'Gamma'
+  OR g <> 'EXIF' AND v <> '' AND tag IN ('Model', 'GPSLatitude', 'Comment', 'CreateDate', 'OwnerName') OR tag = 'Unknown_0x0011')"""
+
+
+@query(_remaining_sql())
 def tag_report_remaining(spark, d):
     from tessera.operators import tag_report
 
-    keys = F.array(*map(F.lit, ("EXIF:IFD0:Orientation", "EXIF:IFD0:Model", "GPS:GPSLatitude", "XMP:XMP-hdrgm:Gamma", "PNG:Comment")))
-    report = _t(spark, d, "pages").select("page_id", F.lit("JPEG").alias("kind"), F.get(keys, (F.col("page_id") % 5).cast("int")).alias("key"), F.array(F.lit("2.5")).alias("values"))
-    return tag_report.remaining(report).select("page_id", F.col("kind").alias("source_kind"), "key")
+    pick = lambda names, by: F.get(F.array(*map(F.lit, names)), (F.col(by) % len(names)).cast("int"))
+    value = F.when(F.col("event_id") % 7 == 0, "").when(F.col("event_id") % 5 == 0, "1 2").otherwise(F.concat((F.col("event_id") % 1000).cast("string"), F.lit(".5")))
+    key = F.concat_ws(":", pick(_REPORT_GROUPS, "event_id"), pick(_REPORT_TAGS, "user_id"))
+    report = _t(spark, d, "events").select("event_id", F.when(F.col("user_id") % 2 == 1, "TIFF").otherwise("JPEG").alias("kind"), key.alias("key"), F.array(value).alias("values"))
+    return tag_report.remaining(report).select("event_id", "kind", "key")

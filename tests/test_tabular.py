@@ -82,7 +82,11 @@ def test_constraints_and_compare(spark):
 
 
 # Names with dates and what is left of them.
-NAMES = [("IMG_20240501_123456", "IMG"), ("Screenshot 2026-09-23 at 15.14.15", "Screenshot"), ("mmexport1714567890123", "mmexport"), ("a 2024-05-01 b", "a b"), ("x_20240501-y", "x-y"), ("20240501", ""), ("v1.2.3", "v1.2.3"), ("IMG_1234", "IMG_1234")]
+NAMES = [
+    ("IMG_20240501_123456", "IMG"), ("Screenshot 2026-09-23 at 15.14.15", "Screenshot"), ("mmexport1714567890123", "mmexport"), ("a 2024-05-01 b", "a b"), ("x_20240501-y", "x-y"), ("20240501", ""), ("v1.2.3", "v1.2.3"), ("IMG_1234", "IMG_1234"),
+    ("截屏2026-09-23 下午3.14.15", "截屏"), ("Captura de Tela 2024-05-01 às 12.34.56", "Captura de Tela"), ("Screen Shot 2021-05-04 at 10.23.45 AM", "Screen Shot"), ("Screenshot 2024-05-01 (2)", "Screenshot (2)"),
+    ("Shot_2024-05-01-12-34-56-789_by.me", "Shot_by.me"), ("PXL_20240501_123456789.MP", "PXL.MP"), ("IMG-20240501-WA0001", "IMG-WA0001"), ("2024年5月1日 家", "家"), ("家 01.05.2024", "家"),
+    ("Foto 2024-05-01 kello 12.34.56", "Foto kello"), ("IMG_20241350", "IMG_20241350"), ("13812345678", "13812345678"), ("a 25.61.61 b", "a 25.61.61 b"), ("x 2024-05-01 a las 1.02.03 p.m.", "x"), ("x 12:34:56pm y", "x y")]
 
 
 def test_names(spark):
