@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.cluster import input_parts
-from tessera.llm.textblocks import SPACE, flat, gather, hashes, mix, spans
+from tessera.llm.textblocks import SPACE, flat, gather, hashes, mix, release, spans
 
 WINDOW = 13
 #: Pair rounds after the round of runs; symbols stand for two and a half words on average then. More rounds make rarer
@@ -35,6 +35,8 @@ ROUNDS = 3
 SHARD_BYTES = 4 << 20
 _NOT_SPACE = ~SPACE
 _LAST = np.iinfo(np.int64).max
+#: More words than a shard can hold.
+_BEYOND = 1 << 30
 _SYMBOL_BYTES = 5
 
 
@@ -44,7 +46,7 @@ class Symbols:
     def __init__(self, names: np.ndarray, row: np.ndarray):
         n = len(names)
         self.names, self.row = names, row
-        self.begin, self.stop = np.arange(n), np.arange(1, n + 1)
+        self.begin, self.stop = np.arange(n, dtype=np.int32), np.arange(1, n + 1, dtype=np.int32)
         self.low, self.high = self.begin.copy(), self.stop.copy()
 
     def _neighbours(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -53,9 +55,9 @@ class Symbols:
         left, right = np.zeros(n, bool), np.zeros(n, bool)
         same = self.row[1:] == self.row[:-1]
         left[1:], right[:-1] = same, same
-        low, high = np.full(n, -1), np.full(n, 1 << 60)
+        low, high = np.full(n, -1, np.int32), np.full(n, _BEYOND, np.int32)
         low[1:] = np.where(same, self.low[:-1], -1)
-        high[:-1] = np.where(same, self.high[1:], 1 << 60)
+        high[:-1] = np.where(same, self.high[1:], _BEYOND)
         return left, right, low, high
 
     def _keep(self, head: np.ndarray, last: np.ndarray, names: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
@@ -112,8 +114,8 @@ class Shard:
         self.table = table.take(pa.array(order)).combine_chunks()
         self.ids, self.window = ids[order], window
         self.raw, self.starts, self.ends = flat(self.table.column("text"))
-        self.begin, self.stop, self.row = spans(self.raw, self.starts, self.ends, _NOT_SPACE)
-        self.names, self.second = hashes(self.raw, self.begin, self.stop, 2)
+        self.begin, self.stop, self.row = (x.astype(np.int32) for x in spans(self.raw, self.starts, self.ends, _NOT_SPACE))
+        self.names = hashes(self.raw, self.begin, self.stop)
         #: First words of windows.
         n = len(self.names)
         self.at = np.flatnonzero(self.row[: n - window + 1] == self.row[window - 1 :]) if n >= window else np.zeros(0, np.int64)
@@ -122,12 +124,12 @@ class Shard:
         """The parse, its distinct names as 40-bit keys in order, and the place of each symbol's key."""
         parsed = parse(self.names, self.row)
         keys, place = np.unique(parsed.names >> np.uint64(64 - 8 * _SYMBOL_BYTES), return_inverse=True)
-        return parsed, keys, place
+        return parsed, keys, place.astype(np.int32)
 
     def candidates(self, parsed: Symbols, place: np.ndarray, keys: np.ndarray, elsewhere: np.ndarray) -> np.ndarray:
         """Windows whose decided symbols all occur in another document; ``elsewhere`` says so of other shards."""
-        low = np.full(len(keys), len(self.ids))
-        high = np.full(len(keys), -1)
+        low = np.full(len(keys), len(self.ids), np.int32)
+        high = np.full(len(keys), -1, np.int32)
         np.minimum.at(low, place, parsed.row)
         np.maximum.at(high, place, parsed.row)
         alone = ~(elsewhere | (low < high))[place]
@@ -141,14 +143,20 @@ class Shard:
 
     def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct windows among those at ``at`` in order (digests of two numbers) and the place of each window's."""
-        one, two = np.full(len(at), 0x452821E638D01377, np.uint64), np.full(len(at), 0xBE5466CF34E90C6C, np.uint64)
-        for k in range(self.window):
-            one, two = mix(one ^ self.names[at + k]), mix(two ^ self.second[at + k])
+        out = []
+        for lane, start in enumerate((0x452821E638D01377, 0xBE5466CF34E90C6C)):
+            names = self.names if not lane else hashes(self.raw, self.begin, self.stop, 2)[1]
+            code = np.full(len(at), start, np.uint64)
+            for k in range(self.window):
+                code = mix(code ^ names[at + k])
+            out.append(code)
+        one, two = out
         order = np.lexsort((two, one))
-        new = np.append(True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])) if len(order) else np.zeros(0, bool)
-        place = np.empty(len(order), np.int64)
+        one, two = one[order], two[order]
+        new = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])) if len(order) else np.zeros(0, bool)
+        place = np.empty(len(order), np.int32)
         place[order] = np.cumsum(new) - 1
-        return one[order][new], two[order][new], place
+        return one[new], two[new], place
 
 
 def _packed_symbols(keys: np.ndarray) -> bytes:
@@ -254,6 +262,17 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, text: str = "text", d
         out = [np.packbits(flag[b - n : b]).tobytes() for b, n in zip(ends.tolist(), size.tolist(), strict=True)]
         return table.set_column(table.schema.get_field_index("blob"), "blob", pa.array(out, pa.binary()))
 
+    def freed(f):
+        """``f`` of one group; the memory of a shard goes back before the next one."""
+
+        def run(*tables):
+            out = f(*tables)
+            release()
+            return out
+
+        # Spark counts the parameters: one table or two.
+        return (lambda table: run(table)) if f.__code__.co_argcount == 1 else (lambda texts, answers: run(texts, answers))
+
     result = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
     def remove(texts: pa.Table, answers: pa.Table) -> pa.Table:
@@ -276,17 +295,19 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, text: str = "text", d
         kept = np.cumsum(mark[:-1]) == 0
         n_rows = len(shard.ids)
         words, left = np.bincount(shard.row, minlength=n_rows), np.bincount(shard.row[kept], minlength=n_rows)
+        raw, at_word, text_ = np.append(shard.raw, np.uint8(0x20)), np.concatenate([[0], np.cumsum(left)]), []
         begin, size = shard.begin[kept], (shard.stop - shard.begin)[kept] + 1
-        body = np.append(shard.raw, np.uint8(0x20))[gather(begin, size)]
-        ends = np.cumsum(size)
-        body[ends - 1] = 0x20
-        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(left)])]
-        body = body.tobytes()
-        text_ = [body[a : max(a, b - 1)] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
+        for first in range(0, n_rows, 256):  # so many texts at once
+            upto = at_word[first : first + 257]
+            own = size[upto[0] : upto[-1]]
+            body, ends = raw[gather(begin[upto[0] : upto[-1]], own)], np.concatenate([[0], np.cumsum(own)])
+            body[ends[1:] - 1] = 0x20
+            edge, body = ends[upto - upto[0]].tolist(), body.tobytes()
+            text_ += [body[a : max(a, b - 1)] for a, b in zip(edge[:-1], edge[1:], strict=True)]
         columns = [shard.table.column("doc_id"), pa.array(words), pa.array(words - left), pa.array([hashlib.sha256(t).hexdigest() for t in text_], pa.string()), pa.array([t.decode() for t in text_], pa.string())]
         return pa.Table.from_arrays(columns, names)
 
     by_shard = dealt.groupBy("shard")
-    symbols = by_shard.applyInArrow(send_symbols, _BLOBS).groupBy("bucket").applyInArrow(answer_symbols, _BLOBS)
-    windows = by_shard.cogroup(symbols.groupBy("shard")).applyInArrow(send_windows, _BLOBS).groupBy("bucket").applyInArrow(answer_windows, _BLOBS)
-    return by_shard.cogroup(symbols.unionByName(windows).groupBy("shard")).applyInArrow(remove, result)
+    symbols = by_shard.applyInArrow(freed(send_symbols), _BLOBS).groupBy("bucket").applyInArrow(freed(answer_symbols), _BLOBS)
+    windows = by_shard.cogroup(symbols.groupBy("shard")).applyInArrow(freed(send_windows), _BLOBS).groupBy("bucket").applyInArrow(freed(answer_windows), _BLOBS)
+    return by_shard.cogroup(symbols.unionByName(windows).groupBy("shard")).applyInArrow(freed(remove), result)
