@@ -220,20 +220,20 @@ def _looked(tests: TestSet, text: pa.Array, old: dict | None, with_matches: bool
     return [pa.array(counts), *(_joined(old and old[k], x) for k, x in zip(("lows", "highs", "met", "matches"), new, strict=True))]
 
 
-def _finished(batch: pa.RecordBatch, with_matches: bool) -> list[pa.Array]:
+def _finished(state: dict[str, pa.Array], with_matches: bool) -> list[pa.Array]:
     """The columns of _ADDED, and ``matches`` if asked for, from those of _STATE."""
     out: list[list] = [[], [], [], []]
-    for low, high, met in zip(*(batch.column(k).to_pylist() for k in ("lows", "highs", "met")), strict=True):
+    for low, high, met in zip(*(state[k].to_pylist() for k in ("lows", "highs", "met")), strict=True):
         n_hit, upto = 0, 0
         for a, b in sorted(zip(low, high, strict=True)):
             n_hit, upto = n_hit + max(0, b - max(a, upto)), max(b, upto)
         names = sorted(set(met))
         for k, v in zip(out, (n_hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), n_hit > 0), strict=True):
             k.append(v)
-    columns = [batch.column("words"), *(pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True))]
+    columns = [state["words"], *(pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True))]
     if with_matches:
         rank = lambda m: (m["item_id"] is not None, m["item_id"] or "", m["item_word"], m["word"], m["length"])
-        columns.append(pa.array([sorted({rank(m): m for m in own}.values(), key=rank) for own in batch.column("matches").to_pylist()], _ARROW_MATCH))
+        columns.append(pa.array([sorted({rank(m): m for m in own}.values(), key=rank) for own in state["matches"].to_pylist()], _ARROW_MATCH))
     return columns
 
 
@@ -249,25 +249,24 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str
     body = f"c{place_of(docs, text)}"
     rows = rows.withColumn(body, F.col(body).cast("string"))
     own_fields = list(rows.schema.fields)
-    state, first = T.StructType([*own_fields, *_STATE]), True
-    for group in _grouped(benchmark, item_id, item_text):
+    added = [*_ADDED, *([T.StructField("matches", _MATCH)] if matches else [])]
+    groups, first = _grouped(benchmark, item_id, item_text), True
+    group = next(groups)
+    while group is not None:
+        following = next(groups, None)
         broadcast = docs.sparkSession.sparkContext.broadcast(TestSet(group, window))  # GROUP_WORDS words at about
+        out = T.StructType([*own_fields, *(_STATE if following is not None else added)])
 
-        def look(batches, tests=broadcast, first=first):
+        def look(batches, tests=broadcast, first=first, last=following is None, names=out.names):
             for batch in blocks(batches, body):
                 old = None if first else {f.name: batch.column(f.name) for f in _STATE}
-                kept = batch.columns[: len(own_fields)]
-                yield pa.RecordBatch.from_arrays([*kept, *_looked(tests.value, batch.column(body), old, matches)], state.names)
-
-        rows, first = rows.mapInArrow(look, state), False
-    added = [*_ADDED, *([T.StructField("matches", _MATCH)] if matches else [])]
-
-    def finish(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(own_fields)], *_finished(batch, matches)], [*(f.name for f in own_fields), *(f.name for f in added)])
+                found = _looked(tests.value, batch.column(body), old, matches)
+                if last:
+                    found = _finished(dict(zip((f.name for f in _STATE), found, strict=True)), matches)
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(own_fields)], *found], names)
 
-    return renamed(rows.mapInArrow(finish, T.StructType([*own_fields, *added])), before, [f.name for f in added])
+        rows, first, group = rows.mapInArrow(look, out), False, following
+    return renamed(rows, before, [f.name for f in added])
 
 
 def _maximal(tests: TestSet, n: int, where: np.ndarray, which: np.ndarray, of: np.ndarray, begin: np.ndarray, seq: np.ndarray) -> list[tuple]:

@@ -1,10 +1,12 @@
 """Lexical retrieval packing: windows filled with the BM25 neighbours of a seed document.
 
 Texts become ids once and are stored. Document frequencies and the mean length are counted over all documents; they
-are one number per id of the vocabulary. Each task then cuts its documents into shards of bounded size, builds an
-inverted index per shard and fills windows: a seed, then its best unused neighbours, each id used exactly once. A
-neighbour that doesn't fit is cut and its rest seeds the next window, so only a shard's last window can be short; its
-content is split at powers of two, which need no padding.
+are one number per id of the vocabulary. Documents are then routed: each gets a few ids by weighted min-hash, chosen the
+likelier the more the id adds to its BM25 scores, and is sorted by them over the whole corpus, so that documents that
+share their telling ids come to lie together. Each task cuts its stretch into shards of bounded size, builds an inverted
+index per shard and fills windows: a seed, then its best unused neighbours, each id used exactly once. A neighbour that
+doesn't fit is cut and its rest seeds the next window, so only a shard's last window can be short; its content is split
+at powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -16,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.cluster import stored
-from tessera.llm.textblocks import blocks, flat, release
+from tessera.llm.cluster import input_parts, stored
+from tessera.llm.textblocks import blocks, flat, mix, release
 from tessera.llm.tokens import BLOCK_BYTES, Encoder, with_end
 
 WINDOW = 4096
@@ -26,6 +28,8 @@ SHARD_DOCS, SHARD_IDS = 1024, 1 << 21
 #: Postings summed at once.
 POSTINGS = 1 << 17
 K1, B = 1.2, 0.75
+#: Min-hashes that route a document, the bits that each keeps, and the power of BM25 weights that they are chosen by.
+ROUTES, ROUTE_BITS, ROUTE_POWER = 3, 21, 3
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -70,18 +74,39 @@ def _frequencies(ids: DataFrame) -> tuple[np.ndarray, int, int]:
     return df, docs, total
 
 
+def weighted(ids: np.ndarray, lengths: np.ndarray, idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, id, BM25 weight) of the distinct ids of each document, by document and id."""
+    pair = np.repeat(np.arange(len(lengths)) * len(idf), lengths)
+    pair += ids
+    pair.sort()
+    new = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
+    tf, pair = np.diff(np.append(new, len(pair))), pair[new]
+    doc, term = (pair // len(idf)).astype(np.int32), (pair % len(idf)).astype(np.int32)
+    return doc, term, idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean))
+
+
+def routes(ids: np.ndarray, lengths: np.ndarray, idf: np.ndarray, mean: float) -> np.ndarray:
+    """A number per document, made of ROUTES ids; documents with equal leading ids are neighbours in its order."""
+    doc, term, weight = weighted(ids, lengths, idf, mean)
+    first, out = np.searchsorted(doc, np.arange(len(lengths))), np.zeros(len(lengths), np.int64)
+    rate = np.maximum(weight, 1e-9) ** ROUTE_POWER
+    for k in range(ROUTES):
+        chance = ((mix(term.astype(np.uint64) * np.uint64(ROUTES) + np.uint64(k + 1)) >> np.uint64(11)) + 0.5) / (1 << 53)
+        wait = -np.log(chance) / rate
+        least = np.minimum.reduceat(wait, first) if len(wait) else wait
+        at = np.flatnonzero(wait == least[doc])
+        chosen = np.zeros(len(lengths), np.int64)
+        chosen[doc[at][::-1]] = term[at][::-1]
+        out = out << ROUTE_BITS | chosen & (1 << ROUTE_BITS) - 1
+    return out
+
+
 class Shard:
     """An inverted index over the documents of one shard."""
 
     def __init__(self, ids: np.ndarray, lengths: np.ndarray, idf: np.ndarray, mean: float):
         self.n, size = len(lengths), len(idf)
-        pair = np.repeat(np.arange(self.n) * size, lengths)
-        pair += ids
-        pair.sort()
-        new = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
-        tf, pair = np.diff(np.append(new, len(pair))), pair[new]
-        self.doc, self.term = (pair // size).astype(np.int32), (pair % size).astype(np.int32)
-        weight = idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / mean))
+        self.doc, self.term, weight = weighted(ids, lengths, idf, mean)
         self.first = np.searchsorted(self.doc, np.arange(self.n + 1))
         self.weight = weight
         order = np.argsort(self.term, kind="stable")
@@ -167,13 +192,19 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW) ->
 
     A null or empty text holds only ``end_id`` and is packed like any other; rows that repeat a doc_id are documents of
     their own; a null doc_id stays null. Long documents fill windows alone before their rest seeds another. An empty
-    table gives no piece. Only ``doc_id`` and ``text`` are read.
+    table gives no piece. Only ``doc_id`` and ``text`` are read. Documents that share a frequent route are dealt by id.
     """
     ids = stored(tokenised(docs, tokenizer, end_id), "packing-ids")
     df, n_docs, total = _frequencies(ids)
     idf = np.maximum(0.0, np.log((n_docs - df + 0.5) / (df + 0.5)))
     mean = max(1.0, total / max(1, n_docs))
 
+    def route(batches):
+        for batch in blocks(batches, "ids", 1 << 20):
+            raw, starts, ends = flat(batch.column("ids"))
+            own = routes(raw.view("<u4"), (ends - starts) // 4, idf, mean)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own)], ["doc_id", "ids", "route"])
+
     def run(batches):
         from pyspark import TaskContext
 
@@ -216,4 +247,5 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW) ->
         if held:
             yield close()
 
-    return ids.mapInArrow(run, PIECES)
+    routed = ids.mapInArrow(route, "doc_id long, ids binary, route long")
+    return routed.repartitionByRange(input_parts(ids), "route", "doc_id").sortWithinPartitions("route", "doc_id").mapInArrow(run, PIECES)

@@ -18,10 +18,13 @@ from unicodedata import normalize
 import numpy as np
 import pyarrow as pa
 
-from tessera.llm.textblocks import SPACE, gather, hashes, same_bytes
+from tessera.llm.textblocks import SPACE, gather, hashes, release, same_bytes
 
 #: Pieces that a worker remembers; beyond it the memory is emptied and filled anew.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_200_000
+
+#: Bytes of remembered pieces beside a block's own.
+BODY_BYTES = 1 << 26
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
@@ -55,6 +58,15 @@ def _simple(word: str) -> bool:
     return max(word) < "\u0250" and "\u0130" not in word
 
 
+def _room(values: np.ndarray, n: int) -> np.ndarray:
+    """The array with room for ``n`` values."""
+    if n <= len(values):
+        return values
+    grown = np.zeros(max(n, len(values) + (len(values) >> 1)), values.dtype)
+    grown[: len(values)] = values
+    return grown
+
+
 class Encoder:
     """Ids of texts by one vocabulary file; ``shared`` keeps one encoder per worker and file."""
 
@@ -73,6 +85,8 @@ class Encoder:
         bare["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
         #: The same merges without normalising and splitting, for single runs of letters in normal form.
         self.letters = Tokenizer.from_str(json.dumps(bare)) if self.by_piece else None
+        del bare
+        release()
         self._empty()
 
     @classmethod
@@ -83,13 +97,11 @@ class Encoder:
 
     def _empty(self) -> None:
         #: Hashes of known pieces in order, and the slot of each.
-        self.keys, self.slot_of = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.slot_of = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.known = 0
-        self.begin, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.flat, self.used = np.zeros(4096, np.uint16), 0
-        #: The bytes of known pieces, one after the other, and where each begins and ends.
-        self.body, self.written = np.zeros(4096, np.uint8), 0
-        self.body_at, self.body_end = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        #: Ids and bytes of all known pieces by slot, one after the other; a slot ends where the next begins.
+        self.flat, self.begin = np.zeros(4096, np.uint16), np.zeros(1025, np.int32)
+        self.body, self.body_at = np.zeros(4096, np.uint8), np.zeros(1025, np.int32)
 
     def _learn(self, pieces: list[bytes]) -> None:
         words = [p.lower().decode() if p.isascii() else p.decode() for p in pieces]
@@ -103,27 +115,18 @@ class Encoder:
                 texts = [w if w.isascii() else normalize("NFC", w).lower() for w in texts]
             for n, e in zip(at, how.encode_batch_fast(texts, add_special_tokens=False), strict=True):
                 encoded[n] = e.ids
-        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
         flat = np.array(list(chain.from_iterable(encoded)), np.int64)
         if len(flat) and flat.max() > 0xFFFF and self.flat.dtype != np.uint32:
             self.flat = self.flat.astype(np.uint32)
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.known + len(pieces) > len(self.begin):
-            self.begin, self.length, self.body_at, self.body_end = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length, self.body_at, self.body_end))
-        whole = np.frombuffer(b"".join(pieces), np.uint8)
-        while self.written + len(whole) > len(self.body):
-            self.body = np.concatenate([self.body, np.zeros_like(self.body)])
-        self.body[self.written : self.written + len(whole)] = whole
-        bytes_ = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        self.body_end[self.known : self.known + len(pieces)] = self.written + np.cumsum(bytes_)
-        self.body_at[self.known : self.known + len(pieces)] = self.written + np.cumsum(bytes_) - bytes_
-        self.written += len(whole)
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.begin[self.known : self.known + len(pieces)] = self.used + np.cumsum(sizes) - sizes
-        self.length[self.known : self.known + len(pieces)] = sizes
-        self.known += len(pieces)
-        self.used += len(flat)
+        whole, n = np.frombuffer(b"".join(pieces), np.uint8), self.known + len(pieces)
+        used, written = int(self.begin[self.known]), int(self.body_at[self.known])
+        self.begin, self.body_at = _room(self.begin, n + 1), _room(self.body_at, n + 1)
+        self.flat, self.body = _room(self.flat, used + len(flat)), _room(self.body, written + len(whole))
+        self.flat[used : used + len(flat)] = flat
+        self.body[written : written + len(whole)] = whole
+        self.begin[self.known + 1 : n + 1] = used + np.cumsum(np.fromiter(map(len, encoded), np.int64, len(encoded)))
+        self.body_at[self.known + 1 : n + 1] = written + np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        self.known = n
 
     def encode(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other as uint32, number of ids of each text)."""
@@ -136,7 +139,7 @@ class Encoder:
         key = hashes(raw, begin, stop).view(np.int64)
         coded = pa.array(key).dictionary_encode()
         index, unique = coded.indices.to_numpy(), coded.dictionary.to_numpy()
-        if self.known + len(unique) > REMEMBERED and self.known:
+        if self.known and (self.known + len(unique) > REMEMBERED or int(self.body_at[self.known]) + len(raw) > BODY_BYTES):
             self._empty()
         order = np.argsort(unique)
         wanted = unique[order]
@@ -155,12 +158,12 @@ class Encoder:
         slot = np.empty(len(unique), np.int64)
         slot[order] = found
         slot = slot[index]
-        length = self.length[slot]
+        length = (self.begin[slot + 1] - self.begin[slot]).astype(np.int64)
         ids = self.flat[gather(self.begin[slot], length)].astype(np.uint32)
         upto = np.concatenate([[0], np.cumsum(length)])
         counts = np.diff(upto[np.searchsorted(begin, np.append(starts, len(raw)))])
         # Texts with ``<|`` may hold a special token's string; a piece with another's hash has ids of its own.
-        other = begin[~same_bytes(raw, begin, stop, self.body, self.body_at[slot], self.body_end[slot])]
+        other = begin[~same_bytes(raw, begin, stop, self.body, self.body_at[slot], self.body_at[slot + 1])]
         hit = np.concatenate([np.flatnonzero((raw[:-1] == 0x3C) & (raw[1:] == 0x7C)), other])
         return self._whole(raw, starts, ends, ids, counts, np.unique(np.searchsorted(starts, hit, "right") - 1) if len(hit) else hit)
 
