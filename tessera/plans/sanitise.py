@@ -7,6 +7,7 @@ doubt about one file never stops the others.
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 
@@ -14,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.sources import jpeg, tiff
-from tessera.sources.parts import BMP, GIF, JPEG, LOOPS, PARSERS, PNG, PROFILE, TIFF, WEBP, Refused, parts, riff_chunk, shown_image
+from tessera.operators.lineage import shared_folder
+from tessera.sources import heif, jpeg, tiff
+from tessera.sources.parts import AVIF, BMP, GIF, HEIC, JPEG, LOOPS, PARSERS, PNG, PROFILE, TIFF, WEBP, Refused, parts, riff_chunk, shown_image
 
 # Parts that a clean copy may hold. (format, part, sizes or none for any, once, only before image data)
 POLICY = [
@@ -218,7 +220,32 @@ def finish_gif(own: list[tuple[bytes, bytes]]) -> bytes:
 
 
 FINISH = {PNG: finish_png, WEBP: finish_webp, GIF: finish_gif, JPEG: jpeg.join, TIFF: tiff.join}
-_RESULT = "file_id long, kind string, result binary, refusal string"
+_RESULT = "file_id long, kind string, result binary, refusal string, units array<binary>"
+#: Formats whose media data stays where it is: (what makes the clean copy, what tells it from its original).
+IN_PLACE = {HEIC: (heif.clean, heif.difference), AVIF: (heif.clean, heif.difference)}
+
+
+def shown_units(kind: str, kept: list[tuple[bytes, bytes]]) -> list[bytes]:
+    """Digests of what a decoder shows of the kept parts, in order, whatever the serialiser makes of framing and numbers.
+
+    They are taken from an original and from its clean copy, parsed anew, and must be equal one by one.
+    """
+    units: list[tuple[bytes, bytes]] = []
+    if kind == WEBP:
+        shown = kept[:1] if kept and kept[0][0] in (b"VP8 ", b"VP8L") else [kept[n] for n in shown_image(kept)] + [p for p in kept if p[0] in (b"ANIM", b"ANMF", b"ICCP", b"EXIF")]
+        kept = sorted(shown, key=lambda p: p[0] == b"EXIF")
+    for code, body in kept:
+        if kind == PNG and code in (b"IDAT", b"fdAT"):
+            body = body[4:] if code == b"fdAT" else body
+            if units and units[-1][0] == code:  # one stream in pieces
+                units[-1] = code, units[-1][1] + body
+                continue
+        elif kind == PNG and code == b"fcTL" or kind == JPEG and code in (b"DB", b"C4"):
+            body = body[4:]  # without the number of the frame or segment
+        elif kind == TIFF and code in (b"tag273", b"tag324"):  # places of blocks
+            body = body[:4]
+        units.append((code, body))
+    return [hashlib.sha256(code + b"\0" + body).digest() for code, body in units]
 
 
 def _gathered(marked: DataFrame) -> DataFrame:
@@ -235,29 +262,56 @@ def rebuilt(files: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1).to_pylist()[0]
-                result, refusal = None, row["refusal"]
+                result, refusal, units = None, row["refusal"], None
                 if refusal is None:
+                    kept = [(p["part"], p["payload"]) for p in row["kept"]]
                     try:
-                        result = FINISH[row["kind"]]([(p["part"], p["payload"]) for p in row["kept"]])
+                        result, units = FINISH[row["kind"]](kept), shown_units(row["kind"], kept)
                     except (Refused, jpeg.Broken) as refused:
                         refusal = refused.key
-                columns = [pa.array([row["file_id"]], pa.int64()), pa.array([row["kind"]], pa.string()), pa.array([result], pa.binary()), pa.array([refusal], pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["file_id", "kind", "result", "refusal"])
+                columns = [pa.array([row["file_id"]], pa.int64()), pa.array([row["kind"]], pa.string()), pa.array([result], pa.binary()), pa.array([refusal], pa.string()), pa.array([units], pa.list_(pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, ["file_id", "kind", "result", "refusal", "units"])
 
     return _gathered(decided(parts(files))).mapInArrow(write, _RESULT)
 
 
+def cleaned_in_place(files: DataFrame) -> DataFrame:
+    """``file_id, kind, result, refusal, proven`` of files whose media data doesn't move (``IN_PLACE``).
+
+    A result is proven if cleaning it again changes nothing and reading it beside its original finds no difference.
+    """
+
+    def write(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row, result, refusal, proven = batch.slice(at, 1).to_pylist()[0], None, None, False
+                make, differs = IN_PLACE[row["kind"]]
+                try:
+                    result = make(row["content"])
+                    proven = make(result) == result and differs(row["content"], result) is None
+                except jpeg.Broken as broken:
+                    refusal = broken.key if result is None else None
+                columns = [pa.array([row["file_id"]], pa.int64()), pa.array([row["kind"]], pa.string()), pa.array([result], pa.binary()), pa.array([refusal], pa.string()), pa.array([proven], pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, ["file_id", "kind", "result", "refusal", "proven"])
+
+    own = files.filter(F.col("kind").isin(*IN_PLACE) & F.col("content").isNotNull()).select("file_id", "kind", "content")
+    return own.mapInArrow(write, "file_id long, kind string, result binary, refusal string, proven boolean")
+
+
 def clean(files: DataFrame) -> DataFrame:
     """Outcomes of ``files`` (``file_id, kind, content``): ``file_id, kind, status, error_key, result``, the kind being the result's.
 
-    A result counts only if cleaning it again yields the same bytes and every part of it is allowed; else the file is
-    refused as ``verification_failed``. Files without content are ``not_a_file``, unknown kinds ``unsupported_format``.
+    A result counts only if it is parsed anew and every part of it is allowed, cleaning it again yields the same bytes,
+    and what it shows equals what the kept parts of the original show, unit by unit; else the file is refused as
+    ``verification_failed``. Files without content are ``not_a_file``, unknown kinds ``unsupported_format``.
     """
-    first = rebuilt(files)
+    shared_folder(files.sparkSession)
+    first = rebuilt(files).checkpoint()  # parsed and serialised once, though two branches read it
     again = rebuilt(first.filter("result IS NOT NULL").select("file_id", "kind", F.col("result").alias("content")))
-    checked = first.join(again.select("file_id", F.sha2("result", 256).alias("digest")), "file_id", "left")
-    proven = checked.withColumn("proven", F.coalesce(F.sha2("result", 256) == F.col("digest"), F.lit(False))).drop("digest")
+    checked = first.join(again.select("file_id", F.sha2("result", 256).alias("digest"), F.col("units").alias("units_again")), "file_id", "left")
+    same = (F.sha2("result", 256) == F.col("digest")) & (F.col("units") == F.col("units_again"))
+    proven = checked.withColumn("proven", F.coalesce(same, F.lit(False))).select("file_id", "kind", "result", "refusal", "proven").unionByName(cleaned_in_place(files))
     outcome = files.select("file_id", F.col("kind").alias("file_kind"), F.col("content").isNull().alias("missing")).join(proven, "file_id", "left")
-    key = F.when(F.col("missing"), "not_a_file").when(F.col("file_kind").isNull() | ~F.col("file_kind").isin(BMP, *PARSERS), "unsupported_format")
+    key = F.when(F.col("missing"), "not_a_file").when(F.col("file_kind").isNull() | ~F.col("file_kind").isin(BMP, *PARSERS, *IN_PLACE), "unsupported_format")
     key = key.when(F.col("refusal").isNotNull(), F.col("refusal")).when(~F.coalesce("proven", F.lit(False)), "verification_failed")
     return outcome.select("file_id", F.coalesce("kind", "file_kind").alias("kind"), F.when(key.isNull(), "cleaned").otherwise("refused").alias("status"), key.alias("error_key"), F.when(key.isNull(), F.col("result")).alias("result"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions.names import candidates
 
 # Suffixes of the formats, the first is the default.
-SUFFIXES = {"PNG": (".png", ".apng"), "GIF": (".gif",), "WEBP": (".webp",), "JPEG": (".jpg", ".jpeg", ".jpe", ".jfif"), "TIFF": (".tif", ".tiff")}
+SUFFIXES = {"PNG": (".png", ".apng"), "GIF": (".gif",), "WEBP": (".webp",), "JPEG": (".jpg", ".jpeg", ".jpe", ".jfif"), "TIFF": (".tif", ".tiff"), "HEIC": (".heic", ".heif", ".hif", ".heics", ".heifs"), "AVIF": (".avif", ".avifs")}
 
 
 def publish_one(path: str, kind: str, result: bytes, naming: str = "plain") -> str:
