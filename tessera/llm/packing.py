@@ -28,8 +28,11 @@ SHARD_DOCS, SHARD_IDS = 1024, 1 << 21
 #: Postings summed at once.
 POSTINGS = 1 << 17
 K1, B = 1.2, 0.75
+_LEAST = np.iinfo(np.int64).min
 #: Min-hashes that route a document, the bits that each keeps, and the power of BM25 weights that they are chosen by.
 ROUTES, ROUTE_BITS, ROUTE_POWER = 3, 21, 3
+#: Documents per task, and at most, whose routes decide where the tasks' stretches begin; every document is routed.
+SAMPLE_PER_TASK, SAMPLE_ROWS = 200, 1 << 20
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -101,6 +104,25 @@ def routes(ids: np.ndarray, lengths: np.ndarray, idf: np.ndarray, mean: float) -
     return out
 
 
+class Stretches:
+    """Where the stretch of each task begins among documents in order of route and id, so that each holds about as many ids."""
+
+    def __init__(self, route: np.ndarray, doc_id: np.ndarray, size: np.ndarray, parts: int):
+        order = np.lexsort((doc_id, route))
+        upto = np.cumsum(size[order])
+        at = np.unique(np.searchsorted(upto, upto[-1] * np.arange(1, parts) / parts)) if len(upto) else np.zeros(0, np.int64)
+        self.route, self.doc_id = route[order][at], doc_id[order][at]
+
+    def task(self, route: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+        """The stretch of each document: how many bounds lie at or before it."""
+        n = len(self.route)
+        row = np.append(np.zeros(n, bool), np.ones(len(route), bool))
+        order = np.lexsort((row, np.append(self.doc_id, doc_id), np.append(self.route, route)))
+        out = np.empty(n + len(route), np.int32)
+        out[order] = np.cumsum(~row[order])
+        return out[n:]
+
+
 class Shard:
     """An inverted index over the documents of one shard."""
 
@@ -199,11 +221,25 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW) ->
     idf = np.maximum(0.0, np.log((n_docs - df + 0.5) / (df + 0.5)))
     mean = max(1.0, total / max(1, n_docs))
 
-    def route(batches):
+    def routed(batches):
+        """(batch of ids, its doc_ids with nulls first, its routes, its lengths) of each block."""
         for batch in blocks(batches, "ids", 1 << 20):
             raw, starts, ends = flat(batch.column("ids"))
-            own = routes(raw.view("<u4"), (ends - starts) // 4, idf, mean)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own)], ["doc_id", "ids", "route"])
+            lengths = (ends - starts) // 4
+            yield batch, batch.column("doc_id").fill_null(_LEAST).to_numpy(), routes(raw.view("<u4"), lengths, idf, mean), lengths
+
+    def sample(batches):
+        for _, doc_id, route, lengths in routed(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(doc_id), pa.array(lengths)], ["route", "own", "size"])
+
+    parts = input_parts(ids)
+    share = min(1.0, min(SAMPLE_ROWS, SAMPLE_PER_TASK * parts) / max(1, n_docs))
+    drawn = ids.sample(share, 1).mapInArrow(sample, "route long, own long, size long").toArrow()  # at most SAMPLE_ROWS rows or so
+    bounds = docs.sparkSession.sparkContext.broadcast(Stretches(*(drawn.column(c).to_numpy() for c in ("route", "own", "size")), parts))
+
+    def deal(batches):
+        for batch, doc_id, route, _ in routed(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(route), pa.array(bounds.value.task(route, doc_id))], ["doc_id", "ids", "route", "task"])
 
     def run(batches):
         from pyspark import TaskContext
@@ -247,5 +283,5 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW) ->
         if held:
             yield close()
 
-    routed = ids.mapInArrow(route, "doc_id long, ids binary, route long")
-    return routed.repartitionByRange(input_parts(ids), "route", "doc_id").sortWithinPartitions("route", "doc_id").mapInArrow(run, PIECES)
+    dealt = ids.mapInArrow(deal, "doc_id long, ids binary, route long, task int")
+    return dealt.repartitionById(parts, "task").sortWithinPartitions("route", "doc_id").drop("route", "task").mapInArrow(run, PIECES)

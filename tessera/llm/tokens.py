@@ -23,6 +23,8 @@ from tessera.llm.textblocks import SPACE, gather, hashes, release, same_bytes
 #: Pieces that a worker remembers; beyond it the memory is emptied and filled anew.
 REMEMBERED = 1_200_000
 
+#: Words of letters that go through the library as one text.
+WORDS_AT_ONCE = 64
 #: Bytes of remembered pieces beside a block's own.
 BODY_BYTES = 1 << 26
 
@@ -81,11 +83,16 @@ class Encoder:
         special = [t["content"] for t in bare["added_tokens"]]
         #: Whether pieces may be encoded apart from each other.
         self.by_piece = bare["normalizer"] == NORMAL and bare["pre_tokenizer"] == SPLIT and not (bare["truncation"] or bare["padding"]) and all(t.startswith("<|") for t in special)
+        suffix = bare["model"].get("end_of_word_suffix")
+        self.by_piece &= bool(suffix) and bare["model"]["type"] == "BPE" and not bare["model"].get("dropout")
         bare["normalizer"] = None
-        bare["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-        #: The same merges without normalising and splitting, for single runs of letters in normal form.
+        bare["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, SPLIT["pretokenizers"][1]]}
+        #: The same merges without normalising and splitting but at spaces, for runs of letters in normal form; ids that end a word.
         self.letters = Tokenizer.from_str(json.dumps(bare)) if self.by_piece else None
-        del bare
+        vocabulary = self.library.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends_word[[n for token, n in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        del bare, vocabulary
         release()
         self._empty()
 
@@ -103,19 +110,21 @@ class Encoder:
         self.flat, self.begin = np.zeros(4096, np.uint16), np.zeros(1025, np.int32)
         self.body, self.body_at = np.zeros(4096, np.uint8), np.zeros(1025, np.int32)
 
-    def _learn(self, pieces: list[bytes]) -> None:
+    def _learn(self, pieces: list[bytes]) -> np.ndarray:
+        """Remember the ids and bytes of new pieces; the slot of each."""
         words = [p.lower().decode() if p.isascii() else p.decode() for p in pieces]
         plain, other = [], []
         for n, w in enumerate(words):
             (plain if w.isalpha() and (w.isascii() or _simple(w)) else other).append(n)
-        encoded: list = [None] * len(words)
-        for how, at in ((self.letters, plain), (self.library, other)):
-            texts = [words[n] for n in at]
-            if how is self.letters:
-                texts = [w if w.isascii() else normalize("NFC", w).lower() for w in texts]
-            for n, e in zip(at, how.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                encoded[n] = e.ids
-        flat = np.array(list(chain.from_iterable(encoded)), np.int64)
+        texts = [w if w.isascii() else normalize("NFC", w).lower() for w in (words[n] for n in plain)]
+        flat, sizes = self._words(texts)
+        rest = [e.ids for e in self.library.encode_batch_fast([words[n] for n in other], add_special_tokens=False)]
+        flat = np.concatenate([flat, np.fromiter(chain.from_iterable(rest), np.int64)])
+        sizes = np.concatenate([sizes, np.fromiter(map(len, rest), np.int64, len(rest))])
+        order = plain + other
+        slots = np.empty(len(pieces), np.int64)
+        slots[order] = self.known + np.arange(len(pieces))
+        pieces = [pieces[n] for n in order]
         if len(flat) and flat.max() > 0xFFFF and self.flat.dtype != np.uint32:
             self.flat = self.flat.astype(np.uint32)
         whole, n = np.frombuffer(b"".join(pieces), np.uint8), self.known + len(pieces)
@@ -124,9 +133,20 @@ class Encoder:
         self.flat, self.body = _room(self.flat, used + len(flat)), _room(self.body, written + len(whole))
         self.flat[used : used + len(flat)] = flat
         self.body[written : written + len(whole)] = whole
-        self.begin[self.known + 1 : n + 1] = used + np.cumsum(np.fromiter(map(len, encoded), np.int64, len(encoded)))
+        self.begin[self.known + 1 : n + 1] = used + np.cumsum(sizes)
         self.body_at[self.known + 1 : n + 1] = written + np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
         self.known = n
+        return slots
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one after the other, number of ids of each): many at once, for each ends with an id that says so."""
+        joined = [" ".join(words[at : at + WORDS_AT_ONCE]) for at in range(0, len(words), WORDS_AT_ONCE)]
+        ids = np.fromiter(chain.from_iterable(e.ids for e in self.letters.encode_batch_fast(joined, add_special_tokens=False)), np.int64)
+        ends = np.flatnonzero(self.ends_word[ids])
+        if len(ends) != len(words) or len(ids) and ends[-1] != len(ids) - 1:  # a word with an id that ends one inside: one by one
+            each = [e.ids for e in self.letters.encode_batch_fast(words, add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(each), np.int64), np.fromiter(map(len, each), np.int64, len(each))
+        return ids, np.diff(ends, prepend=-1)
 
     def encode(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other as uint32, number of ids of each text)."""
@@ -152,8 +172,7 @@ class Encoder:
             at = np.zeros(len(unique), np.int32)
             at[index] = np.arange(len(index), dtype=np.int32)
             at, body = at[order[new]], raw.tobytes()
-            found[new] = np.arange(self.known, self.known + len(new))
-            self._learn([body[a:b] for a, b in zip(begin[at].tolist(), stop[at].tolist(), strict=True)])
+            found[new] = self._learn([body[a:b] for a, b in zip(begin[at].tolist(), stop[at].tolist(), strict=True)])
             self.keys, self.slot_of = np.insert(self.keys, place[new], wanted[new]), np.insert(self.slot_of, place[new], found[new])
         slot = np.empty(len(unique), np.int64)
         slot[order] = found

@@ -74,3 +74,16 @@ def test_routing_brings_neighbours_into_one_shard(spark, monkeypatch):
     monkeypatch.setattr(packing, "routes", lambda ids, lengths, idf, mean: np.zeros(len(lengths), np.int64))
     plain = pure()
     assert routed > 0.7 > 0.5 > plain, (routed, plain)
+
+
+def test_stretches_hold_as_many_ids_and_split_frequent_routes():
+    draw = np.random.default_rng(2)
+    route = np.where(draw.random(3000) < 0.5, 7, draw.integers(0, 50, 3000))
+    doc_id, size = draw.permutation(3000), draw.integers(1, 100, 3000)
+    bounds = packing.Stretches(route[::3], doc_id[::3], size[::3], 10)
+    task = bounds.task(route, doc_id)
+    order = np.lexsort((doc_id, route))
+    assert (np.diff(task[order]) >= 0).all() and set(task.tolist()) == set(range(10))
+    assert np.bincount(task, weights=size).max() < 1.5 * size.sum() / 10
+    none = np.zeros(0, np.int64)
+    assert packing.Stretches(none, none, none, 10).task(route[:3], doc_id[:3]).tolist() == [0, 0, 0]
