@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.cluster import fresh
+from tessera.llm.cluster import numbered, place_of, renamed
 from tessera.llm.textblocks import SPACE, blocks, flat, hashes, lowered, spans
 
 #: Labelled rows that the machine is fitted to: those with the smallest hashed ids.
@@ -154,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", held_out: i
     """A machine for ``labels.<target>`` from rows whose crc32(doc_id) modulo ``folds`` is not ``held_out``.
 
     Null ids and labels outside {0, 1} teach nothing; of repeated labels the larger counts; at most SAMPLE_ROWS
-    labelled ids, those with the smallest hash, are used.
+    labelled ids, those with the smallest hash, are used; of documents that repeat such an id one counts, chosen by content.
     """
     known = labels.filter(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), folds) != held_out))
     known = known.groupBy("doc_id").agg(F.max(target).alias("label"))
@@ -169,31 +170,35 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", held_out: i
             columns = [batch.column("doc_id"), pa.array([d.tobytes() for d in dense], pa.binary()), cut(bucket.astype("<u4")), cut(value.astype("<f4")), batch.column("label")]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "dense", "bucket", "value", "label"])
 
-    got = rows.mapInArrow(extract, "doc_id long, dense binary, bucket binary, value binary, label int").limit(2 * SAMPLE_ROWS).collect()
-    got.sort(key=lambda r: (r.doc_id, bytes(r.bucket)))
+    found = rows.mapInArrow(extract, "doc_id long, dense binary, bucket binary, value binary, label int")
+    one = found.groupBy("doc_id").agg(F.min(F.struct("bucket", "dense", "value", "label")).alias("row"))
+    got = one.select("doc_id", "row.*").collect()  # a row per chosen id
+    got.sort(key=lambda r: r.doc_id)
     return train([(np.frombuffer(r.dense, float), np.frombuffer(r.bucket, "<u4"), np.frombuffer(r.value, "<f4"), r.label) for r in got])
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", column: str = "score") -> DataFrame:
     """``docs`` with a score from 0 to 1 for every row, whole text; a null text scores like an empty one.
 
-    Other columns pass through unchanged; an empty table gives an empty result. ``column`` must be a free name.
+    Other columns pass through unchanged, but one that has the name ``column`` gives way to it; an empty table gives an
+    empty result.
     """
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(machine)  # 2**BITS * (RANK + 1) numbers, whatever the input
 
+    before, rows, body = docs.columns, numbered(docs), f"c{place_of(docs, text)}"
+    rows = rows.withColumn(body, F.col(body).cast("string"))
+
     def look(batches):
-        for batch in blocks(batches, text):
-            own = sigmoid(margins(shared.value, *features(*flat(batch.column(text)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.float64())], [*batch.schema.names, column])
+        for batch in blocks(batches, body):
+            own = sigmoid(margins(shared.value, *features(*flat(batch.column(body)))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.float64())], [*batch.schema.names, "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(look, f"{fields}, `{column}` double")
+    scored = rows.mapInArrow(look, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
+    return renamed(scored.withColumnRenamed("score", column), before, [column])
 
 
 def accepted(docs: DataFrame, machine: Machine, least: float = ACCEPT) -> DataFrame:
     """``docs`` without the rows that score below ``least``; columns unchanged, whatever their names."""
-    apart = docs.select(*(F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(docs.columns)))
-    name = fresh(apart, "score")
-    kept = score(apart, machine, f"c{docs.columns.index('text')}", name).filter(F.col(name) >= least)
-    return kept.select(*(F.col(f"c{n}").alias(c) for n, c in enumerate(docs.columns)))
+    kept = score(numbered(docs), machine, f"c{place_of(docs, 'text')}").filter(F.col("score") >= least)
+    return kept.drop("score").toDF(*docs.columns)

@@ -22,6 +22,10 @@ _SCALE = 16
 _STEP = 24
 #: Steps between changes of the order-0 frequencies.
 _REFRESH = 4
+#: Sum of the order-0 frequencies at most, so that a range of 2**32 still holds 2**7 for each: they are halved beyond.
+_MOST_TOTAL = 1 << 25
+#: Words that a step moves at most: the prediction and the id, two each.
+_MOST_WORDS = 4
 _HEAD = struct.Struct("<III")
 
 
@@ -63,6 +67,9 @@ class _Model:
         if len(self.waiting) == _REFRESH:
             self.freq += _STEP * np.bincount(np.concatenate(self.waiting), minlength=self.size)
             self.total()
+            while self.cum[-1] > _MOST_TOTAL and self.size < _MOST_TOTAL >> 1:
+                self.freq = (self.freq + 1) >> 1
+                self.total()
             self.waiting.clear()
         self.before[: self.k], self.last[: self.k] = self.last[: self.k], ids
 
@@ -86,12 +93,12 @@ def compress(ids: np.ndarray) -> bytes:
     table = np.ascontiguousarray(padded.reshape(lanes, steps).T)
     model = _Model(size, lanes)
     low, span = np.zeros(lanes, np.int64), np.full(lanes, 1 << _TOP, np.int64)
-    words, used = np.zeros((lanes, 2 * steps + 3), np.int64), np.zeros(lanes, np.int64)
+    words, used = np.zeros((lanes, _MOST_WORDS * steps + 3), np.int32), np.zeros(lanes, np.int64)
 
     def put(lane, start, width, r):
         value, room = low[lane] + r * start, r * width
-        full = np.flatnonzero(room < 1 << _LOW)
-        if len(full):
+        # A step narrows the range to 2**7 at least (see _MOST_TOTAL), so two words at most restore it.
+        while len(full := np.flatnonzero(room < 1 << _LOW)):
             out = full if isinstance(lane, slice) else lane[full]
             words[out, used[out]] = value[full] >> _LOW
             used[out] += 1
@@ -115,7 +122,7 @@ def compress(ids: np.ndarray) -> bytes:
             put(lane, model.cum[own], model.freq[own], span[lane] // model.cum[-1])
         model.update(x, way)
     every = np.arange(lanes)
-    for shift, mask in ((32, -1), (16, 0xFFFF), (0, 0xFFFF)):
+    for shift, mask in ((32, 0x1FFFF), (16, 0xFFFF), (0, 0xFFFF)):
         words[every, used] = (low >> shift) & mask
         used += 1
     while len(np.flatnonzero(over := words >> 16)):
@@ -143,8 +150,7 @@ def decompress(block: bytes) -> np.ndarray:
 
     def take(lane, start, width, r):
         value, room = code[lane] - r * start, r * width
-        full = np.flatnonzero(room < 1 << _LOW)
-        if len(full):
+        while len(full := np.flatnonzero(room < 1 << _LOW)):
             out = full if isinstance(lane, slice) else lane[full]
             value[full] = (value[full] << 16) | body[at[out]]
             at[out] += 1

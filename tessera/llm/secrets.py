@@ -7,6 +7,7 @@ draws in the alphabets that keys use. ``train`` takes labelled samples instead.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 import re
@@ -24,8 +25,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # runs are maximal, so the length may
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "markov")
 
-#: Strings that the models judge: at least so many characters of this alphabet, with a digit or both cases.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Strings that the models judge: at least SHORTEST characters of this alphabet, with a digit or both cases.
+SHORTEST, CANDIDATE = 16, re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Parts of such a string that are judged by themselves where the whole is ordinary.
+PART = re.compile(r"[A-Za-z0-9+_-]{16,}")
 CHARS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Mean log-likelihood ratio per character above which a string counts as random.
 THRESHOLD = 0.3
@@ -189,21 +192,53 @@ def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Models:
     return models(chance, ordinary * (chance.sum() / ordinary.sum()))
 
 
+def _merged(found: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Disjoint spans that cover the same characters, in order."""
+    out: list[tuple[int, int]] = []
+    for a, _, b in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+def _left(a: int, b: int, covered: list[tuple[int, int]], starts: list[int]) -> list[tuple[int, int]]:
+    """What the covered spans leave of a span, where it is long enough to judge."""
+    out, at = [], bisect.bisect_right(starts, a) - 1
+    at = max(at, 0)
+    while at < len(covered) and covered[at][0] < b:
+        x, y = covered[at]
+        if y > a:
+            out.append((a, x))
+            a = max(a, y)
+        at += 1
+    return [(x, y) for x, y in [*out, (a, b)] if y - x >= SHORTEST]
+
+
+def _random(text: str, a: int, b: int, fitted: Models) -> list[tuple[int, int]]:
+    """The span if it scores as random, else those of its parts between slashes and equals signs that do."""
+    if _is_random(text[a:b], fitted):
+        return [(a, b)]
+    return [(m.start(), m.end()) for m in PART.finditer(text, a, b) if m.span() != (a, b) and _is_random(m.group(), fitted)]
+
+
+def _is_random(own: str, fitted: Models) -> bool:
+    mixed = any(c.isdigit() for c in own) or not (own.islower() or own.isupper())
+    return mixed and fitted.score(own) > fitted.threshold
+
+
 def spans(text: str, fitted: Models | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every secret, by start, then kind as listed in KINDS. Code points, end exclusive."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if fitted is not None:
-        base = [(a, b) for a, _, b in found]
+        covered = _merged(found)
+        starts = [a for a, _ in covered]
         for m in CANDIDATE.finditer(text):
-            a, b = m.span()
-            own = m.group()
-            if any(x < b and a < y for x, y in base):
-                continue
-            mixed = any(c.isdigit() for c in own) or not (own.islower() or own.isupper())
-            if mixed and fitted.score(own) > fitted.threshold:
-                found.append((a, 3, b))
+            for a, b in _left(*m.span(), covered, starts):
+                found += [(x, 3, y) for x, y in _random(text, a, b, fitted)]
     return [(KINDS[k], a, b) for a, k, b in sorted(found)]
 
 

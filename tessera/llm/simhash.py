@@ -19,13 +19,15 @@ from pyspark.sql import functions as F
 
 from tessera.llm.cluster import fresh, shared_dir
 from tessera.llm.exact_dedup import split_join
-from tessera.llm.textblocks import blocks
+from tessera.llm.textblocks import blocks, gather, mix
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Fingerprints that a leaf holds at about; the tree has one level per doubling beyond.
 LEAF = 4096
-#: Fingerprints that the tree is fitted to, at most twice as many.
-SAMPLE = 32768
+#: Fingerprints that the tree is fitted to, at most twice as many, and the levels of the tree at most.
+SAMPLE, DEEPEST = 32768, 11
+#: Fingerprints that ask in one task at about, and that are dealt at once.
+ASKING, DEALT = 1 << 18, 2048
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -143,30 +145,58 @@ def components(own: np.ndarray, asking: np.ndarray, within: int, vantage: np.uin
     return label
 
 
+def _shares(tree: Tree, sample: np.ndarray, each: float, within: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per leaf, into how many blocks its own points and its asking points are cut, as the sample lets expect."""
+    leaves = 1 << tree.depth
+    home = tree.leaf(sample)
+    index, leaf = tree.reach(sample, within)
+    asks = leaf > home[index]
+    cut = lambda counts, most: np.maximum(1, np.ceil(counts * each / most)).astype(np.int64)
+    return cut(np.bincount(home, minlength=leaves), 2 * LEAF), cut(np.bincount(leaf[asks], minlength=leaves), ASKING)
+
+
 def _stars(points: DataFrame, n: int, within: int) -> DataFrame:
-    """``fp, star`` for every fingerprint with a link, for every star it belongs to."""
-    depth = max(0, math.ceil(math.log2(max(1, n) / LEAF)))
+    """``fp, star`` for every fingerprint with a link, for every star it belongs to (named by one of its fingerprints).
+
+    The tree has at most 2**DEEPEST leaves, so that each node's part of the sample stays large enough to split it; the
+    points of a larger leaf, and those that ask it, are cut into blocks that meet pairwise, one task each.
+    """
+    depth = min(DEEPEST, max(0, math.ceil(math.log2(max(1, n) / LEAF))))
     every = max(1, n // SAMPLE)
-    sample = points.filter(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).select("fp").toArrow().column("fp").to_numpy()
-    tree = Tree.fitted(np.sort(sample).astype(np.int64).view(np.uint64), depth)
-    shared = points.sparkSession.sparkContext.broadcast(tree)  # at most one node per LEAF fingerprints
+    drawn = points.filter(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).select("fp").toArrow().column("fp").to_numpy()
+    sample = np.sort(drawn).astype(np.int64).view(np.uint64)
+    tree = Tree.fitted(sample, depth)
+    shared = points.sparkSession.sparkContext.broadcast((tree, *_shares(tree, sample, n / max(1, len(sample)), within)))  # 2**DEEPEST nodes
 
     def deal(batches):
-        own_tree = shared.value
+        own_tree, wide, deep = shared.value
         for batch in batches:
-            fp = batch.column(0).to_numpy().view(np.uint64)
-            home = own_tree.leaf(fp)
-            index, leaf = own_tree.reach(fp, within)
-            asks = leaf > home[index]  # the other direction finds the same pairs
-            index, leaf = np.concatenate([np.arange(len(fp)), index[asks]]), np.concatenate([home, leaf[asks]])
-            asked = np.arange(len(index)) >= len(fp)
-            order = np.lexsort((asked, leaf))
-            key = leaf[order] * 2 + asked[order]
-            cut = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-            ends = np.append(cut[1:], len(key))
-            values = fp[index[order]].astype("<u8")
-            blob = [values[a:b].tobytes() for a, b in zip(cut.tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(key[cut] >> 1), pa.array((key[cut] & 1).astype(bool)), pa.array(blob, pa.binary())], ["leaf", "asking", "points"])
+            for at in range(0, batch.num_rows, DEALT):
+                fp = batch.column(0).slice(at, DEALT).to_numpy().view(np.uint64)
+                home, spread = own_tree.leaf(fp), mix(fp)
+                index, leaf = own_tree.reach(fp, within)
+                asks = leaf > home[index]  # the other direction finds the same pairs
+                index, leaf = index[asks], leaf[asks]
+                # A point of a leaf lies in one block there and also asks the leaf's later blocks.
+                block = (spread % wide[home].astype(np.uint64)).astype(np.int64)
+                later = wide[home] - 1 - block
+                every_block = gather(np.zeros(len(index), np.int64), wide[leaf])
+                asked_by = np.concatenate([np.repeat(index, wide[leaf]), np.repeat(np.arange(len(fp)), later)])
+                to_leaf = np.concatenate([np.repeat(leaf, wide[leaf]), np.repeat(home, later)])
+                to_block = np.concatenate([every_block, gather(block + 1, later)])
+                chunk = (spread[asked_by] >> np.uint64(32)) % deep[to_leaf].astype(np.uint64)
+                who = np.concatenate([np.repeat(np.arange(len(fp)), deep[home]), asked_by])
+                where = np.concatenate([np.repeat(home, deep[home]), to_leaf])
+                row = np.concatenate([np.repeat(block, deep[home]), to_block])
+                column = np.concatenate([gather(np.zeros(len(fp), np.int64), deep[home]), chunk.astype(np.int64)])
+                asked = np.arange(len(who)) >= len(who) - len(asked_by)
+                order = np.lexsort((asked, column, row, where))
+                keys = [x[order] for x in (where, row, column, asked)]
+                new = np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0)) if len(who) else np.zeros(0, bool)
+                cut = np.flatnonzero(new)
+                values, ends = fp[who[order]].astype("<u8"), np.append(cut[1:], len(who))
+                blob = [values[x:y].tobytes() for x, y in zip(cut.tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(k[cut]) for k in keys), pa.array(blob, pa.binary())], ["leaf", "block", "chunk", "asking", "points"])
 
     def link(table: pa.Table) -> pa.Table:
         asking = table.column("asking").to_numpy()
@@ -177,10 +207,10 @@ def _stars(points: DataFrame, n: int, within: int) -> DataFrame:
         both = np.concatenate([own, other])
         label = components(own, other, within, both[len(both) // 2])
         linked = np.flatnonzero(np.bincount(label, minlength=len(both))[label] > 1)
-        number = label[linked].astype(np.int64) + (int(table.column("leaf")[0].as_py()) << 32)
-        return pa.table({"fp": both[linked].view(np.int64), "star": number})
+        return pa.table({"fp": both[linked].view(np.int64), "star": both[label[linked]].view(np.int64)})
 
-    return points.select("fp").mapInArrow(deal, "leaf long, asking boolean, points binary").groupBy("leaf").applyInArrow(link, "fp long, star long")
+    dealt = points.select("fp").mapInArrow(deal, "leaf long, block long, chunk long, asking boolean, points binary")
+    return dealt.groupBy("leaf", "block", "chunk").applyInArrow(link, "fp long, star long")
 
 
 def _connected(stars: DataFrame) -> DataFrame:

@@ -1,15 +1,16 @@
 """WARC archives: pages written as response, continuation and revisit records, and read back by segment reassembly.
 
-Records go through Spark's text writer as raw bytes, one row per record; the line feed that the writer adds is the
-last byte of the record's closing blank line. A block beyond ``SEGMENT`` bytes is cut into segments. The reader parses
-whole files in Arrow batches; records of one segment are finished there, and segments are grouped by the identifier of
-their origin, ordered by number, checked against the total length, joined and freed of chunked framing.
+Each record is a gzip member of its own, as the format asks, and goes through Spark's text writer as raw bytes, one row
+per member: a member ends with the high byte of its length, which is zero below 16 MiB, and the writer is told to end
+its rows with that byte. A block beyond ``SEGMENT`` bytes is cut into segments. The reader inflates a file piece by piece
+and parses record by record, once; records of one segment are finished there, and segments are grouped by the
+identifier of their origin, ordered by number, checked against the total length, joined and freed of chunked framing.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,8 @@ SEGMENT, CHUNK = 48 << 10, 16 << 10
 REVISIT_FROM = 100
 #: Revisits, of some 50 bytes each, up to which they are broadcast instead of shuffling the pages.
 BROADCAST_ROWS = 100_000
+#: Records in one archive at most; bytes of a member before compression, and of a file that are inflated at once.
+RECORDS, MEMBER, PIECE = 1 << 14, 8 << 20, 1 << 16
 _URN = "urn:tessera:page:"
 
 
@@ -40,7 +43,10 @@ def unchunked(body: bytes) -> bytes:
         end = body.find(b"\r\n", at)
         if end < 0:
             raise ValueError("chunked framing ends early")
-        size = int(body[at:end].split(b";")[0], 16)
+        stated = body[at:end].split(b";")[0].strip()
+        if not stated or stated.strip(b"0123456789abcdefABCDEF"):
+            raise ValueError("a chunk states no size")
+        size = int(stated, 16)
         if not size:
             return b"".join(out)
         at = end + 2
@@ -58,9 +64,37 @@ def payload_of(block: bytes) -> bytes:
 
 
 def _record(kind: str, record_id: str, fields: list[tuple[str, object]], block: bytes) -> bytes:
-    """A record without its last line feed."""
+    """A whole record."""
     head = [("WARC-Type", kind), ("WARC-Record-ID", f"<{record_id}>"), *fields, ("Content-Length", len(block))]
-    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r"
+    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def members(record: bytes) -> list[bytes]:
+    """The record as gzip members without their last byte, a zero; more than one only for huge headers."""
+    out = []
+    for at in range(0, len(record), MEMBER):
+        packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+        out.append((packer.compress(record[at : at + MEMBER]) + packer.flush())[:-1])
+    return out
+
+
+def inflated(content: bytes):
+    """The bytes of all members of an archive, piece by piece; ValueError where it is damaged or cut short."""
+    at, stream = 0, None
+    try:
+        while at < len(content):
+            piece = content[at : at + PIECE]
+            at += len(piece)
+            while piece:
+                stream = stream or zlib.decompressobj(31)
+                yield stream.decompress(piece)
+                piece = stream.unused_data
+                if stream.eof:
+                    stream = None
+    except zlib.error as error:
+        raise ValueError("an archive is damaged") from error
+    if stream is not None:
+        raise ValueError("an archive ends early")
 
 
 def page_records(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, unique: str, segment: int = SEGMENT) -> list[bytes]:
@@ -85,24 +119,49 @@ def page_records(page_id: int | None, url: str | None, payload: bytes, refers_to
     return out
 
 
-def parse(content: bytes):
-    """(fields with lower-case names, block) of each record of an archive; ValueError where the format is broken."""
-    at = 0
-    while at < len(content):
-        end = content.find(b"\r\n\r\n", at)
-        lines = content[at:end].split(b"\r\n")
-        if end < 0 or not lines[0].startswith(b"WARC/"):
+def parse(pieces):
+    """(fields with lower-case names, block) of each record of an archive, given as bytes or as pieces of them.
+
+    ValueError where the format is broken. Only the record at hand is kept.
+    """
+    pieces = iter([pieces] if isinstance(pieces, bytes) else pieces)
+    held, at, searched = bytearray(), 0, 0
+
+    def more() -> bool:
+        nonlocal at, searched
+        piece = next(pieces, None)
+        if at:
+            del held[:at]
+            searched, at = max(0, searched - at), 0
+        held.extend(piece or b"")
+        return piece is not None
+
+    while True:
+        while (end := held.find(b"\r\n\r\n", max(at, searched))) < 0:
+            searched = max(at, len(held) - 3)
+            if not more():
+                if len(held) > at:
+                    raise ValueError("a record has no header")
+                return
+        lines = bytes(held[at:end]).split(b"\r\n")
+        if not lines[0].startswith(b"WARC/"):
             raise ValueError("a record has no header")
         fields = {}
         for line in lines[1:]:
             name, _, value = line.partition(b":")
             fields[name.decode().lower()] = value.strip().decode()
-        at = end + 4
-        size = int(fields["content-length"])
-        if content[at + size : at + size + 4] != b"\r\n\r\n":
+        at = searched = end + 4
+        stated = fields.get("content-length", "")
+        if not (stated.isascii() and stated.isdigit()):
+            raise ValueError("a record states no length")
+        size = int(stated)
+        while len(held) - at < size + 4:
+            if not more():
+                raise ValueError("a record has another length than stated")
+        if held[at + size : at + size + 4] != b"\r\n\r\n":
             raise ValueError("a record has another length than stated")
-        yield fields, content[at : at + size]
-        at += size + 4
+        yield fields, bytes(held[at : at + size])
+        at = searched = at + size + 4
 
 
 def _page(urn: str | None) -> int | None:
@@ -135,11 +194,12 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
             for at in range(0, batch.num_rows, 64):
                 out = []
                 for row in batch.slice(at, 64).to_pylist():
-                    out += page_records(row["page_id"], row["url"], row["html"].encode(), row["refers_to"], f"{part}-{n}", segment)
+                    for record in page_records(row["page_id"], row["url"], row["html"].encode(), row["refers_to"], f"{part}-{n}", segment):
+                        out += members(record)
                     n += 1
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    marked.select("page_id", "url", "html", "refers_to").mapInArrow(render, "record binary").select(F.col("record").cast("string").alias("value")).write.option("compression", "gzip").text(path)
+    marked.select("page_id", "url", "html", "refers_to").mapInArrow(render, "record binary").select(F.col("record").cast("string").alias("value")).write.options(lineSep="\0", compression="none", maxRecordsPerFile=str(RECORDS)).text(path)
 
 
 _FIELDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -175,7 +235,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
         for batch in batches:
             for content in batch.column(0):
                 rows = []
-                for fields, block in parse(gzip.decompress(content.as_py())):
+                for fields, block in parse(inflated(content.as_py())):
                     number = int(fields.get("warc-segment-number", 0))
                     if not number:
                         rows.append((*_finished(fields, block, payloads), None, None, None, None))
@@ -198,8 +258,9 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
         fields = {"warc-type": first["record_type"], "warc-payload-digest": first["payload_digest"], "x-payload-length": first["payload_bytes"], "warc-record-id": first["origin"]}
         return pa.Table.from_batches([_table([_finished(fields, block, payloads)], _FIELDS)])
 
+    shared_dir(spark, "records")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    records = files.mapInArrow(look, _RAW)
+    records = files.mapInArrow(look, _RAW).checkpoint()  # parsed once: segments, and a row of numbers for each other record
     names = [f.split()[0] for f in _FIELDS.split(", ")]
     whole = records.filter("origin IS NULL").select(*names)
     joined = records.filter("origin IS NOT NULL").groupBy("origin").applyInArrow(reassemble, _FIELDS)
@@ -207,6 +268,12 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
     return found if payloads else found.drop("payload")
 
 
+def unanswered(found: DataFrame) -> DataFrame:
+    """Revisits of ``read_archives`` whose response is missing or has another digest."""
+    answers = found.filter("record_type = 'response'").select(F.col("page_id").alias("answer_id"), F.col("payload_digest").alias("answer"))
+    return found.filter("record_type = 'revisit'").join(answers, (F.col("refers_to") == F.col("answer_id")) & (F.col("payload_digest") == F.col("answer")), "left_anti")
+
+
 def round_trip(pages: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """Write the archives of ``pages`` to the shared folder and read them back."""
     path = shared_dir(pages.sparkSession, "archives")

@@ -126,6 +126,12 @@ def test_near_dedup(spark, docs, no_docs, rows, monkeypatch):
     assert tuples(simhash.near_dedup(frame), *columns) == want
     monkeypatch.setattr(simhash, "LEAF", 8)
     assert tuples(simhash.near_dedup(frame), *columns) == want
+    # Few large leaves, cut into blocks of points and of askers.
+    monkeypatch.setattr(simhash, "LEAF", 2)
+    monkeypatch.setattr(simhash, "DEEPEST", 2)
+    monkeypatch.setattr(simhash, "ASKING", 8)
+    monkeypatch.setattr(simhash, "DEALT", 7)
+    assert tuples(simhash.near_dedup(frame), *columns) == want
     assert simhash.near_dedup(no_docs).count() == 0
     left = simhash.drop_near_copies(docs)
     assert left.columns == docs.columns
@@ -213,7 +219,10 @@ def test_language_mixture(spark):
 PAGES = [(1, "http://a/x y", "<p>" + "é" * 200), (2, None, "<p>" + "é" * 200), (3, "u", None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (7, "u", "WARC/1.1\r\n\r\n0\r\n\r\n" * 9000), (0, "u", "<p>" + "é" * 200), (0, "u", "<p>" + "é" * 200), (None, "u", "<p>" + "é" * 200), (9, "u", "x" * 100), (8, "u", "x" * 100), (10, "u", "y" * 99), (11, "u", "y" * 99), (12, "u", "\n\r\n" * 50), (None, "u", "z" * 300)]
 
 
-def test_archives(spark, tmp_path):
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_archives(spark, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(warc, "RECORDS", 7)
     pages = spark.createDataFrame([(*p, "d", 1) for p in PAGES], "page_id long, url string, html string, digest string, refers_to int")
     warc.shared_dir(spark, "test")
     warc.write_archives(pages, str(tmp_path / "w"), segment=5000)
@@ -228,16 +237,34 @@ def test_archives(spark, tmp_path):
         again = len(body) >= 100 and keep is not None and keep != i
         want.append((i, len(body), hashlib.sha256(body).hexdigest(), "revisit" if again else "response", keep if again else None, None if again else body))
     assert [(*g[:5], None if g[5] is None else bytes(g[5])) for g in got] == sorted(want, key=repr)
-    raw = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("part-*"))
-    assert sum(f["warc-type"] == "continuation" for f, _ in warc.parse(raw)) > 20
+    files = [p.read_bytes() for p in (tmp_path / "w").glob("part-*")]
+    raw = b"".join(map(gzip.decompress, files))
+    records = list(warc.parse(raw))
+    assert sum(f["warc-type"] == "continuation" for f, _ in records) > 20
+    assert len(files) > 3 and sum(map(len, files)) < len(raw) and records == [r for f in files for r in warc.parse(warc.inflated(f))]
+    # Every record begins a member of its own.
+    assert sum(f.count(b"\x1f\x8b\x08") for f in files) >= len(records)
+    assert warc.unanswered(warc.read_archives(spark, str(tmp_path / "w"))).count() == 0
+    broken = spark.createDataFrame([(1, "response", None, "a"), (2, "revisit", 1, "a"), (3, "revisit", 1, "b"), (4, "revisit", 9, "a")], "page_id long, record_type string, refers_to long, payload_digest string")
+    assert sorted(r.page_id for r in warc.unanswered(broken).collect()) == [3, 4]
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
 def test_broken_archives():
     assert warc.unchunked(warc.chunked(b"abc" * 9, 4)) == b"abc" * 9 and warc.unchunked(b"3;x=1\r\nabc\r\n0\r\nT: 1\r\n\r\n") == b"abc"
-    for bad in (b"5\r\nabc\r\n0\r\n\r\n", b"3\r\nabc", b""):
+    for bad in (b"5\r\nabc\r\n0\r\n\r\n", b"3\r\nabc", b"", b"-3\r\nabc\r\n0\r\n\r\n", b"+3\r\nabc\r\n0\r\n\r\n", b"\r\n0\r\n\r\n"):
         with pytest.raises(ValueError):
             warc.unchunked(bad)
     (record,) = warc.page_records(1, "u", b"abc", None, "0-0")
-    with pytest.raises(ValueError):
-        list(warc.parse(record + b"\nrest"))
+    assert [b for _, b in warc.parse(record * 3)] == [b for _, b in warc.parse(record[k : k + 1] for k in range(len(record)))] * 3
+    size = next(v for f, _ in warc.parse(record) for k, v in f.items() if k == "content-length").encode()
+    odd = [record + b"rest", record[:-3], record.replace(b"Length: " + size, b"Length: -1"), record.replace(b"Length: " + size, b"Length: 5"), b"x" * 90]
+    for bad in odd:
+        with pytest.raises(ValueError):
+            list(warc.parse(bad))
+    huge = bytes(range(256)) * 40_000  # over one member
+    packed = b"".join(m + b"\0" for m in warc.members(huge))
+    assert len(warc.members(huge)) == 2 and b"".join(warc.inflated(packed)) == huge == gzip.decompress(packed)
+    for bad in (packed[:-9], packed[:50] + b"zz" + packed[52:]):
+        with pytest.raises(ValueError):
+            list(warc.inflated(bad))
