@@ -16,6 +16,7 @@ TEXTS = {
     "raw_photo": "Raw photos can't be cleaned.",
     "too_large": "The {kind} picture is too large to check.",
     "extra_image_data": "The {kind} file hides data behind its picture.",
+    "no_video": "The {kind} file has no picture track.",
     "verification_failed": "The clean copy of the {kind} file could not be proven equivalent.",
 }
 

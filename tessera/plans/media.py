@@ -43,6 +43,10 @@ def heif_clean(spark: SparkSession, d: str) -> DataFrame:
     return _clean(spark, (parts.HEIC, parts.AVIF))
 
 
+def mp4_clean(spark: SparkSession, d: str) -> DataFrame:
+    return _clean(spark, (parts.MP4, parts.MOV))
+
+
 def media_parts(spark: SparkSession, d: str) -> DataFrame:
     table = sanitise.decided(parts.parts(fixtures.files(spark)))
     return table.groupBy("kind", F.decode("part", "ISO-8859-1").alias("part"), "keep", "refusal").agg(F.count(F.lit(1)).alias("n"))
@@ -56,4 +60,4 @@ def damaged_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return publish.summary(sanitise.clean(fuzz.files(spark, 1000)))
 
 
-QUERIES = {f.__name__: f for f in (png_clean, gif_clean, webp_clean, jpeg_clean, tiff_clean, bmp_to_png, heif_clean, media_parts, media_outcomes, damaged_outcomes)}
+QUERIES = {f.__name__: f for f in (png_clean, gif_clean, webp_clean, jpeg_clean, tiff_clean, bmp_to_png, heif_clean, mp4_clean, media_parts, media_outcomes, damaged_outcomes)}

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.lineage import shared_folder
-from tessera.sources import heif, jpeg, tiff
-from tessera.sources.parts import AVIF, BMP, GIF, HEIC, JPEG, LOOPS, PARSERS, PNG, PROFILE, TIFF, WEBP, Refused, parts, riff_chunk, shown_image
+from tessera.sources import heif, jpeg, movie, tiff
+from tessera.sources.parts import AVIF, BMP, GIF, HEIC, JPEG, LOOPS, MOV, MP4, PARSERS, PNG, PROFILE, TIFF, WEBP, Refused, parts, riff_chunk, shown_image
 
 # Parts that a clean copy may hold. (format, part, sizes or none for any, once, only before image data)
 POLICY = [
@@ -222,7 +222,7 @@ def finish_gif(own: list[tuple[bytes, bytes]]) -> bytes:
 FINISH = {PNG: finish_png, WEBP: finish_webp, GIF: finish_gif, JPEG: jpeg.join, TIFF: tiff.join}
 _RESULT = "file_id long, kind string, result binary, refusal string, units array<binary>"
 #: Formats whose media data stays where it is: (what makes the clean copy, what tells it from its original).
-IN_PLACE = {HEIC: (heif.clean, heif.difference), AVIF: (heif.clean, heif.difference)}
+IN_PLACE = {HEIC: (heif.clean, heif.difference), AVIF: (heif.clean, heif.difference), MP4: (movie.clean, movie.difference), MOV: (movie.clean, movie.difference)}
 
 
 def shown_units(kind: str, kept: list[tuple[bytes, bytes]]) -> list[bytes]:
@@ -255,8 +255,12 @@ def _gathered(marked: DataFrame) -> DataFrame:
     return marked.groupBy("file_id", "kind").agg(first.alias("refusal"), kept.alias("kept"))
 
 
-def rebuilt(files: DataFrame) -> DataFrame:
-    """``file_id, kind, result, refusal``: the clean copy of each file or the key why there is none."""
+def rebuilt(files: DataFrame, finish: dict | None = None) -> DataFrame:
+    """``file_id, kind, result, refusal, units``: the clean copy of each file or the key why there is none.
+
+    ``finish`` gives other serialisers than FINISH by format.
+    """
+    serialisers = finish or FINISH
 
     def write(batches):
         for batch in batches:
@@ -266,7 +270,7 @@ def rebuilt(files: DataFrame) -> DataFrame:
                 if refusal is None:
                     kept = [(p["part"], p["payload"]) for p in row["kept"]]
                     try:
-                        result, units = FINISH[row["kind"]](kept), shown_units(row["kind"], kept)
+                        result, units = serialisers[row["kind"]](kept), shown_units(row["kind"], kept)
                     except (Refused, jpeg.Broken) as refused:
                         refusal = refused.key
                 columns = [pa.array([row["file_id"]], pa.int64()), pa.array([row["kind"]], pa.string()), pa.array([result], pa.binary()), pa.array([refusal], pa.string()), pa.array([units], pa.list_(pa.binary()))]
@@ -298,7 +302,7 @@ def cleaned_in_place(files: DataFrame) -> DataFrame:
     return own.mapInArrow(write, "file_id long, kind string, result binary, refusal string, proven boolean")
 
 
-def clean(files: DataFrame) -> DataFrame:
+def clean(files: DataFrame, finish: dict | None = None) -> DataFrame:
     """Outcomes of ``files`` (``file_id, kind, content``): ``file_id, kind, status, error_key, result``, the kind being the result's.
 
     A result counts only if it is parsed anew and every part of it is allowed, cleaning it again yields the same bytes,
@@ -306,8 +310,8 @@ def clean(files: DataFrame) -> DataFrame:
     ``verification_failed``. Files without content are ``not_a_file``, unknown kinds ``unsupported_format``.
     """
     shared_folder(files.sparkSession)
-    first = rebuilt(files).checkpoint()  # parsed and serialised once, though two branches read it
-    again = rebuilt(first.filter("result IS NOT NULL").select("file_id", "kind", F.col("result").alias("content")))
+    first = rebuilt(files, finish).checkpoint()  # parsed and serialised once, though two branches read it
+    again = rebuilt(first.filter("result IS NOT NULL").select("file_id", "kind", F.col("result").alias("content")), finish)
     checked = first.join(again.select("file_id", F.sha2("result", 256).alias("digest"), F.col("units").alias("units_again")), "file_id", "left")
     same = (F.sha2("result", 256) == F.col("digest")) & (F.col("units") == F.col("units_again"))
     proven = checked.withColumn("proven", F.coalesce(same, F.lit(False))).select("file_id", "kind", "result", "refusal", "proven").unionByName(cleaned_in_place(files))

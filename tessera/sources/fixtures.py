@@ -139,7 +139,7 @@ XMP = b'<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.or
 
 def cases() -> list[tuple[str, bytes, str, str | None, list[bytes]]]:
     """(name, content, expected status, expected key, byte strings that must survive)."""
-    from tessera.sources import boxed  # which builds on this module
+    from tessera.sources import boxed, films  # which build on this module
 
     text, private, gama = png_chunk(b"tEXt", b"Comment\0" + SECRET), png_chunk(b"prVt", SECRET), png_chunk(b"gAMA", b"\0\0\xb1\x8f")
     control, loop = gif_extension(0xF9, b"\xe5\x0a\0\0"), gif_extension(0xFF, b"NETSCAPE2.0", b"\x01\0\0", SECRET)
@@ -227,7 +227,7 @@ def cases() -> list[tuple[str, bytes, str, str | None, list[bytes]]]:
         ("bmp.index_out_of_range", bmp(8, b"\0\7\1z\1\0\0z", palette=bytes(8)), "refused", "damaged", []),
         ("bmp.truncated", bmp(24, bytes(12), tail=b""), "refused", "damaged", []),
         ("other.text", SECRET * 3, "refused", "unsupported_format", []),
-        *boxed.cases(),
+        *boxed.cases(), *films.cases(),
     ]
 
 

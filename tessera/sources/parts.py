@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import exif, icc
 from tessera.functions.scalars import unsigned
-from tessera.sources import bmp, jpeg, tiff
+from tessera.sources import bmp, jpeg, movie, tiff
 from tessera.sources.heif import AVIF_BRANDS, FILE_TYPE_BYTES, HEIF_BRANDS
 
 PNG, APNG, GIF, WEBP, JPEG, TIFF, BMP = "PNG", "APNG", "GIF", "WEBP", "JPEG", "TIFF", "BMP"
@@ -36,14 +36,6 @@ class Refused(Exception):
 # Signatures of the formats by offset, the first that fits decides.
 SIGNATURES = [(1, b"\x89PNG\r\n\x1a\n", PNG), (1, b"GIF87a", GIF), (1, b"GIF89a", GIF), (1, b"\xff\xd8\xff", JPEG), (1, b"II*\0", TIFF), (1, b"MM\0*", TIFF), (1, b"II+\0", TIFF), (1, b"MM\0+", TIFF), (1, b"BM", BMP)]
 
-# Brands of videos, and of cameras that write their own first; what old movies without brands begin with.
-MOVIE_BRANDS = (
-    "isom", "iso2", "iso3", "iso4", "iso5", "iso6", "iso7", "iso8", "iso9", "mp41", "mp42", "mp71", "avc1", "av01", "iamf", "dby1", "M4V ", "M4VP", "M4VH", "M4A ", "M4B ", "M4P ",
-    "3gp4", "3gp5", "3gp6", "3gp7", "3gp8", "3gp9", "3g2a", "3g2b", "3g2c", "3ge6", "3ge7", "3gg6", "3gr6", "3gs6", "3gs7", "dash", "cmfc", "cmf2",
-)
-MAKER_BRANDS = ("XAVC", "MSNV", "CAEP", "niko", "pana", "caqv", "KDDI", "mmp4", "mqt ", "f4v ", "F4V ")
-OLD_MOVIE_ATOMS = (b"moov", b"mdat", b"wide", b"free", b"skip", b"pnot")
-
 
 def kind_of(content: Column) -> Column:
     """The format of a file by its first bytes, null if unknown; an APNG is told from a PNG by its parts."""
@@ -61,8 +53,8 @@ def kind_of(content: Column) -> Column:
     named = lambda names: F.arrays_overlap(brands, F.array(*(F.lit(n.encode()) for n in names)))
     boxed = (head(5, 4) == b"ftyp".hex().upper()) & (F.octet_length(content) >= 16)
     kind = kind.when(boxed & named(AVIF_BRANDS), AVIF).when(boxed & named(HEIF_BRANDS), HEIC)
-    kind = kind.when(head(5, 4).isin(*(a.hex().upper() for a in OLD_MOVIE_ATOMS)) | boxed & (major == F.lit(b"qt  ")), MOV)
-    return kind.when(boxed & named((*MOVIE_BRANDS, *MAKER_BRANDS, "qt  ")), MP4)
+    kind = kind.when(head(5, 4).isin(*(a.encode().hex().upper() for a in movie.OLD_ATOMS)) | boxed & (major == F.lit(b"qt  ")), MOV)
+    return kind.when(boxed & named((*movie.BRANDS, *movie.MAKERS)), MP4)
 
 
 def _profile(rewrite: Callable[[], bytes]) -> tuple[bytes | None, str | None]:

@@ -6,54 +6,109 @@ before; a task that runs again starts from a new temporary copy.
 
 from __future__ import annotations
 
+import mmap
 import os
 import shutil
 import uuid
+from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.names import candidates
+from tessera.sources import movie
+from tessera.sources.jpeg import Broken
+from tessera.sources.publish import settle, suffix_for
 from tessera.sources.scan import digest
 
 RESULT = "path string, published string, sha256 string, error string"
 
 
-def apply_to_copy(path: str, patches: list[tuple[int, bytes]], length: int | None, naming: str = "plain") -> tuple[str | None, str | None, str | None]:
-    """(published path, its digest, error key). Patches must lie inside the file and not overlap."""
-    spans = sorted((at, at + len(body)) for at, body in patches)
-    folder, name = os.path.split(path)
-    stem, suffix = os.path.splitext(name)
+def changed_copy(path: str, change: Callable[[str], str | None], suffix: str, naming: str = "plain") -> tuple[str | None, str | None, str | None]:
+    """(published path, its digest, error key) of a copy that ``change`` edits in place; it returns an error key or None."""
     before = digest(path)
     if before is None:
         return None, None, "not_a_file"
-    size = os.path.getsize(path)
-    if any(a[1] > b[0] for a, b in zip(spans, spans[1:], strict=False)) or spans and (spans[0][0] < 0 or spans[-1][1] > size) or not 0 <= (size if length is None else length) <= size:
-        return None, None, "damaged"
-    partial = os.path.join(folder, f".{uuid.uuid4().hex}.unfinished{suffix}")
+    partial = os.path.join(os.path.dirname(path), f".{uuid.uuid4().hex}.unfinished{suffix}")
     try:
         os.close(os.open(partial, os.O_WRONLY | os.O_CREAT | os.O_EXCL, 0o600))
         shutil.copyfile(path, partial)
+        error = change(partial)
+        if error is None and digest(path) != before:
+            error = "source_changed"
+        if error is not None:
+            return None, None, error
+        target = settle(partial, path, suffix, naming, "video")
+        return target, digest(target), None
+    finally:
+        if os.path.exists(partial):
+            os.unlink(partial)
+
+
+def apply_to_copy(path: str, patches: list[tuple[int, bytes]], length: int | None, naming: str = "plain") -> tuple[str | None, str | None, str | None]:
+    """(published path, its digest, error key). Patches must lie inside the file and not overlap."""
+    spans = sorted((at, at + len(body)) for at, body in patches)
+
+    def change(partial: str) -> str | None:
+        size = os.path.getsize(partial)
+        end = size if length is None else length
+        if any(a[1] > b[0] for a, b in zip(spans, spans[1:], strict=False)) or spans and (spans[0][0] < 0 or spans[-1][1] > size) or not 0 <= end <= size:
+            return "damaged"
         with open(partial, "r+b") as out:
             for at, body in patches:
                 out.seek(at)
                 out.write(body)
-            out.truncate(size if length is None else length)
+            out.truncate(end)
             out.flush()
             os.fsync(out.fileno())
-        if digest(path) != before:
-            return None, None, "source_changed"
-        for target in candidates(stem, suffix, naming, "video"):
-            try:
-                os.link(partial, os.path.join(folder, target))
-            except FileExistsError:
-                continue
-            return os.path.join(folder, target), digest(os.path.join(folder, target)), None
-        return None, None, "unexpected_error"
-    finally:
-        if os.path.exists(partial):
-            os.unlink(partial)
+        return None
+
+    return changed_copy(path, change, os.path.splitext(path)[1], naming)
+
+
+def _video(path: str, naming: str) -> tuple[str | None, str | None, str | None]:
+    """Clean a video in a copy through memory maps; only its boxes and unused bytes are read and changed."""
+
+    def change(partial: str) -> str | None:
+        try:
+            with open(path, "rb") as source, open(partial, "r+b") as copy:
+                with mmap.mmap(source.fileno(), 0, access=mmap.ACCESS_READ) as original:
+                    plan = movie.Plan(original)
+                    with mmap.mmap(copy.fileno(), 0, access=mmap.ACCESS_WRITE) as view:
+                        for a, b in movie.steps(plan.edits.zeros):
+                            view[a:b] = bytes(b - a)
+                        for at, body in plan.edits.puts:
+                            view[at : at + len(body)] = body
+                        view.flush()
+                    copy.truncate(plan.length)
+                    os.fsync(copy.fileno())
+                    with mmap.mmap(copy.fileno(), 0, access=mmap.ACCESS_READ) as result:
+                        return "verification_failed" if movie.difference(original, result) else None
+        except Broken as broken:
+            return broken.key
+        except ValueError:  # an empty file can't be mapped
+            return "damaged"
+
+    with open(path, "rb") as stream:
+        old = stream.read(12)
+    return changed_copy(path, change, suffix_for(path, "MOV" if old[4:8] != b"ftyp" or old[8:12] == b"qt  " else "MP4"), naming)
+
+
+def clean_videos(files: DataFrame, naming: str = "plain") -> DataFrame:
+    """Outcomes of video files (``path``), each cleaned in a copy next to it: ``path, published, sha256, error``.
+
+    A file is one task's work whatever its size and never held in memory. The table is written as it is computed;
+    collect or store it once.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                row = (path, *(_video(path, naming) if path and os.path.isfile(path) else (None, None, "not_a_file")))
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in row], ["path", "published", "sha256", "error"])
+
+    return files.select("path").mapInArrow(run, RESULT)
 
 
 def patched(files: DataFrame, patches: DataFrame, naming: str = "plain") -> DataFrame:

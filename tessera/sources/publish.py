@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import errno
 import os
+import stat
 import uuid
 
 import pyarrow as pa
@@ -13,28 +15,52 @@ from tessera.functions.names import candidates
 
 # Suffixes of the formats, the first is the default.
 SUFFIXES = {"PNG": (".png", ".apng"), "GIF": (".gif",), "WEBP": (".webp",), "JPEG": (".jpg", ".jpeg", ".jpe", ".jfif"), "TIFF": (".tif", ".tiff"), "HEIC": (".heic", ".heif", ".hif", ".heics", ".heifs"), "AVIF": (".avif", ".avifs")}
+SUFFIXES |= {"MP4": (".mp4", ".mov", ".m4v", ".qt", ".3gp", ".3g2", ".f4v"), "MOV": (".mov", ".mp4", ".m4v", ".qt", ".3gp", ".3g2", ".f4v")}
+
+
+def settle(finished: str, original: str, suffix: str, naming: str = "plain", noun: str = "photo") -> str:
+    """Give a finished file the first free name next to its original, with the original's permissions and no user attributes."""
+    folder, name = os.path.split(original)
+    for target in (os.path.join(folder, c) for c in candidates(os.path.splitext(name)[0], suffix, naming, noun)):
+        try:
+            os.link(finished, target)  # fails if the name is taken
+        except FileExistsError:
+            continue
+        for attribute in _attributes(target):
+            os.removexattr(target, attribute)
+        os.chmod(target, stat.S_IMODE(os.stat(original).st_mode))
+        return target
+    raise AssertionError("names never run out")
+
+
+def _attributes(path: str) -> list[str]:
+    try:
+        return [a for a in os.listxattr(path) if a.startswith("user.")]
+    except OSError as error:
+        if error.errno in (errno.ENOTSUP, errno.EOPNOTSUPP, errno.ENOSYS):  # a file system without any
+            return []
+        raise
+
+
+def suffix_for(name: str, kind: str) -> str:
+    """The name's own suffix if its format may have it, else the format's first."""
+    own = os.path.splitext(name)[1]
+    return own if own.lower() in SUFFIXES[kind] else SUFFIXES[kind][0]
 
 
 def publish_one(path: str, kind: str, result: bytes, naming: str = "plain") -> str:
     """Write ``result`` under the first free name and return it; neither the original nor any other file is touched."""
-    folder, name = os.path.split(path)
-    stem, suffix = os.path.splitext(name)
-    suffix = suffix if suffix.lower() in SUFFIXES[kind] else SUFFIXES[kind][0]
-    temporary = os.path.join(folder, f".{uuid.uuid4().hex}.unfinished{suffix}")
-    with os.fdopen(os.open(temporary, os.O_WRONLY | os.O_CREAT | os.O_EXCL, 0o600), "wb") as out:
-        out.write(result)
-        out.flush()
-        os.fsync(out.fileno())
+    suffix = suffix_for(path, kind)
+    temporary = os.path.join(os.path.dirname(path), f".{uuid.uuid4().hex}.unfinished{suffix}")
     try:
-        for target in candidates(stem, suffix, naming):
-            try:
-                os.link(temporary, os.path.join(folder, target))  # fails if the name is taken
-            except FileExistsError:
-                continue
-            return os.path.join(folder, target)
+        with os.fdopen(os.open(temporary, os.O_WRONLY | os.O_CREAT | os.O_EXCL, 0o600), "wb") as out:
+            out.write(result)
+            out.flush()
+            os.fsync(out.fileno())
+        return settle(temporary, path, suffix, naming)
     finally:
-        os.unlink(temporary)
-    raise AssertionError("names never run out")
+        if os.path.exists(temporary):
+            os.unlink(temporary)
 
 
 def publish(outcomes: DataFrame, naming: str = "plain") -> DataFrame:

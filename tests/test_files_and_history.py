@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars
 from tessera.operators import compare, sequence
-from tessera.sources import fixtures, history, patch, scan
+from tessera.sources import films, fixtures, history, movie, patch, scan
 from tessera.streaming import folder
 
 
@@ -90,3 +90,21 @@ def test_byte_predicates(spark):
     table = spark.createDataFrame([(bytearray(3), bytearray(b"abcdef"), bytearray(b"abXXef"), bytearray(b"\xff\xff\x80\0"))], "z binary, a binary, b binary, f binary")
     got = table.select(scalars.all_zero(F.col("z")), scalars.all_zero(F.col("a")), scalars.equal_outside(F.col("a"), F.col("b"), F.lit(2), F.lit(4)), scalars.equal_outside(F.col("a"), F.col("b"), F.lit(3), F.lit(4)), scalars.fixed_point(F.col("f"), 1)).first()
     assert tuple(got) == (True, False, True, False, -0.5)
+
+
+def test_videos_are_cleaned_in_copies(spark, tmp_path):
+    plain, private = films.film(), films.film(head=b"", in_movie=films.box(b"udta", fixtures.SECRET))
+    made = {"IMG_20240501_123456.MP4": plain, "old.qt": private, "sound.mp4": films.film((films.AUDIO,)), "empty.mp4": b"", "odd.bin": private}
+    for name, body in made.items():
+        (tmp_path / name).write_bytes(body)
+    os.chmod(tmp_path / "IMG_20240501_123456.MP4", 0o640)
+    paths = [str(tmp_path / n) for n in (*made, "missing.mp4")]
+    got = {os.path.basename(r.path): r for r in patch.clean_videos(spark.createDataFrame([(p,) for p in paths], "path string")).collect()}
+    assert {n: (r.published and os.path.basename(r.published), r.error) for n, r in got.items()} == {
+        "IMG_20240501_123456.MP4": ("IMG_clean.MP4", None), "old.qt": ("old_clean.qt", None), "odd.bin": ("odd_clean.mov", None),
+        "sound.mp4": (None, "no_video"), "empty.mp4": (None, "damaged"), "missing.mp4": (None, "not_a_file"),
+    }
+    for name in ("IMG_20240501_123456.MP4", "old.qt"):
+        assert open(got[name].published, "rb").read() == movie.clean(made[name]) and (tmp_path / name).read_bytes() == made[name]
+    assert os.stat(got["IMG_20240501_123456.MP4"].published).st_mode & 0o777 == 0o640
+    assert not [n for n in os.listdir(tmp_path) if "unfinished" in n]
