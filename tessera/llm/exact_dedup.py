@@ -56,14 +56,18 @@ def heavy_keys(keys: DataFrame, key: str, k: int = COUNTERS) -> DataFrame:
     return found.filter("n > 1").orderBy(F.desc("n"), "key").limit(k).select(F.col("key").alias(key))
 
 
+#: Narrow rows of one key that a task takes without harm: fewer of them all aren't split.
+SPLIT_ROWS = 1 << 18
+
+
 def split_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """``rows`` joined to ``lookup``, which has one row per value of ``key``; frequent values don't meet in one task.
 
     ``rows`` is read several times and should be a stored or checkpointed table of few columns.
     """
-    heavy = heavy_keys(rows, key).checkpoint()  # at most COUNTERS rows, so the broadcasts have a proven bound
-    if heavy.isEmpty():
+    if rows.count() <= SPLIT_ROWS:
         return rows.join(lookup, key, how)
+    heavy = heavy_keys(rows, key).checkpoint()  # at most COUNTERS rows, so the broadcasts have a proven bound
     found = lookup.join(F.broadcast(heavy), key).checkpoint()
     mapped = rows.join(F.broadcast(heavy), key, "left_semi").join(F.broadcast(found), key, how)
     rest = rows.join(F.broadcast(heavy), key, "left_anti").join(lookup, key, how)

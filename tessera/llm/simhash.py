@@ -30,13 +30,13 @@ SAMPLE, DEEPEST = 32768, 11
 ASKING, DEALT = 1 << 18, 2048
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """64-bit SimHash of the word shingles of a text: a bit is set if it is in over half of the shingles' hashes."""
+def shingle_codes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of the word shingles of a text, repeats included; fewer words are one shingle, none of them none."""
     import xxhash
 
     words = (text or "").encode().lower().split()  # bytes: lower-cases A-Z and splits at ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     body = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     stop = np.cumsum(size + 1) - 1
@@ -46,12 +46,21 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     else:
         first, stop = first[:1], stop[-1:]
     digest = xxhash.xxh64_intdigest
-    codes = np.array([digest(body[a:b], SEED) for a, b in zip(first.tolist(), stop.tolist(), strict=True)], np.uint64)
+    return np.array([digest(body[a:b], SEED) for a, b in zip(first.tolist(), stop.tolist(), strict=True)], np.uint64)
+
+
+def majority(codes: np.ndarray) -> int:
+    """The bits that are set in over half of the codes; zero without any."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(codes), 1 << 16):
         bits = np.unpackbits(codes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         ones += bits.sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(codes)).view(">u8")[0])
+    return int(np.packbits(2 * ones > len(codes)).view(">u8")[0]) if len(codes) else 0
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """64-bit SimHash of the word shingles of a text: a bit is set if it is in over half of the shingles' hashes."""
+    return majority(shingle_codes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
