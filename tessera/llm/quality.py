@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.cluster import numbered, place_of, renamed
-from tessera.llm.textblocks import SPACE, blocks, flat, hashes, lowered, spans
+from tessera.llm.textblocks import SPACE, blocks, flat, hashes, lowered, release, spans
 
 #: Labelled rows that the machine is fitted to: those with the smallest hashed ids.
 SAMPLE_ROWS = 8000
@@ -172,9 +172,12 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", held_out: i
 
     found = rows.mapInArrow(extract, "doc_id long, dense binary, bucket binary, value binary, label int")
     one = found.groupBy("doc_id").agg(F.min(F.struct("bucket", "dense", "value", "label")).alias("row"))
-    got = one.select("doc_id", "row.*").collect()  # a row per chosen id
-    got.sort(key=lambda r: r.doc_id)
-    return train([(np.frombuffer(r.dense, float), np.frombuffer(r.bucket, "<u4"), np.frombuffer(r.value, "<f4"), r.label) for r in got])
+    got = one.select("doc_id", "row.*").toArrow().sort_by("doc_id")  # a row per chosen id
+    dense, bucket, value, label = (got.column(c).to_pylist() for c in ("dense", "bucket", "value", "label"))
+    machine = train([(np.frombuffer(d, float), np.frombuffer(k, "<u4"), np.frombuffer(v, "<f4"), y) for d, k, v, y in zip(dense, bucket, value, label, strict=True)])
+    del got, dense, bucket, value, label
+    release()  # the driver keeps the machine only
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", column: str = "score") -> DataFrame:
