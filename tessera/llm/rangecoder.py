@@ -34,8 +34,8 @@ class _Model:
 
     def __init__(self, size: int, lanes: int):
         self.size = size
-        self.guess1, self.sure1 = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
-        self.guess2, self.sure2 = np.zeros(_SLOTS, np.int64), np.zeros(_SLOTS, np.int64)
+        #: Predictions of order 1 and 2: the id times four plus how sure it is, 0 (no prediction) to 3.
+        self.table1, self.table2 = np.zeros(size + 1, np.int64), np.zeros(_SLOTS, np.int64)
         self.seen = np.tile(np.array([2, 2, 8], np.int64), (32, 1))
         self.freq = np.ones(size, np.int64)
         self.waiting: list[np.ndarray] = []
@@ -50,8 +50,8 @@ class _Model:
         """Predictions and weights for the first ``k`` lanes."""
         self.k, one = k, self.last[:k]
         self.slot = ((self.before[:k] * 0x9E3779B1 + one * 0x85EBCA6B) >> 7) & (_SLOTS - 1)
-        self.one, self.p1, self.c1 = one, self.guess1[one], self.sure1[one]
-        self.p2, self.c2 = self.guess2[self.slot], self.sure2[self.slot]
+        self.one, self.v1, self.v2 = one, self.table1[one], self.table2[self.slot]
+        self.p1, self.p2, self.c1, self.c2 = self.v1 >> 2, self.v2 >> 2, self.v1 & 3, self.v2 & 3
         self.context = self.c2 * 8 + self.c1 * 2 + (self.p1 == self.p2)
         weight = self.seen * (65536 - 3) // self.seen.sum(1, keepdims=True) + 1
         self.w2, self.w1 = weight[self.context, 0], weight[self.context, 1]
@@ -59,10 +59,9 @@ class _Model:
     def update(self, ids: np.ndarray, way: np.ndarray) -> None:
         """``way``: 0 the order-2 prediction, 1 the order-1 prediction, 2 an escape."""
         self.seen += np.bincount(self.context * 3 + way, minlength=96).reshape(32, 3) * 2
-        for at, guess, sure, p, c in ((self.slot, self.guess2, self.sure2, self.p2, self.c2), (self.one, self.guess1, self.sure1, self.p1, self.c1)):
-            none = c == 0
-            sure[at] = np.where(none | (p == ids), np.minimum(c + 1, 3), c - 1)
-            guess[at] = np.where(none, ids, p)
+        fresh = (ids << 2) + 1
+        for table, at, v, p, c in ((self.table2, self.slot, self.v2, self.p2, self.c2), (self.table1, self.one, self.v1, self.p1, self.c1)):
+            table[at] = np.where(c == 0, fresh, v + np.where(p == ids, c < 3, -1))
         self.waiting.append(ids)
         if len(self.waiting) == _REFRESH:
             self.freq += _STEP * np.bincount(np.concatenate(self.waiting), minlength=self.size)

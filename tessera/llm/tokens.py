@@ -18,7 +18,7 @@ from unicodedata import normalize
 import numpy as np
 import pyarrow as pa
 
-from tessera.llm.textblocks import SPACE, gather, hashes, release, same_bytes
+from tessera.llm.textblocks import SPACE, gather, hashes, lowered, release, same_bytes
 
 #: Pieces that a worker remembers; beyond it the memory is emptied and filled anew.
 REMEMBERED = 1_200_000
@@ -110,44 +110,62 @@ class Encoder:
         self.flat, self.begin = np.zeros(4096, np.uint16), np.zeros(1025, np.int32)
         self.body, self.body_at = np.zeros(4096, np.uint8), np.zeros(1025, np.int32)
 
-    def _learn(self, pieces: list[bytes]) -> np.ndarray:
+    def _learn(self, raw: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """Remember the ids and bytes of new pieces; the slot of each."""
-        words = [p.lower().decode() if p.isascii() else p.decode() for p in pieces]
-        plain, other = [], []
-        for n, w in enumerate(words):
-            (plain if w.isalpha() and (w.isascii() or _simple(w)) else other).append(n)
-        texts = [w if w.isascii() else normalize("NFC", w).lower() for w in (words[n] for n in plain)]
-        flat, sizes = self._words(texts)
-        rest = [e.ids for e in self.library.encode_batch_fast([words[n] for n in other], add_special_tokens=False)]
-        flat = np.concatenate([flat, np.fromiter(chain.from_iterable(rest), np.int64)])
-        sizes = np.concatenate([sizes, np.fromiter(map(len, rest), np.int64, len(rest))])
-        order = plain + other
-        slots = np.empty(len(pieces), np.int64)
-        slots[order] = self.known + np.arange(len(pieces))
-        pieces = [pieces[n] for n in order]
+        size = stop - begin
+        upto = np.concatenate([[0], np.cumsum(_LETTER[raw], dtype=np.int32)])
+        ascii_word = upto[stop] - upto[begin] == size
+        plain, odd = np.flatnonzero(ascii_word), np.flatnonzero(~ascii_word)
+        flat, sizes = self._ascii_words(raw, begin[plain], size[plain])
+        words = [raw[a:b].tobytes().decode() for a, b in zip(begin[odd].tolist(), stop[odd].tolist(), strict=True)]
+        simple = np.array([w.isalpha() and _simple(w) for w in words], bool)
+        more, other = odd[simple], odd[~simple]
+        found = self._words([normalize("NFC", w).lower() for w, ok in zip(words, simple, strict=True) if ok])
+        rest = [e.ids for e in self.library.encode_batch_fast([w for w, ok in zip(words, simple, strict=True) if not ok], add_special_tokens=False)]
+        flat = np.concatenate([flat, found[0], np.fromiter(chain.from_iterable(rest), np.int64)])
+        sizes = np.concatenate([sizes, found[1], np.fromiter(map(len, rest), np.int64, len(rest))])
+        order = np.concatenate([plain, more, other])
+        slots = np.empty(len(order), np.int64)
+        slots[order] = self.known + np.arange(len(order))
         if len(flat) and flat.max() > 0xFFFF and self.flat.dtype != np.uint32:
             self.flat = self.flat.astype(np.uint32)
-        whole, n = np.frombuffer(b"".join(pieces), np.uint8), self.known + len(pieces)
+        whole, n = raw[gather(begin[order], size[order])], self.known + len(order)
         used, written = int(self.begin[self.known]), int(self.body_at[self.known])
         self.begin, self.body_at = _room(self.begin, n + 1), _room(self.body_at, n + 1)
         self.flat, self.body = _room(self.flat, used + len(flat)), _room(self.body, written + len(whole))
         self.flat[used : used + len(flat)] = flat
         self.body[written : written + len(whole)] = whole
         self.begin[self.known + 1 : n + 1] = used + np.cumsum(sizes)
-        self.body_at[self.known + 1 : n + 1] = written + np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        self.body_at[self.known + 1 : n + 1] = written + np.cumsum(size[order])
         self.known = n
         return slots
 
-    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words one after the other, number of ids of each): many at once, for each ends with an id that says so."""
-        joined = [" ".join(words[at : at + WORDS_AT_ONCE]) for at in range(0, len(words), WORDS_AT_ONCE)]
-        ids = np.fromiter(chain.from_iterable(e.ids for e in self.letters.encode_batch_fast(joined, add_special_tokens=False)), np.int64)
+    def _ascii_words(self, raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``_words`` of ASCII letters, which are lower-cased and joined as bytes."""
+        if not len(begin):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        text = np.append(lowered(raw), np.uint8(0x20))[gather(begin, size + 1)]
+        ends = np.cumsum(size + 1)
+        text[ends - 1] = 0x20
+        body, cuts = text.tobytes().decode("ascii"), [0, *ends[WORDS_AT_ONCE - 1 : -1 : WORDS_AT_ONCE].tolist(), int(ends[-1])]
+        return self._joined([body[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if b > a], len(begin)) or self._words(body.split(" ")[:-1], one_by_one=True)
+
+    def _joined(self, texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids of all words one after the other, number of ids of each of the ``n`` words); None if ids don't tell where words end."""
+        ids = np.fromiter(chain.from_iterable(e.ids for e in self.letters.encode_batch_fast(texts, add_special_tokens=False)), np.int64)
         ends = np.flatnonzero(self.ends_word[ids])
-        if len(ends) != len(words) or len(ids) and ends[-1] != len(ids) - 1:  # a word with an id that ends one inside: one by one
-            each = [e.ids for e in self.letters.encode_batch_fast(words, add_special_tokens=False)]
-            return np.fromiter(chain.from_iterable(each), np.int64), np.fromiter(map(len, each), np.int64, len(each))
+        if len(ends) != n or len(ids) and (not n or ends[-1] != len(ids) - 1):
+            return None
         return ids, np.diff(ends, prepend=-1)
 
+    def _words(self, words: list[str], one_by_one: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of lower-case words of letters, as ``_joined`` gives them."""
+        found = None if one_by_one else self._joined([" ".join(words[at : at + WORDS_AT_ONCE]) for at in range(0, len(words), WORDS_AT_ONCE)], len(words))
+        if found is None:
+            each = [e.ids for e in self.letters.encode_batch_fast(words, add_special_tokens=False)]
+            found = np.fromiter(chain.from_iterable(each), np.int64), np.fromiter(map(len, each), np.int64, len(each))
+        return found
+
     def encode(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other as uint32, number of ids of each text)."""
         counts = np.zeros(len(starts), np.int64)
@@ -171,8 +189,8 @@ class Encoder:
         if len(new := np.flatnonzero(~known)):
             at = np.zeros(len(unique), np.int32)
             at[index] = np.arange(len(index), dtype=np.int32)
-            at, body = at[order[new]], raw.tobytes()
-            found[new] = self._learn([body[a:b] for a, b in zip(begin[at].tolist(), stop[at].tolist(), strict=True)])
+            at = at[order[new]]
+            found[new] = self._learn(raw, begin[at], stop[at])
             self.keys, self.slot_of = np.insert(self.keys, place[new], wanted[new]), np.insert(self.slot_of, place[new], found[new])
         slot = np.empty(len(unique), np.int64)
         slot[order] = found
