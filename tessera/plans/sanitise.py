@@ -31,11 +31,12 @@ POLICY = [
     (JPEG, b"SOI", None, False, False), (JPEG, b"EOI", None, False, False), (JPEG, b"DB", None, False, False), (JPEG, b"C4", None, False, False),
     (JPEG, b"DRI", None, False, False), (JPEG, b"SOS", None, False, False), (JPEG, b"coding", None, False, False), (JPEG, b"DNL", None, False, False),
     (JPEG, b"JFIF", None, True, False), (JPEG, b"Exif", None, True, False), (JPEG, b"XMP", None, True, False), (JPEG, b"ICC", None, False, False), (JPEG, b"Adobe", None, True, False),
+    (JPEG, b"ISO", None, True, False), (JPEG, b"AROT", None, True, False), (JPEG, b"MPF", None, True, False), (JPEG, b"picture", None, False, False),
     (TIFF, b"head", [2], False, False), (TIFF, b"block", None, False, False), *((TIFF, b"tag%d" % tag, None, False, False) for tag in tiff.KEPT),
     (GIF, b"header", None, False, False), (GIF, b"image", None, False, False), (GIF, b"control", None, False, False), (GIF, b"trailer", None, False, False),
     *((GIF, name, None, True, False) for name in LOOPS), (GIF, PROFILE, None, True, False),
 ]
-REWRITTEN = {b"eXIf", b"EXIF", b"ANMF", b"image", b"control", b"iCCP", b"ICCP", PROFILE, *LOOPS, b"DNL", b"JFIF", b"Exif", b"ICC", b"Adobe", b"coding", b"DRI", b"SOS", b"XMP", b"tag34675"}
+REWRITTEN = {b"eXIf", b"EXIF", b"ANMF", b"image", b"control", b"iCCP", b"ICCP", PROFILE, *LOOPS, b"DNL", b"JFIF", b"Exif", b"ICC", b"Adobe", b"coding", b"DRI", b"SOS", b"XMP", b"tag34675", b"ISO", b"AROT", b"MPF", b"picture"}
 MAX_DROPPED, MEGAPIXELS, ANIMATION_MEGAPIXELS, FRAME = 1024, 268, 64, 1 << 16
 
 

@@ -128,15 +128,32 @@ def bmp(depth: int, rows: bytes, palette: bytes = b"", method: int = 0, width: i
     return b"BM" + struct.pack("<IHHI", offset + len(rows), 0x5345, 0x4352, offset) + info + palette + rows + tail
 
 
-def multi_picture(*kinds: int) -> bytes:
-    """The index of a multi-picture file with images of these types."""
-    fields = struct.pack(">HHI4s", 0xB000, 7, 4, b"0100") + struct.pack(">HHII", 0xB001, 4, 1, len(kinds)) + struct.pack(">HHII", 0xB002, 7, 16 * len(kinds), 50)
-    return jpeg_segment(0xE2, b"MPF\0MM\0*\0\0\0\x08\0\3" + fields + bytes(4) + b"".join(struct.pack(">IIIHH", k, 100, 0, 0, 0) for k in kinds))
+def pictures(*others: tuple[int, bytes], head: tuple[bytes, ...] = (), flags: int = 0x20030000, dependent: int = 2, tail: bytes = b"") -> bytes:
+    """A multi-picture file: a first image whose index lists images of these types behind it."""
+    n = len(others) + 1
+    fields = struct.pack(">HHI4s", 0xB000, 7, 4, b"0100") + struct.pack(">HHII", 0xB001, 4, 1, n) + struct.pack(">HHII", 0xB002, 7, 16 * n, 50)
+    first = jpeg(jpeg_segment(0xE2, b"MPF\0MM\0*\0\0\0\x08\0\3" + fields + bytes(4 + 16 * n)), *head)
+    at, rows = len(first), struct.pack(">IIIHH", flags, len(first), 0, dependent, 0)
+    for kind, image in others:
+        rows += struct.pack(">IIIHH", kind, len(image), at - 10, 0, 0)
+        at += len(image)
+    return first.replace(bytes(4 + 16 * n), bytes(4) + rows, 1) + b"".join(image for _, image in others) + tail
 
 
 XMP = b'<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description xmlns:hdrgm="http://ns.adobe.com/hdr-gain-map/1.0/" xmlns:dc="http://purl.org/dc/elements/1.1/" dc:creator="%s" hdrgm:Gamma="2.50"/></rdf:RDF></x:xmpmeta>' % SECRET
 
 
+GAIN_MAP = b"urn:iso:std:iso:ts:21496:-1\0" + struct.pack(">HHB", 0, 0, 0x40) + b"".join(struct.pack(">II", n, 1_000_000) for n in range(7))
+
+
+def extended() -> list[bytes]:
+    """Segments of a packet that names an extended one, and of that one in two pieces."""
+    guid, more = b"0123456789ABCDEF0123456789abcdef", XMP.replace(b'hdrgm:Gamma="2.50"', b'hdrgm:Gamma="9" hdrgm:GainMapMax="3.0"')
+    main = XMP.replace(b"<rdf:Description ", b'<rdf:Description xmlns:n="http://ns.adobe.com/xmp/note/" n:HasExtendedXMP="' + guid + b'" ')
+    piece = lambda a, b: jpeg_segment(0xE1, b"http://ns.adobe.com/xmp/extension/\0" + guid + struct.pack(">II", len(more), a) + more[a:b])
+    return [jpeg_segment(0xE1, b"http://ns.adobe.com/xap/1.0/\0" + main), piece(0, 100), piece(100, len(more))]
+
+
 def cases() -> list[tuple[str, bytes, str, str | None, list[bytes]]]:
     """(name, content, expected status, expected key, byte strings that must survive)."""
     from tessera.sources import boxed, films  # which build on this module
@@ -188,7 +205,7 @@ def cases() -> list[tuple[str, bytes, str, str | None, list[bytes]]]:
         ("webp.no_image", webp(vp8x(0), (b"XMP ", SECRET)), "refused", "damaged", []),
         ("webp.huge_animation", webp(vp8x(2, 9000, 9000), (b"ANIM", bytes(6)), (b"ANMF", frame + inner)), "refused", "too_large", []),
         ("jpeg.plain", jpeg(), "cleaned", None, []),
-        ("jpeg.private_segments", jpeg(jpeg_segment(0xE0, b"JFIF\0\1\2\1\0\x48\0\x48\1\1" + SECRET[:3]), jpeg_segment(0xED, SECRET), jpeg_segment(0xFE, SECRET), jpeg_segment(0xE1, b"http://ns.adobe.com/xap/1.0/\0" + SECRET), jpeg_segment(0xEE, b"Adobe\0\x64\0\0\0\0\0")) + SECRET, "cleaned", None, [b"JFIF\0\1\2\1\0\x48\0\x48\0\0", b"Adobe\0\x64"]),
+        ("jpeg.private_segments", jpeg(jpeg_segment(0xE0, b"JFIF\0\1\2\1\0\x48\0\x48\1\1" + SECRET[:3]), jpeg_segment(0xED, SECRET), jpeg_segment(0xFE, SECRET), jpeg_segment(0xE1, b"http://ns.adobe.com/xap/1.0/\0<a>" + SECRET + b"</a>"), jpeg_segment(0xEE, b"Adobe\0\x64\0\0\0\0\0")) + SECRET, "cleaned", None, [b"JFIF\0\1\2\1\0\x48\0\x48\0\0", b"Adobe\0\x64"]),
         ("jpeg.orientation", jpeg(jpeg_segment(0xE1, b"Exif\0\0" + tiff(6)), jpeg_segment(0xE1, b"Exif\0\0" + tiff(3))), "cleaned", None, [b"Exif\0\0MM\0*"]),
         ("jpeg.rendering_fields", jpeg(jpeg_segment(0xE1, b"http://ns.adobe.com/xap/1.0/\0" + XMP), jpeg_segment(0xE1, b"http://ns.adobe.com/xap/1.0/\0" + XMP.replace(b"2.50", b"3.0"))), "cleaned", None, [b'hdrgm:Gamma="2.5"']),
         ("jpeg.dead_tables", jpeg(jpeg_table(0xDB, 0, 0x53), jpeg_table(0xDB, 1, 0x45), middle=(jpeg_segment(0xDD, b"\0\7"), jpeg_segment(0xDD, b"\0\5"), jpeg_table(0xC4, 0x13, 0x46))), "cleaned", None, [jpeg_table(0xDB, 0, 1), jpeg_segment(0xDD, b"\0\5"), jpeg_table(0xC4, 0x10, 3)]),
@@ -198,8 +215,18 @@ def cases() -> list[tuple[str, bytes, str, str | None, list[bytes]]]:
         ("jpeg.progressive", jpeg(frame=0xC2, scan_tail=b"\0\0\0"), "cleaned", None, []),
         ("jpeg.line_count", jpeg(height=0, tail=jpeg_segment(0xDC, b"\0\x08") + jpeg_segment(0xDC, SECRET)), "cleaned", None, [jpeg_segment(0xDC, b"\0\x08")]),
         ("jpeg.unneeded_line_count", jpeg(tail=jpeg_segment(0xDC, SECRET)), "cleaned", None, []),
-        ("jpeg.previews", jpeg(multi_picture(0x030000, 0x010001)) + jpeg(jpeg_segment(0xFE, SECRET)), "cleaned", None, []),
-        ("jpeg.several_pictures", jpeg(multi_picture(0x030000, 0)) + jpeg(), "refused", "unsupported_variant", []),
+        ("jpeg.previews", pictures((0x010001, jpeg(jpeg_segment(0xFE, SECRET)))), "cleaned", None, []),
+        ("jpeg.several_pictures", pictures((0, jpeg())), "refused", "unsupported_part", []),
+        ("jpeg.gain_map", pictures((0x010002, jpeg(jpeg_segment(0xFE, SECRET))), (0, jpeg(jpeg_segment(0xFE, SECRET), jpeg_segment(0xE1, b"http://ns.adobe.com/xap/1.0/\0" + XMP), jpeg_table(0xDB, 0, 0x53))), dependent=3, tail=SECRET), "cleaned", None, [b"MPF\0MM", b'hdrgm:Gamma="2.5"', struct.pack(">IIIHH", 0, 0, 0, 0, 0)[:0]]),
+        ("jpeg.gain_map_metadata", pictures((0, jpeg(jpeg_segment(0xE2, GAIN_MAP + SECRET))), head=(jpeg_segment(0xE2, GAIN_MAP[:32] + SECRET[:0]),)), "cleaned", None, [b"MPF\0MM", GAIN_MAP]),
+        ("jpeg.gain_map_shape", pictures((0, jpeg(jpeg_segment(0xE2, GAIN_MAP), height=4))), "refused", "unsupported_part", []),
+        ("jpeg.gain_map_version", jpeg(jpeg_segment(0xE2, GAIN_MAP.replace(b"21496:-1\0\0\0", b"21496:-1\0\0\1"))), "refused", "unsupported_part", []),
+        ("jpeg.gain_curve", jpeg(jpeg_segment(0xEA, b"AROT\0\0\0\0\0\2" + bytes(8) + bytes(3)), jpeg_segment(0xE2, b"AROT\0\0\0\0\0\1abcd")), "cleaned", None, [b"AROT\0\0\0\0\0\2"]),
+        ("jpeg.gain_curve_tail", jpeg(jpeg_segment(0xEA, b"AROT\0\0\0\0\0\1abcd" + SECRET)), "refused", "unsupported_part", []),
+        ("jpeg.overlapping_pictures", pictures((0, jpeg())).replace(struct.pack(">II", 0, len(jpeg())), struct.pack(">II", 0, 10**6)), "refused", "damaged", []),
+        ("jpeg.extended_packet", jpeg(*extended()), "cleaned", None, [b'hdrgm:Gamma="2.5"', b'hdrgm:GainMapMax="3.0"']),
+        ("jpeg.extended_packet_short", jpeg(*extended()[:2]), "cleaned", None, [b'hdrgm:Gamma="2.5"']),
+        ("jpeg.unreadable_packet", jpeg(jpeg_segment(0xE1, b"http://ns.adobe.com/xap/1.0/\0" + SECRET)), "refused", "unsupported_part", []),
         ("jpeg.broken_index", jpeg(jpeg_segment(0xE2, b"MPF\0" + SECRET)), "refused", "damaged", []),
         ("jpeg.unknown_marker", jpeg(jpeg_segment(0xF3, SECRET)), "refused", "unsupported_part", []),
         ("jpeg.no_end", jpeg()[:-2], "refused", "damaged", []),
