@@ -36,12 +36,12 @@ def misra_gries(counts: Counter, more: Counter, k: int) -> Counter:
     return Counter({key: n - cut for key, n in total.items() if n > cut})
 
 
-def heavy_keys(keys: DataFrame, key: str, k: int = COUNTERS) -> DataFrame:
+def heavy_keys(keys: DataFrame, key: str, k: int | None = None) -> DataFrame:
     """Every value of ``key`` that may hold more than 2/k of all rows, and maybe others: at most ``k`` rows.
 
     A partition keeps ``k`` counters; the summaries are merged as sums and the ``k`` largest stay. Nulls are no keys.
     """
-    kind = keys.schema[key].dataType
+    kind, k = keys.schema[key].dataType, k or COUNTERS
 
     def summarise(batches):
         seen: Counter = Counter()

@@ -37,6 +37,14 @@ class Models:
     logs: np.ndarray
 
 
+def _apart(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts lower-cased with a space behind each, so that no n-gram reaches into the next row's text."""
+    n, size = np.arange(len(starts)), ends - starts
+    out = np.full(len(raw) + len(starts), 0x20, np.uint8)
+    out[np.arange(len(raw)) + np.repeat(n, size)] = lowered(raw)
+    return out, starts + n, ends + n
+
+
 def _grams(raw: np.ndarray) -> list[np.ndarray]:
     """For each order, the bucket of the n-gram that starts one byte before each position (other bytes count as a space)."""
     clean = np.concatenate([[0x20], np.where(LETTER[raw], raw, 0x20), np.full(max(ORDERS), 0x20)]).astype(np.uint32)
@@ -66,8 +74,7 @@ def fit(docs: DataFrame, held_out: int = 2, folds: int = 4) -> Models:
     def count(batches):
         total: dict[str, np.ndarray] = {}
         for batch in blocks(batches):
-            raw, starts, ends = flat(batch.column("text"))
-            raw = lowered(raw)
+            raw, starts, ends = _apart(*flat(batch.column("text")))
             begin, stop, row = spans(raw, starts, ends, LETTER)
             coded = batch.column("lang").dictionary_encode()
             code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -108,7 +115,7 @@ def proportions(models: Models, raw: np.ndarray, starts: np.ndarray, ends: np.nd
     """Shares of the languages in each text of a block; all zero where there is no word."""
     n, k = len(starts), len(models.languages)
     out = np.zeros((n, k))
-    raw = lowered(raw)
+    raw, starts, ends = _apart(raw, starts, ends)
     begin, stop, row = spans(raw, starts, ends, LETTER)
     if not len(begin) or not k:
         return out
