@@ -60,12 +60,13 @@ def heavy_keys(keys: DataFrame, key: str, k: int | None = None) -> DataFrame:
 SPLIT_ROWS = 1 << 18
 
 
-def split_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def split_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner", n_rows: int | None = None) -> DataFrame:
     """``rows`` joined to ``lookup``, which has one row per value of ``key``; frequent values don't meet in one task.
 
-    ``rows`` is read several times and should be a stored or checkpointed table of few columns.
+    ``rows`` is read several times and should be a stored or checkpointed table of few columns; ``n_rows`` is their
+    number where it is known.
     """
-    if rows.count() <= SPLIT_ROWS:
+    if (rows.count() if n_rows is None else n_rows) <= SPLIT_ROWS:
         return rows.join(lookup, key, how)
     heavy = heavy_keys(rows, key).checkpoint()  # at most COUNTERS rows, so the broadcasts have a proven bound
     found = lookup.join(F.broadcast(heavy), key).checkpoint()

@@ -223,18 +223,20 @@ def _stars(points: DataFrame, n: int, within: int) -> DataFrame:
 
 
 def _connected(stars: DataFrame) -> DataFrame:
-    """``fp, root``: the smallest fingerprint that is reachable through shared stars."""
+    """``fp, root``: the smallest fingerprint that is reachable through shared stars; a star is named by one of its members."""
     members = stars.checkpoint()
-    labels = members.select("fp").distinct().select("fp", F.col("fp").alias("root")).checkpoint()
-    while True:
-        of_star = members.join(labels, "fp").groupBy("star").agg(F.min("root").alias("root")).checkpoint()
-        new = split_join(members, of_star, "star").groupBy("fp").agg(F.min("root").alias("low"))
+    n = members.count()
+    labels = members.groupBy("fp").agg(F.min("star").alias("root")).checkpoint()
+    while n:
+        of_star = members.join(labels, "fp").groupBy("star").agg(F.min("root").alias("root"))
+        new = split_join(members, of_star, "star", n_rows=n).groupBy("fp").agg(F.min("root").alias("low"))
         step = labels.join(new, "fp").select("fp", "root", "low").checkpoint()
         if step.filter("low <> root").isEmpty():
-            return labels
+            break
         # Jump over the root's own label, so that long chains shorten.
         jump = step.select(F.col("fp").alias("low"), F.col("low").alias("next"))
-        labels = split_join(step.select("fp", "low"), jump, "low").select("fp", F.col("next").alias("root")).checkpoint()
+        labels = split_join(step.select("fp", "low"), jump, "low", n_rows=n).select("fp", F.col("next").alias("root")).checkpoint()
+    return labels
 
 
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, within: int = RADIUS) -> DataFrame:
