@@ -171,7 +171,10 @@ def decompress(block: bytes) -> np.ndarray:
         lane = np.flatnonzero(way == 2)
         if len(lane):
             r = span[lane] // model.cum[-1]
-            own = np.searchsorted(model.cum, np.minimum(code[lane] // r, model.cum[-1] - 1), "right") - 1
+            wanted = np.minimum(code[lane] // r, model.cum[-1] - 1)
+            order = np.argsort(wanted)  # a search for rising values stays in cache
+            own = np.empty(len(lane), np.int64)
+            own[order] = np.searchsorted(model.cum, wanted[order], "right") - 1
             take(lane, model.cum[own], model.freq[own], r)
             x[lane] = own
         model.update(x, way)
