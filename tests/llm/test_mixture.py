@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 
 from tessera.llm import exact_dedup, language
+from tessera.llm.rangecoder import compress, decompress
 from tessera.llm.textblocks import flat
 
 
@@ -66,3 +67,15 @@ def test_repeated_digests_through_the_ordinary_shuffle(spark, docs, rows, monkey
     monkeypatch.setattr(exact_dedup, "COUNTERS", 1)
     assert sorted(map(tuple, exact_dedup.exact_dedup(docs).collect()), key=repr) == whole
     assert len(whole) == len(rows) and sum(w[2] > 1 for w in whole) > 5
+
+
+def test_rare_ids_after_long_predictions_survive():
+    """Cheap steps followed by rare ids, and rare ids in a row, need more than one word to restore the coder's range."""
+    draw = np.random.default_rng(4)
+    for n, every in ((1, 1), (600, 1), (60_000, 97), (200_000, 5000), (300_000, 2)):
+        ids = np.full(n, 7)
+        ids[::every] = draw.integers(0, 49_407, len(ids[::every]))
+        ids[n // 2 : n // 2 + 3] = 49_406
+        assert (decompress(compress(ids)) == ids).all()
+    wide = draw.integers(0, 1 << 24, 4000)  # more ids than the frequencies may sum to after a while
+    assert (decompress(compress(wide)) == wide).all()
