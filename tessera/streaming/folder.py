@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,13 +17,22 @@ _FILE = "path string, modificationTime timestamp, length long, content binary"
 def watch(spark: SparkSession, folder: str, report: str, checkpoint: str, pattern: str = "*", once: bool = False) -> StreamingQuery:
     """Start a query that cleans what matches ``pattern`` in ``folder`` and appends outcomes as Parquet to ``report``.
 
-    Clean copies land in the same folder; give a pattern that leaves out ``*_clean*`` names or another naming if they
-    would match. The checkpoint remembers which files were seen. ``once`` handles what is there and ends.
+    Clean copies land in the same folder; they are known by the report, which has the name of each, and are left alone.
+    Files of any other name are cleaned. The checkpoint remembers which files were seen. ``once`` handles what is there
+    and ends.
     """
 
+    def published() -> DataFrame | None:
+        try:
+            return spark.read.parquet(report).filter("published IS NOT NULL").select(F.col("published").alias("path"))
+        except AnalysisException:  # there is no report before the first batch
+            return None
+
     def handle(batch: DataFrame, number: int) -> None:
         path = F.regexp_replace("path", "^file:(//)?", "")
-        files = batch.select(F.xxhash64("path").alias("file_id"), path.alias("path"), "content").filter(~F.col("path").rlike("_clean(_[0-9]+)?[.][^./]*$"))
+        files = batch.select(F.xxhash64("path").alias("file_id"), path.alias("path"), "content")
+        copies = published()
+        files = files if copies is None else files.join(copies, "path", "left_anti").select("file_id", "path", "content")
         files = files.withColumn("kind", kind_of(F.col("content"))).persist()
         outcomes = sanitise.clean(files).join(files.select("file_id", "path"), "file_id")
         done = publish(outcomes).join(files.select("file_id", "path"), "file_id").withColumn("batch", F.lit(number))

@@ -63,12 +63,13 @@ def test_drop_folder(spark, tmp_path):
     os.makedirs(drop)
     open(f"{drop}/one.png", "wb").write(fixtures.png(fixtures.png_chunk(b"tEXt", fixtures.SECRET)))
     open(f"{drop}/two.png", "wb").write(b"\x89PNG\r\n\x1a\nbroken")
-    for _ in range(2):  # the second run sees only the copy, which it leaves alone
+    open(f"{drop}/mine_clean.png", "wb").write(fixtures.png())
+    for _ in range(2):  # the second run sees only the copies, which it leaves alone
         folder.watch(spark, drop, report, state, "*.png", once=True).awaitTermination(120)
     got = {os.path.basename(r.path): r for r in spark.read.parquet(report).collect()}
-    assert {n: (r.status, r.error_key) for n, r in got.items()} == {"one.png": ("cleaned", None), "two.png": ("refused", "damaged")}
+    assert {n: (r.status, r.error_key) for n, r in got.items()} == {"one.png": ("cleaned", None), "two.png": ("refused", "damaged"), "mine_clean.png": ("cleaned", None)}
     assert fixtures.SECRET not in open(got["one.png"].published, "rb").read()
-    assert sorted(os.listdir(drop)) == ["one.png", "one_clean.png", "two.png"]
+    assert sorted(os.listdir(drop)) == ["mine_clean.png", "mine_clean_clean.png", "one.png", "one_clean.png", "two.png"]
 
 
 def test_run_tables(spark):
