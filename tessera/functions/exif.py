@@ -9,20 +9,23 @@ SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12:
 _ORIENTATION = 0x0112
 
 
-def entries(block: bytes, at: int, order: str) -> dict[int, tuple[int, int, bytes]]:
-    """Fields of the directory at ``at`` as tag to (type, count, value bytes); fields out of bounds are left out."""
+def entries(block: bytes, at: int, order: str) -> dict[int, tuple[int, int, memoryview]]:
+    """Fields of the directory at ``at`` as tag to (type, count, value); fields out of bounds are left out.
+
+    Values are views: a directory may name one large range any number of times.
+    """
     if not 8 <= at <= len(block) - 2:
         return {}
     (n,) = struct.unpack_from(order + "H", block, at)
     if at + 2 + 12 * n > len(block):
         return {}
-    out = {}
+    out, view = {}, memoryview(block)
     for k in range(n):
         tag, kind, count, value = struct.unpack_from(order + "HHII", block, at + 2 + 12 * k)
         size = SIZES.get(kind, 0) * count
         start = at + 10 + 12 * k if size <= 4 else value
         if size and start + size <= len(block):
-            out[tag] = (kind, count, block[start : start + size] if size <= 64 else b"")
+            out[tag] = (kind, count, view[start : start + size])
     return out
 
 
@@ -41,13 +44,40 @@ def orientation(block: bytes) -> int | None:
 
 
 # Tags of the fields that change how an image is shown.
-_X, _Y, _UNIT, _EXIF, _INTEROP, _SPACE, _INDEX = 0x011A, 0x011B, 0x0128, 0x8769, 0xA005, 0xA001, 0x0001
+_X, _Y, _UNIT, _EXIF, _INTEROP, _SPACE, _INDEX, _MAKER = 0x011A, 0x011B, 0x0128, 0x8769, 0xA005, 0xA001, 0x0001, 0x927C
+# What Apple's note begins with, and its numbers for rendering in high dynamic range: headroom and gain.
+NOTE, NOTE_TAGS = b"Apple iOS\0\0\x01", (0x0021, 0x0030)
+
+
+def rendering_note(note: bytes) -> bytes | None:
+    """Apple's note with its rendering numbers alone; None if it has none or one can't be read."""
+    order = {b"II": "<", b"MM": ">"}.get(note[len(NOTE) : len(NOTE) + 2])
+    at = len(NOTE) + 2
+    if not note.startswith(NOTE) or order is None or len(note) < at + 2:
+        return None
+    values = []
+    for k in range(struct.unpack_from(order + "H", note, at)[0]):
+        if at + 14 + 12 * k > len(note):
+            return None
+        tag, kind, count, place = struct.unpack_from(order + "HHII", note, at + 2 + 12 * k)
+        if tag in NOTE_TAGS and kind == 10 and count == 1:
+            if place + 8 > len(note):
+                return None
+            value = struct.unpack_from(order + "ii", note, place)
+            if not value[1]:
+                return None
+            values.append((tag, value))
+    if not values:
+        return None
+    room = len(NOTE) + 8 + 12 * len(values)
+    table = b"".join(struct.pack(">HHII", tag, 10, 1, room + 8 * k) for k, (tag, _) in enumerate(values))
+    return NOTE + b"MM" + len(values).to_bytes(2, "big") + table + bytes(4) + b"".join(struct.pack(">ii", *v) for _, v in values)
 
 
 def display(block: bytes) -> dict:
-    """``turn``, ``resolution`` ((x, y) as fractions and a unit), ``space`` and ``index``; what can't be read is None."""
+    """``turn``, ``resolution`` ((x, y) as fractions and a unit), ``space``, ``index`` and ``note``; what can't be read is None."""
     block = block.removeprefix(b"Exif\0\0")
-    out: dict = {"turn": orientation(block), "resolution": None, "space": None, "index": None}
+    out: dict = {"turn": orientation(block), "resolution": None, "space": None, "index": None, "note": None}
     order = {b"II": "<", b"MM": ">"}.get(block[:2])
     if order is None or len(block) < 8 or struct.unpack_from(order + "H", block, 2) != (42,):
         return out
@@ -69,7 +99,10 @@ def display(block: bytes) -> dict:
     space = value(camera, _SPACE, (3,), "H")
     out["space"] = space[0] if space else None
     kind, _, name = below(camera, _INTEROP).get(_INDEX, (0, 0, b""))
-    out["index"] = name.rstrip(b"\0") if kind == 2 and name.rstrip(b"\0") in (b"R98", b"R03") else None
+    name = bytes(name[:16]).rstrip(b"\0") if kind == 2 and not any(name[16:]) else b""
+    out["index"] = name if name in (b"R98", b"R03") else None
+    kind, _, note = camera.get(_MAKER, (0, 0, b""))
+    out["note"] = rendering_note(bytes(note)) if kind in (1, 7) else None  # some writers say bytes
     return out
 
 
@@ -97,6 +130,8 @@ def build(fields: dict) -> bytes:
         levels[0] += [(_X, 5, struct.pack(">II", *x)), (_Y, 5, struct.pack(">II", *y)), (_UNIT, 3, struct.pack(">H", unit))]
     if fields["space"] is not None:
         levels[1].append((_SPACE, 3, struct.pack(">H", fields["space"])))
+    if fields.get("note"):
+        levels[1].append((_MAKER, 7, fields["note"]))
     if fields["index"]:
         levels[2].append((_INDEX, 2, fields["index"] + b"\0"))
     while levels and not levels[-1]:

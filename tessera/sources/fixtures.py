@@ -7,6 +7,8 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.functions import exif
+
 SECRET = b"SECRET-7f3a"
 
 
@@ -154,6 +156,11 @@ def extended() -> list[bytes]:
     return [jpeg_segment(0xE1, b"http://ns.adobe.com/xap/1.0/\0" + main), piece(0, 100), piece(100, len(more))]
 
 
+def _note() -> bytes:
+    """A maker note with a headroom and a text."""
+    return exif.NOTE + b"MM\0\2" + struct.pack(">HHII", 1, 2, len(SECRET), 52) + struct.pack(">HHII", 0x21, 10, 1, 44) + bytes(4) + struct.pack(">ii", 7, 5) + SECRET
+
+
 def cases() -> list[tuple[str, bytes, str, str | None, list[bytes]]]:
     """(name, content, expected status, expected key, byte strings that must survive)."""
     from tessera.sources import boxed, films  # which build on this module
@@ -226,6 +233,7 @@ def cases() -> list[tuple[str, bytes, str, str | None, list[bytes]]]:
         ("jpeg.overlapping_pictures", pictures((0, jpeg())).replace(struct.pack(">II", 0, len(jpeg())), struct.pack(">II", 0, 10**6)), "refused", "damaged", []),
         ("jpeg.extended_packet", jpeg(*extended()), "cleaned", None, [b'hdrgm:Gamma="2.5"', b'hdrgm:GainMapMax="3.0"']),
         ("jpeg.extended_packet_short", jpeg(*extended()[:2]), "cleaned", None, [b'hdrgm:Gamma="2.5"']),
+        ("jpeg.rendering_note", jpeg(jpeg_segment(0xE1, b"Exif\0\0" + exif.build({"turn": 6, "resolution": None, "space": None, "index": None, "note": _note()}))), "cleaned", None, [exif.NOTE, struct.pack(">ii", 7, 5)]),
         ("jpeg.unreadable_packet", jpeg(jpeg_segment(0xE1, b"http://ns.adobe.com/xap/1.0/\0" + SECRET)), "refused", "unsupported_part", []),
         ("jpeg.broken_index", jpeg(jpeg_segment(0xE2, b"MPF\0" + SECRET)), "refused", "damaged", []),
         ("jpeg.unknown_marker", jpeg(jpeg_segment(0xF3, SECRET)), "refused", "unsupported_part", []),

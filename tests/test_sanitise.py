@@ -52,12 +52,17 @@ def test_tables_of_one_segment_stay_together():
 
 
 def test_display_fields_round_trip():
-    fields = {"turn": 6, "resolution": ((72, 1), (300, 4), 2), "space": 65535, "index": b"R03"}
+    note = exif.NOTE + b"MM\0\1" + struct.pack(">HHII", 0x21, 10, 1, 32) + bytes(4) + struct.pack(">ii", -7, 5)
+    fields = {"turn": 6, "resolution": ((72, 1), (300, 4), 2), "space": 65535, "index": b"R03", "note": note}
     assert exif.display(exif.build(fields)) == fields and exif.display(b"Exif\0\0" + exif.build(fields)) == fields
     for empty in (b"", b"II*\0", b"MM\0*\0\0\0\x08\xff\xff", bytes(40)):
         assert exif.build(exif.display(empty)) == b""
-    only = {"turn": None, "resolution": None, "space": None, "index": b"R98"}
+    only = {"turn": None, "resolution": None, "space": None, "index": b"R98", "note": None}
     assert exif.display(exif.build(only)) == only
+    for bad in (b"", note[:-1], note.replace(struct.pack(">ii", -7, 5), struct.pack(">ii", 7, 0)), note.replace(b"\0\x21", b"\0\x22"), b"Other" + note):
+        assert exif.rendering_note(bad) is None
+    long = exif.NOTE + b"II\2\0" + struct.pack("<HHII", 1, 2, 90, 46) + struct.pack("<HHII", 0x21, 10, 1, 136) + bytes(2) + b"S" * 90 + struct.pack("<ii", -7, 5)
+    assert exif.rendering_note(long[:136] + struct.pack("<ii", -7, 5)) == note
     assert exif.display(exif.minimal(8))["turn"] == 8 and exif.minimal(1) is None
 
 
