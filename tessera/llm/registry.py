@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, exact_dedup, language, packing, quality, recompression, secrets, simhash, token_files, warc
+from tessera.llm import conversations, decontaminate, exact_dedup, language, packing, periodic, quality, recompression, secrets, simhash, token_files, warc
 from tessera.llm.tokens import default_tokenizer
 
 
@@ -61,7 +61,26 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.fit(docs)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op3_substring_dedup, op4_simhash, op5_packing, op6_exact_dedup, op7_warc, op8_token_files, op9_decontamination, op10_secrets)}
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(conversations.damaged(_read(spark, sf_dir, "conversations")), F.col("present"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(periodic.planted(_read(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    top = [F.col(f"top.{c}").alias(c) for c in ("start", "length", "period")]
+    exponent = F.expr("(1000 * top.length) div top.period").alias("exponent_milli")
+    digests = [F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256")]
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *top, exponent, *digests)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality, op2_language, op3_substring_dedup, op4_simhash, op5_packing, op6_exact_dedup, op7_warc, op8_token_files, op9_decontamination, op10_secrets,
+        op11_conversations, op12_periodic_runs,
+    )
+}
 
 OP6_SQL = """
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents),
