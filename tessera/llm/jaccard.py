@@ -109,8 +109,8 @@ _ASK = "kind int, g long, i long, j long, role int, root long"
 _AT = [f.split()[0] for f in _ASK.split(", ")]
 
 
-def _compared(rows: DataFrame, points: DataFrame, requests: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``fp, star`` of confirmed links: each request sends the set ``pid`` to the comparison (kind, g, i, j)."""
+def _compared(rows: DataFrame, points: DataFrame, requests: DataFrame, shingle: int, similarity: float, pairs_of=close_pairs) -> DataFrame:
+    """``fp, star`` of confirmed links: each request sends the set ``pid`` to the comparison (kind, g, i, j) by ``pairs_of``."""
     # A set asks once per band and block; lists are cut where a representative goes to many blocks.
     listed = requests.groupBy("pid", F.floor(F.col("j") / 1024).alias("part")).agg(F.collect_list(F.struct(*_AT)).alias("asks")).drop("part")
     named = listed.join(points.select("pid", "fp", "low"), "pid")
@@ -144,7 +144,7 @@ def _compared(rows: DataFrame, points: DataFrame, requests: DataFrame, shingle:
             found = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[:4] != key and held:
-                    found += _links(held, similarity)
+                    found += _links(held, similarity, pairs_of)
                     held = []
                 key = row[:4]
                 held.append(row)
@@ -152,7 +152,7 @@ def _compared(rows: DataFrame, points: DataFrame, requests: DataFrame, shingle:
                 yield _edges(found)
             release()
         if held:
-            yield _edges(_links(held, similarity))
+            yield _edges(_links(held, similarity, pairs_of))
 
     sent = texts.mapInArrow(send, f"{_ASK}, pid long, codes binary")
     by = ["kind", "g", "i", "j"]
@@ -164,10 +164,10 @@ def _sent(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [*_AT, "pid", "codes"])
 
 
-def _links(rows: list[tuple], similarity: float) -> list[tuple[int, int]]:
+def _links(rows: list[tuple], similarity: float, pairs_of) -> list[tuple[int, int]]:
     """(member, star) of the links in one comparison; rows that repeat a set count once."""
     own = list({row[6]: row for row in rows}.values())
-    pairs = close_pairs([np.frombuffer(row[7], "<u8") for row in own], np.array([row[4] for row in own]), np.array([row[5] for row in own]), similarity)
+    pairs = pairs_of([np.frombuffer(row[7], "<u8") for row in own], np.array([row[4] for row in own]), np.array([row[5] for row in own]), similarity)
     return [x for i, j in pairs for x in ((own[i][6], own[i][6]), (own[j][6], own[i][6]))]
 
 

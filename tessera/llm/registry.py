@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import conversations, decontaminate, exact_dedup, language, packing, periodic, quality, recompression, secrets, simhash, token_files, warc
+from tessera.llm import conversations, decontaminate, exact_dedup, language, ngram_join, packing, periodic, quality, recompression, secrets, simhash, token_files, warc
 from tessera.llm.tokens import default_tokenizer
 
 
@@ -74,11 +74,15 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *top, exponent, *digests)
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality, op2_language, op3_substring_dedup, op4_simhash, op5_packing, op6_exact_dedup, op7_warc, op8_token_files, op9_decontamination, op10_secrets,
-        op11_conversations, op12_periodic_runs,
+        op11_conversations, op12_periodic_runs, op13_ngram_join,
     )
 }
 
