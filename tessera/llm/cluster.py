@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import uuid
 
@@ -22,6 +23,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let go of shuffle files and checkpoints that nothing refers to any more.
+
+    Spark's cleaner removes them once the driver's garbage is collected, which otherwise happens when the driver's memory
+    is short or every half hour; jobs of many phases ask for it between them. Checkpoints go only where the session has
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def input_parts(df: DataFrame, per_part: int | None = None) -> int:
     """Number of partitions for the rows of ``df``: its size as the optimizer knows it over the size of a file split."""
     spark = df.sparkSession

@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.cluster import fresh, shared_dir
+from tessera.llm.cluster import fresh, shared_dir, tidy
 from tessera.llm.exact_dedup import COUNTERS, split_join
-from tessera.llm.simhash import _connected, shingle_codes
-from tessera.llm.textblocks import blocks, mix, release
+from tessera.llm.simhash import _connected
+from tessera.llm.textblocks import SPACE, blocks, flat, hashes, lowered, mix, release, spans
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Shingles that one comparison holds at about; a longer text is one block by itself.
@@ -41,9 +41,39 @@ SENT_BYTES = 4 << 20
 ROWS, MISS = 4, 1e-8
 
 
+def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the word shingles of each text; one of fewer words is one shingle, one without words none.
+
+    Words are hashed where they lie, and shingles as chains of their words' hashes and their number.
+    """
+    raw, starts, ends = flat(texts)
+    raw = lowered(raw)
+    begin, stop, row = spans(raw, starts, ends, ~SPACE)
+    word = hashes(raw, begin, stop)
+    size = np.bincount(row, minlength=len(starts)) if len(row) else np.zeros(len(starts), np.int64)
+    first = np.cumsum(size) - size
+    chain = np.full(max(0, len(word) - shingle + 1), shingle, np.uint64)
+    for k in range(shingle):
+        chain = mix(chain * _STEP ^ word[k : k + len(chain)])
+    out = []
+    for at, n in zip(first.tolist(), size.tolist(), strict=True):
+        if n >= shingle:
+            out.append(np.unique(chain[at : at + n - shingle + 1]))
+            continue
+        code = np.full(min(n, 1), n, np.uint64)
+        for k in range(n):
+            code = mix(code * _STEP ^ word[at + k : at + k + 1])
+        out.append(code)
+    return out
+
+
+#: An odd multiplier between the words of a chain.
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles; a text of fewer words is one shingle, one without words none."""
-    return np.unique(shingle_codes(text, shingle))
+    """The set of one text, see ``shingle_sets``."""
+    return shingle_sets(pa.array([text], pa.string()), shingle)[0]
 
 
 def band_count(similarity: float = SIMILARITY) -> int:
@@ -124,8 +154,7 @@ def _compared(rows: DataFrame, points: DataFrame, requests: DataFrame, shingle:
     def send(batches):
         for batch in blocks(batches):
             out, held = [], 0
-            for text, pid, fp, asks in zip(*(batch.column(k).to_pylist() for k in ("text", "pid", "fp", "asks")), strict=True):
-                codes = shingles(text, shingle)
+            for codes, pid, fp, asks in zip(shingle_sets(batch.column("text"), shingle), *(batch.column(k).to_pylist() for k in ("pid", "fp", "asks")), strict=True):
                 if _name(codes) != fp:  # another row with the same id
                     continue
                 body = codes.astype("<u8").tobytes()
@@ -288,7 +317,7 @@ def alike_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     def look(batches):
         for batch in blocks(batches):
-            found = [shingles(t, shingle) for t in batch.column("text").to_pylist()]
+            found = shingle_sets(batch.column("text"), shingle)
             keys = [band_keys(c, bands).view(np.int64) for c in found]
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))

@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.cluster import shared_dir
+from tessera.llm.cluster import shared_dir, tidy
 from tessera.llm.exact_dedup import split_join
-from tessera.llm.jaccard import _block_requests, _compared, _labelled, _name, _star_requests, shingles
+from tessera.llm.jaccard import _block_requests, _compared, _labelled, _name, _star_requests, shingle_sets
 from tessera.llm.simhash import _connected
 from tessera.llm.textblocks import blocks, mix, release
 
@@ -40,7 +40,8 @@ BAND = 1.26
 
 def prefix(codes: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The first n-grams of a sorted set by the order: of two sets that similar, each has one of the other's among them."""
-    last = np.isin(codes, frequent)
+    at = np.searchsorted(frequent, codes)
+    last = (frequent[np.minimum(at, len(frequent) - 1)] == codes) if len(frequent) else np.zeros(len(codes), bool)
     ordered = np.concatenate([codes[~last], codes[last]])
     return ordered[: len(codes) + (-percent * len(codes) // 100) + 1] if len(codes) else codes
 
@@ -139,9 +140,9 @@ def frequent_shingles(rows: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
     def summarise(batches):
         seen, n, held, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
         for batch in blocks(batches):
-            for text in batch.column("text").to_pylist():
-                held.append(shingles(text, shingle))
-                size += len(held[-1])
+            for codes in shingle_sets(batch.column("text"), shingle):
+                held.append(codes)
+                size += len(codes)
                 if size >= COUNTED:
                     seen, n = counted(seen, n, held)
                     held, size = [], 0
@@ -158,7 +159,7 @@ def _sets(rows: DataFrame, frequent: np.ndarray, shingle: int, percent: int) ->
 
     def look(batches):
         for batch in blocks(batches):
-            found = [shingles(t, shingle) for t in batch.column("text").to_pylist()]
+            found = shingle_sets(batch.column("text"), shingle)
             keys = [prefix(c, frequent, percent).view(np.int64) for c in found]
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
@@ -178,14 +179,19 @@ def _first_links(rows: DataFrame, points: DataFrame, shingle: int, similarity: f
 
 def _tiles(points: DataFrame, roots: DataFrame) -> DataFrame:
     """``key, band, i, j, side, lower, pid, root, size, sig``: each set in each block of each tile that it has a part in."""
-    narrow = _labelled(points.select("pid", "size", "keys"), roots)
+    # Most n-grams are in one set only; only keys are counted, and only shared ones are looked at further.
+    postings = points.select("pid", F.explode("keys").alias("key"))
+    shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    found = postings.join(shared, "key").checkpoint()
     band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(BAND))).cast("int")
-    postings = narrow.select("pid", "root", "size", band.alias("band"), F.explode("keys").alias("key"))
+    narrow = _labelled(points.select("pid", "size"), roots).select("pid", "root", "size", band.alias("band"))
+    placed = found.join(narrow, "pid").checkpoint()
     # Two exclusive sums tell n-grams of the same sets apart from others; one of them is enough.
     sums = [F.bit_xor(F.xxhash64("pid", F.lit(seed))).alias(f"x{seed}") for seed in (1, 2)]
-    groups = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("pid").alias("least"), F.max("pid").alias("last"), F.min("root").alias("low"), F.max("root").alias("high"), *sums)
-    shared = groups.filter("n > 1 AND low <> high").groupBy("least", "last", "n", "x1", "x2").agg(F.min("key").alias("key")).select("key").checkpoint()
-    members = postings.join(shared, "key", "left_semi").checkpoint()
+    groups = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("pid").alias("least"), F.max("pid").alias("last"), F.min("root").alias("low"), F.max("root").alias("high"), *sums)
+    open_ = groups.filter("low <> high").groupBy("least", "last", "n", "x1", "x2").agg(F.min("key").alias("key")).select("key")
+    members = placed.join(open_, "key").checkpoint()
+    tidy(points.sparkSession)
     sizes = members.groupBy("key", "band").agg(F.count(F.lit(1)).alias("n")).checkpoint()
     below = sizes.select("key", (F.col("band") + 1).alias("band"), F.col("n").alias("n_low"))
     tiles = sizes.join(below, ["key", "band"], "left").withColumn("n_low", F.coalesce("n_low", F.lit(0))).filter("n > 1 OR n_low > 0")
@@ -247,7 +253,9 @@ def _classes(rows: DataFrame, points: DataFrame, shingle: int, percent: int) ->
     similarity = percent / 100
     edges = _first_links(rows, points, shingle, similarity)
     roots = _connected(edges)
+    tidy(points.sparkSession)
     buckets = _connected(_may_link(_tiles(points, roots), percent))
+    tidy(points.sparkSession)
     asked = buckets.select(F.col("fp").alias("pid"), F.col("root").alias("key")).join(points.select("pid", "size"), "pid").checkpoint()
     requests = _block_requests(asked, roots)
     if requests is None:
@@ -255,6 +263,14 @@ def _classes(rows: DataFrame, points: DataFrame, shingle: int, percent: int) ->
     return _connected(edges.unionByName(_compared(rows, points, requests, shingle, similarity, similar_pairs).checkpoint()))
 
 
+def _points(rows: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, fp, size`` of every row, and ``pid, fp, low, size, keys, sig`` of every set that isn't empty."""
+    wide = _sets(rows, frequent_shingles(rows, shingle), shingle, percent).checkpoint()
+    whole = wide.filter("size > 0").groupBy("fp").agg(F.min("doc_id").alias("low"), *(F.first(c).alias(c) for c in ("size", "keys", "sig")))
+    points = whole.withColumn("pid", F.monotonically_increasing_id()).checkpoint()
+    return wide.select("doc_id", "fp", "size").checkpoint(), points
+
+
 def joined(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id``, the smallest ``doc_id`` that links lead to.
 
@@ -266,9 +282,8 @@ def joined(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle:
     """
     shared_dir(docs.sparkSession, "ngrams")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    own = _sets(rows, frequent_shingles(rows, shingle), shingle, percent).checkpoint()
-    whole = own.filter("size > 0").groupBy("fp").agg(F.min("doc_id").alias("low"), *(F.first(c).alias(c) for c in ("size", "keys", "sig")))
-    points = whole.withColumn("pid", F.monotonically_increasing_id()).checkpoint()
+    own, points = _points(rows, shingle, percent)
+    tidy(docs.sparkSession)
     named = _labelled(points.select("pid", "fp", "low"), _classes(rows, points, shingle, percent)).select("fp", "low", "root").checkpoint()
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = split_join(named.select("fp", "root"), least, "root").select("fp", "component_id").checkpoint()

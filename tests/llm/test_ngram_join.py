@@ -53,7 +53,7 @@ def test_equals_brute_force(spark, monkeypatch, rows_of, group, tile, counters):
     monkeypatch.setattr(jaccard, "GROUP", group)
     monkeypatch.setattr(ngram_join, "TILE", tile)
     if counters < 4096:  # then n-grams are put last at random: the order never matters for the result
-        monkeypatch.setattr(ngram_join, "frequent_shingles", lambda rows, shingle: np.sort(np.concatenate([ngram_join.shingles(r.text)[:counters] for r in rows.collect()])))
+        monkeypatch.setattr(ngram_join, "frequent_shingles", lambda rows, shingle: np.sort(np.concatenate([jaccard.shingles(r.text)[:counters] for r in rows.collect()])))
     rows = rows_of()
     frame = spark.createDataFrame([(*r, "k", 1, 2) for r in rows], "doc_id long, text string, key string, size int, pid long").repartition(3)
     got = ngram_join.joined(frame)
@@ -104,9 +104,19 @@ def test_bounds_and_prefixes_lose_no_similar_pair():
         assert bool(ngram_join.similar_pairs([a, b], np.array([2, 2]), np.array([0, 1]), 0.8)) == alike
 
 
+def test_sets_have_a_code_for_each_shingle():
+    texts = ["A b c D e f", "a B\nc d e f a b c d e f", "a b", "A b", "a b c d e", None, " \t", "é É", "x " * 300, "a b", "b a"]
+    sets = jaccard.shingle_sets(jaccard.pa.array(texts))
+    own = lambda t: {tuple(w[k : k + 5]) for w in ["".join(c.lower() if c.isascii() else c for c in t or "").split()] for k in range(max(1, len(w) - 4)) if w}
+    for a, s in zip(texts, sets, strict=True):
+        for b, t in zip(texts, sets, strict=True):
+            assert len(np.intersect1d(s, t)) == len(own(a) & own(b)) and len(s) == len(own(a))
+        assert (np.sort(s) == s).all() and (jaccard.shingles(a) == s).all()
+
+
 def test_frequent_shingles_are_those_of_most_texts(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "COUNTERS", 20)
     monkeypatch.setattr(ngram_join, "COUNTED", 500)
     rows = [(f"one two three four five six {n} {n + 1} {n + 2} {n + 3}",) for n in range(0, 4000, 10)]
     found = ngram_join.frequent_shingles(spark.createDataFrame(rows, "text string").repartition(3))
-    assert set(ngram_join.shingles("one two three four five six")) <= set(found) and len(found) <= 20
+    assert set(jaccard.shingles("one two three four five six")) <= set(found) and len(found) <= 20
