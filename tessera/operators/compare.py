@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.sliced import Sliced
+
 
 def multiset_diff(now: DataFrame, then: DataFrame) -> DataFrame:
     """Rows with the number by which they differ: ``added`` where ``now`` has more, ``removed`` where ``then`` has."""
@@ -29,7 +33,7 @@ def equal_sequences(rows: DataFrame, key: str, order: list[str], values: list[st
     return grouped.join(seconds, "digest").select(key, twin.alias("twin"))
 
 
-def zipped(one: DataFrame, two: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
+def zipped(one: DataFrame, two: DataFrame, keys: list[str], order: list[str], values: list[str], slice_rows: int | None = None) -> DataFrame:
     """Rows of both tables paired by their place in order within ``keys``: ``keys, place`` (from 0) and each value of both.
 
     The columns of values are ``<name>_one`` and ``<name>_two``; where one side is longer the other's are null and
@@ -37,8 +41,8 @@ def zipped(one: DataFrame, two: DataFrame, keys: list[str], order: list[str], va
     """
     sides = []
     for name, side in (("one", one), ("two", two)):
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-        sides.append(side.withColumn("place", place).select(*keys, "place", F.lit(True).alias(f"in_{name}"), *(F.col(v).alias(f"{v}_{name}") for v in values)))
+        placed = Sliced.of(side, keys, order, slice_rows).before(place=("count", F.lit(True))).done()
+        sides.append(placed.select(*keys, "place", F.lit(True).alias(f"in_{name}"), *(F.col(v).alias(f"{v}_{name}") for v in values)))
     missing = F.when(F.col("in_one").isNull(), "one").when(F.col("in_two").isNull(), "two")
     return sides[0].join(sides[1], [*keys, "place"], "full").withColumn("missing", missing).drop("in_one", "in_two")
 
@@ -78,12 +82,41 @@ def against_baseline(run: DataFrame, baseline: DataFrame, key: str, status: str)
     return joined.select(key, F.col(status).alias("now"), "before", note.alias("note"))
 
 
-def not_subsequences(now: DataFrame, then: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """Groups of ``now`` that aren't a subsequence of ``then``'s group by values that occur once in a group.
+def not_subsequences(now: DataFrame, then: DataFrame, keys: list[str], order: str, value: str, slice_rows: int | None = None) -> DataFrame:
+    """Groups of ``now`` whose values in order aren't a subsequence of those of ``then``'s group: the ``keys``, each once.
 
-    Elements may have been dropped, not added or reordered; the check is a join on the value and one window.
+    Elements may have been dropped, not added or reordered; values may repeat, and nulls are values. Each value of
+    ``now`` is matched by the next occurrence behind the match before it, which leaves most for those that follow. Both
+    sides are numbered in order and stream through their group's task together, a value of ``now`` before the value of
+    ``then`` at its place: no match lies before a value's own place, so what waits is what has been skipped, 16 bytes
+    each. A group that ``then`` lacks is told unless it is empty in ``now``, too.
     """
-    place = then.select(*keys, F.col(value).alias("then_value"), F.col(order).alias("then_at"))
-    joined = now.join(place, [now[k] == place[k] for k in keys] + [now[value].eqNullSafe(place.then_value)], "left").select(*(now[k] for k in keys), now[order].alias("now_at"), "then_at")
-    before = F.max("then_at").over(Window.partitionBy(*keys).orderBy("now_at").rowsBetween(Window.unboundedPreceding, -1))
-    return joined.withColumn("before", before).filter("then_at IS NULL OR before >= then_at").select(*keys).distinct()
+    sides = []
+    for turn, side in enumerate((now, then)):
+        placed = Sliced.of(side.select(*keys, order, value), keys, [order], slice_rows).before(place=("count", F.lit(True))).done()
+        digest = F.unhex(F.substring(F.sha2(F.to_json(F.struct(F.col(value).alias("v"))), 256), 1, 32))
+        group = F.unhex(F.substring(F.sha2(F.to_json(F.struct(*(F.col(k).alias(f"k{n}") for n, k in enumerate(keys)))), 256), 1, 32))
+        sides.append(placed.select(*keys, group.alias("match_group"), "place", F.lit(turn).alias("match_turn"), digest.alias("match_value")))
+
+    def match(batches):
+        waiting, group, last = deque(), None, None
+        for batch in batches:
+            names = batch.column("match_group").to_pylist()
+            failed = []
+            for at, (name, turn, digest) in enumerate(zip(names, batch.column("match_turn").to_pylist(), batch.column("match_value").to_pylist(), strict=True)):
+                if name != group:
+                    if waiting:
+                        failed.append(last if at == 0 else batch.slice(at - 1, 1))
+                    waiting, group = deque(), name
+                if turn == 0:
+                    waiting.append(digest)
+                elif waiting and waiting[0] == digest:
+                    waiting.popleft()
+            if batch.num_rows:
+                last = batch.slice(batch.num_rows - 1, 1)
+            yield from (row.select(keys) for row in failed)
+        if waiting:
+            yield last.select(keys)
+
+    both = sides[0].unionByName(sides[1]).repartition("match_group").sortWithinPartitions("match_group", "place", "match_turn")
+    return both.mapInArrow(match, now.select(*keys).schema)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.sliced import Sliced
+
 
 def first_of_kind(rows: DataFrame, keys: list[str], order: list[str], keep: list[str]) -> DataFrame:
     """The first row of each group as an aggregate, which reduces before the shuffle."""
@@ -13,54 +15,63 @@ def first_of_kind(rows: DataFrame, keys: list[str], order: list[str], keep: list
 
 
 def before_marker(rows: DataFrame, keys: list[str], order: list[str], marker: Column) -> DataFrame:
-    """Rows that precede the first marker of their group; groups without a marker keep none."""
-    by = Window.partitionBy(*keys)
-    seen = F.max(F.when(marker, 1).otherwise(0)).over(by.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    some = F.max(F.when(marker, 1).otherwise(0)).over(by)
-    return rows.withColumns({"marker_seen": seen, "marker_some": some}).filter("marker_seen = 0 AND marker_some = 1").drop("marker_seen", "marker_some")
+    """Rows that precede the first marker of their group; groups without a marker keep none.
+
+    The first marker of each group is an aggregate, and rows are compared with it where they are: no window.
+    """
+    names = [f"marker_key{n}" for n in range(len(keys))]
+    first = rows.filter(marker).groupBy(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True))).agg(F.min(F.struct(*order)).alias("marker_at"))
+    same = F.lit(True)
+    for k, n in zip(keys, names, strict=True):
+        same = same & rows[k].eqNullSafe(first[n])
+    return rows.join(first, same).filter(F.struct(*order) < F.col("marker_at")).drop(*names, "marker_at")
 
 
-def last_before(rows: DataFrame, keys: list[str], order: list[str], control: Column, value: str, target: Column, name: str) -> DataFrame:
-    """Rows where ``target`` holds, with the ``value`` of the last ``control`` row strictly before them, as ``name``."""
-    by = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    found = F.last(F.when(control, F.col(value)), ignorenulls=True).over(by)
-    return rows.withColumn(name, found).filter(target)
+def last_before(rows: DataFrame, keys: list[str], order: list[str], control: Column, value: str, target: Column, name: str, slice_rows: int | None = None) -> DataFrame:
+    """Rows where ``target`` holds, with the ``value`` of the last ``control`` row strictly before them, as ``name``; null values of controls are skipped."""
+    only = rows.withColumns({"is_control": F.coalesce(control, F.lit(False)), "is_target": F.coalesce(target, F.lit(False))}).filter("is_control OR is_target")
+    passed = Sliced.of(only, keys, order, slice_rows).before(**{name: ("last", F.when(F.col("is_control"), F.col(value)))})
+    return passed.done().filter("is_target").drop("is_control", "is_target")
 
 
-def runs(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+def runs(rows: DataFrame, keys: list[str], order: list[str], value: str, slice_rows: int | None = None) -> DataFrame:
     """Runs of an equal value in order: the keys, the value, the first row's order columns and ``run_length``."""
-    by = Window.partitionBy(*keys).orderBy(*order)
-    new = F.when(F.col(value).eqNullSafe(F.lag(value).over(by)) & (F.row_number().over(by) > 1), 0).otherwise(1)
-    numbered = rows.select(*keys, *order, value, new.alias("new_run")).withColumn("run", F.sum("new_run").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    cut = Sliced.of(rows.select(*keys, *order, value), keys, order, slice_rows).before(run_previous=("last", F.struct(F.col(value).alias("value"))))
+    new = ~F.coalesce(F.col("run_previous").isNotNull() & F.col("run_previous.value").eqNullSafe(F.col(value)), F.lit(False))
+    # Before a run's first row all earlier runs have begun, before its others it has, too.
+    numbered = cut.before(run=("count", new)).done().withColumn("run", F.col("run") + new.cast("int"))
     first = F.min(F.struct(*order)).alias("first")
     return numbered.groupBy(*keys, "run", value).agg(first, F.count(F.lit(1)).alias("run_length")).select(*keys, value, *(F.col(f"first.{c}").alias(c) for c in order), "run_length")
 
 
-def prefix_layout(rows: DataFrame, order: str, length: Column, align: int = 1, block: int = 4096) -> DataFrame:
-    """``rows`` with ``offset``: the sum of all lengths before a row by the integer ``order``, each rounded up to ``align``.
+def prefix_layout(rows: DataFrame, order: str, length: Column, align: int = 1, block: int | None = None) -> DataFrame:
+    """``rows`` with ``offset``: the sum of all lengths before a row by ``order``, each rounded up to ``align``.
 
-    Sums run within blocks of ``order`` in parallel; only one total per block is summed in order.
+    The whole table is one ordered key, cut into slices of about ``block`` rows: sums run within slices in parallel, and
+    only one total per slice is summed in order, whatever the numbers of ``order`` are.
     """
     size = (F.floor((length + (align - 1)) / align) * align).cast("long")
-    cut = rows.withColumns({"layout_block": F.floor(F.col(order) / block), "layout_size": size})
-    inner = Window.partitionBy("layout_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut.groupBy("layout_block").agg(F.sum("layout_size").alias("layout_total"))
-    before = F.coalesce(F.sum("layout_total").over(Window.orderBy("layout_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = totals.select("layout_block", before.alias("layout_base"))
-    local = cut.withColumn("layout_local", F.coalesce(F.sum("layout_size").over(inner), F.lit(0)))
-    return local.join(bases, "layout_block").withColumn("offset", F.col("layout_base") + F.col("layout_local")).drop("layout_block", "layout_size", "layout_base", "layout_local")
+    one = rows.withColumn("layout_all", F.lit(0))
+    return Sliced.of(one, ["layout_all"], [order], block).before(offset=("sum", size)).done().drop("layout_all")
 
 
-def renumbered(rows: DataFrame, order: str, name: str, block: int = 4096) -> DataFrame:
-    """``rows`` with dense numbers from 0 by the integer ``order``."""
+def renumbered(rows: DataFrame, order: str, name: str, block: int | None = None) -> DataFrame:
+    """``rows`` with dense numbers from 0 by ``order``."""
     return prefix_layout(rows, order, F.lit(1), 1, block).withColumnRenamed("offset", name)
 
 
 def reframed(rows: DataFrame, value: Column, size: int) -> DataFrame:
-    """A row per piece of at most ``size`` characters or bytes: ``n`` from 0 and ``piece``; empty values have none."""
-    count = F.ceil(F.length(value) / size).cast("int")
-    spread = rows.filter(F.length(value) > 0).withColumn("n", F.explode(F.sequence(F.lit(0), count - 1)))
-    return spread.withColumn("piece", F.substring(value, F.col("n") * size + 1, F.lit(size)))
+    """A row per piece of at most ``size`` characters or bytes: ``n`` from 0 and ``piece``; empty values have none.
+
+    Texts are cut in one pass from their start, bytes by their offsets: the work is linear in the length of a value, and
+    a piece's row doesn't carry the whole value unless the caller's columns do.
+    """
+    if dict(rows.select(value.alias("value")).dtypes)["value"] == "binary":
+        places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length(value) / size).cast("int") - 1))
+        pieces = F.transform(places, lambda n: F.substring(value, n * size + 1, F.lit(size)))
+    else:
+        pieces = F.regexp_extract_all(value, F.lit("(?s).{1,%d}" % size), F.lit(0))
+    return rows.filter(F.length(value) > 0).select("*", F.posexplode(pieces).alias("n", "piece"))
 
 
 def concat_in_order(rows: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
@@ -69,21 +80,17 @@ def concat_in_order(rows: DataFrame, keys: list[str], order: str, value: str, na
     return rows.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x[value]), "").alias(name))
 
 
-def expanded_runs(runs: DataFrame, keys: list[str], order: str, count: str, values: list[str], name: str = "n") -> DataFrame:
+def expanded_runs(runs: DataFrame, keys: list[str], order: str, count: str, values: list[str], name: str = "n", slice_rows: int | None = None) -> DataFrame:
     """A row per element of run-length tables: ``name`` from 0 within the group and the run's values."""
-    by = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = runs.filter(F.col(count) > 0).withColumn("run_start", F.coalesce(F.sum(count).over(by), F.lit(0)))
+    placed = Sliced.of(runs.filter(F.col(count) > 0), keys, [order], slice_rows).before(run_start=("sum", F.col(count))).done()
     return placed.select(*keys, *values, F.explode(F.sequence(F.col("run_start"), F.col("run_start") + F.col(count) - 1)).alias(name))
 
 
-def in_force(rows: DataFrame, rules: DataFrame, keys: list[str], at: str, start: str, values: list[str]) -> DataFrame:
+def in_force(rows: DataFrame, rules: DataFrame, keys: list[str], at: str, start: str, values: list[str], slice_rows: int | None = None) -> DataFrame:
     """``rows`` with the values of the last rule of their group that starts at or before ``at``; null before the first."""
-    own = rows.withColumns({"force_at": F.col(at).cast("long"), "force_turn": F.lit(1), "force_rule": F.lit(None).cast(_struct(rules, values))})
+    rule = rules.select(F.struct(*values).alias("rule")).schema["rule"].dataType
+    own = rows.withColumns({"force_at": F.col(at).cast("long"), "force_turn": F.lit(1), "force_rule": F.lit(None).cast(rule)})
     other = rules.select(*keys, F.col(start).cast("long").alias("force_at"), F.lit(0).alias("force_turn"), F.struct(*values).alias("force_rule"))
-    by = Window.partitionBy(*keys).orderBy("force_at", "force_turn").rowsBetween(Window.unboundedPreceding, 0)
-    both = own.unionByName(other, allowMissingColumns=True).withColumn("force_last", F.last("force_rule", ignorenulls=True).over(by))
-    return both.filter("force_turn = 1").select(*rows.columns, *(F.col(f"force_last.{v}").alias(v) for v in values))
-
-
-def _struct(rules: DataFrame, values: list[str]) -> str:
-    return rules.select(F.struct(*values).alias("rule")).schema["rule"].dataType.simpleString()
+    both = own.unionByName(other, allowMissingColumns=True)
+    found = Sliced.of(both, keys, ["force_at", "force_turn"], slice_rows).before(force_last=("last", F.col("force_rule"))).done()
+    return found.filter("force_turn = 1").select(*rows.columns, *(F.col(f"force_last.{v}").alias(v) for v in values))

@@ -355,6 +355,55 @@ def subsequence_check(spark, d):
     return compare.not_subsequences(now, then, ["g"], "event_id", "v")
 
 
+#: Rows of one slice in the queries over a user that holds nine tenths of all events.
+HOT_SLICE = 1024
+
+HOT = "hot AS (SELECT CASE WHEN event_id % 10 < 9 THEN 0 ELSE user_id END AS user_id, event_id, ts, event_type, value FROM events)"
+HOT_SPANS = SPANS.replace("FROM events", "FROM hot")
+
+
+def _hot(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("user_id", F.when(F.col("event_id") % 10 < 9, 0).otherwise(F.col("user_id")))
+
+
+@query(f"""WITH {HOT}, c AS (SELECT *, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_view FROM hot)
+SELECT user_id, event_id, last_view FROM c WHERE event_type = 'purchase'""")
+def hot_last_control(spark, d):
+    e = _hot(_t(spark, d, "events").select("user_id", "ts", "event_id", "event_type"))
+    found = sequence.last_before(e, ["user_id"], ["ts", "event_id"], F.col("event_type") == "view", "event_id", F.col("event_type") == "purchase", "last_view", HOT_SLICE)
+    return found.select("user_id", "event_id", "last_view")
+
+
+@query(f"""WITH {HOT}, n AS (SELECT user_id, event_type, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS g FROM hot)
+SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS event_id, count(*) AS run_length FROM n GROUP BY user_id, event_type, g""")
+def hot_run_collapse(spark, d):
+    e = _hot(_t(spark, d, "events").select("user_id", "ts", "event_id", "event_type"))
+    return sequence.runs(e, ["user_id"], ["ts", "event_id"], "event_type", HOT_SLICE).drop("ts")
+
+
+@query(f"WITH {HOT}, {HOT_SPANS}, {_islands('SELECT * FROM spans WHERE e - s < 36000000000', 'm')}, n AS (SELECT user_id, e AS start, lead(s) OVER (PARTITION BY user_id ORDER BY s) AS \"end\" FROM m) SELECT * FROM n WHERE \"end\" IS NOT NULL")
+def hot_interval_uncovered(spark, d):
+    spans = _hot(_spans(spark, d)).filter(F.col("end") - F.col("start") < 36_000_000_000)
+    return intervals.uncovered(spans, ["user_id"], slice_rows=HOT_SLICE)
+
+
+@query(f"WITH {HOT}, {HOT_SPANS}, " + _islands("SELECT * FROM spans WHERE event_type = 'purchase' AND e - s < 36000000000", "m") + """ SELECT event_id, user_id, s AS start, e AS "end" FROM spans x WHERE event_type = 'error' AND e > s AND EXISTS (SELECT 1 FROM m WHERE m.user_id = x.user_id AND m.s < x.e AND x.s < m.e)""")
+def hot_interval_overlap(spark, d):
+    s = _hot(_spans(spark, d))
+    cover = s.filter("event_type = 'purchase'").filter(F.col("end") - F.col("start") < 36_000_000_000)
+    return intervals.overlapping(s.filter("event_type = 'error'"), cover, ["user_id"], slice_rows=HOT_SLICE).drop("event_type")
+
+
+@query("""WITH e AS (SELECT user_id % 40 AS g, event_id, list_position(['click', 'error', 'purchase', 'view'], event_type) AS v FROM events),
+t AS (SELECT g, list(v ORDER BY event_id) AS then_ FROM e WHERE event_id % 10 <> 3 GROUP BY 1),
+n AS (SELECT g, list(v ORDER BY event_id) AS now_ FROM e WHERE event_id % 5 <> 1 AND (event_id % 10 <> 3 OR g % 4 = 0 AND event_id % 100 = 3) GROUP BY 1)
+SELECT g FROM n LEFT JOIN t USING (g) WHERE list_reduce(list_prepend(0, now_), lambda p, v: CASE WHEN p < 0 THEN -1 ELSE coalesce(p + nullif(list_position(then_[p + 1:], v), 0), -1) END) < 0 OR then_ IS NULL""")
+def subsequence_repeats(spark, d):
+    e = _t(spark, d, "events").select((F.col("user_id") % 40).alias("g"), "event_id", "event_type")
+    now = e.filter("event_id % 5 <> 1 AND (event_id % 10 <> 3 OR g % 4 = 0 AND event_id % 100 = 3)")
+    return compare.not_subsequences(now, e.filter("event_id % 10 <> 3"), ["g"], "event_id", "event_type")
+
+
 _REPORT_GROUPS = ("EXIF:IFD0", "GPS", "XMP:XMP-hdrgm", "MakerNotes:Apple", "File", "PNG", "QuickTime:Track1", "ICC_Profile", "IPTC", "File:System", "XMP:XMP-dc")
 _REPORT_TAGS = ("Orientation", "Model", "GPSLatitude", "Gamma", "Comment", "HDRHeadroom", "Unknown_0x0011", "ImageWidth", "CreateDate", "BitsPerSample", "Version", "MediaTag", "OwnerName")
 
