@@ -32,8 +32,8 @@ COUNTERS = 4096
 COUNTED = 1 << 20
 #: Sets of a block of a tile: larger tiles are cut into blocks that meet pairwise.
 TILE = 4096
-#: Bits of a signature at most; below, two to four for each n-gram.
-MOST_BITS = 4096
+#: Bits of a signature at most and at least; between, two to four for each n-gram.
+MOST_BITS, LEAST_BITS = 1 << 22, 64
 #: Ratio of the sizes of a band; a little over 1/0.8, so that similar sets lie in one band or in neighbours.
 BAND = 1.26
 
@@ -48,7 +48,7 @@ def prefix(codes: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> n
 
 def signature(codes: np.ndarray) -> bytes:
     """The n-grams hashed into a bitmap of a power of two of bits."""
-    bits = min(MOST_BITS, max(64, 1 << (2 * len(codes) - 1).bit_length())) if len(codes) else 64
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << max(0, 2 * len(codes) - 1).bit_length()))
     out = np.zeros(bits, np.uint8)
     out[(mix(codes) & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out).tobytes()
@@ -63,11 +63,11 @@ def bitmaps(signatures: list[bytes]) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def may_overlap(maps: np.ndarray, ones: np.ndarray, size: np.ndarray, p: int, others: np.ndarray, percent: int) -> np.ndarray:
-    """Which of ``others`` may be as similar to ``p``: bits of one that the other lacks stand for n-grams that aren't shared."""
+def may_overlap(maps: np.ndarray, ones: np.ndarray, p: int, others: np.ndarray, size: int, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the set of row ``p`` may be that similar to each of ``others``: bits of one that the other lacks stand for n-grams that aren't shared."""
     both = np.bitwise_count(maps[others] & maps[p]).sum(1, dtype=np.int64)
-    most = np.minimum(size[others] - ones[others], size[p] - ones[p]) + both
-    return others[(100 + percent) * most >= percent * (size[others] + size[p])]
+    most = np.minimum(sizes - ones[others], size - ones[p]) + both
+    return (100 + percent) * most >= percent * (sizes + size)
 
 
 def candidates(size, root, side, lower, maps, percent: int) -> np.ndarray:
@@ -85,7 +85,7 @@ def candidates(size, root, side, lower, maps, percent: int) -> np.ndarray:
         ahead = np.arange(p + 1, stop[p])
         fit = (label[ahead] != label[p]) & (root[ahead] != root[p]) & ((side[ahead] == 2) | (side[ahead] != side[p]))
         ahead = ahead[fit & ~lower[ahead] if lower[p] else fit]
-        found = may_overlap(maps, ones, size, p, ahead, percent) if len(ahead) else ahead
+        found = ahead[may_overlap(maps, ones, p, ahead, size[p], size[ahead], percent)] if len(ahead) else ahead
         if len(found):
             met[p] = met[found] = True
             label[np.isin(label, label[found])] = label[p]
@@ -104,12 +104,20 @@ def similar_pairs(sets: list[np.ndarray], role: np.ndarray, root: np.ndarray, si
     size = np.fromiter(map(len, sets), np.int64, len(sets))
     order = np.argsort(size, kind="stable")
     sets, role, label, size = [sets[k] for k in order], role[order], np.unique(root, return_inverse=True)[1][order], size[order]
-    maps = bitmaps([signature(s) for s in sets]) if sets else np.zeros((0, 1), np.uint64)
-    ones, stop, out = np.bitwise_count(maps).sum(1, dtype=np.int64), np.searchsorted(size, 100 * size // percent, "right"), []
+    signatures = [signature(s) for s in sets]
+    width = np.fromiter(map(len, signatures), np.int64, len(sets))
+    # A set's partners ahead are of its width or twice that: each width has bitmaps of both.
+    maps, ones, row = {}, {}, {}
+    for w in np.unique(width).tolist():
+        own = np.flatnonzero((width == w) | (width == 2 * w))
+        maps[w] = bitmaps([signatures[k] for k in own])
+        ones[w], row[w] = np.bitwise_count(maps[w]).sum(1, dtype=np.int64), np.searchsorted(own, np.arange(len(sets) + 1))
+    stop, out = np.searchsorted(size, 100 * size // percent, "right"), []
     for p in range(len(sets)):
         ahead = np.arange(p + 1, stop[p])
         ahead = ahead[(label[ahead] != label[p]) & ((role[ahead] == 2) | (role[ahead] != role[p])) & (size[ahead] > 0)]
-        near = may_overlap(maps, ones, size, p, ahead, percent) if len(ahead) else ahead
+        w = int(width[p])
+        near = ahead[may_overlap(maps[w], ones[w], row[w][p], row[w][ahead], size[p], size[ahead], percent)] if len(ahead) else ahead
         if not len(near) or not size[p]:
             continue
         other = np.concatenate([sets[k] for k in near])

@@ -98,12 +98,30 @@ def test_bounds_and_prefixes_lose_no_similar_pair():
         maps = ngram_join.bitmaps([ngram_join.signature(a), ngram_join.signature(b)])
         ones, sizes = np.bitwise_count(maps).sum(1, dtype=np.int64), np.array([len(a), len(b)])
         alike = 100 * shared >= 80 * union
-        told = len(ngram_join.may_overlap(maps, ones, sizes, 0, np.array([1]), 80)) == 1
+        told = bool(ngram_join.may_overlap(maps, ones, 0, np.array([1]), sizes[0], sizes[1:], 80)[0])
         assert told or not alike
         assert len(np.intersect1d(ngram_join.prefix(a, frequent), ngram_join.prefix(b, frequent))) or not alike
         assert bool(ngram_join.similar_pairs([a, b], np.array([2, 2]), np.array([0, 1]), 0.8)) == alike
 
 
+def test_comparisons_tell_all_links_of_all_sizes():
+    draw = np.random.default_rng(4)
+    for percent in (80, 50):
+        sets = []
+        for size in (1, 2, 5, 30, 33, 64, 65, 120, 700):
+            base = np.unique(draw.integers(0, 1 << 62, size, dtype=np.uint64))
+            sets += [np.unique(np.concatenate([base[draw.random(len(base)) < 0.92], draw.integers(0, 1 << 62, k % 3, dtype=np.uint64)])) for k in range(6)]
+        alike = lambda i, j: len(sets[i]) > 0 and 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j]))
+        for role in (np.full(len(sets), 2), np.arange(len(sets)) % 2):
+            pairs = ngram_join.similar_pairs(sets, role, np.arange(len(sets)) // 2, percent / 100)
+            label = [k // 2 for k in range(len(sets))]
+            for i, j in pairs:
+                assert alike(i, j) and (role[0] == 2 or role[i] != role[j])
+                label = [label[i] if x == label[j] else x for x in label]
+            linked = [(i, j) for i in range(len(sets)) for j in range(i) if alike(i, j) and (role[0] == 2 or role[i] != role[j])]
+            assert len(linked) > 20 and all(label[i] == label[j] for i, j in linked)
+
+
 def test_sets_have_a_code_for_each_shingle():
     texts = ["A b c D e f", "a B\nc d e f a b c d e f", "a b", "A b", "a b c d e", None, " \t", "é É", "x " * 300, "a b", "b a"]
     sets = jaccard.shingle_sets(jaccard.pa.array(texts))
