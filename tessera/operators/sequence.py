@@ -94,3 +94,24 @@ def in_force(rows: DataFrame, rules: DataFrame, keys: list[str], at: str, start:
     both = own.unionByName(other, allowMissingColumns=True)
     found = Sliced.of(both, keys, ["force_at", "force_turn"], slice_rows).before(force_last=("last", F.col("force_rule"))).done()
     return found.filter("force_turn = 1").select(*rows.columns, *(F.col(f"force_last.{v}").alias(v) for v in values))
+
+
+def chunk_spans(chunks: DataFrame, runs: DataFrame, samples: DataFrame, keys: list[str], slice_rows: int | None = None) -> DataFrame:
+    """``chunks`` (``keys, chunk, at``) with ``first_sample, n_samples, start, end, complete``: the bytes that each chunk holds.
+
+    ``runs`` (``keys, first, per_chunk``) say how many samples a chunk has from ``first`` on: the run in force counts.
+    Samples (``keys, n, size``, n from 0) fill the chunks one after the other, so a chunk's first sample is the sum of the
+    counts before it, and its length the difference of two prefix sums of sizes. These are read off where the chunk's
+    marks stand among the samples of its group, in the same pass that sums them. A chunk from ``at`` that asks for more
+    samples than there are isn't ``complete`` and ends with the last; one before the first run has none.
+    """
+    ruled = in_force(chunks, runs, keys, "chunk", "first", ["per_chunk"], slice_rows).withColumn("n_samples", F.coalesce(F.col("per_chunk").cast("long"), F.lit(0)))
+    placed = Sliced.of(ruled.drop("per_chunk"), keys, ["chunk"], slice_rows).before(first_sample=("sum", F.col("n_samples"))).done()
+    mark = lambda place: F.struct(place.alias("n"), F.col("chunk"), F.col("at"), F.col("first_sample"), F.col("n_samples"))
+    both = F.explode(F.array(mark(F.col("first_sample")), mark(F.col("first_sample") + F.col("n_samples"))))
+    marks = placed.select(*keys, both.alias("mark")).select(*keys, F.col("mark.n").alias("n"), F.lit(0).alias("turn"), F.lit(0).cast("long").alias("size"), "mark")
+    own = samples.select(*keys, F.col("n").cast("long").alias("n"), F.lit(1).alias("turn"), F.col("size").cast("long").alias("size"))
+    swept = Sliced.of(own.unionByName(marks, allowMissingColumns=True), keys, ["n", "turn"], slice_rows).before(bytes=("sum", F.col("size")), seen=("count", F.col("turn") == 1)).done()
+    found = swept.filter("turn = 0").groupBy(*keys, *(F.col(f"mark.{c}").alias(c) for c in ("chunk", "at", "first_sample", "n_samples"))).agg(F.min("bytes").alias("low"), F.max("bytes").alias("high"), F.max("seen").alias("seen"))
+    end = F.col("at") + F.col("high") - F.col("low")
+    return found.select(*keys, "chunk", "at", "first_sample", "n_samples", F.col("at").alias("start"), end.alias("end"), (F.col("seen") >= F.col("first_sample") + F.col("n_samples")).alias("complete"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars
-from tessera.operators import compare, constraints, graph, intervals, sequence
+from tessera.operators import blobs, compare, constraints, graph, intervals, sequence
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -271,7 +271,15 @@ def byte_ints(spark, d):
     return docs.select("doc_id", scalars.unsigned(F.col("text").cast("binary"), 1, 4).alias("be32"))
 
 
-@query(None)
+_CRC_TABLE = """t AS (SELECT list(c ORDER BY n) AS tab FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda x, i: xor(x // 2, 3988292384 * (x % 2))) AS c FROM range(256) r(n)))"""
+
+
+def _crc_sql(hexed: str) -> str:
+    octets = f"list_transform(regexp_extract_all({hexed}, '..'), lambda h: CAST('0x' || h AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(c // 256, tab[1 + xor(c % 256, b)])), 4294967295)"
+
+
+@query(f"WITH {_CRC_TABLE} SELECT doc_id, {_crc_sql('hex(encode(text))')} AS crc FROM documents, t")
 def crc(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc"))
 
@@ -404,6 +412,123 @@ def subsequence_repeats(spark, d):
     return compare.not_subsequences(now, e.filter("event_id % 10 <> 3"), ["g"], "event_id", "event_type")
 
 
+_PARTS = """x AS (SELECT l_orderkey AS k, l_linenumber AS n, min(l_partkey) AS p, min(l_suppkey) AS s, min(l_returnflag) AS f, min(l_quantity::BIGINT) % 7 AS m FROM lineitem GROUP BY 1, 2),
+e AS (SELECT k, n AS o, 1 + p % 7 AS t FROM x WHERE m < 5 AND (k, 1 + p % 7) IN (SELECT (k, n) FROM x)), g AS (SELECT k, n AS o, 1 + s % 7 AS t FROM x WHERE m >= 5 AND (k, 1 + s % 7) IN (SELECT (k, n) FROM x))"""
+
+
+def _parts(spark, d):
+    """Each order as a group of parts with references, of which every line has one."""
+    lines = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("node")).agg((F.min(F.col("l_quantity").cast("long")) % 7).alias("mode"), *(F.min(f"l_{c}").alias(c) for c in ("partkey", "suppkey", "returnflag")))
+    other = F.col("mode") >= 5
+    built = lines.filter(~other).select("k", F.col("node").alias("origin"), (1 + F.col("partkey") % 7).alias("target"))
+    return lines, built, lines.filter(other).select("k", F.col("node").alias("origin"), (1 + F.col("suppkey") % 7).alias("target"))
+
+
+@query(f"""WITH RECURSIVE {_PARTS}, seed AS (SELECT k, n FROM x WHERE f = 'R' AND n > 1), c(k, n) AS (SELECT k, n FROM seed UNION SELECT e.k, e.t FROM c JOIN e ON e.k = c.k AND e.o = c.n),
+d(k, n) AS (SELECT k, n FROM x WHERE (k, n) NOT IN (SELECT (k, n) FROM c) UNION SELECT e.k, e.t FROM d JOIN e ON e.k = d.k AND e.o = d.n), gone AS (SELECT k, n FROM c EXCEPT SELECT k, n FROM d),
+loose AS (SELECT k, o AS n FROM g GROUP BY 1, 2 HAVING bool_and((k, t) IN (SELECT (k, n) FROM gone))),
+bad AS (SELECT k FROM c WHERE n = 1 UNION SELECT k FROM seed WHERE (k, n) IN (SELECT (k, n) FROM d) UNION SELECT k FROM loose JOIN x USING (k, n) WHERE m = 6 AND (k, n) NOT IN (SELECT (k, n) FROM gone))
+SELECT k, n AS node, CASE WHEN k IN (SELECT k FROM bad) THEN 'refused' WHEN (k, n) IN (SELECT (k, n) FROM gone) OR (k, n) IN (SELECT (k, n) FROM loose) THEN 'removed' ELSE 'kept' END AS fate FROM x""")
+def stratified_removal(spark, d):
+    lines, built, describes = _parts(spark, d)
+    items = lines.select("k", "node", (F.col("node") == 1).alias("is_primary"), (F.col("mode") == 5).alias("may_describe"))
+    return graph.stratified_removal(items, built, lines.filter("returnflag = 'R' AND node > 1"), describes, ("k",))
+
+
+_TRACK_KINDS = ("vide", "vide", "soun", "soun", "text", "meta", "clcp")
+_REF_KINDS = ("chap", "thmb", "rndr", "cdsc")
+
+
+@query(f"""WITH x AS (SELECT l_orderkey AS k, l_linenumber AS n, {list(_TRACK_KINDS)}[1 + min(l_quantity::BIGINT) % 7] AS kind, min(l_returnflag) <> 'N' AS enabled, min(l_partkey) AS p, {list(_REF_KINDS)}[1 + min(l_suppkey) % 4] AS ref FROM lineitem GROUP BY 1, 2),
+r AS (SELECT k, n AS o, ref, 1 + p % 7 AS t FROM x WHERE p % 3 = 0 AND 1 + p % 7 <> n AND (k, 1 + p % 7) IN (SELECT (k, n) FROM x)),
+a AS (SELECT k, n, kind, kind = 'meta' OR (k, n) IN (SELECT (k, t) FROM r WHERE ref = 'chap') AND (kind = 'text' OR kind = 'vide' AND NOT enabled AND (k, n) NOT IN (SELECT (k, t) FROM r WHERE ref <> 'chap')) AS goes FROM x),
+h AS (SELECT k, n, kind, goes OR (k, n) IN (SELECT (r.k, r.o) FROM r JOIN a y ON y.k = r.k AND y.n = r.t WHERE ref = 'thmb' AND NOT y.goes) AS goes FROM a),
+j AS (SELECT h.k, CASE WHEN NOT h.goes AND h.kind NOT IN ('vide', 'soun', 'clcp') THEN 'a kind' WHEN h.goes AND ref = 'rndr' AND NOT y.goes THEN 'b needed' WHEN NOT h.goes AND y.goes AND ref NOT IN ('chap', 'cdsc') THEN 'c depends' END AS reason
+  FROM h LEFT JOIN r ON r.k = h.k AND r.o = h.n LEFT JOIN h y ON y.k = r.k AND y.n = r.t)
+SELECT k, n AS node, CASE WHEN goes THEN 'removed' ELSE 'kept' END AS fate, (SELECT substr(min(reason), 3) FROM j WHERE j.k = h.k) AS reason FROM h""")
+def track_selection(spark, d):
+    lines, _, _ = _parts(spark, d)
+    named = lambda number, names: F.get(F.array(*map(F.lit, names)), (number % len(names)).cast("int"))
+    tracks = lines.select("k", "node", named(F.col("mode"), _TRACK_KINDS).alias("kind"), (F.col("returnflag") != "N").alias("enabled"))
+    refs = lines.filter("partkey % 3 = 0").select("k", F.col("node").alias("origin"), named(F.col("suppkey"), _REF_KINDS).alias("kind"), (1 + F.col("partkey") % 7).alias("target"))
+    here = refs.filter("origin <> target").join(lines.select("k", F.col("node").alias("target")), ["k", "target"], "left_semi")
+    return graph.selected_tracks(tracks, here, ("k",), ["meta"], ["vide", "soun", "clcp"], ["chap", "cdsc"])
+
+
+_CHUNKS = """c AS (SELECT o_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS chunk, o_orderkey FROM orders),
+s AS (SELECT o_custkey AS k, l_quantity::BIGINT AS size, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_quantity, l_extendedprice) - 1 AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+r AS (SELECT k, chunk AS first, 1 + o_orderkey % 7 AS per FROM c WHERE chunk % 3 = 2),
+f AS (SELECT k, chunk, chunk * 1000 AS "at", coalesce((SELECT per FROM r WHERE r.k = c.k AND r.first <= c.chunk ORDER BY first DESC LIMIT 1), 0) AS n_samples FROM c),
+p AS (SELECT *, coalesce(sum(n_samples) OVER (PARTITION BY k ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_sample FROM f),
+z AS (SELECT k, chunk, "at", first_sample::BIGINT AS first_sample, n_samples::BIGINT AS n_samples, "at" AS start, ("at" + coalesce((SELECT sum(size) FROM s WHERE s.k = p.k AND n >= first_sample AND n < first_sample + n_samples), 0))::BIGINT AS "end",
+  (SELECT count(*) FROM s WHERE s.k = p.k) >= first_sample + n_samples AS complete FROM p)"""
+
+
+def _chunk_spans(spark, d):
+    orders = _t(spark, d, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey")
+    chunks = sequence.Sliced.of(orders, ["k"], ["o_orderkey"]).before(chunk=("count", F.lit(True))).done().withColumn("chunk", F.col("chunk") + 1)
+    lines = _t(spark, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("k", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", F.col("l_quantity").cast("long").alias("size"))
+    samples = sequence.Sliced.of(lines, ["k"], ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"]).before(n=("count", F.lit(True))).done()
+    runs = chunks.filter("chunk % 3 = 2").select("k", F.col("chunk").alias("first"), (1 + F.col("o_orderkey") % 7).alias("per_chunk"))
+    return sequence.chunk_spans(chunks.select("k", "chunk", (F.col("chunk") * 1000).alias("at")), runs, samples, ["k"])
+
+
+@query(f"WITH {_CHUNKS} SELECT * FROM z")
+def chunk_spans(spark, d):
+    return _chunk_spans(spark, d)
+
+
+@query(f"""WITH {_CHUNKS}, m AS (SELECT DISTINCT o_custkey AS k, 0 AS s, 4000 + o_custkey % 50 AS e FROM orders UNION SELECT DISTINCT o_custkey, 4000 + o_custkey % 50, 8050 FROM orders WHERE o_custkey % 2 = 0)
+SELECT k, chunk, start, "end" FROM z WHERE "end" > start AND NOT EXISTS (SELECT 1 FROM (SELECT k, min(s) AS s, CASE WHEN k % 2 = 0 THEN 8050 ELSE min(e) END AS e FROM m GROUP BY k) w WHERE w.k = z.k AND w.s <= z.start AND z."end" <= w.e)""")
+def chunks_outside_media(spark, d):
+    keys = _t(spark, d, "orders").select(F.col("o_custkey").alias("k")).distinct()
+    edge = 4000 + F.col("k") % 50
+    media = keys.select("k", F.lit(0).cast("long").alias("start"), edge.alias("end")).unionByName(keys.filter("k % 2 = 0").select("k", edge.alias("start"), F.lit(8050).cast("long").alias("end")))
+    return intervals.not_inside(_chunk_spans(spark, d), media, ["k"]).select("k", "chunk", "start", "end")
+
+
+@query(f"WITH {_CRC_TABLE}, w AS (SELECT conv_id, hex(encode(string_agg(text, '' ORDER BY turn))) AS h FROM conversations GROUP BY 1) SELECT conv_id, {_crc_sql('h')} AS crc, strlen(h) // 2 AS size FROM w, t")
+def crc_of_parts(spark, d):
+    from tessera.functions.crc import crc_of_parts as combined
+
+    turns = _t(spark, d, "conversations").select("conv_id", "turn", F.col("text").cast("binary").alias("part"))
+    return combined(turns, ["conv_id"], ["turn"], F.col("part"))
+
+
+#: Bytes of a block in the queries over values: small, so that texts have several.
+VALUE_BLOCK = 1000
+
+_VALUES = """v AS (SELECT doc_id, hex(encode(text)) || repeat('00', CAST(doc_id % 200 AS INTEGER)) AS h, strlen(text) AS n, strlen(text) + doc_id % 200 AS size FROM documents)"""
+
+
+def _values(spark, d):
+    """Documents with zero bytes behind their text, and spans that leave out some bytes of the middle and the end of it."""
+    n = F.octet_length("text")
+    docs = _t(spark, d, "documents").select("doc_id", F.concat(F.col("text").cast("binary"), F.unhex(F.repeat(F.lit("00"), (F.col("doc_id") % 200).cast("int")))).alias("value"), n.alias("n"))
+    half = F.floor(F.col("n") / 2)
+    parts = F.array(F.struct(F.lit(0).cast("long").alias("start"), half.alias("end")), F.struct((half + F.col("doc_id") % 5).alias("start"), (F.col("n") - F.col("doc_id") % 4).alias("end")))
+    return docs, docs.select("doc_id", F.explode(parts).alias("s")).select("doc_id", "s.start", "s.end")
+
+
+@query(f"""WITH {_VALUES}, u AS (SELECT doc_id, h, size, n // 2 AS a, greatest(n // 2, least(n // 2 + doc_id % 5, n - doc_id % 4)) AS b, CASE WHEN n // 2 + doc_id % 5 < n - doc_id % 4 THEN n - doc_id % 4 ELSE n // 2 END AS c FROM v),
+g AS (SELECT doc_id, h, a AS s, b AS e FROM u WHERE n_second UNION ALL SELECT doc_id, h, CASE WHEN n_second THEN c ELSE a END, size FROM u)
+SELECT doc_id, count(*) FILTER (e > s) AS n_gaps, coalesce(bool_and(regexp_full_match(substring(h, 2 * s + 1, 2 * (e - s)), '0*')) FILTER (e > s), true) AS covered FROM g GROUP BY 1""".replace("FROM u WHERE n_second", "FROM u WHERE c > a").replace("WHEN n_second", "WHEN c > a"))
+def unused_is_zero(spark, d):
+    docs, used = _values(spark, d)
+    return blobs.unused_is_zero(docs, ["doc_id"], F.col("value"), used, VALUE_BLOCK)
+
+
+@query("""WITH v AS (SELECT doc_id, hex(encode(text)) AS a, hex(encode(translate(text, 'AEIOUQXZ', 'aeiouqxz'))) AS b, strlen(text) AS n FROM documents),
+s AS (SELECT doc_id, a, b, n, k * n // 12 + k AS s, (k + 1) * n // 12 + 1 AS e FROM v, range(12) r(k))
+SELECT doc_id, s AS start, e AS "end", e <= n AND substring(a, CAST(2 * s + 1 AS BIGINT), CAST(2 * (e - s) AS BIGINT)) = substring(b, CAST(2 * s + 1 AS BIGINT), CAST(2 * (e - s) AS BIGINT)) AS same FROM s WHERE e > s GROUP BY ALL""")
+def equal_spans(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", "text", F.octet_length("text").cast("long").alias("n"))
+    k = F.explode(F.sequence(F.lit(0), F.lit(11)))
+    spans = docs.select("doc_id", "n", k.alias("k")).select("doc_id", (F.floor(F.col("k") * F.col("n") / 12) + F.col("k")).alias("start"), (F.floor((F.col("k") + 1) * F.col("n") / 12) + 1).alias("end"))
+    one, two = (blobs.blocks(docs, ["doc_id"], value, VALUE_BLOCK) for value in (F.col("text"), F.translate("text", "AEIOUQXZ", "aeiouqxz")))
+    return blobs.equal_spans(one, two, spans, ["doc_id"], VALUE_BLOCK)
+
+
 _REPORT_GROUPS = ("EXIF:IFD0", "GPS", "XMP:XMP-hdrgm", "MakerNotes:Apple", "File", "PNG", "QuickTime:Track1", "ICC_Profile", "IPTC", "File:System", "XMP:XMP-dc")
 _REPORT_TAGS = ("Orientation", "Model", "GPSLatitude", "Gamma", "Comment", "HDRHeadroom", "Unknown_0x0011", "ImageWidth", "CreateDate", "BitsPerSample", "Version", "MediaTag", "OwnerName")
 
