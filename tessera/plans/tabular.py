@@ -529,6 +529,20 @@ def equal_spans(spark, d):
     return blobs.equal_spans(one, two, spans, ["doc_id"], VALUE_BLOCK)
 
 
+@query("""WITH f AS (SELECT event_id, 'd' || user_id % 4 AS folder, 'p' || user_id % 7 AS base, row_number() OVER (PARTITION BY user_id % 4, user_id % 7 ORDER BY event_id) - 1 AS r FROM events WHERE event_id % 3 = 0),
+t AS (SELECT DISTINCT 'd' || user_id % 4 AS folder, 'p' || user_id % 7 AS base, event_id * 7 % 150 AS k FROM events WHERE event_id % 3 = 1),
+z AS (SELECT folder, base, k, row_number() OVER (PARTITION BY folder, base ORDER BY k) - 1 AS r FROM (SELECT folder, base, unnest(range(n)) AS k FROM (SELECT folder, base, count(*) + 151 AS n FROM f GROUP BY 1, 2)) a WHERE (folder, base, k) NOT IN (SELECT (folder, base, k) FROM t))
+SELECT event_id AS file_id, folder, base || '_clean' || CASE WHEN k = 0 THEN '' ELSE '_' || k END || '.png' AS name FROM f JOIN z USING (folder, base, r)""")
+def batch_names(spark, d):
+    from tessera.sources.naming import batch_names as dealt
+
+    e = _t(spark, d, "events").select("event_id", F.concat(F.lit("d"), F.col("user_id") % 4).alias("folder"), F.concat(F.lit("p"), F.col("user_id") % 7).alias("base"))
+    files = e.filter("event_id % 3 = 0").select(F.col("event_id").alias("file_id"), "folder", "base", F.lit(".png").alias("suffix"))
+    k = F.col("event_id") * 7 % 150
+    name = F.concat("base", F.lit("_clean"), F.when(k == 0, "").otherwise(F.concat(F.lit("_"), k)), F.lit(".png"))
+    return dealt(files, e.filter("event_id % 3 = 1").select("folder", name.alias("name")))
+
+
 _REPORT_GROUPS = ("EXIF:IFD0", "GPS", "XMP:XMP-hdrgm", "MakerNotes:Apple", "File", "PNG", "QuickTime:Track1", "ICC_Profile", "IPTC", "File:System", "XMP:XMP-dc")
 _REPORT_TAGS = ("Orientation", "Model", "GPSLatitude", "Gamma", "Comment", "HDRHeadroom", "Unknown_0x0011", "ImageWidth", "CreateDate", "BitsPerSample", "Version", "MediaTag", "OwnerName")
 
