@@ -7,6 +7,7 @@ import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.operators.lineage import shared_folder
 
@@ -23,6 +24,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers that are broadcast at most; where there are more, both sides shuffle.
+BROADCAST_ROWS = 1 << 18
+
+
+def without(rows: DataFrame, gone: DataFrame, by: list[tuple[str, str]]) -> DataFrame:
+    """``rows`` that have no equal in the narrow, stored ``gone`` by pairs of columns, nulls equal to nulls.
+
+    Up to BROADCAST_ROWS rows to remove are counted and broadcast, and ``rows`` stay where they are; beyond, both shuffle.
+    """
+    same = F.lit(True)
+    for one, two in by:
+        same = same & rows[one].eqNullSafe(gone[two])
+    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, same, "left_anti")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def tidy(spark: SparkSession) -> None:
     """Let go of shuffle files and checkpoints that nothing refers to any more.
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.cluster import fresh, shared_dir
+from tessera.llm.cluster import fresh, shared_dir, without
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -108,7 +108,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` without the rows that ``exact_dedup`` drops; columns unchanged."""
-    gone = exact_dedup(docs, text, doc_id).filter("NOT kept").select(F.col("doc_id").alias("gone_id"), F.unhex("text_sha256").alias("gone_digest"))
+    gone = exact_dedup(docs, text, doc_id).filter("NOT kept").select(F.col("doc_id").alias("gone_id"), F.unhex("text_sha256").alias("gone_digest")).checkpoint()
     digest = fresh(docs, "digest")
     marked = docs.withColumn(digest, F.unhex(F.sha2(normalised(F.col(text)), 256)))
-    return marked.join(gone, marked[doc_id].eqNullSafe(gone.gone_id) & (marked[digest] == gone.gone_digest), "left_anti").drop(digest)
+    return without(marked, gone, [(doc_id, "gone_id"), (digest, "gone_digest")]).drop(digest)

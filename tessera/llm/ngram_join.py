@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.cluster import shared_dir, tidy
+from tessera.llm.cluster import fresh, shared_dir, tidy, without
 from tessera.llm.exact_dedup import split_join
 from tessera.llm.jaccard import _block_requests, _compared, _labelled, _name, _star_requests, shingle_sets
 from tessera.llm.simhash import _connected
@@ -298,3 +298,19 @@ def joined(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle:
     linked = split_join(own.filter("size > 0").select("doc_id", "fp", F.col("size").alias("n_shingles")), classes, "fp")
     alone = own.filter("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.select("doc_id", "n_shingles", "component_id").unionByName(alone)
+
+
+def drop_alike(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one document of each component, the one with the smallest ``doc_id``; columns unchanged.
+
+    Texts without words are copies of each other here. Rows that repeat the id that stays are all kept; a component of
+    null ids only stays whole.
+    """
+    found = joined(docs, shingle=shingle, percent=percent).checkpoint()
+    first = found.filter("n_shingles = 0").agg(F.min("doc_id").alias("component_id")).first().component_id
+    least = F.when(F.col("n_shingles") == 0, F.lit(first).cast("long")).otherwise(F.col("component_id"))
+    gone = found.withColumn("component_id", least).filter("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)")
+    name = fresh(docs, "gone_id")
+    ids = gone.select(F.col("doc_id").alias(name)).distinct().checkpoint()
+    tidy(docs.sparkSession)
+    return without(docs, ids, [("doc_id", name)])
