@@ -1,10 +1,10 @@
 """Context-mixing range coder for token ids, vectorised over lanes.
 
-A block is cut into lanes of equal length that are coded in lockstep and share one adaptive model. An id is coded as
-"what the order-2 context predicts", "what the order-1 context predicts" or an escape, under probabilities mixed from
-the confidence of both predictions; after an escape the order-0 frequencies code the id itself. The coder keeps 48
-bits of low and range per lane and moves 16-bit words; carries are settled when the block ends. Every block starts
-from an untrained model.
+A block is cut into lanes of equal length that are coded in lockstep and share one adaptive model. An id's probability
+is the sum of three distributions under weights: all on what the order-2 context predicts, all on what the order-1
+context predicts, and the order-0 frequencies. The weights adapt by how sure both predictions are and whether they
+agree. Each id is coded in one step of the summed distribution. The coder keeps 48 bits of low and range per lane and
+moves 16-bit words; carries are settled when the block ends. Every block starts from an untrained model.
 """
 
 from __future__ import annotations
@@ -15,25 +15,26 @@ import zlib
 import numpy as np
 
 #: Steps of a lane; a block has as many lanes as it needs for that.
-STEPS = 256
+STEPS = 192
 _SLOTS = 1 << 18
 _TOP, _LOW = 48, 32
-_SCALE = 16
-_STEP = 24
+_STEP = 8
 #: Steps between changes of the order-0 frequencies.
 _REFRESH = 4
-#: Sum of the order-0 frequencies at most, so that a range of 2**32 still holds 2**7 for each: they are halved beyond.
-_MOST_TOTAL = 1 << 25
-#: Words that a step moves at most: the prediction and the id, two each.
-_MOST_WORDS = 4
+#: Parts of the whole that weights are given in, and bits of the whole at most where a vocabulary has up to 2**18 ids.
+_UNITS, _WHOLE_BITS = 64, 25
+#: Words that a step moves at most.
+_MOST_WORDS = 2
 _HEAD = struct.Struct("<III")
 
 
 class _Model:
-    """Predictions and frequencies that coder and decoder change alike."""
+    """Predictions, frequencies and weights that coder and decoder change alike."""
 
     def __init__(self, size: int, lanes: int):
         self.size = size
+        #: Sum of the order-0 frequencies at most: they are halved beyond.
+        self.most = 1 << max(_WHOLE_BITS - _UNITS.bit_length() + 1, (2 * size).bit_length())
         #: Predictions of order 1 and 2: the id times four plus how sure it is, 0 (no prediction) to 3.
         self.table1, self.table2 = np.zeros(size + 1, np.int64), np.zeros(_SLOTS, np.int64)
         self.seen = np.tile(np.array([2, 2, 8], np.int64), (32, 1))
@@ -45,28 +46,60 @@ class _Model:
     def total(self) -> None:
         self.cum = np.zeros(self.size + 1, np.int64)
         np.cumsum(self.freq, out=self.cum[1:])
+        self.whole = int(self.cum[-1]) * _UNITS
 
     def predict(self, k: int) -> None:
-        """Predictions and weights for the first ``k`` lanes."""
+        """Predictions and weights for the first ``k`` lanes: ``u0`` of each order-0 count, ``w2`` and ``w1`` of the predictions."""
         self.k, one = k, self.last[:k]
         self.slot = ((self.before[:k] * 0x9E3779B1 + one * 0x85EBCA6B) >> 7) & (_SLOTS - 1)
         self.one, self.v1, self.v2 = one, self.table1[one], self.table2[self.slot]
-        self.p1, self.p2, self.c1, self.c2 = self.v1 >> 2, self.v2 >> 2, self.v1 & 3, self.v2 & 3
-        self.context = self.c2 * 8 + self.c1 * 2 + (self.p1 == self.p2)
-        weight = self.seen * (65536 - 3) // self.seen.sum(1, keepdims=True) + 1
-        self.w2, self.w1 = weight[self.context, 0], weight[self.context, 1]
-
-    def update(self, ids: np.ndarray, way: np.ndarray) -> None:
-        """``way``: 0 the order-2 prediction, 1 the order-1 prediction, 2 an escape."""
+        self.p1, self.p2, c1, c2 = self.v1 >> 2, self.v2 >> 2, self.v1 & 3, self.v2 & 3
+        self.context = c2 * 8 + c1 * 2 + (self.p1 == self.p2)
+        units = self.seen[:, :2] * (_UNITS - 3) // self.seen.sum(1, keepdims=True)
+        rest = _UNITS - units.sum(1)
+        units *= self.whole // _UNITS
+        self.u0, self.w2, self.w1 = rest[self.context], units[self.context, 0], units[self.context, 1]
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids begin in the summed distribution, and how much of it they have."""
+        self.two, self.first = x == self.p2, x == self.p1
+        start = self.u0 * self.cum[x] + self.w2 * (x > self.p2) + self.w1 * (x > self.p1)
+        return start, self.u0 * self.freq[x] + self.w2 * self.two + self.w1 * self.first
+
+    def at(self, value: np.ndarray) -> np.ndarray:
+        """The ids in whose part of the summed distribution the values lie."""
+        swap, same = self.p1 < self.p2, self.p1 == self.p2
+        low, high = np.where(swap, self.p1, self.p2), np.where(swap, self.p2, self.p1)
+        w_low, w_high = np.where(same, self.w1 + self.w2, np.where(swap, self.w1, self.w2)), np.where(same, 0, np.where(swap, self.w2, self.w1))
+        start = self.u0 * self.cum[low]
+        behind = value >= start + self.u0 * self.freq[low] + w_low
+        is_low = (value >= start) & ~behind
+        value = value - w_low * behind
+        start = self.u0 * self.cum[high]
+        beyond = value >= start + self.u0 * self.freq[high] + w_high
+        is_high = behind & (value >= start) & ~beyond
+        out = np.where(is_high, high, low)
+        if len(lane := np.flatnonzero(~(is_low | is_high))):
+            wanted = (value[lane] - (w_high * (behind & beyond))[lane]) // self.u0[lane]
+            order = np.argsort(wanted)  # a search for rising values stays in cache
+            found = np.empty(len(lane), np.int64)
+            found[order] = np.searchsorted(self.cum, wanted[order], "right") - 1
+            out[lane] = found
+        return out
+
+    def update(self, ids: np.ndarray) -> None:
+        """Learn the ids that ``place`` was last asked for."""
+        way = np.where(self.two, 0, 2 - self.first)
         self.seen += np.bincount(self.context * 3 + way, minlength=96).reshape(32, 3) * 2
         fresh = (ids << 2) + 1
-        for table, at, v, p, c in ((self.table2, self.slot, self.v2, self.p2, self.c2), (self.table1, self.one, self.v1, self.p1, self.c1)):
-            table[at] = np.where(c == 0, fresh, v + np.where(p == ids, c < 3, -1))
+        for table, at, v, hit in ((self.table2, self.slot, self.v2, self.two), (self.table1, self.one, self.v1, self.first)):
+            c = v & 3
+            table[at] = np.where(c == 0, fresh, v + np.where(hit, c < 3, -1))
         self.waiting.append(ids)
         if len(self.waiting) == _REFRESH:
             self.freq += _STEP * np.bincount(np.concatenate(self.waiting), minlength=self.size)
             self.total()
-            while self.cum[-1] > _MOST_TOTAL and self.size < _MOST_TOTAL >> 1:
+            while self.cum[-1] > self.most:
                 self.freq = (self.freq + 1) >> 1
                 self.total()
             self.waiting.clear()
@@ -83,9 +116,9 @@ def compress(ids: np.ndarray) -> bytes:
     ids = np.asarray(ids, np.int64)
     n = len(ids)
     size = int(ids.max()) + 1 if n else 0
-    head = _HEAD.pack(n, size, zlib.crc32(ids.astype("<u4").tobytes()))
+    check = zlib.crc32(ids.astype("<u4").tobytes())
     if not n:
-        return head
+        return _HEAD.pack(n, size, check)
     lanes, steps = _shape(n)
     padded = np.zeros(lanes * steps, np.int64)
     padded[:n] = ids
@@ -94,32 +127,21 @@ def compress(ids: np.ndarray) -> bytes:
     low, span = np.zeros(lanes, np.int64), np.full(lanes, 1 << _TOP, np.int64)
     words, used = np.zeros((lanes, _MOST_WORDS * steps + 3), np.int32), np.zeros(lanes, np.int64)
 
-    def put(lane, start, width, r):
-        value, room = low[lane] + r * start, r * width
-        # A step narrows the range to 2**7 at least (see _MOST_TOTAL), so two words at most restore it.
-        while len(full := np.flatnonzero(room < 1 << _LOW)):
-            out = full if isinstance(lane, slice) else lane[full]
-            words[out, used[out]] = value[full] >> _LOW
-            used[out] += 1
-            value[full] = (value[full] & 0xFFFFFFFF) << 16
-            room[full] <<= 16
-        low[lane], span[lane] = value, room
-
     for step in range(steps):
         k = -(-(n - step) // steps)  # lanes that reach this step
         x = table[step, :k]
         model.predict(k)
-        two, one = (model.c2 > 0) & (model.p2 == x), (model.c1 > 0) & (model.p1 == x)
-        way = np.where(two, 0, 2 - one)
-        both = model.w2 + model.w1
-        start = np.where(two, 0, np.where(one, model.w2, both))
-        width = np.where(two, model.w2, np.where(one, model.w1, 65536 - both))
-        put(slice(0, k), start, width, span[:k] >> _SCALE)
-        lane = np.flatnonzero(way == 2)
-        if len(lane):
-            own = x[lane]
-            put(lane, model.cum[own], model.freq[own], span[lane] // model.cum[-1])
-        model.update(x, way)
+        start, width = model.place(x)
+        r = span[:k] // model.whole
+        value, room = low[:k] + r * start, r * width
+        # The whole has at most 2**25 parts, or four for each id: two words at most restore the range.
+        while len(full := np.flatnonzero(room < 1 << _LOW)):
+            words[full, used[full]] = value[full] >> _LOW
+            used[full] += 1
+            value[full] = (value[full] & 0xFFFFFFFF) << 16
+            room[full] <<= 16
+        low[:k], span[:k] = value, room
+        model.update(x)
     every = np.arange(lanes)
     for shift, mask in ((32, 0x1FFFF), (16, 0xFFFF), (0, 0xFFFF)):
         words[every, used] = (low >> shift) & mask
@@ -127,12 +149,12 @@ def compress(ids: np.ndarray) -> bytes:
     while len(np.flatnonzero(over := words >> 16)):
         words &= 0xFFFF
         words[:, :-1] += over[:, 1:]
-    body = words[np.arange(words.shape[1]) < used[:, None]].astype("<u2").tobytes()
-    return head + used.astype("<u2").tobytes() + body
+    body = used.astype("<u2").tobytes() + words[np.arange(words.shape[1]) < used[:, None]].astype("<u2").tobytes()
+    return _HEAD.pack(n, size, zlib.crc32(body, check)) + body
 
 
 def decompress(block: bytes) -> np.ndarray:
-    """The ids of a block; ValueError if their checksum differs."""
+    """The ids of a block; ValueError if the checksum over them and the coded bytes differs."""
     n, size, crc = _HEAD.unpack_from(block)
     if not n:
         return np.zeros(0, np.uint32)
@@ -147,39 +169,21 @@ def decompress(block: bytes) -> np.ndarray:
     model = _Model(size, lanes)
     table = np.zeros((steps, lanes), np.int64)
 
-    def take(lane, start, width, r):
-        value, room = code[lane] - r * start, r * width
-        while len(full := np.flatnonzero(room < 1 << _LOW)):
-            out = full if isinstance(lane, slice) else lane[full]
-            value[full] = (value[full] << 16) | body[at[out]]
-            at[out] += 1
-            room[full] <<= 16
-        code[lane], span[lane] = value, room
-
     for step in range(steps):
         k = -(-(n - step) // steps)
         model.predict(k)
-        r = span[:k] >> _SCALE
-        value = np.minimum(code[:k] // r, 65535)
-        both = model.w2 + model.w1
-        two, one = value < model.w2, value < both
-        way = 2 - one.astype(np.int64) - two
-        start = np.where(two, 0, np.where(one, model.w2, both))
-        width = np.where(two, model.w2, np.where(one, model.w1, 65536 - both))
-        take(slice(0, k), start, width, r)
-        x = np.where(two, model.p2, model.p1)
-        lane = np.flatnonzero(way == 2)
-        if len(lane):
-            r = span[lane] // model.cum[-1]
-            wanted = np.minimum(code[lane] // r, model.cum[-1] - 1)
-            order = np.argsort(wanted)  # a search for rising values stays in cache
-            own = np.empty(len(lane), np.int64)
-            own[order] = np.searchsorted(model.cum, wanted[order], "right") - 1
-            take(lane, model.cum[own], model.freq[own], r)
-            x[lane] = own
-        model.update(x, way)
+        r = span[:k] // model.whole
+        x = model.at(np.minimum(code[:k] // r, model.whole - 1))
+        start, width = model.place(x)
+        value, room = code[:k] - r * start, r * width
+        while len(full := np.flatnonzero(room < 1 << _LOW)):
+            value[full] = (value[full] << 16) | body[at[full]]
+            at[full] += 1
+            room[full] <<= 16
+        code[:k], span[:k] = value, room
+        model.update(x)
         table[step, :k] = x
     ids = np.ascontiguousarray(table.T).reshape(-1)[:n].astype("<u4")
-    if zlib.crc32(ids.tobytes()) != crc:
+    if zlib.crc32(memoryview(block)[_HEAD.size :], zlib.crc32(ids.tobytes())) != crc:
         raise ValueError("a block of token ids fails its checksum")
     return ids

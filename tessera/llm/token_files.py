@@ -41,7 +41,8 @@ def _record(file_no: int, block_no: int, doc_ids: list, lengths: np.ndarray, end
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "text", doc_id: str = "doc_id") -> None:
     """Encode every whole text of ``docs`` (null: empty) followed by ``end_id`` and write the files under ``path``.
 
-    Rows go in ascending ``doc_id`` order, nulls first, repeated ids next to each other. An empty table writes no record.
+    Rows go in ascending ``doc_id`` order, nulls first; rows of one id, which may lie in several tasks, by a hash of their
+    text. An empty table writes no record.
     """
 
     def encode(batches):
@@ -77,7 +78,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, t
         yield from cut(True)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    spread = rows.repartitionByRange(input_parts(docs), "doc_id").sortWithinPartitions("doc_id")
+    tied = rows.withColumn("tie", F.xxhash64("text"))
+    spread = tied.repartitionByRange(input_parts(docs), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     spread.mapInArrow(encode, "record binary").select(F.col("record").cast("string").alias("value")).write.text(path)
 
 
