@@ -115,3 +115,22 @@ def chunk_spans(chunks: DataFrame, runs: DataFrame, samples: DataFrame, keys: li
     found = swept.filter("turn = 0").groupBy(*keys, *(F.col(f"mark.{c}").alias(c) for c in ("chunk", "at", "first_sample", "n_samples"))).agg(F.min("bytes").alias("low"), F.max("bytes").alias("high"), F.max("seen").alias("seen"))
     end = F.col("at") + F.col("high") - F.col("low")
     return found.select(*keys, "chunk", "at", "first_sample", "n_samples", F.col("at").alias("start"), end.alias("end"), (F.col("seen") >= F.col("first_sample") + F.col("n_samples")).alias("complete"))
+
+
+def two_orders(rows: DataFrame, keys: list[str], place: str, number: str, values: list[str], slice_rows: int | None = None) -> DataFrame:
+    """``keys, place``, ``values``: the pieces of each group in order of ``number``, standing in the places of the group's order.
+
+    The first piece stands in the first place whatever piece was there, and so on. Groups whose numbers aren't 1 to n,
+    each once, are refused: they have no rows. Each row goes once to its place and once to its number, and both meet in
+    one aggregate: pieces of a group are neither collected nor paired.
+    """
+    ranked = Sliced.of(rows.select(*keys, place, F.col(number).cast("long").alias("piece_number"), F.struct(*values).alias("piece")), keys, [place], slice_rows).before(slot=("count", F.lit(True))).done()
+    both = F.array(F.struct(F.col("slot").alias("at"), F.col(place).alias("place"), F.lit(None).cast(ranked.schema["piece"].dataType).alias("piece")), F.struct((F.col("piece_number") - 1).alias("at"), F.lit(None).cast(ranked.schema[place].dataType).alias("place"), F.col("piece")))
+    spread = ranked.select(*keys, F.explode(both).alias("half")).select(*keys, "half.*")
+    met = spread.groupBy(*keys, "at").agg(F.max("place").alias(place), F.first("piece", ignorenulls=True).alias("piece"), F.count("piece").alias("pieces"), F.count("place").alias("places"))
+    names = [f"refused_key{n}" for n in range(len(keys))]
+    bad = met.filter("pieces <> 1 OR places <> 1").select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True))).distinct()
+    same = F.lit(True)
+    for k, n in zip(keys, names, strict=True):
+        same = same & met[k].eqNullSafe(bad[n])
+    return met.join(bad, same, "left_anti").select(*keys, place, *(F.col(f"piece.{v}").alias(v) for v in values))

@@ -12,11 +12,11 @@ import struct
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.lineage import shared_folder
-from tessera.sources import heif, jpeg, movie, tiff
+from tessera.sources import heif, jpeg, movie, scan, tiff
 from tessera.sources.parts import AVIF, BMP, GIF, HEIC, JPEG, LOOPS, MOV, MP4, PARSERS, PNG, PROFILE, TIFF, WEBP, Refused, parts, riff_chunk, shown_image
 
 # Parts that a clean copy may hold. (format, part, sizes or none for any, once, only before image data)
@@ -320,3 +320,10 @@ def clean(files: DataFrame, finish: dict | None = None) -> DataFrame:
     key = F.when(F.col("missing"), "not_a_file").when(F.col("file_kind").isNull() | ~F.col("file_kind").isin(BMP, *PARSERS, *IN_PLACE), "unsupported_format")
     key = key.when(F.col("refusal").isNotNull(), F.col("refusal")).when(~F.coalesce("proven", F.lit(False)), "verification_failed")
     return outcome.select("file_id", F.coalesce("kind", "file_kind").alias("kind"), F.when(key.isNull(), "cleaned").otherwise("refused").alias("status"), key.alias("error_key"), F.when(key.isNull(), F.col("result")).alias("result"))
+
+
+def clean_paths(spark: SparkSession, paths: list[str], largest: int) -> DataFrame:
+    """Outcomes of files by path as ``clean`` gives them, with ``path``: what can't be cleaned or is larger than ``largest`` is refused unread."""
+    seen = scan.admitted(spark, paths, [BMP, *PARSERS, *IN_PLACE], largest).checkpoint()
+    early = seen.filter("refusal IS NOT NULL").select("file_id", "kind", F.lit("refused").alias("status"), F.col("refusal").alias("error_key"), F.lit(None).cast("binary").alias("result"))
+    return clean(seen.filter("refusal IS NULL")).unionByName(early).join(seen.select("file_id", "path"), "file_id")

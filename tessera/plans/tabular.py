@@ -543,6 +543,32 @@ def batch_names(spark, d):
     return dealt(files, e.filter("event_id % 3 = 1").select("folder", name.alias("name")))
 
 
+@query("""WITH c AS (SELECT conv_id, (turn * 7919 + conv_id) % 1009 AS place, CASE WHEN conv_id % 5 = 0 AND turn = 2 THEN 9999 ELSE turn + 1 END AS number, text FROM conversations),
+g AS (SELECT conv_id FROM c GROUP BY 1 HAVING count(*) = count(DISTINCT number) AND min(number) = 1 AND max(number) = count(*)),
+s AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY place) AS slot FROM c WHERE conv_id IN (SELECT conv_id FROM g))
+SELECT s.conv_id, s.place, sha256(t.text) AS digest FROM s JOIN s t ON t.conv_id = s.conv_id AND t.number = s.slot""")
+def two_orders(spark, d):
+    number = F.when((F.col("conv_id") % 5 == 0) & (F.col("turn") == 2), 9999).otherwise(F.col("turn") + 1)
+    turns = _t(spark, d, "conversations").select("conv_id", ((F.col("turn") * 7919 + F.col("conv_id")) % 1009).alias("place"), number.alias("number"), "text")
+    return sequence.two_orders(turns, ["conv_id"], "place", "number", ["text"]).select("conv_id", "place", F.sha2("text", 256).alias("digest"))
+
+
+@query("""WITH d AS (SELECT doc_id, sha256(text) AS digest, text LIKE '%@%' AS odd FROM documents), a AS (SELECT DISTINCT digest FROM d WHERE doc_id % 3 <> 0)
+SELECT doc_id, digest, CASE WHEN odd THEN 'refused' ELSE 'cleaned' END AS status, CASE WHEN digest IN (SELECT digest FROM a) THEN 'run1' ELSE 'run2' END AS run FROM d""")
+def incremental_outcomes(spark, d):
+    """Two runs over growing documents: the second works on new contents only, as the run of each outcome tells."""
+    import uuid
+
+    from tessera.operators.lineage import shared_folder
+    from tessera.sources.history import by_content
+
+    work = lambda rows: rows.select("digest", F.when(F.col("text").contains("@"), "refused").otherwise("cleaned").alias("status"))
+    folder = f"{shared_folder(spark)}/manifest-{uuid.uuid4().hex}"
+    docs = _t(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), "text")
+    by_content(docs.filter("doc_id % 3 <> 0"), folder, "v1", "run1", work)
+    return by_content(docs, folder, "v1", "run2", work).drop("text")
+
+
 _REPORT_GROUPS = ("EXIF:IFD0", "GPS", "XMP:XMP-hdrgm", "MakerNotes:Apple", "File", "PNG", "QuickTime:Track1", "ICC_Profile", "IPTC", "File:System", "XMP:XMP-dc")
 _REPORT_TAGS = ("Orientation", "Model", "GPSLatitude", "Gamma", "Comment", "HDRHeadroom", "Unknown_0x0011", "ImageWidth", "CreateDate", "BitsPerSample", "Version", "MediaTag", "OwnerName")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,27 @@ def compare_runs(spark: SparkSession, folder: str, now: str, then: str) -> DataF
     return compare.against_baseline(one, two, "file_id", "outcome")
 
 
+def by_content(inputs: DataFrame, folder: str, version: str, run: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``inputs`` (with ``digest``) with what ``work`` says of their contents; only contents that no earlier run has seen are worked on.
+
+    ``work`` gets one row of ``inputs`` per new digest and returns ``digest`` and columns of its own. Its rows are appended
+    to the manifest in ``folder`` by Spark's own commit, as the part of ``version`` (change it with the rules) and ``run``,
+    a column of the result, too. Rows of one digest share their outcome, and so do all runs. A run that fails adds nothing;
+    of runs at the same time that see the same content for the first time, the one whose name is smallest counts.
+    """
+    spark = inputs.sparkSession
+    try:
+        known = spark.read.parquet(folder).filter(F.col("version") == version).select("digest").distinct()
+        fresh = inputs.join(known, "digest", "left_anti")
+    except AnalysisException:  # there is no manifest yet
+        fresh = inputs
+    found = work(fresh.dropDuplicates(["digest"]))
+    found.withColumns({"version": F.lit(version), "run": F.lit(run)}).write.mode("append").partitionBy("version", "run").parquet(folder)
+    manifest = spark.read.schema(f"{found._jdf.schema().toDDL()}, version string, run string").parquet(folder).filter(F.col("version") == version).drop("version")
+    kept = manifest.groupBy("digest").agg(F.min_by(F.struct(*(c for c in manifest.columns if c != "digest")), "run").alias("outcome"))
+    return inputs.join(kept, "digest").select(*inputs.columns, "outcome.*")
+
+
 def tag_reports(reports: DataFrame) -> DataFrame:
     """Reports (``file_id, kind, json``: a list with one object of tags) as rows ``file_id, kind, key, values``.
 

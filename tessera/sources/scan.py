@@ -1,7 +1,10 @@
-"""Files by path without their bodies: a data source that reads heads only, and digests over mapped files.
+"""Files by path: a data source that reads no more of them than is asked for, and digests over mapped files.
 
 The data source is registered as ``media_head``. Its option ``paths`` is a JSON list; each path is a row, also if it is
-no file. Bodies never enter a column, so files of any size can be listed; executors must reach the paths.
+no file. The schema that it is read with chooses the columns: heads are read for ``head`` and ``kind`` only, bodies for
+``content`` only. Filters on ``is_file``, ``length`` and ``kind`` are pushed into it where the session has
+``spark.sql.python.filterPushdown.enabled``: a file that they refuse isn't read beyond its head. Executors must reach
+the paths.
 """
 
 from __future__ import annotations
@@ -14,10 +17,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
 HEAD = 4096
 _STEP = 1 << 20
+#: What can be asked for, and what is read without being asked.
+COLUMNS = {"path": "string", "is_file": "boolean", "length": "long", "modified": "double", "head": "binary", "kind": "string", "content": "binary"}
 SCHEMA = "path string, is_file boolean, length long, modified double, head binary"
 
 
@@ -26,26 +33,77 @@ class _Slice(InputPartition):
         self.paths = paths
 
 
+def head_kind(head: bytes) -> str | None:
+    """The format of a file by its first bytes, as ``parts.kind_of`` tells it."""
+    from tessera.sources import parts
+
+    if head[:4] == b"RIFF" and head[8:12] == b"WEBP":
+        return parts.WEBP
+    for at, magic, name in parts.SIGNATURES:
+        if head.startswith(magic, at - 1):
+            return name
+    brands = set()
+    if head[4:8] == b"ftyp" and len(head) >= 16:
+        last = min(int.from_bytes(head[:4], "big"), len(head), 8 + parts.FILE_TYPE_BYTES)
+        brands = {head[8:12], *(head[at : at + 4] for at in range(16, last - 3, 4))}
+    for kind, names in ((parts.AVIF, parts.AVIF_BRANDS), (parts.HEIC, parts.HEIF_BRANDS)):
+        if brands & {n.encode() for n in names}:
+            return kind
+    if head[4:8] in {a.encode() for a in parts.movie.OLD_ATOMS} or brands and head[8:12] == b"qt  ":
+        return parts.MOV
+    return parts.MP4 if brands & {n.encode() for n in (*parts.movie.BRANDS, *parts.movie.MAKERS)} else None
+
+
+#: How a pushed filter holds; null values hold none.
+_HOLDS = {EqualTo: lambda x, f: x == f.value, In: lambda x, f: x in f.value, GreaterThan: lambda x, f: x > f.value, GreaterThanOrEqual: lambda x, f: x >= f.value, LessThan: lambda x, f: x < f.value, LessThanOrEqual: lambda x, f: x <= f.value, IsNotNull: lambda x, f: True}
+_PUSHED = ("is_file", "length", "kind")
+
+
 class _HeadReader(DataSourceReader):
-    def __init__(self, paths: list[str], parts: int):
-        self.paths, self.parts = paths, max(1, min(parts, len(paths) or 1))
+    def __init__(self, paths: list[str], parts: int, columns: list[str]):
+        self.paths, self.parts, self.columns, self.filters = paths, max(1, min(parts, len(paths) or 1)), columns, []
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if type(f) in _HOLDS and len(f.attribute) == 1 and f.attribute[0] in _PUSHED:
+                self.filters.append(f)
+            else:
+                yield f
 
     def partitions(self) -> list[InputPartition]:
         return [_Slice(self.paths[n :: self.parts]) for n in range(self.parts)]
 
+    def _refused(self, row: dict) -> bool:
+        """Whether a filter on what is known so far doesn't hold."""
+        return any(f.attribute[0] in row and (row[f.attribute[0]] is None or not _HOLDS[type(f)](row[f.attribute[0]], f)) for f in self.filters)
+
     def read(self, partition: _Slice) -> Iterator[tuple]:
+        wanted = {*self.columns, *(f.attribute[0] for f in self.filters)}
         for path in partition.paths:
-            whole = os.path.abspath(os.path.expanduser(path))
+            row = dict.fromkeys(COLUMNS) | {"path": os.path.abspath(os.path.expanduser(path)), "is_file": False}
             try:
-                with open(whole, "rb") as stream:
+                with open(row["path"], "rb") as stream:
                     info = os.fstat(stream.fileno())
-                    yield whole, True, info.st_size, info.st_mtime, stream.read(HEAD)
+                    row |= {"is_file": True, "length": info.st_size, "modified": info.st_mtime}
+                    if self._refused({k: row[k] for k in ("is_file", "length")}):
+                        continue
+                    if wanted & {"head", "kind"}:
+                        row["head"] = stream.read(HEAD)
+                        row["kind"] = head_kind(row["head"])
+                    if "content" in wanted and not self._refused({k: row[k] for k in _PUSHED}):
+                        stream.seek(0)
+                        row["content"] = stream.read()
             except OSError:
-                yield whole, False, None, None, None
+                row |= {"is_file": False, "length": None, "modified": None, "head": None, "kind": None, "content": None}
+            if not self._refused({k: row[k] for k in _PUSHED}):
+                yield tuple(row[c] for c in self.columns)
 
 
 class MediaHead(DataSource):
-    """``spark.read.format("media_head").option("paths", json.dumps(paths)).load()``; option ``parts`` sets the tasks."""
+    """``spark.read.format("media_head").option("paths", json.dumps(paths)).load()``; option ``parts`` sets the tasks.
+
+    ``.schema(...)`` with other of COLUMNS asks for those.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -54,8 +112,29 @@ class MediaHead(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
-    def reader(self, schema) -> DataSourceReader:
-        return _HeadReader(json.loads(self.options["paths"]), int(self.options.get("parts", "8")))
+    def reader(self, schema: T.StructType) -> DataSourceReader:
+        return _HeadReader(json.loads(self.options["paths"]), int(self.options.get("parts", "8")), schema.fieldNames())
+
+
+def files(spark: SparkSession, paths: list[str], columns: list[str]) -> DataFrame:
+    """The named COLUMNS of each path; filters on ``is_file``, ``length`` and ``kind`` are decided before bodies are read."""
+    spark.dataSource.register(MediaHead)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    schema = ", ".join(f"{c} {COLUMNS[c]}" for c in columns)
+    return spark.read.format("media_head").schema(schema).option("paths", json.dumps(paths)).load()
+
+
+def admitted(spark: SparkSession, paths: list[str], kinds: list[str], largest: int) -> DataFrame:
+    """``file_id, path, length, kind, content, refusal`` of each path: bodies of files of ``kinds`` up to ``largest`` bytes only.
+
+    The others are refused by their heads as ``not_a_file``, ``unsupported_format`` or ``too_large``.
+    """
+    every = files(spark, paths, ["path", "is_file", "length", "kind"]).dropDuplicates(["path"])
+    bodies = files(spark, paths, ["path", "length", "kind", "content"]).filter(F.col("kind").isin(kinds) & (F.col("length") <= largest)).dropDuplicates(["path"])
+    known = F.coalesce(F.col("kind").isin(kinds), F.lit(False))
+    refusal = F.when(~F.col("is_file"), "not_a_file").when(~known, "unsupported_format").when(F.col("length") > largest, "too_large")
+    joined = every.join(bodies.select("path", "content"), "path", "left")
+    return joined.select(F.xxhash64("path").alias("file_id"), "path", "length", "kind", "content", refusal.alias("refusal"))
 
 
 def heads(spark: SparkSession, paths: list[str]) -> DataFrame:
