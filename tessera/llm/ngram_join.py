@@ -23,13 +23,13 @@ from tessera.llm.cluster import fresh, shared_dir, tidy, without
 from tessera.llm.exact_dedup import split_join
 from tessera.llm.jaccard import _block_requests, _compared, _labelled, _name, _star_requests, shingle_sets
 from tessera.llm.simhash import _connected
-from tessera.llm.textblocks import blocks, mix, release
+from tessera.llm.textblocks import blocks, forget, mix, release
 
 SHINGLE, PERCENT = 5, 80
 #: Counters of the summary of frequent n-grams: at most so many of them are put last in the order.
 COUNTERS = 4096
 #: N-grams that are counted at once.
-COUNTED = 1 << 20
+COUNTED = 1 << 18
 #: Sets of a block of a tile: larger tiles are cut into blocks that meet pairwise.
 TILE = 4096
 #: Bits of a signature at most and at least; between, two to four for each n-gram.
@@ -146,6 +146,7 @@ def frequent_shingles(rows: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
         return key[total > 0], total[total > 0]
 
     def summarise(batches):
+        forget()
         seen, n, held, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
         for batch in blocks(batches):
             for codes in shingle_sets(batch.column("text"), shingle):
@@ -166,6 +167,7 @@ def _sets(rows: DataFrame, frequent: np.ndarray, shingle: int, percent: int) ->
     """``doc_id, fp, size, keys, sig`` of each row: 128 bits that name its set, its first n-grams and its signature."""
 
     def look(batches):
+        forget()
         for batch in blocks(batches):
             found = shingle_sets(batch.column("text"), shingle)
             keys = [prefix(c, frequent, percent).view(np.int64) for c in found]

@@ -7,7 +7,7 @@ not the partition; a text longer than a block makes a block of its own and is st
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,17 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = B
         release()
 
 
+#: What frees the caches that a worker keeps between tasks.
+CACHES: list[Callable[[], None]] = []
+
+
+def forget() -> None:
+    """Drop what this worker has kept for tasks of other kinds: a task that needs the memory itself begins so."""
+    for drop in CACHES:
+        drop()
+    release()
+
+
 def release() -> None:
     """Give memory that the allocators hold for later back to the system: a worker lives through many stages."""
     pa.default_memory_pool().release_unused()

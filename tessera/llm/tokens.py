@@ -18,7 +18,7 @@ from unicodedata import normalize
 import numpy as np
 import pyarrow as pa
 
-from tessera.llm.textblocks import SPACE, gather, hashes, lowered, release, same_bytes
+from tessera.llm.textblocks import CACHES, SPACE, gather, hashes, lowered, release, same_bytes
 
 #: Pieces that a worker remembers; beyond it the memory is emptied and filled anew.
 REMEMBERED = 1_200_000
@@ -216,6 +216,9 @@ class Encoder:
         return np.concatenate([*parts, ids[at[done] :]]), counts
 
 
+CACHES.append(lambda: [e._empty() for e in Encoder._made.values()])
+
+
 def _pieces(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inside, letter, sign = ~SPACE[raw], _LETTER[raw], _SIGN[raw]
     first, last = inside.copy(), inside.copy()
