@@ -53,10 +53,10 @@ def _attributes(path: str) -> list[str]:
         raise
 
 
-def suffix_for(name: str, kind: str) -> str:
-    """The name's own suffix if its format may have it, else the format's first."""
+def suffix_for(name: str, kind: str | None) -> str:
+    """The name's own suffix if its format may have it or isn't known, else the format's first."""
     own = os.path.splitext(name)[1]
-    return own if own.lower() in SUFFIXES[kind] else SUFFIXES[kind][0]
+    return own if kind is None or own.lower() in SUFFIXES[kind] else SUFFIXES[kind][0]
 
 
 #: Part of the name of every file that isn't finished.
@@ -86,7 +86,7 @@ class _CopyWriter(DataSourceWriter):
                     if row.status == "cleaned":
                         folder = os.path.dirname(row.path)
                         if folder not in used:  # told before the first file is there: an attempt may end at any time
-                            folders.write(json.dumps(folder) + "\n")
+                            folders.write(json.dumps([folder]) + "\n")
                             folders.flush()
                             used.add(folder)
                         temporary = os.path.join(folder, f".{self.job}.{uuid.uuid4().hex}{UNFINISHED}")
@@ -166,53 +166,70 @@ def publish(outcomes: DataFrame, naming: str = "plain") -> DataFrame:
         with open(os.path.join(jobs, f"{job}.lists")) as lines:
             lists = lines.read().split()
         written = spark.read.schema(_LISTED).json([f"file://{p}" for p in lists]) if lists else spark.createDataFrame([], _LISTED)
-        return _linked(written.checkpoint(), naming).checkpoint()
+        return linked(written.checkpoint(), naming).checkpoint()
     finally:
         _sweep(spark, jobs, job)
 
 
-def _wishes(written: DataFrame, naming: str) -> DataFrame:
+def _wishes(written: DataFrame, naming: str, noun: str) -> DataFrame:
     """``file_id, wish``: the name that the batch deals to each copy, settled before any is linked.
 
-    Anonymous names follow from the temporary file's, which is random.
+    Anonymous names follow from the temporary file's, which is random. A name that nobody else wants needs no dealing.
     """
     copies = written.filter("temporary IS NOT NULL")
     split = lambda n: F.regexp_extract("path", r"(?s)^(.*)/([^/]*?)(\.[^./]*)?$", n)
     stem, suffix = split(2), split(3)
-    own = F.coalesce(*(F.when(F.col("kind") == k, F.when(F.lower(suffix).isin(*names), suffix).otherwise(F.lit(names[0]))) for k, names in SUFFIXES.items()))
+    own = F.coalesce(*(F.when(F.col("kind") == k, F.when(F.lower(suffix).isin(*names), suffix).otherwise(F.lit(names[0]))) for k, names in SUFFIXES.items()), suffix)
     if naming == "anonymous":
-        return copies.select("file_id", F.concat(F.lit("photo_"), F.md5(F.col("temporary").cast("binary")), F.lower(own)).alias("wish"))
-    base = stem if naming == "original" else F.coalesce(F.nullif(without_dates(stem), F.lit("")), F.lit("photo"))
+        return copies.select("file_id", F.concat(F.lit(f"{noun}_"), F.md5(F.col("temporary").cast("binary")), F.lower(own)).alias("wish"))
+    base = stem if naming == "original" else F.coalesce(F.nullif(without_dates(stem), F.lit("")), F.lit(noun))
     files = copies.select("file_id", F.when(split(1) == "", "/").otherwise(split(1)).alias("folder"), base.alias("base"), own.alias("suffix")).checkpoint()
+    # A copy that is alone with its name finds a free one by itself: what the batch deals are names that several want.
+    several = files.groupBy("folder", "base", "suffix").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    files = files.join(several, ["folder", "base", "suffix"]).checkpoint()
+    if files.isEmpty():
+        return files.select("file_id", F.lit(None).cast("string").alias("wish"))
     return batch_names(files, listed(files)).select("file_id", F.col("name").alias("wish"))
 
 
-def _linked(written: DataFrame, naming: str) -> DataFrame:
+def linked(written: DataFrame, naming: str = "plain", noun: str = "photo") -> DataFrame:
+    """``written`` (``file_id, status, error_key, path, kind, temporary``) with each temporary file ``published`` under its name.
+
+    Names are dealt right away; linking happens as the rows are computed, and again without effect. A null kind keeps
+    the name's own suffix.
+    """
+
     def link(batches):
         for batch in batches:
             rows = batch.to_pylist()
-            names = [r["temporary"] and settle(r["temporary"], r["path"], suffix_for(r["path"], r["kind"]), naming, wish=r["wish"]) for r in rows]
+            names = [r["temporary"] and settle(r["temporary"], r["path"], suffix_for(r["path"], r["kind"]), naming, noun, r["wish"]) for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("file_id", "status", "error_key")] + [pa.array(names, pa.string())], ["file_id", "status", "error_key", "published"])
 
-    wished = written.join(_wishes(written, naming), "file_id", "left")
+    wished = written.join(_wishes(written, naming, noun), "file_id", "left")
     return wished.mapInArrow(link, "file_id long, status string, error_key string, published string")
 
 
-def _sweep(spark: SparkSession, jobs: str, job: str) -> None:
-    """Remove the job's temporary files, also those of attempts that were lost, then all that it noted."""
-    notes = [e.path for e in os.scandir(jobs) if e.name.startswith(f"{job}.")]
-    told = [f"file://{p}" for p in notes if p.endswith(".folders")]
+def swept(folders: DataFrame, job: str) -> None:
+    """Remove the job's temporary files from each ``folder``, also those of attempts that were lost."""
 
     def remove(batches):
         for batch in batches:
-            for line in batch.column(0).to_pylist():
-                for entry in os.scandir(json.loads(line)):
-                    if entry.name.startswith(f".{job}.") and entry.name.endswith(UNFINISHED):
-                        _gone(entry.path)
+            for folder in batch.column(0).to_pylist():
+                with contextlib.suppress(FileNotFoundError):
+                    for entry in os.scandir(folder or "/"):
+                        if entry.name.startswith(f".{job}.") and entry.name.endswith(UNFINISHED):
+                            _gone(entry.path)
             yield batch
 
+    folders.select("folder").mapInArrow(remove, "folder string").count()
+
+
+def _sweep(spark: SparkSession, jobs: str, job: str) -> None:
+    """Remove the job's temporary files from the folders that its attempts noted, then all that it noted."""
+    notes = [e.path for e in os.scandir(jobs) if e.name.startswith(f"{job}.")]
+    told = [f"file://{p}" for p in notes if p.endswith(".folders")]
     if told:
-        spark.read.text(told).distinct().mapInArrow(remove, "value string").count()
+        swept(spark.read.text(told).distinct().select(F.from_json("value", "array<string>")[0].alias("folder")), job)
     for path in notes:
         _gone(path)
 

@@ -2,9 +2,9 @@
 
 The data source is registered as ``media_head``. Its option ``paths`` is a JSON list; each path is a row, also if it is
 no file. The schema that it is read with chooses the columns: heads are read for ``head`` and ``kind`` only, bodies for
-``content`` only. Filters on ``is_file``, ``length`` and ``kind`` are pushed into it where the session has
-``spark.sql.python.filterPushdown.enabled``: a file that they refuse isn't read beyond its head. Executors must reach
-the paths.
+``content`` only. With the option ``filters``, for which the session needs ``spark.sql.python.filterPushdown.enabled``,
+filters on ``is_file``, ``length`` and ``kind`` are pushed into it: a file that they refuse isn't read beyond its head.
+Executors must reach the paths.
 """
 
 from __future__ import annotations
@@ -63,13 +63,6 @@ class _HeadReader(DataSourceReader):
     def __init__(self, paths: list[str], parts: int, columns: list[str]):
         self.paths, self.parts, self.columns, self.filters = paths, max(1, min(parts, len(paths) or 1)), columns, []
 
-    def pushFilters(self, filters):
-        for f in filters:
-            if type(f) in _HOLDS and len(f.attribute) == 1 and f.attribute[0] in _PUSHED:
-                self.filters.append(f)
-            else:
-                yield f
-
     def partitions(self) -> list[InputPartition]:
         return [_Slice(self.paths[n :: self.parts]) for n in range(self.parts)]
 
@@ -99,6 +92,15 @@ class _HeadReader(DataSourceReader):
                 yield tuple(row[c] for c in self.columns)
 
 
+class _FilteringReader(_HeadReader):
+    def pushFilters(self, filters):
+        for f in filters:
+            if type(f) in _HOLDS and len(f.attribute) == 1 and f.attribute[0] in _PUSHED:
+                self.filters.append(f)
+            else:
+                yield f
+
+
 class MediaHead(DataSource):
     """``spark.read.format("media_head").option("paths", json.dumps(paths)).load()``; option ``parts`` sets the tasks.
 
@@ -113,7 +115,8 @@ class MediaHead(DataSource):
         return SCHEMA
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _HeadReader(json.loads(self.options["paths"]), int(self.options.get("parts", "8")), schema.fieldNames())
+        kind = _FilteringReader if self.options.get("filters") == "true" else _HeadReader
+        return kind(json.loads(self.options["paths"]), int(self.options.get("parts", "8")), schema.fieldNames())
 
 
 def files(spark: SparkSession, paths: list[str], columns: list[str]) -> DataFrame:
@@ -121,7 +124,7 @@ def files(spark: SparkSession, paths: list[str], columns: list[str]) -> DataFram
     spark.dataSource.register(MediaHead)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     schema = ", ".join(f"{c} {COLUMNS[c]}" for c in columns)
-    return spark.read.format("media_head").schema(schema).option("paths", json.dumps(paths)).load()
+    return spark.read.format("media_head").schema(schema).options(paths=json.dumps(paths), filters="true").load()
 
 
 def admitted(spark: SparkSession, paths: list[str], kinds: list[str], largest: int) -> DataFrame:

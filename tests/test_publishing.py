@@ -91,7 +91,7 @@ def test_a_task_that_repeats_counts_once(spark, tmp_path):
     writer.commit([kept, None])
     assert open(jobs / "j1.lists").read().split() == [kept.listing] and lost.listing != kept.listing
     written = spark.read.schema(publish._LISTED).json(f"file://{kept.listing}")
-    linked = publish._linked(written, "plain").orderBy("file_id")
+    linked = publish.linked(written, "plain").orderBy("file_id")
     assert [linked.collect() for _ in range(2)][0] == linked.collect()  # linking tasks that repeat
     publish._sweep(spark, str(jobs), "j1")
     assert sorted(n for n in os.listdir(tmp_path) if "clean" in n or "unfinished" in n) == ["IMG_clean.PNG", "IMG_clean_1.PNG", "IMG_clean_2.PNG", "IMG_clean_3.PNG"]
