@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.cluster import fresh, shared_dir, tidy, without
+from tessera.llm.comparisons import block_requests, compared, labelled, set_name, shingle_sets, star_requests
 from tessera.llm.exact_dedup import split_join
-from tessera.llm.jaccard import _block_requests, _compared, _labelled, _name, _star_requests, shingle_sets
 from tessera.llm.simhash import _connected
 from tessera.llm.textblocks import blocks, forget, mix, release
 
@@ -173,7 +173,7 @@ def _sets(rows: DataFrame, frequent: np.ndarray, shingle: int, percent: int) ->
             keys = [prefix(c, frequent, percent).view(np.int64) for c in found]
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
-            columns = [batch.column("doc_id"), pa.array([_name(c) for c in found], pa.binary()), pa.array(list(map(len, found)), pa.int64()), column, pa.array(list(map(signature, found)), pa.binary())]
+            columns = [batch.column("doc_id"), pa.array([set_name(c) for c in found], pa.binary()), pa.array(list(map(len, found)), pa.int64()), column, pa.array(list(map(signature, found)), pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "size", "keys", "sig"])
 
     return rows.mapInArrow(look, "doc_id long, fp binary, size long, keys array<long>, sig binary")
@@ -184,7 +184,7 @@ def _first_links(rows: DataFrame, points: DataFrame, shingle: int, similarity: f
     members = points.select("pid", "size", F.get("keys", F.lit(0)).alias("key")).checkpoint()
     groups = members.groupBy("key").agg(F.min("pid").alias("rep"), F.sum("size").alias("mass"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     pairs = split_join(members, groups, "key").filter("pid <> rep").select("pid", "rep", "mass")
-    return _compared(rows, points, _star_requests(pairs, None), shingle, similarity, similar_pairs).checkpoint()
+    return compared(rows, points, star_requests(pairs, None), shingle, similarity, similar_pairs).checkpoint()
 
 
 def _tiles(points: DataFrame, roots: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def _tiles(points: DataFrame, roots: DataFrame) -> DataFrame:
     shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     found = postings.join(shared, "key").checkpoint()
     band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(BAND))).cast("int")
-    narrow = _labelled(points.select("pid", "size"), roots).select("pid", "root", "size", band.alias("band"))
+    narrow = labelled(points.select("pid", "size"), roots).select("pid", "root", "size", band.alias("band"))
     placed = found.join(narrow, "pid").checkpoint()
     # Two exclusive sums tell n-grams of the same sets apart from others; one of them is enough.
     sums = [F.bit_xor(F.xxhash64("pid", F.lit(seed))).alias(f"x{seed}") for seed in (1, 2)]
@@ -267,10 +267,10 @@ def _classes(rows: DataFrame, points: DataFrame, shingle: int, percent: int) ->
     buckets = _connected(_may_link(_tiles(points, roots), percent))
     tidy(points.sparkSession)
     asked = buckets.select(F.col("fp").alias("pid"), F.col("root").alias("key")).join(points.select("pid", "size"), "pid").checkpoint()
-    requests = _block_requests(asked, roots)
+    requests = block_requests(asked, roots)
     if requests is None:
         return roots
-    return _connected(edges.unionByName(_compared(rows, points, requests, shingle, similarity, similar_pairs).checkpoint()))
+    return _connected(edges.unionByName(compared(rows, points, requests, shingle, similarity, similar_pairs).checkpoint()))
 
 
 def _points(rows: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -294,7 +294,7 @@ def joined(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle:
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     own, points = _points(rows, shingle, percent)
     tidy(docs.sparkSession)
-    named = _labelled(points.select("pid", "fp", "low"), _classes(rows, points, shingle, percent)).select("fp", "low", "root").checkpoint()
+    named = labelled(points.select("pid", "fp", "low"), _classes(rows, points, shingle, percent)).select("fp", "low", "root").checkpoint()
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = split_join(named.select("fp", "root"), least, "root").select("fp", "component_id").checkpoint()
     linked = split_join(own.filter("size > 0").select("doc_id", "fp", F.col("size").alias("n_shingles")), classes, "fp")

@@ -14,6 +14,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``held_out`` is null where ``doc_id`` is."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.score(docs, quality.fit(docs, _read(spark, sf_dir, "labels")))
     held_out = quality.remainder(F.col("doc_id"), 5) == 0
@@ -21,6 +22,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``held_out`` is null where ``doc_id`` is."""
     docs = _read(spark, sf_dir, "documents")
     held_out = quality.remainder(F.col("doc_id"), 4) == 2
     return language.predict(docs, language.fit(docs)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
@@ -51,9 +53,17 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Besides the contract's columns the longest verbatim match of each document: its words, item, and places in both; null without any.
+
+    Of equally long ones the first in the document counts, then the item with the smallest id as text.
+    """
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontaminate.hits(docs, _read(spark, sf_dir, "benchmark"), matches=False)
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    found = decontaminate.hits(docs, _read(spark, sf_dir, "benchmark"))
+    ranked = F.transform("matches", lambda m: F.struct((-m.length).alias("short"), m.word.alias("word"), m.item_id.alias("item_id"), m.item_word.alias("item_word")))
+    best = F.array_min(ranked)
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    longest = [(-best["short"]).alias("match_words"), best["item_id"].alias("match_item"), best["word"].alias("match_at"), best["item_word"].alias("match_item_at")]
+    return found.select(*columns, *longest)
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,10 +3,37 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tessera.llm import exact_dedup, jaccard, ngram_join, registry
-from test_jaccard import made, passages
+from tessera.llm import comparisons, exact_dedup, ngram_join, registry
+
+
+def made(seed=4):
+    draw, rows = random.Random(seed), []
+    for n in range(60):
+        base = [f"w{draw.randint(0, 10**6)}" for _ in range(draw.choice([3, 6, 8, 9, 10, 14, 30, 120, 400]))]
+        rows.append((10 * n, " ".join(base)))
+        for c in range(1, draw.randint(2, 5)):
+            # A changed end loses as many shingles as words, so similarities lie around the threshold.
+            cut = draw.randint(0, max(1, len(base) // 5))
+            rows.append((10 * n + c, " ".join(base[: len(base) - cut] + [f"x{draw.randint(0, 10**6)}" for _ in range(cut)])))
+    return rows + [(99990, None), (99991, ""), (99992, " \n"), (None, rows[0][1]), rows[5], (99993, rows[7][1].upper())]
+
+
+def passages(seed=8):
+    """Groups whose texts share passages, so that buckets hold sets that aren't alike, and chains of close copies."""
+    draw, rows = random.Random(seed), []
+    for n in range(6):
+        common = [f"p{n}w{k}" for k in range(60)]
+        for c in range(12):
+            rows.append((100 * n + c, " ".join(common + [f"x{draw.randint(0, 10**6)}" for _ in range(draw.choice([4, 20, 25, 40]))])))
+    chain = [f"c{k}" for k in range(80)]
+    for c in range(30):  # each close to the next, the ends unlike
+        chain = chain[3:] + [f"d{c}w{k}" for k in range(3)]
+        rows.append((9000 + c, " ".join(chain)))
+    draw.shuffle(rows)
+    return rows
 
 
 def brute(rows, percent=80):
@@ -50,10 +77,10 @@ def templates(seed=3):
 
 @pytest.mark.parametrize("rows_of, group, tile, counters", [(made, 1 << 18, 4096, 4096), (passages, 100, 5, 4096), (templates, 300, 7, 30), (templates, 1 << 18, 4096, 0)])
 def test_equals_brute_force(spark, monkeypatch, rows_of, group, tile, counters):
-    monkeypatch.setattr(jaccard, "GROUP", group)
+    monkeypatch.setattr(comparisons, "GROUP", group)
     monkeypatch.setattr(ngram_join, "TILE", tile)
     if counters < 4096:  # then n-grams are put last at random: the order never matters for the result
-        monkeypatch.setattr(ngram_join, "frequent_shingles", lambda rows, shingle: np.sort(np.concatenate([jaccard.shingles(r.text)[:counters] for r in rows.collect()])))
+        monkeypatch.setattr(ngram_join, "frequent_shingles", lambda rows, shingle: np.sort(np.concatenate([comparisons.shingles(r.text)[:counters] for r in rows.collect()])))
     rows = rows_of()
     frame = spark.createDataFrame([(*r, "k", 1, 2) for r in rows], "doc_id long, text string, key string, size int, pid long").repartition(3)
     got = ngram_join.joined(frame)
@@ -71,7 +98,7 @@ def test_query_and_edge_cases(spark, docs, no_docs, rows, tmp_path):
 
 
 def test_one_group_of_many_close_copies(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "GROUP", 5000)
+    monkeypatch.setattr(comparisons, "GROUP", 5000)
     monkeypatch.setattr(ngram_join, "TILE", 50)
     monkeypatch.setattr(exact_dedup, "COUNTERS", 4)
     monkeypatch.setattr(exact_dedup, "SPLIT_ROWS", 0)
@@ -124,12 +151,12 @@ def test_comparisons_tell_all_links_of_all_sizes():
 
 def test_sets_have_a_code_for_each_shingle():
     texts = ["A b c D e f", "a B\nc d e f a b c d e f", "a b", "A b", "a b c d e", None, " \t", "é É", "x " * 300, "a b", "b a"]
-    sets = jaccard.shingle_sets(jaccard.pa.array(texts))
+    sets = comparisons.shingle_sets(pa.array(texts))
     own = lambda t: {tuple(w[k : k + 5]) for w in ["".join(c.lower() if c.isascii() else c for c in t or "").split()] for k in range(max(1, len(w) - 4)) if w}
     for a, s in zip(texts, sets, strict=True):
         for b, t in zip(texts, sets, strict=True):
             assert len(np.intersect1d(s, t)) == len(own(a) & own(b)) and len(s) == len(own(a))
-        assert (np.sort(s) == s).all() and (jaccard.shingles(a) == s).all()
+        assert (np.sort(s) == s).all() and (comparisons.shingles(a) == s).all()
 
 
 def test_frequent_shingles_are_those_of_most_texts(spark, monkeypatch):
@@ -137,4 +164,10 @@ def test_frequent_shingles_are_those_of_most_texts(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "COUNTED", 500)
     rows = [(f"one two three four five six {n} {n + 1} {n + 2} {n + 3}",) for n in range(0, 4000, 10)]
     found = ngram_join.frequent_shingles(spark.createDataFrame(rows, "text string").repartition(3))
-    assert set(jaccard.shingles("one two three four five six")) <= set(found) and len(found) <= 20
+    assert set(comparisons.shingles("one two three four five six")) <= set(found) and len(found) <= 20
+
+
+def test_stage_keeps_short_texts_below_the_threshold(spark):
+    # Eight words that differ in the last one: 3 of 5 shingles in common, similarity 0.6.
+    rows = [(2 * n + k, " ".join(f"w{n}a{j}" for j in range(7)) + f" end{k}") for n in range(40) for k in range(2)]
+    assert ngram_join.drop_alike(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(rows)
