@@ -69,6 +69,21 @@ def input_parts(df: DataFrame, per_part: int | None = None) -> int:
     return max(least, math.ceil(size / per_part))
 
 
+#: Bytes of rows that go to Python at once, see ``small_batches``.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on rows of this session go to Python in batches of BATCH_BYTES at most.
+
+    By default one may have 64 MB, which Spark and Python hold several times over; operators that read whole texts cut
+    them into smaller blocks anyway. Smaller settings stay.
+    """
+    key, java = "spark.sql.execution.arrow.maxBytesPerBatch", spark._jvm.org.apache.spark.network.util.JavaUtils
+    if int(java.byteStringAsBytes(spark.conf.get(key))) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}

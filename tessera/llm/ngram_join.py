@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.cluster import fresh, shared_dir, tidy, without
+from tessera.llm.cluster import fresh, shared_dir, small_batches, tidy, without
 from tessera.llm.comparisons import block_requests, compared, labelled, set_name, shingle_sets, star_requests
 from tessera.llm.exact_dedup import split_join
 from tessera.llm.simhash import _connected
@@ -290,6 +290,7 @@ def joined(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle:
     are rows of their own; null ids name no component unless it has no other. Other columns are ignored; an empty table
     gives an empty result.
     """
+    small_batches(docs.sparkSession)
     shared_dir(docs.sparkSession, "ngrams")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     own, points = _points(rows, shingle, percent)

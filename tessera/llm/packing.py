@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.cluster import input_parts, stored
+from tessera.llm.cluster import input_parts, small_batches, stored
 from tessera.llm.textblocks import blocks, flat, mix, release
 from tessera.llm.tokens import BLOCK_BYTES, Encoder, with_end
 
@@ -57,7 +57,7 @@ def _frequencies(ids: DataFrame) -> tuple[np.ndarray, int, int]:
 
     def count(batches):
         df, docs, total = np.zeros(1 << 16, np.int64), 0, 0
-        for batch in blocks(batches, "ids", 4 << 20):
+        for batch in blocks(batches, "ids", 1 << 20):
             raw, starts, ends = flat(batch.column("ids"))
             flat_ids = raw.view("<u4").astype(np.int64)
             size = (ends - starts) // 4
@@ -216,6 +216,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW) ->
     their own; a null doc_id stays null. Long documents fill windows alone before their rest seeds another. An empty
     table gives no piece. Only ``doc_id`` and ``text`` are read. Documents that share a frequent route are dealt by id.
     """
+    small_batches(docs.sparkSession)
     ids = stored(tokenised(docs, tokenizer, end_id), "packing-ids")
     df, n_docs, total = _frequencies(ids)
     idf = np.maximum(0.0, np.log((n_docs - df + 0.5) / (df + 0.5)))

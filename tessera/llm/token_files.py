@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.cluster import input_parts, shared_dir
+from tessera.llm.cluster import input_parts, shared_dir, small_batches
 from tessera.llm.rangecoder import compress, decompress
 from tessera.llm.textblocks import blocks, flat
 from tessera.llm.tokens import BLOCK_BYTES, Encoder, with_end
@@ -144,6 +144,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Write the token files of ``docs`` to the shared folder and read them back."""
+    small_batches(docs.sparkSession)
     path = shared_dir(docs.sparkSession, "token-files")
     write_token_files(docs, path, tokenizer, end_id)
     return read_token_files(docs.sparkSession, path)

@@ -39,3 +39,15 @@ def test_stage_tables_go(spark, docs, tmp_path):
     before = set(os.listdir(shared))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
     assert len([n for n in set(os.listdir(shared)) - before if n.startswith("pipeline-")]) == 1
+
+
+def test_batches_to_python_are_cut(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, kept in (("64m", str(cluster.BATCH_BYTES)), ("1m", "1m")):
+            spark.conf.set(key, given)
+            cluster.small_batches(spark)
+            assert spark.conf.get(key) == kept
+    finally:
+        spark.conf.set(key, before)
