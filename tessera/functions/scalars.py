@@ -17,8 +17,10 @@ def unsigned(value: Column, start: int, size: int, little: bool = False) -> Colu
 
 def visible(text: Column) -> Column:
     """Control characters (below 0x20, 0x7F to 0x9F) as \\xNN, everything else unchanged."""
-    shown = lambda c: F.when(c.rlike(r"^[\x00-\x1F\x7F-\x9F]$"), F.concat(F.lit("\\x"), F.lower(F.lpad(F.hex(F.ascii(c)), 2, "0")))).otherwise(c)
-    return F.array_join(F.transform(F.split(text, ""), shown), "")
+    shown = text
+    for code in (*range(0x20), *range(0x7F, 0xA0)):
+        shown = F.replace(shown, F.lit(chr(code)), F.lit(f"\\x{code:02x}"))
+    return F.when(text.rlike(r"[\x00-\x1F\x7F-\x9F]"), shown).otherwise(text)
 
 
 def output_suffix(name: Column, allowed: list[str], default: str) -> Column:
