@@ -5,4 +5,4 @@ from __future__ import annotations
 from tessera.plans import media, tabular
 
 QUERIES: dict = {**tabular.QUERIES, **media.QUERIES}
-ORACLE_SQL: dict = {**tabular.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {**tabular.ORACLE_SQL, **media.ORACLE_SQL}

@@ -1,63 +1,101 @@
-"""Queries over media fixtures that the engine builds itself; SQL can't express them, tests hold them against each case."""
+"""Queries over media files that are derived from a given table: each supplier's file holds a mark of its row where it is private.
+
+A file is one of the cases of its format, chosen by the supplier's key; what must become of it is known, so SQL can say
+it. A mark that is left in a clean copy is a leak.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.plans import sanitise
-from tessera.sources import fixtures, fuzz, parts, publish
-
+from tessera.sources import fixtures, fuzz, parts, publish, scan
 
-def _clean(spark: SparkSession, kinds: tuple[str, ...]) -> DataFrame:
-    files = fixtures.files(spark).filter(F.col("kind").isin(*kinds))
-    names = files.select("file_id", "name")
-    return sanitise.clean(files).join(names, "file_id").select("name", "status", "error_key", F.sha2("result", 256).alias("digest"))
+ALL = (parts.PNG, parts.GIF, parts.WEBP, parts.JPEG, parts.TIFF, parts.BMP, parts.HEIC, parts.AVIF, parts.MP4, parts.MOV)
+_LENGTH = len(fixtures.SECRET)
 
 
-def png_clean(spark: SparkSession, d: str) -> DataFrame:
-    return _clean(spark, (parts.PNG,))
+def cases_of(kinds: tuple[str, ...]) -> list[tuple]:
+    """The cases whose files have one of the formats."""
+    return [c for c in fixtures.cases() if scan.head_kind(c[1][: scan.HEAD]) in kinds]
 
 
-def gif_clean(spark: SparkSession, d: str) -> DataFrame:
-    return _clean(spark, (parts.GIF,))
+def marked(content: bytes, mark: bytes) -> bytes:
+    """The file with ``mark``, as long as the secret of the cases, in place of that; checksums of PNG chunks that it changes follow."""
+    out = bytearray(content.replace(fixtures.SECRET, mark))
+    at = 8
+    while content.startswith(b"\x89PNG") and at + 12 <= len(out):
+        end = at + 8 + int.from_bytes(out[at : at + 4], "big")
+        if end + 4 > len(out):
+            break
+        if out[at:end] != content[at:end]:
+            was_sound = zlib.crc32(content[at + 4 : end]) == int.from_bytes(content[end : end + 4], "big")
+            out[end : end + 4] = zlib.crc32(out[at + 4 : end]).to_bytes(4, "big") if was_sound else out[end : end + 4]
+        at = end + 4
+    return bytes(out)
 
 
-def webp_clean(spark: SparkSession, d: str) -> DataFrame:
-    return _clean(spark, (parts.WEBP,))
+def _files(spark: SparkSession, d: str, kinds: tuple[str, ...] = ALL, damage: bool = False) -> DataFrame:
+    """``file_id, name, mark, kind, content``: a file per supplier."""
+    mark = F.substring(F.sha2(F.concat_ws(":", "s_suppkey", "s_name"), 256), 1, _LENGTH)
+    rows = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("file_id"), mark.alias("mark"))
 
+    def make(batches):
+        own = cases_of(kinds)
+        for batch in batches:
+            names, made = [], []
+            for key, token in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                name, content, *_ = own[key % len(own)]
+                body = marked(content, token.encode())
+                names.append(name)
+                made.append(fuzz.mutated(body, fuzz.random.Random(token)) if damage else body)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), batch.column(1), pa.array(made, pa.binary())], ["file_id", "name", "mark", "content"])
 
-def jpeg_clean(spark: SparkSession, d: str) -> DataFrame:
-    return _clean(spark, (parts.JPEG,))
+    table = rows.mapInArrow(make, "file_id long, name string, mark string, content binary")
+    return table.select("file_id", "name", "mark", parts.kind_of(F.col("content")).alias("kind"), "content")
 
 
-def tiff_clean(spark: SparkSession, d: str) -> DataFrame:
-    return _clean(spark, (parts.TIFF,))
+def _clean(spark: SparkSession, d: str, kinds: tuple[str, ...]) -> DataFrame:
+    files = _files(spark, d, kinds)
+    done = sanitise.clean(files).join(files.select("file_id", "name", "mark"), "file_id")
+    leaked = F.coalesce(F.contains("result", F.col("mark").cast("binary")), F.lit(False))
+    return done.select("file_id", "name", "status", "error_key", leaked.alias("leaked"))
 
 
-def bmp_to_png(spark: SparkSession, d: str) -> DataFrame:
-    return _clean(spark, (parts.BMP,))
+def _expected(kinds: tuple[str, ...]) -> str:
+    """SQL of what becomes of each supplier's file."""
+    quoted = lambda text: "NULL" if text is None else f"'{text}'"
+    own = cases_of(kinds)
+    rows = ", ".join(f"({n}, {quoted(name)}, {quoted(status)}, {quoted(key)})" for n, (name, _, status, key, _) in enumerate(own))
+    return f"SELECT s_suppkey AS file_id, name, status, error_key FROM supplier JOIN (VALUES {rows}) c(n, name, status, error_key) ON n = s_suppkey % {len(own)}"
 
 
-def heif_clean(spark: SparkSession, d: str) -> DataFrame:
-    return _clean(spark, (parts.HEIC, parts.AVIF))
-
-
-def mp4_clean(spark: SparkSession, d: str) -> DataFrame:
-    return _clean(spark, (parts.MP4, parts.MOV))
+FORMATS = {
+    "png_clean": (parts.PNG,), "gif_clean": (parts.GIF,), "webp_clean": (parts.WEBP,), "jpeg_clean": (parts.JPEG,), "tiff_clean": (parts.TIFF,),
+    "bmp_to_png": (parts.BMP,), "heif_clean": (parts.HEIC, parts.AVIF), "mp4_clean": (parts.MP4, parts.MOV),
+}
 
 
 def media_parts(spark: SparkSession, d: str) -> DataFrame:
-    table = sanitise.decided(parts.parts(fixtures.files(spark)))
+    table = sanitise.decided(parts.parts(_files(spark, d)))
     return table.groupBy("kind", F.decode("part", "ISO-8859-1").alias("part"), "keep", "refusal").agg(F.count(F.lit(1)).alias("n"))
 
 
 def media_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    return publish.summary(sanitise.clean(fixtures.files(spark)))
+    return publish.summary(sanitise.clean(_files(spark, d)))
 
 
 def damaged_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    return publish.summary(sanitise.clean(fuzz.files(spark, 1000)))
+    return publish.summary(sanitise.clean(_files(spark, d, damage=True)))
+
 
+QUERIES = {name: lambda spark, d, kinds=kinds: _clean(spark, d, kinds) for name, kinds in FORMATS.items()}
+QUERIES |= {f.__name__: f for f in (media_parts, media_outcomes, damaged_outcomes)}
 
-QUERIES = {f.__name__: f for f in (png_clean, gif_clean, webp_clean, jpeg_clean, tiff_clean, bmp_to_png, heif_clean, mp4_clean, media_parts, media_outcomes, damaged_outcomes)}
+ORACLE_SQL = {name: f"SELECT *, false AS leaked FROM ({_expected(kinds)})" for name, kinds in FORMATS.items()}
+ORACLE_SQL["media_outcomes"] = f"SELECT status, coalesce(error_key, '') AS error_key, count(*) AS n FROM ({_expected(ALL)}) GROUP BY 1, 2"
