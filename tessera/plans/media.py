@@ -40,29 +40,53 @@ def marked(content: bytes, mark: bytes) -> bytes:
     return bytes(out)
 
 
-def _files(spark: SparkSession, d: str, kinds: tuple[str, ...] = ALL, damage: bool = False) -> DataFrame:
-    """``file_id, name, mark, kind, content``: a file per supplier."""
+#: Suppliers whose files are one task's work, and bytes of files that leave Python at once.
+FILES_OF_TASK, BATCH_BYTES = 512, 4 << 20
+
+
+def _marks(spark: SparkSession, d: str) -> DataFrame:
+    """``file_id, mark`` of each supplier."""
     mark = F.substring(F.sha2(F.concat_ws(":", "s_suppkey", "s_name"), 256), 1, _LENGTH)
-    rows = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("file_id"), mark.alias("mark"))
+    return spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("file_id"), mark.alias("mark"))
+
+
+def _files(spark: SparkSession, d: str, kinds: tuple[str, ...] = ALL, damage: bool = False) -> DataFrame:
+    """``file_id, name, mark, kind, content``: a file per supplier.
+
+    A supplier is a few bytes and its file up to a million: rows are dealt over tasks before files are made of them, and
+    files leave in batches of BATCH_BYTES or one file.
+    """
+    rows = _marks(spark, d)
+    rows = rows.repartition(max(1, -(-rows.count() // FILES_OF_TASK)))
 
     def make(batches):
         own = cases_of(kinds)
+
+        def batch_of(ids, names, marks, made):
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(marks, pa.string()), pa.array(made, pa.binary())], ["file_id", "name", "mark", "content"])
+
         for batch in batches:
-            names, made = [], []
+            held, size = [], 0
             for key, token in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 name, content, *_ = own[key % len(own)]
                 body = marked(content, token.encode())
-                names.append(name)
-                made.append(fuzz.mutated(body, fuzz.random.Random(token)) if damage else body)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), batch.column(1), pa.array(made, pa.binary())], ["file_id", "name", "mark", "content"])
+                body = fuzz.mutated(body, fuzz.random.Random(token)) if damage else body
+                if held and size + len(body) > BATCH_BYTES:
+                    yield batch_of(*zip(*held, strict=True))
+                    held, size = [], 0
+                held.append((key, name, token, body))
+                size += len(body)
+            if held:
+                yield batch_of(*zip(*held, strict=True))
 
     table = rows.mapInArrow(make, "file_id long, name string, mark string, content binary")
     return table.select("file_id", "name", "mark", parts.kind_of(F.col("content")).alias("kind"), "content")
 
 
 def _clean(spark: SparkSession, d: str, kinds: tuple[str, ...]) -> DataFrame:
-    files = _files(spark, d, kinds)
-    done = sanitise.clean(files).join(files.select("file_id", "name", "mark"), "file_id")
+    own = cases_of(kinds)
+    name = F.get(F.array(*(F.lit(c[0]) for c in own)), F.pmod("file_id", F.lit(len(own))).cast("int"))
+    done = sanitise.clean(_files(spark, d, kinds)).join(_marks(spark, d).select("file_id", name.alias("name"), "mark"), "file_id", "left")
     leaked = F.coalesce(F.contains("result", F.col("mark").cast("binary")), F.lit(False))
     return done.select("file_id", "name", "status", "error_key", leaked.alias("leaked"))
 

@@ -313,13 +313,16 @@ def clean(files: DataFrame, finish: dict | None = None) -> DataFrame:
     shared_folder(files.sparkSession)
     first = rebuilt(files, finish).checkpoint()  # parsed and serialised once, though two branches read it
     again = rebuilt(first.filter("result IS NOT NULL").select("file_id", "kind", F.col("result").alias("content")), finish)
-    checked = first.join(again.select("file_id", F.sha2("result", 256).alias("digest"), F.col("units").alias("units_again")), "file_id", "left")
+    # The optimizer only guesses the size of what Python makes: contents must be neither broadcast nor shuffled for facts about them.
+    checked = first.join(again.select("file_id", F.sha2("result", 256).alias("digest"), F.col("units").alias("units_again")).hint("merge"), "file_id", "left")
     same = (F.sha2("result", 256) == F.col("digest")) & (F.col("units") == F.col("units_again"))
     proven = checked.withColumn("proven", F.coalesce(same, F.lit(False))).select("file_id", "kind", "result", "refusal", "proven").unionByName(cleaned_in_place(files))
-    outcome = files.select("file_id", F.col("kind").alias("file_kind"), F.col("content").isNull().alias("missing")).join(proven, "file_id", "left")
-    key = F.when(F.col("missing"), "not_a_file").when(F.col("file_kind").isNull() | ~F.col("file_kind").isin(BMP, *PARSERS, *IN_PLACE), "unsupported_format")
-    key = key.when(F.col("refusal").isNotNull(), F.col("refusal")).when(~F.coalesce("proven", F.lit(False)), "verification_failed")
-    return outcome.select("file_id", F.coalesce("kind", "file_kind").alias("kind"), F.when(key.isNull(), "cleaned").otherwise("refused").alias("status"), key.alias("error_key"), F.when(key.isNull(), F.col("result")).alias("result"))
+    key = F.when(F.col("refusal").isNotNull(), F.col("refusal")).when(~F.coalesce("proven", F.lit(False)), "verification_failed")
+    done = proven.select("file_id", "kind", F.when(key.isNull(), "cleaned").otherwise("refused").alias("status"), key.alias("error_key"), F.when(key.isNull(), F.col("result")).alias("result"))
+    # Every file that can be parsed has one row by now; the others have theirs here.
+    readable = F.coalesce(F.col("kind").isin(BMP, *PARSERS, *IN_PLACE), F.lit(False)) & F.col("content").isNotNull()
+    why = F.when(F.col("content").isNull(), "not_a_file").otherwise("unsupported_format")
+    return done.unionByName(files.filter(~readable).select("file_id", "kind", F.lit("refused").alias("status"), why.alias("error_key"), F.lit(None).cast("binary").alias("result")))
 
 
 def clean_paths(spark: SparkSession, paths: list[str], largest: int) -> DataFrame:

@@ -33,3 +33,10 @@ def test_file_without_parts_is_refused(spark):
     files = spark.createDataFrame([(1, bytearray(EMPTY)), (2, bytearray(fixtures.png()))], "file_id long, content binary")
     rows = sanitise.clean(files.withColumn("kind", parts.kind_of(F.col("content")))).collect()
     assert sorted((r.file_id, r.kind, r.status, r.error_key) for r in rows) == [(1, "WEBP", "refused", "damaged"), (2, "PNG", "cleaned", None)]
+
+
+def test_contents_are_not_broadcast_and_are_made_by_several_tasks(spark, many):
+    assert media._files(spark, many, (parts.HEIC,)).rdd.getNumPartitions() >= 3
+    table = media.QUERIES["heif_clean"](spark, many)
+    assert not [subtree for subtree in broadcast(table) if "result#" in subtree]
+    assert table.count() == table.filter("NOT leaked").count() == 1200
