@@ -31,7 +31,7 @@ def output_suffix(name: Column, allowed: list[str], default: str) -> Column:
 
 def same_proportions(w: Column, h: Column, big_w: Column, big_h: Column) -> Column:
     """Whether two sizes have equal proportions up to rounding and the first fits the second."""
-    return (F.abs(w * big_h - h * big_w) <= F.greatest(big_w, big_h)) & (w > 0) & (h > 0) & (w <= big_w) & (h <= big_h)
+    return (w <= big_w) & (h <= big_h) & (w > 0) & (h > 0) & (F.abs(w * big_h - h * big_w) <= F.greatest(big_w, big_h))
 
 
 def aligned(size: Column, to: int) -> Column:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.sliced import Sliced
@@ -82,6 +83,27 @@ def against_baseline(run: DataFrame, baseline: DataFrame, key: str, status: str)
     return joined.select(key, F.col(status).alias("now"), "before", note.alias("note"))
 
 
+#: Slices into which a group's shapes are dealt, and tasks that compare them at least.
+SHAPE_SLICES, SHAPE_TASKS = 16, 256
+
+
+def paired_shapes(rows: DataFrame, keys: list[str], shape: list[str], key: str, fits: Callable[..., Column], one: str, other: str) -> DataFrame:
+    """``one, other``: every pair of rows of equal ``keys`` whose shapes fit, as their values of ``key``; a row pairs with itself, too.
+
+    Rows of one shape are one row of the comparison, which so grows with the shapes of a group and not with its rows:
+    only pairs that fit are spelled out. A group's shapes are dealt over SHAPE_SLICES slices, each of which meets all of them, so
+    that few large groups are many tasks' work. Null keys, shapes and values of ``key`` pair with nothing.
+    """
+    cells = rows.groupBy(*keys, *shape).agg(F.collect_list(key).alias("cell")).dropna(subset=[*keys, *shape])
+    small = cells.withColumn("slice", F.pmod(F.xxhash64(*shape), F.lit(SHAPE_SLICES)))
+    large = cells.select(*keys, *(F.col(c).alias(f"other_{c}") for c in shape), F.col("cell").alias("other_cell"))
+    large = large.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHAPE_SLICES - 1).cast("long"))))
+    by = [*keys, "slice"]
+    small, large = small.repartition(SHAPE_TASKS, *by), large.repartition(SHAPE_TASKS, *by)  # a number keeps small tables in many tasks
+    met = small.hint("merge").join(large, by).filter(fits(*(F.col(c) for c in shape), *(F.col(f"other_{c}") for c in shape)))
+    return met.select(F.explode("cell").alias(one), "other_cell").select(one, F.explode("other_cell").alias(other))
+
+
 def not_subsequences(now: DataFrame, then: DataFrame, keys: list[str], order: str, value: str, slice_rows: int | None = None) -> DataFrame:
     """Groups of ``now`` whose values in order aren't a subsequence of those of ``then``'s group: the ``keys``, each once.
 

@@ -260,9 +260,7 @@ def fitted_name(spark, d):
 @query("SELECT s.p_partkey AS part, b.p_partkey AS big FROM part s JOIN part b ON s.p_brand = b.p_brand AND s.p_type = b.p_type WHERE s.p_size > 0 AND s.p_size <= b.p_size AND s.p_partkey % 90 + 1 <= b.p_partkey % 90 + 1 AND abs(s.p_size * (b.p_partkey % 90 + 1) - (s.p_partkey % 90 + 1) * b.p_size) <= greatest(b.p_size, b.p_partkey % 90 + 1)")
 def same_shape(spark, d):
     p = _t(spark, d, "part").select("p_partkey", "p_brand", "p_type", F.col("p_size").cast("long").alias("w"), (F.col("p_partkey") % 90 + 1).alias("h"))
-    big = p.select(F.col("p_partkey").alias("big"), "p_brand", "p_type", F.col("w").alias("big_w"), F.col("h").alias("big_h"))
-    fits = scalars.same_proportions(F.col("w"), F.col("h"), F.col("big_w"), F.col("big_h"))
-    return p.join(big, ["p_brand", "p_type"]).filter(fits).select(F.col("p_partkey").alias("part"), "big")
+    return compare.paired_shapes(p, ["p_brand", "p_type"], ["w", "h"], "p_partkey", scalars.same_proportions, "part", "big")
 
 
 @query("SELECT doc_id, CAST(('0x' || hex(encode(text))[1:8]) AS BIGINT) AS be32 FROM documents WHERE strlen(text) >= 4")

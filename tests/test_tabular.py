@@ -127,3 +127,20 @@ def test_scalars(spark):
     assert (big, little, short, shown, plain) == (0x01020304, 0x0201, None, "a\\x09b\\x7f", 77)
     # 2x1 and 1x1 and 3x1 and 2x2 and 5x2 and 5x4 and 10x3 pixels, a byte before each line
     assert passes == 70 + 1 + 1 + 1 + 2 + 2 + 4 + 3
+
+
+def test_pairs_of_shapes_are_spelled_out_only_where_they_fit(spark):
+    from tessera.operators import compare
+
+    shapes = [(None if n == 7 else 1 + n * 7 % 12, 1 + n * 5 % 9) for n in range(60)]
+    rows = [(n, None if n == 3 else n % 2, *shapes[n]) for n in range(60)]
+    table = spark.createDataFrame(rows, "id long, g long, w long, h long")
+    got = sorted(map(tuple, compare.paired_shapes(table, ["g"], ["w", "h"], "id", scalars.same_proportions, "part", "big").collect()))
+    fits = lambda a, b: None not in (a[2], b[2]) and a[2] <= b[2] and a[3] <= b[3] and abs(a[2] * b[3] - a[3] * b[2]) <= max(b[2], b[3])
+    assert got == [(a[0], b[0]) for a in rows for b in rows if a[1] is not None and a[1] == b[1] and fits(a, b)] and len(got) > 60
+
+
+def test_few_large_groups_of_shapes_are_many_tasks(spark):
+    from tessera.plans import tabular
+
+    assert tabular.same_shape(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 64
