@@ -144,3 +144,19 @@ def test_few_large_groups_of_shapes_are_many_tasks(spark):
     from tessera.plans import tabular
 
     assert tabular.same_shape(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 64
+
+
+def test_lines_of_one_number_stand_as_they_are_stored(spark, tmp_path):
+    """The second file is larger, so that Spark reads it first."""
+    from tessera.plans import tabular
+
+    spark.range(0, 70, 7).select((F.col("id") + 1).alias("o_orderkey")).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    (tmp_path / "lineitem.parquet").mkdir()
+    made = duckdb.connect()
+    for name, flag, more in (("a", "N", 0), ("b", "R", 5000)):
+        rows = f"SELECT range * 7 + 1 AS l_orderkey, 1::INTEGER AS l_linenumber, '{flag}' AS l_returnflag FROM range(10) UNION ALL SELECT 1000 + range, 1, 'A' FROM range({more})"
+        made.execute(f"COPY ({rows}) TO '{tmp_path}/lineitem.parquet/{name}.parquet'")
+    for table in ("orders", "lineitem"):
+        made.execute(f"CREATE TABLE {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    want = made.execute(tabular.ORACLE_SQL["pairwise_unequal"]).fetchall()
+    assert sorted(map(tuple, tabular.pairwise_unequal(spark, str(tmp_path)).collect())) == sorted(want) == []
