@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from tessera.llm.cluster import fresh, shared_dir, small_batches, tidy, without
 from tessera.llm.comparisons import block_requests, compared, labelled, set_name, shingle_sets, star_requests
 from tessera.llm.exact_dedup import split_join
-from tessera.llm.simhash import _connected
+from tessera.llm.simhash import RADIUS, _connected, fingerprint
+from tessera.llm.simhash import _stars as fingerprint_stars
 from tessera.llm.textblocks import blocks, forget, mix, release
 
 SHINGLE, PERCENT = 5, 80
@@ -163,8 +164,8 @@ def frequent_shingles(rows: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
     return np.sort(np.array([r.key for r in top], np.int64).view(np.uint64))
 
 
-def _sets(rows: DataFrame, frequent: np.ndarray, shingle: int, percent: int) -> DataFrame:
-    """``doc_id, fp, size, keys, sig`` of each row: 128 bits that name its set, its first n-grams and its signature."""
+def _sets(rows: DataFrame, frequent: np.ndarray, shingle: int, percent: int, simhash: bool) -> DataFrame:
+    """``doc_id, fp, size, keys, sig`` of each row: 128 bits that name its set, its first n-grams and its signature; its SimHash ``sim`` on request."""
 
     def look(batches):
         forget()
@@ -174,14 +175,31 @@ def _sets(rows: DataFrame, frequent: np.ndarray, shingle: int, percent: int) ->
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
             columns = [batch.column("doc_id"), pa.array([set_name(c) for c in found], pa.binary()), pa.array(list(map(len, found)), pa.int64()), column, pa.array(list(map(signature, found)), pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "size", "keys", "sig"])
+            names = ["doc_id", "fp", "size", "keys", "sig"]
+            if simhash:
+                prints = np.fromiter(map(fingerprint, batch.column("text").to_pylist()), np.uint64, batch.num_rows)
+                columns, names = [*columns, pa.array(prints.view(np.int64))], [*names, "sim"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return rows.mapInArrow(look, "doc_id long, fp binary, size long, keys array<long>, sig binary")
+    return rows.mapInArrow(look, "doc_id long, fp binary, size long, keys array<long>, sig binary" + (", sim long" if simhash else ""))
 
 
 def _first_links(rows: DataFrame, points: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """``fp, star`` of links between each set and the representative of those with the same first n-gram."""
-    members = points.select("pid", "size", F.get("keys", F.lit(0)).alias("key")).checkpoint()
+    return _links_of_groups(rows, points, points.select("pid", "size", F.get("keys", F.lit(0)).alias("key")).checkpoint(), shingle, similarity)
+
+
+def _simhash_links(rows: DataFrame, points: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``fp, star`` of links between each set and the representative of those that its SimHash leads to, RADIUS bits a step."""
+    prints = points.select(F.col("sim").alias("fp")).distinct().checkpoint()
+    roots = _connected(fingerprint_stars(prints, prints.count(), RADIUS))
+    members = points.select("pid", "size", F.col("sim").alias("fp")).join(roots, "fp", "left").select("pid", "size", F.coalesce("root", "fp").alias("key")).checkpoint()
+    tidy(points.sparkSession)
+    return _links_of_groups(rows, points, members, shingle, similarity)
+
+
+def _links_of_groups(rows: DataFrame, points: DataFrame, members: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``fp, star`` of links between each of ``members`` (``pid, size, key``) and the representative of its key."""
     groups = members.groupBy("key").agg(F.min("pid").alias("rep"), F.sum("size").alias("mass"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     pairs = split_join(members, groups, "key").filter("pid <> rep").select("pid", "rep", "mass")
     return compared(rows, points, star_requests(pairs, None), shingle, similarity, similar_pairs).checkpoint()
@@ -262,6 +280,8 @@ def _classes(rows: DataFrame, points: DataFrame, shingle: int, percent: int) ->
     """``fp, root`` of every set with a link, both as numbers of sets."""
     similarity = percent / 100
     edges = _first_links(rows, points, shingle, similarity)
+    if "sim" in points.columns:
+        edges = edges.unionByName(_simhash_links(rows, points, shingle, similarity))
     roots = _connected(edges)
     tidy(points.sparkSession)
     buckets = _connected(_may_link(_tiles(points, roots), percent))
@@ -273,27 +293,28 @@ def _classes(rows: DataFrame, points: DataFrame, shingle: int, percent: int) ->
     return _connected(edges.unionByName(compared(rows, points, requests, shingle, similarity, similar_pairs).checkpoint()))
 
 
-def _points(rows: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, fp, size`` of every row, and ``pid, fp, low, size, keys, sig`` of every set that isn't empty."""
-    wide = _sets(rows, frequent_shingles(rows, shingle), shingle, percent).checkpoint()
-    whole = wide.filter("size > 0").groupBy("fp").agg(F.min("doc_id").alias("low"), *(F.first(c).alias(c) for c in ("size", "keys", "sig")))
+def _points(rows: DataFrame, shingle: int, percent: int, simhash: bool) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, fp, size`` of every row, and ``pid, fp, low, size, keys, sig`` of every set that isn't empty, ``sim`` on request."""
+    wide = _sets(rows, frequent_shingles(rows, shingle), shingle, percent, simhash).checkpoint()
+    whole = wide.filter("size > 0").groupBy("fp").agg(F.min("doc_id").alias("low"), *(F.first(c).alias(c) for c in wide.columns[2:]))
     points = whole.withColumn("pid", F.monotonically_increasing_id()).checkpoint()
     return wide.select("doc_id", "fp", "size").checkpoint(), points
 
 
-def joined(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def joined(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT, simhash: bool = False) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id``, the smallest ``doc_id`` that links lead to.
 
     A text's set has its distinct n-grams of ``shingle`` words, A-Z lower-cased, words between ASCII white space; a text
     of fewer words is one n-gram. Two rows link if 100 times their intersection is ``percent`` or more times their union.
     Texts without words, null ones included, link with nothing: their component is their own id. Rows that repeat an id
     are rows of their own; null ids name no component unless it has no other. Other columns are ignored; an empty table
-    gives an empty result.
+    gives an empty result. With ``simhash`` texts whose fingerprints link (``RADIUS`` bits, a vantage-point tree) are compared
+    first; the tiles then only look for what fingerprints miss. The result is the same.
     """
     small_batches(docs.sparkSession)
     shared_dir(docs.sparkSession, "ngrams")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    own, points = _points(rows, shingle, percent)
+    own, points = _points(rows, shingle, percent, simhash)
     tidy(docs.sparkSession)
     named = labelled(points.select("pid", "fp", "low"), _classes(rows, points, shingle, percent)).select("fp", "low", "root").checkpoint()
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -303,13 +324,13 @@ def joined(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle:
     return linked.select("doc_id", "n_shingles", "component_id").unionByName(alone)
 
 
-def drop_alike(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def drop_alike(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, simhash: bool = False) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest ``doc_id``; columns unchanged.
 
     Texts without words are copies of each other here. Rows that repeat the id that stays are all kept; a component of
     null ids only stays whole.
     """
-    found = joined(docs, shingle=shingle, percent=percent).checkpoint()
+    found = joined(docs, shingle=shingle, percent=percent, simhash=simhash).checkpoint()
     first = found.filter("n_shingles = 0").agg(F.min("doc_id").alias("component_id")).first().component_id
     least = F.when(F.col("n_shingles") == 0, F.lit(first).cast("long")).otherwise(F.col("component_id"))
     gone = found.withColumn("component_id", least).filter("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)")

@@ -52,3 +52,21 @@ def test_stages_keep_columns_and_take_empty_tables(spark, docs, no_docs, folder)
         assert left.columns == docs.columns and left.count() <= docs.count()
         assert stage(spark, no_docs, folder).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, no_docs, folder).count() == 0
+
+
+def test_near_copies_are_asked_of_the_fingerprints_first(spark, folder, monkeypatch):
+    from tessera.llm import ngram_join
+
+    words = [[f"w{(k * 37 + n * 1009) % 5000}" for k in range(600)] for n in range(3)]
+    texts = [" ".join(w) for own in words for w in (own, ["new", *own[3:]], own[:590])] + ["", None, "one two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    told, links = [], ngram_join._simhash_links
+
+    def counted(*given):
+        found = links(*given).checkpoint()
+        told.append(found.count())
+        return found
+
+    monkeypatch.setattr(ngram_join, "_simhash_links", counted)
+    left = sorted(r.doc_id for r in corpus_pipeline.near(spark, docs, folder).collect())
+    assert left == [0, 3, 6, 9, 11] and told and told[0] > 0
