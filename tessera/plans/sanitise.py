@@ -48,16 +48,21 @@ def alive(table: DataFrame) -> DataFrame:
     return slots.withColumn("latest", latest).filter(F.col("reads") & F.col("latest").isNotNull()).select("file_id", F.col("latest").alias("ord")).distinct()
 
 
-def decided(table: DataFrame) -> DataFrame:
-    """``parts`` with ``keep`` and ``refusal`` (a key, by part) under the policy."""
+def decided(table: DataFrame, coding: DataFrame | None = None) -> DataFrame:
+    """``parts`` with ``keep`` and ``refusal`` (a key, by part) under the policy.
+
+    ``coding`` has the parts of JPEG files only, where these can be had without parsing the others again.
+    """
     spark = table.sparkSession
     rows = [(f, p, s, o, b, p in REWRITTEN) for f, p, s, o, b in POLICY]
     policy = spark.createDataFrame(rows, "kind string, part binary, sizes array<int>, once boolean, early boolean, is_rewritten boolean")
     by = Window.partitionBy("file_id")
     order = by.orderBy("ord")
+    # Rows behind one, nearest last: a frame that ends with the file's last row would be walked again for each row.
+    behind = by.orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)
     code = F.col("part").cast("string")
     joined = table.join(F.broadcast(policy), ["kind", "part"], "left").withColumn("known", F.col("once").isNotNull())  # a fixed table of a few rows
-    joined = joined.join(alive(table).withColumn("is_alive", F.lit(True)), ["file_id", "ord"], "left")
+    joined = joined.join(alive(table if coding is None else coding).withColumn("is_alive", F.lit(True)), ["file_id", "ord"], "left")
     known = F.col("known")
     image_at = F.min(F.when((F.col("kind") == PNG) & (code == "IDAT"), F.col("ord"))).over(by)
     color = F.max(F.when((code == "IHDR") & (F.col("ord") == 0), F.conv(F.hex(F.substring("payload", 10, 1)), 16, 10).cast("int"))).over(by)
@@ -69,7 +74,7 @@ def decided(table: DataFrame) -> DataFrame:
     stray = code.isin("fcTL", "fdAT") & F.coalesce(animated > F.col("ord"), F.lit(True))
     plain = (code == "PLTE") & F.col("color").isin(2, 6)
     # Of graphic controls in a row the last before an image counts.
-    following = F.first(F.when(code.isin("image", "control"), code), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    following = F.last(F.when(code.isin("image", "control"), code), ignorenulls=True).over(behind)
     overruled = (F.col("kind") == GIF) & (code == "control") & F.coalesce(following != "image", F.lit(True))
     dropped = F.sum(F.when((F.col("kind") == GIF) & (~F.col("usable") | F.col("again")), 1).otherwise(0)).over(order)
     # A simple WebP is its first chunk.
@@ -92,7 +97,7 @@ def decided(table: DataFrame) -> DataFrame:
     emptied = F.col("is_rewritten") & F.col("rewritten").isNull()
     keep = known & ~skip & ~emptied
     # A control goes right before its image, whatever stood between.
-    image_next = F.first(F.when(code == "image", F.col("ord")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    image_next = F.last(F.when(code == "image", F.col("ord")), ignorenulls=True).over(behind)
     place = F.when(code == "control", image_next * 2 - 1).otherwise(F.col("ord") * 2)
     out = flagged.withColumns({"refusal": refusal, "keep": F.coalesce(keep, F.lit(False)), "place": place})
     return out.select("file_id", "kind", "ord", "place", "part", F.coalesce("rewritten", "payload").alias("payload"), "keep", "refusal")
@@ -277,7 +282,8 @@ def rebuilt(files: DataFrame, finish: dict | None = None) -> DataFrame:
                 columns = [pa.array([row["file_id"]], pa.int64()), pa.array([row["kind"]], pa.string()), pa.array([result], pa.binary()), pa.array([refusal], pa.string()), pa.array([units], pa.list_(pa.binary()))]
                 yield pa.RecordBatch.from_arrays(columns, ["file_id", "kind", "result", "refusal", "units"])
 
-    return _gathered(decided(parts(files))).mapInArrow(write, _RESULT)
+    coding = parts(files.filter(F.col("kind") == JPEG))
+    return _gathered(decided(parts(files), coding)).mapInArrow(write, _RESULT)
 
 
 def cleaned_in_place(files: DataFrame) -> DataFrame:

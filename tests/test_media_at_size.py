@@ -40,3 +40,8 @@ def test_contents_are_not_broadcast_and_are_made_by_several_tasks(spark, many):
     table = media.QUERIES["heif_clean"](spark, many)
     assert not [subtree for subtree in broadcast(table) if "result#" in subtree]
     assert table.count() == table.filter("NOT leaked").count() == 1200
+
+
+def test_no_window_walks_to_the_end_of_a_file_for_each_part(spark):
+    plan = sanitise.decided(parts.parts(fixtures.files(spark)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition" in plan and "unboundedfollowing" not in plan.replace("unboundedpreceding$(), unboundedfollowing$()", "")
