@@ -319,7 +319,7 @@ def clean(files: DataFrame, finish: dict | None = None) -> DataFrame:
     shared_folder(files.sparkSession)
     first = rebuilt(files, finish).checkpoint()  # parsed and serialised once, though two branches read it
     again = rebuilt(first.filter("result IS NOT NULL").select("file_id", "kind", F.col("result").alias("content")), finish)
-    # The optimizer only guesses the size of what Python makes: contents must be neither broadcast nor shuffled for facts about them.
+    # The optimizer only guesses the size of what Python makes: no side of this join may be broadcast by such a guess.
     checked = first.join(again.select("file_id", F.sha2("result", 256).alias("digest"), F.col("units").alias("units_again")).hint("merge"), "file_id", "left")
     same = (F.sha2("result", 256) == F.col("digest")) & (F.col("units") == F.col("units_again"))
     proven = checked.withColumn("proven", F.coalesce(same, F.lit(False))).select("file_id", "kind", "result", "refusal", "proven").unionByName(cleaned_in_place(files))
