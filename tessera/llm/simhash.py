@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.cluster import fresh, shared_dir
+from tessera.llm.cluster import BROADCAST_ROWS, fresh, shared_dir
 from tessera.llm.exact_dedup import split_join
 from tessera.llm.textblocks import blocks, gather, mix
 
@@ -222,10 +222,31 @@ def _stars(points: DataFrame, n: int, within: int) -> DataFrame:
     return dealt.groupBy("leaf", "block", "chunk").applyInArrow(link, "fp long, star long")
 
 
+def _few_connected(members: DataFrame) -> DataFrame:
+    """``fp, root`` as ``_connected`` gives them, of at most BROADCAST_ROWS rows: one task reads them all."""
+
+    def join(batches):
+        own = [np.stack([b.column(k).to_numpy() for k in ("fp", "star")]) for b in batches if b.num_rows]
+        fp, star = np.concatenate(own, 1) if own else np.zeros((2, 0), np.int64)
+        ids, at = np.unique(np.concatenate([fp, star]), return_inverse=True)
+        label = merged(np.arange(len(ids)), at[: len(fp)], at[len(fp) :])
+        low, who = np.full(len(ids), np.iinfo(np.int64).max), np.unique(at[: len(fp)])
+        np.minimum.at(low, label[at[len(fp) :]], star)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(low[label[who]])], ["fp", "root"])
+
+    return members.select("fp", "star").coalesce(1).mapInArrow(join, "fp long, root long").checkpoint()
+
+
 def _connected(stars: DataFrame) -> DataFrame:
-    """``fp, root``: the smallest fingerprint that is reachable through shared stars; a star is named by one of its members."""
+    """``fp, root``: the smallest fingerprint that is reachable through shared stars; a star is named by one of its members.
+
+    Up to BROADCAST_ROWS rows of two numbers are joined in one task: rounds of shuffles would leave a file per task and
+    table, many times what is in them. Beyond, minima are repeated until nothing changes.
+    """
     members = stars.checkpoint()
     n = members.count()
+    if n <= BROADCAST_ROWS:
+        return _few_connected(members)
     labels = members.groupBy("fp").agg(F.min("star").alias("root")).checkpoint()
     while n:
         of_star = members.join(labels, "fp").groupBy("star").agg(F.min("root").alias("root"))

@@ -147,6 +147,19 @@ def test_long_chains_of_links(spark):
     assert len(roots) == 1
 
 
+def test_few_links_leave_few_files(spark, monkeypatch):
+    draw = np.random.default_rng(1)
+    fp, star = draw.integers(-40, 40, 60), draw.integers(-40, 40, 60)
+    stars = spark.createDataFrame([(int(f), int(s)) for a, b in zip(fp, star, strict=True) for f, s in ((a, b), (b, b))], "fp long, star long").checkpoint()
+    spark.sparkContext.setJobGroup("few links", "")
+    few = simhash._connected(stars)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few links")
+    spark.sparkContext.setJobGroup("", "")
+    assert len(jobs) <= 4 and few.rdd.getNumPartitions() == 1
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, simhash._connected(stars).collect()))
+
+
 def test_tree_reaches_every_link():
     draw = np.random.default_rng(0)
     fp = draw.integers(0, 1 << 63, 1500, dtype=np.uint64)
