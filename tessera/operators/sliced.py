@@ -2,7 +2,8 @@
 
 A window by key alone puts all rows of a key into one task. Here keys with more than ``slice_rows`` rows get boundaries
 from an evenly spread sample of their order; a row's slice is the number of boundaries at or before it, found by
-bisection in a broadcast of bounded size. Rows shuffle once, by key and slice. A pass then runs within slices, one small
+bisection in a broadcast of bounded size. Rows shuffle once, by key and slice, over tasks whose number grows with the
+rows (``dealt``). A pass then runs within slices, one small
 row per slice carries what the rows of earlier slices amount to, and both are put together. Every further pass over the
 same slices reuses their partitioning.
 """
@@ -20,6 +21,18 @@ SLICE_ROWS = 1 << 20
 MOST_SLICES = 1 << 15
 #: Sampled rows for each slice, of which every last one is a boundary.
 SAMPLES = 16
+#: Rows of a key's shuffle in one task at about.
+TASK_ROWS = 1 << 19
+
+
+def dealt(rows: DataFrame, n: int, *by: str) -> DataFrame:
+    """``rows``, ``n`` of them, over a task per TASK_ROWS by columns, where the session's shuffles have fewer tasks than that.
+
+    Their number is fixed, and with it a task's memory would grow with the input. Joins, windows and aggregates by the
+    same columns reuse the partitioning.
+    """
+    tasks = math.ceil(n / TASK_ROWS)
+    return rows if tasks <= int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(tasks, *by)
 
 
 def _equal(one: DataFrame, two: DataFrame, keys: list[str], others: list[str]) -> Column:
@@ -46,7 +59,7 @@ class Sliced:
         largest, total = sizes.agg(F.max("slice_n"), F.sum("slice_n")).first()
         limit = max(slice_rows or SLICE_ROWS, math.ceil((total or 0) / MOST_SLICES))
         if (largest or 0) <= limit:
-            return cls(rows.withColumn("slice", F.lit(-1)), keys, order, False)
+            return cls(dealt(rows, total or 0, *keys).withColumn("slice", F.lit(-1)), keys, order, False)
         names = [f"slice_key{n}" for n in range(len(keys))]
         large = sizes.filter(F.col("slice_n") > limit).select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)))
         step = max(1, limit // SAMPLES)
@@ -61,7 +74,7 @@ class Sliced:
         marked = rows.join(F.broadcast(kept), _equal(rows, kept, keys, names), "left")
         place = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda done, s: F.when(F.get("slice_bounds", done + s - 1) <= at, done + s).otherwise(done))
         number = F.when(F.col("slice_bounds").isNull(), -1).otherwise(place)
-        return cls(marked.withColumn("slice", number).drop(*names, "slice_bounds"), keys, order, True)
+        return cls(dealt(marked.withColumn("slice", number).drop(*names, "slice_bounds"), total, *keys, "slice"), keys, order, True)
 
     def before(self, **passes: tuple[str, Column]) -> Sliced:
         """The rows with a column per pass: what ``(kind, value)`` amounts to over the rows of the key strictly before each.

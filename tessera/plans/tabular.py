@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars
-from tessera.operators import blobs, compare, constraints, graph, intervals, sequence
+from tessera.operators import blobs, compare, constraints, graph, intervals, sequence, sliced
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -476,7 +476,8 @@ z AS (SELECT k, chunk, "at", first_sample::BIGINT AS first_sample, n_samples::BI
 def _chunk_spans(spark, d):
     orders = _t(spark, d, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey")
     chunks = sequence.Sliced.of(orders, ["k"], ["o_orderkey"]).before(chunk=("count", F.lit(True))).done().withColumn("chunk", F.col("chunk") + 1)
-    lines = _t(spark, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("k", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", F.col("l_quantity").cast("long").alias("size"))
+    lines = _t(spark, d, "lineitem")
+    lines = sliced.dealt(lines, lines.count(), "l_orderkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("k", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", F.col("l_quantity").cast("long").alias("size"))
     samples = sequence.Sliced.of(lines, ["k"], ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"]).before(n=("count", F.lit(True))).done()
     runs = chunks.filter("chunk % 3 = 2").select("k", F.col("chunk").alias("first"), (1 + F.col("o_orderkey") % 7).alias("per_chunk"))
     return sequence.chunk_spans(chunks.select("k", "chunk", (F.col("chunk") * 1000).alias("at")), runs, samples, ["k"])

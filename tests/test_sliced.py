@@ -113,3 +113,13 @@ def test_reframed_texts_and_bytes(spark):
         got = sorted((r.n, r.piece if column == "t" else bytes(r.piece)) for r in sequence.reframed(frame, F.col(column), size).collect())
         whole = value if column == "t" else value.encode()
         assert got == [(n, whole[n * size : n * size + size]) for n in range(-(-len(whole) // size))]
+
+
+def test_tasks_grow_with_the_rows(table, spark, monkeypatch):
+    """A pass over more rows than the session's shuffles have room for is dealt over more tasks, once, with the same rows."""
+    few = sliced.Sliced.of(table, ["k"], ["at", "id"]).before(c=("count", F.lit(True))).done()
+    want = told(few)
+    monkeypatch.setattr(sliced, "TASK_ROWS", 100)
+    for slice_rows in (None, 400):
+        many = sliced.Sliced.of(table, ["k"], ["at", "id"], slice_rows).before(c=("count", F.lit(True))).done()
+        assert many.rdd.getNumPartitions() == 30 > int(spark.conf.get("spark.sql.shuffle.partitions")) and told(many) == want
