@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.lineage import shared_folder
+from tessera.operators.lineage import shared_folder, stored
 
 
 #: Levels that are kept apart before they are written as one table.
@@ -19,21 +19,21 @@ def closure(edges: DataFrame, seeds: DataFrame, levels: int = 10_000, keys: tupl
 
     Paths stay within a group of ``keys``; all groups take each step together, and one that has nothing new costs
     nothing any more. Each level joins only the nodes that are new and is written once; what was seen is the union of the
-    levels, which are written as one table only every LEVELS_APART levels.
+    levels, which are written as one table only every LEVELS_APART levels. Every level reads ``edges`` anew: they should be
+    a stored table.
     """
-    shared_folder(edges.sparkSession)
     node = [*keys, "node"]
-    fresh = seeds.select(*node).distinct().checkpoint()
+    fresh = stored(seeds.select(*node).distinct())
     parts = [fresh]
     for _ in range(levels):
         if fresh.isEmpty():
             return reduce(DataFrame.unionByName, parts)
         steps = edges.select(*keys, F.col("origin").alias("node"), "target").join(fresh, node, "left_semi")
         targets = steps.select(*keys, F.col("target").alias("node")).distinct()
-        fresh = targets.join(reduce(DataFrame.unionByName, parts), node, "left_anti").checkpoint()
+        fresh = stored(targets.join(reduce(DataFrame.unionByName, parts), node, "left_anti"))
         parts.append(fresh)
         if len(parts) > LEVELS_APART:
-            parts = [reduce(DataFrame.unionByName, parts).checkpoint()]
+            parts = [stored(reduce(DataFrame.unionByName, parts))]
     raise ValueError(f"references go deeper than {levels} levels")
 
 
@@ -50,24 +50,25 @@ def stratified_removal(items: DataFrame, built_from: DataFrame, seeds: DataFrame
     4. An item that describes others goes if all that it describes goes; its group is refused if it mayn't describe.
 
     References to items that a group doesn't have are no references. A node that is listed twice counts once. Null keys equal
-    nothing: an item of such a group is alone, and kept.
+    nothing: an item of such a group is alone, and kept. Items and references are stored narrow before the first level, so
+    that no level makes them again.
     """
     node = [*keys, "node"]
-    known = items.groupBy(*node).agg(F.bool_or("is_primary").alias("is_primary"), F.bool_or("may_describe").alias("may_describe"))
+    known = stored(items.groupBy(*node).agg(F.bool_or("is_primary").alias("is_primary"), F.bool_or("may_describe").alias("may_describe")))
     ends = known.select(*keys, F.col("node").alias("target"))
-    built, told = (e.join(ends, [*keys, "target"], "left_semi").join(known.withColumnRenamed("node", "origin"), [*keys, "origin"], "left_semi") for e in (built_from, describes))
-    own = seeds.join(known, node, "left_semi").select(*node)
-    candidates = closure(built, own, keys=keys).checkpoint()
-    needed = closure(built, known.join(candidates, node, "left_anti"), keys=keys).checkpoint()
-    gone = candidates.join(needed, node, "left_anti").withColumn("is_gone", F.lit(True))
+    built, told = (stored(e.join(ends, [*keys, "target"], "left_semi").join(known.withColumnRenamed("node", "origin"), [*keys, "origin"], "left_semi").select(*keys, "origin", "target")) for e in (built_from, describes))
+    own = stored(seeds.join(known, node, "left_semi").select(*node).distinct())
+    candidates = closure(built, own, keys=keys)
+    needed = closure(built, known.join(candidates, node, "left_anti"), keys=keys)
+    gone = stored(candidates.join(needed, node, "left_anti").withColumn("is_gone", F.lit(True)))
     targets = told.join(gone.withColumnRenamed("node", "target"), [*keys, "target"], "left")
     loose = targets.groupBy(*keys, F.col("origin").alias("node")).agg(F.bool_and(F.col("is_gone").isNotNull()).alias("is_loose")).filter("is_loose")
     marked = known.join(gone, node, "left").join(loose, node, "left")
-    for name, rows in (("is_candidate", candidates), ("is_seed", own.distinct()), ("is_needed", needed)):
+    for name, rows in (("is_candidate", candidates), ("is_seed", own), ("is_needed", needed)):
         marked = marked.join(rows.withColumn(name, F.lit(True)), node, "left")
     bad = F.col("is_primary") & F.col("is_candidate").isNotNull() | F.col("is_seed").isNotNull() & F.col("is_needed").isNotNull()
     bad = bad | F.col("is_loose").isNotNull() & F.col("is_gone").isNull() & ~F.col("may_describe")
-    marked = marked.withColumns({"is_bad": F.coalesce(bad, F.lit(False)), "goes": F.col("is_gone").isNotNull() | F.col("is_loose").isNotNull()}).select(*node, "is_bad", "goes").checkpoint()
+    marked = stored(marked.withColumns({"is_bad": F.coalesce(bad, F.lit(False)), "goes": F.col("is_gone").isNotNull() | F.col("is_loose").isNotNull()}).select(*node, "is_bad", "goes"))
     refused = marked.filter("is_bad").select(*keys).distinct().withColumn("is_refused", F.lit(True))
     fate = F.when(F.col("is_refused").isNotNull(), "refused").when(F.col("goes"), "removed").otherwise("kept")
     return marked.join(refused, list(keys), "left").select(*node, fate.alias("fate"))
@@ -84,6 +85,7 @@ def selected_tracks(tracks: DataFrame, refs: DataFrame, keys: tuple[str, ...], r
     ``dangling`` all of whose targets go. Each rule is an aggregate over flagged references: no pairs of tracks. A target
     that the group doesn't have neither goes nor stays.
     """
+    shared_folder(tracks.sparkSession)
     node, at = [*keys, "node"], lambda name: [*(F.col(k) for k in keys), F.col(name).alias("node")]
     chapters = refs.filter("kind = 'chap'").select(*at("target")).distinct().withColumn("is_chapter", F.lit(True))
     others = refs.filter("kind <> 'chap'").select(*at("target")).distinct().withColumn("is_other", F.lit(True))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars
 from tessera.operators import blobs, compare, constraints, graph, intervals, sequence, sliced
+from tessera.operators.lineage import stored
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -428,6 +429,7 @@ e AS (SELECT k, n AS o, 1 + p % 7 AS t FROM x WHERE m < 5 AND (k, 1 + p % 7) IN
 def _parts(spark, d):
     """Each order as a group of parts with references, of which every line has one."""
     lines = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("node")).agg((F.min(F.col("l_quantity").cast("long")) % 7).alias("mode"), *(F.min(f"l_{c}").alias(c) for c in ("partkey", "suppkey", "returnflag")))
+    lines = stored(lines)
     other = F.col("mode") >= 5
     built = lines.filter(~other).select("k", F.col("node").alias("origin"), (1 + F.col("partkey") % 7).alias("target"))
     return lines, built, lines.filter(other).select("k", F.col("node").alias("origin"), (1 + F.col("suppkey") % 7).alias("target"))

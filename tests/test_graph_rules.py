@@ -108,3 +108,21 @@ def test_chunk_spans(spark):
     for slice_rows in (None, 5):
         got = sequence.chunk_spans(*frames, ["k"], slice_rows)
         assert sorted(tuple(r) for r in got.select("k", "chunk", "first_sample", "n_samples", "end", "complete").collect()) == sorted(want)
+
+
+def test_levels_read_stored_references(spark):
+    """References that are costly to make are made once, however many levels and rules read them."""
+    made = spark.sparkContext.accumulator(0)
+
+    def once(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    chain = 6
+    items = spark.createDataFrame([(0, n, n == 0, True) for n in range(chain + 1)], "k int, node int, is_primary boolean, may_describe boolean")
+    built = spark.createDataFrame([(0, n, n + 1) for n in range(1, chain)], "k int, origin int, target int").mapInArrow(once, "k int, origin int, target int")
+    none = spark.createDataFrame([], "k int, origin int, target int")
+    got = graph.stratified_removal(items, built, spark.createDataFrame([(0, 1)], "k int, node int"), none, ("k",)).collect()
+    assert sorted((r.node, r.fate) for r in got) == [(0, "kept"), *((n, "removed") for n in range(1, chain + 1))]
+    assert made.value == chain - 1
