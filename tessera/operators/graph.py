@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.lineage import shared_folder, stored
+from tessera.operators.lineage import stored
 
 
 #: Levels that are kept apart before they are written as one table.
@@ -83,19 +83,21 @@ def selected_tracks(tracks: DataFrame, refs: DataFrame, keys: tuple[str, ...], r
     Reasons, the first of which is told: ``kind`` if a kept track's kind isn't in ``kept``; ``needed`` if a removed track
     has a ``rndr`` reference to a kept one; ``depends`` if a kept track refers to a removed one, but by a kind of
     ``dangling`` all of whose targets go. Each rule is an aggregate over flagged references: no pairs of tracks. A target
-    that the group doesn't have neither goes nor stays.
+    that the group doesn't have neither goes nor stays. Four rules read the references, which are stored before.
     """
-    shared_folder(tracks.sparkSession)
+    refs = stored(refs.select(*keys, "origin", "kind", "target"))
     node, at = [*keys, "node"], lambda name: [*(F.col(k) for k in keys), F.col(name).alias("node")]
     chapters = refs.filter("kind = 'chap'").select(*at("target")).distinct().withColumn("is_chapter", F.lit(True))
     others = refs.filter("kind <> 'chap'").select(*at("target")).distinct().withColumn("is_other", F.lit(True))
     seen = tracks.join(chapters, node, "left").join(others, node, "left")
     text, still = F.col("kind") == "text", (F.col("kind") == "vide") & ~F.col("enabled") & F.col("is_other").isNull()
-    first = seen.withColumn("goes", F.coalesce(F.col("kind").isin(*removable) | F.col("is_chapter").isNotNull() & (text | still), F.lit(False))).select(*node, "kind", "goes").checkpoint()
+    first = seen.withColumn("goes", F.coalesce(F.col("kind").isin(*removable) | F.col("is_chapter").isNotNull() & (text | still), F.lit(False))).select(*node, "kind", "goes")
+    first = stored(first)
     thumbs = refs.filter("kind = 'thmb'").join(first.select(*keys, F.col("node").alias("target"), "goes"), [*keys, "target"], "left")
     stay = F.bool_and(F.coalesce(~F.col("goes"), F.lit(False)) & (F.col("target") != F.col("origin"))).alias("is_thumb")
     thumbs = thumbs.groupBy(*at("origin")).agg(stay).filter("is_thumb")
-    final = first.join(thumbs, node, "left").select(*node, "kind", (F.col("goes") | F.col("is_thumb").isNotNull()).alias("goes")).checkpoint()
+    final = first.join(thumbs, node, "left").select(*node, "kind", (F.col("goes") | F.col("is_thumb").isNotNull()).alias("goes"))
+    final = stored(final)
     flagged = refs.join(final.select(*keys, F.col("node").alias("target"), F.col("goes").alias("target_goes")), [*keys, "target"], "left")
     whole = flagged.groupBy(*at("origin"), F.col("kind").alias("ref_kind")).agg(F.bool_or(F.coalesce("target_goes", F.lit(False))).alias("some"), F.bool_and(F.coalesce("target_goes", F.lit(False))).alias("all"))
     judged = final.join(whole, node, "left")

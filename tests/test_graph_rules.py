@@ -126,3 +126,18 @@ def test_levels_read_stored_references(spark):
     got = graph.stratified_removal(items, built, spark.createDataFrame([(0, 1)], "k int, node int"), none, ("k",)).collect()
     assert sorted((r.node, r.fate) for r in got) == [(0, "kept"), *((n, "removed") for n in range(1, chain + 1))]
     assert made.value == chain - 1
+
+
+def test_rules_of_tracks_read_stored_references(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def once(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    tracks = spark.createDataFrame([(0, 1, "vide", True), (0, 2, "text", True), (0, 3, "vide", True)], "k int, node int, kind string, enabled boolean")
+    schema = "k int, origin int, kind string, target int"
+    refs = spark.createDataFrame([(0, 1, "chap", 2), (0, 3, "thmb", 1)], schema).mapInArrow(once, schema)
+    got = graph.selected_tracks(tracks, refs, ("k",), ["meta"], ["vide", "soun"], ["chap"]).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, "kept", None), (0, 2, "removed", None), (0, 3, "removed", None)] and made.value == 2
