@@ -6,20 +6,26 @@ it. A mark that is left in a clean copy is a leak.
 
 from __future__ import annotations
 
-import hashlib
+import functools
 import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.lineage import shared_folder
 from tessera.plans import sanitise
 from tessera.sources import fixtures, fuzz, parts, publish, scan
 
 ALL = (parts.PNG, parts.GIF, parts.WEBP, parts.JPEG, parts.TIFF, parts.BMP, parts.HEIC, parts.AVIF, parts.MP4, parts.MOV)
+#: What a file can be, null if unknown: formats with a parser and the rest.
+PARSED = (parts.BMP, *parts.PARSERS)
+OTHERS = (*sanitise.IN_PLACE, None)
+KINDS = (*PARSED, *OTHERS)
 _LENGTH = len(fixtures.SECRET)
 
 
+@functools.cache  # a Python worker makes them once, not for each task
 def cases_of(kinds: tuple[str, ...]) -> list[tuple]:
     """The cases whose files have one of the formats."""
     return [c for c in fixtures.cases() if scan.head_kind(c[1][: scan.HEAD]) in kinds]
@@ -50,43 +56,68 @@ def _marks(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("file_id"), mark.alias("mark"))
 
 
-def _files(spark: SparkSession, d: str, kinds: tuple[str, ...] = ALL, damage: bool = False) -> DataFrame:
-    """``file_id, name, mark, kind, content``: a file per supplier.
-
-    A supplier is a few bytes and its file up to a million: rows are dealt over tasks before files are made of them, and
-    files leave in batches of BATCH_BYTES or one file.
-    """
+def _dealt(spark: SparkSession, d: str, kinds: tuple[str, ...], damage: bool, only: tuple[str | None, ...]) -> DataFrame:
+    """``_marks``, FILES_OF_TASK or fewer to a task: of all suppliers, or undamaged of those whose case has one of the formats ``only``."""
     rows = _marks(spark, d)
-    rows = rows.repartition(max(1, -(-rows.count() // FILES_OF_TASK)))
-
-    def make(batches):
-        own = cases_of(kinds)
-
-        def batch_of(ids, names, marks, made):
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(marks, pa.string()), pa.array(made, pa.binary())], ["file_id", "name", "mark", "content"])
-
-        for batch in batches:
-            held, size = [], 0
-            for key, token in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                name, content, *_ = own[key % len(own)]
-                body = marked(content, token.encode())
-                body = fuzz.mutated(body, fuzz.random.Random(token)) if damage else body
-                if held and size + len(body) > BATCH_BYTES:
-                    yield batch_of(*zip(*held, strict=True))
-                    held, size = [], 0
-                held.append((key, name, token, body))
-                size += len(body)
-            if held:
+    if not damage and not set(kinds) <= set(only):
+        names = {c[0] for c in cases_of(only)}
+        rows = rows.filter(F.pmod("file_id", F.lit(len(cases_of(kinds)))).isin([n for n, c in enumerate(cases_of(kinds)) if c[0] in names]))
+    return rows.repartition(max(1, -(-rows.count() // FILES_OF_TASK)))
+
+
+def _made(batches, kinds: tuple[str, ...], damage: bool, only: tuple[str | None, ...]):
+    """Arrow batches ``file_id, name, mark, kind, content`` of the ``_marks`` whose file has one of the formats ``only``, of BATCH_BYTES or one file."""
+    own = cases_of(kinds)
+
+    def batch_of(ids, names, marks, told, made):
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, pa.string()) for c in (names, marks, told)), pa.array(made, pa.binary())], ["file_id", "name", "mark", "kind", "content"])
+
+    for batch in batches:
+        held, size = [], 0
+        for key, token in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            name, content, *_ = own[key % len(own)]
+            body = marked(content, token.encode())
+            body = fuzz.mutated(body, fuzz.random.Random(token)) if damage else body
+            kind = scan.head_kind(body[: scan.HEAD])
+            if kind not in only:
+                continue
+            if held and size + len(body) > BATCH_BYTES:
                 yield batch_of(*zip(*held, strict=True))
+                held, size = [], 0
+            held.append((key, name, token, kind, body))
+            size += len(body)
+        if held:
+            yield batch_of(*zip(*held, strict=True))
+
+
+def _files(spark: SparkSession, d: str, kinds: tuple[str, ...] = ALL, damage: bool = False, only: tuple[str | None, ...] = KINDS) -> DataFrame:
+    """``file_id, name, mark, kind, content``: a file per supplier, or those of the formats ``only``.
+
+    A supplier is a few bytes and its file up to a million: rows are dealt over tasks before files are made of them.
+    """
+    return _dealt(spark, d, kinds, damage, only).mapInArrow(lambda batches: _made(batches, kinds, damage, only), "file_id long, name string, mark string, kind string, content binary")
+
+
+def _unparsed(spark: SparkSession, d: str, kinds: tuple[str, ...], damage: bool = False) -> DataFrame:
+    """``sanitise.unparsed`` of the ``_files`` that no parser takes: each is made and cleaned by one Python worker, without leaving it in between."""
+    return _dealt(spark, d, kinds, damage, OTHERS).mapInArrow(lambda batches: sanitise.unparsed_batches(_made(batches, kinds, damage, OTHERS)), sanitise.UNPARSED)
+
 
-    table = rows.mapInArrow(make, "file_id long, name string, mark string, content binary")
-    return table.select("file_id", "name", "mark", parts.kind_of(F.col("content")).alias("kind"), "content")
+def _outcomes(spark: SparkSession, d: str, kinds: tuple[str, ...], damage: bool = False) -> DataFrame:
+    """Outcomes of the suppliers' files. Files without a parser are made and read once; the others are small and read by several branches, so they are stored."""
+    done = []
+    if damage or set(kinds) & set(OTHERS):
+        done.append(sanitise.outcomes(_unparsed(spark, d, kinds, damage)))
+    if damage or set(kinds) & set(PARSED):
+        shared_folder(spark)
+        done.append(sanitise.clean(_files(spark, d, kinds, damage, PARSED).checkpoint()))
+    return functools.reduce(DataFrame.unionByName, done)
 
 
 def _clean(spark: SparkSession, d: str, kinds: tuple[str, ...]) -> DataFrame:
     own = cases_of(kinds)
     name = F.get(F.array(*(F.lit(c[0]) for c in own)), F.pmod("file_id", F.lit(len(own))).cast("int"))
-    done = sanitise.clean(_files(spark, d, kinds)).join(_marks(spark, d).select("file_id", name.alias("name"), "mark"), "file_id", "left")
+    done = _outcomes(spark, d, kinds).join(_marks(spark, d).select("file_id", name.alias("name"), "mark"), "file_id", "left")
     leaked = F.coalesce(F.contains("result", F.col("mark").cast("binary")), F.lit(False))
     return done.select("file_id", "name", "status", "error_key", leaked.alias("leaked"))
 

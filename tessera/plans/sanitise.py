@@ -227,8 +227,8 @@ def finish_gif(own: list[tuple[bytes, bytes]]) -> bytes:
 
 FINISH = {PNG: finish_png, WEBP: finish_webp, GIF: finish_gif, JPEG: jpeg.join, TIFF: tiff.join}
 _RESULT = "file_id long, kind string, result binary, refusal string, units array<binary>"
-#: Formats whose media data stays where it is: (what makes the clean copy, what tells it from its original).
-IN_PLACE = {HEIC: (heif.clean, heif.difference), AVIF: (heif.clean, heif.difference), MP4: (movie.clean, movie.difference), MOV: (movie.clean, movie.difference)}
+#: Formats whose media data stays where it is, with what makes a clean copy and says whether that is proven.
+IN_PLACE = {HEIC: heif.clean_and_prove, AVIF: heif.clean_and_prove, MP4: movie.clean_and_prove, MOV: movie.clean_and_prove}
 
 
 def shown_units(kind: str, kept: list[tuple[bytes, bytes]]) -> list[bytes]:
@@ -286,27 +286,39 @@ def rebuilt(files: DataFrame, finish: dict | None = None) -> DataFrame:
     return _gathered(decided(parts(files), coding)).mapInArrow(write, _RESULT)
 
 
-def cleaned_in_place(files: DataFrame) -> DataFrame:
-    """``file_id, kind, result, refusal, proven`` of files whose media data doesn't move (``IN_PLACE``).
+def unparsed_batches(batches):
+    """``unparsed`` of Arrow batches (``file_id, kind, content``) inside a task."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            row, result, refusal, proven = batch.slice(at, 1).to_pylist()[0], None, None, False
+            if row["content"] is None:
+                refusal = "not_a_file"
+            elif row["kind"] not in IN_PLACE:
+                refusal = "unsupported_format"
+            else:
+                try:
+                    result, proven = IN_PLACE[row["kind"]](row["content"])
+                except jpeg.Broken as broken:
+                    refusal = broken.key
+            columns = [pa.array([row["file_id"]], pa.int64()), pa.array([row["kind"]], pa.string()), pa.array([result], pa.binary()), pa.array([refusal], pa.string()), pa.array([proven], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["file_id", "kind", "result", "refusal", "proven"])
+
+
+UNPARSED = "file_id long, kind string, result binary, refusal string, proven boolean"
+
+
+def unparsed(files: DataFrame) -> DataFrame:
+    """``UNPARSED`` of files that no parser takes, each read once: cleaned in place (``IN_PLACE``) or refused.
 
     A result is proven if cleaning it again changes nothing and reading it beside its original finds no difference.
     """
+    return files.select("file_id", "kind", "content").mapInArrow(unparsed_batches, UNPARSED)
 
-    def write(batches):
-        for batch in batches:
-            for at in range(batch.num_rows):
-                row, result, refusal, proven = batch.slice(at, 1).to_pylist()[0], None, None, False
-                make, differs = IN_PLACE[row["kind"]]
-                try:
-                    result = make(row["content"])
-                    proven = make(result) == result and differs(row["content"], result) is None
-                except jpeg.Broken as broken:
-                    refusal = broken.key if result is None else None
-                columns = [pa.array([row["file_id"]], pa.int64()), pa.array([row["kind"]], pa.string()), pa.array([result], pa.binary()), pa.array([refusal], pa.string()), pa.array([proven], pa.bool_())]
-                yield pa.RecordBatch.from_arrays(columns, ["file_id", "kind", "result", "refusal", "proven"])
 
-    own = files.filter(F.col("kind").isin(*IN_PLACE) & F.col("content").isNotNull()).select("file_id", "kind", "content")
-    return own.mapInArrow(write, "file_id long, kind string, result binary, refusal string, proven boolean")
+def outcomes(proven: DataFrame) -> DataFrame:
+    """``file_id, kind, status, error_key, result`` of results (``file_id, kind, result, refusal, proven``)."""
+    key = F.when(F.col("refusal").isNotNull(), F.col("refusal")).when(~F.coalesce("proven", F.lit(False)), "verification_failed")
+    return proven.select("file_id", "kind", F.when(key.isNull(), "cleaned").otherwise("refused").alias("status"), key.alias("error_key"), F.when(key.isNull(), F.col("result")).alias("result"))
 
 
 def clean(files: DataFrame, finish: dict | None = None) -> DataFrame:
@@ -314,7 +326,8 @@ def clean(files: DataFrame, finish: dict | None = None) -> DataFrame:
 
     A result counts only if it is parsed anew and every part of it is allowed, cleaning it again yields the same bytes,
     and what it shows equals what the kept parts of the original show, unit by unit; else the file is refused as
-    ``verification_failed``. Files without content are ``not_a_file``, unknown kinds ``unsupported_format``.
+    ``verification_failed``. Files without content are ``not_a_file``, unknown kinds ``unsupported_format``. ``files`` is
+    read three times; of files that no parser takes ``outcomes(unparsed(files))`` gives the same in one reading.
     """
     shared_folder(files.sparkSession)
     first = rebuilt(files, finish).checkpoint()  # parsed and serialised once, though two branches read it
@@ -322,13 +335,10 @@ def clean(files: DataFrame, finish: dict | None = None) -> DataFrame:
     # The optimizer only guesses the size of what Python makes: no side of this join may be broadcast by such a guess.
     checked = first.join(again.select("file_id", F.sha2("result", 256).alias("digest"), F.col("units").alias("units_again")).hint("merge"), "file_id", "left")
     same = (F.sha2("result", 256) == F.col("digest")) & (F.col("units") == F.col("units_again"))
-    proven = checked.withColumn("proven", F.coalesce(same, F.lit(False))).select("file_id", "kind", "result", "refusal", "proven").unionByName(cleaned_in_place(files))
-    key = F.when(F.col("refusal").isNotNull(), F.col("refusal")).when(~F.coalesce("proven", F.lit(False)), "verification_failed")
-    done = proven.select("file_id", "kind", F.when(key.isNull(), "cleaned").otherwise("refused").alias("status"), key.alias("error_key"), F.when(key.isNull(), F.col("result")).alias("result"))
-    # Every file that can be parsed has one row by now; the others have theirs here.
-    readable = F.coalesce(F.col("kind").isin(BMP, *PARSERS, *IN_PLACE), F.lit(False)) & F.col("content").isNotNull()
-    why = F.when(F.col("content").isNull(), "not_a_file").otherwise("unsupported_format")
-    return done.unionByName(files.filter(~readable).select("file_id", "kind", F.lit("refused").alias("status"), why.alias("error_key"), F.lit(None).cast("binary").alias("result")))
+    parsed = checked.withColumn("proven", F.coalesce(same, F.lit(False))).select("file_id", "kind", "result", "refusal", "proven")
+    # Every file that a parser takes has one row by now.
+    is_parsed = F.coalesce(F.col("kind").isin(BMP, *PARSERS), F.lit(False)) & F.col("content").isNotNull()
+    return outcomes(parsed.unionByName(unparsed(files.filter(~is_parsed))))
 
 
 def clean_paths(spark: SparkSession, paths: list[str], largest: int) -> DataFrame:

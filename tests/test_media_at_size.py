@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.plans import media, sanitise
-from tessera.sources import fixtures, parts
+from tessera.sources import fixtures, movie, parts
 
 EMPTY = b"RIFF\0\0\0\0WEBPVP8X\x0a\0\0\0" + bytes(10)
 
@@ -45,3 +45,22 @@ def test_contents_are_not_broadcast_and_are_made_by_several_tasks(spark, many):
 def test_no_window_walks_to_the_end_of_a_file_for_each_part(spark):
     plan = sanitise.decided(parts.parts(fixtures.files(spark)))._jdf.queryExecution().optimizedPlan().toString()
     assert "windowspecdefinition" in plan and "unboundedfollowing" not in plan.replace("unboundedpreceding$(), unboundedfollowing$()", "")
+
+
+def test_videos_are_made_and_read_once(spark, many):
+    plan = media.QUERIES["mp4_clean"](spark, many)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_a_video_and_its_copy_are_planned_once_each(monkeypatch):
+    planned, plain = [], movie.Plan.__init__
+    monkeypatch.setattr(movie.Plan, "__init__", lambda self, data: (planned.append(data), plain(self, data))[1])
+    content = next(c[1] for c in media.cases_of((parts.MP4,)) if c[2] == "cleaned")
+    result, proven = sanitise.IN_PLACE[parts.MP4](content)
+    assert proven and planned == [content, result] and result == movie.clean(content) and movie.difference(content, result) is None
+
+
+def test_a_copy_that_differs_is_not_proven(monkeypatch):
+    content, plain = next(c[1] for c in media.cases_of((parts.MP4,)) if c[2] == "cleaned"), movie._edited
+    monkeypatch.setattr(movie, "_edited", lambda plan: plain(plan)[:-1] + b"\x55")
+    assert sanitise.IN_PLACE[parts.MP4](content)[1] is False
