@@ -137,16 +137,17 @@ FORMATS = {
 
 
 def media_parts(spark: SparkSession, d: str) -> DataFrame:
-    table = sanitise.decided(parts.parts(_files(spark, d)))
+    shared_folder(spark)
+    table = sanitise.decided(parts.parts(_files(spark, d, only=PARSED).checkpoint()))
     return table.groupBy("kind", F.decode("part", "ISO-8859-1").alias("part"), "keep", "refusal").agg(F.count(F.lit(1)).alias("n"))
 
 
 def media_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    return publish.summary(sanitise.clean(_files(spark, d)))
+    return publish.summary(_outcomes(spark, d, ALL))
 
 
 def damaged_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    return publish.summary(sanitise.clean(_files(spark, d, damage=True)))
+    return publish.summary(_outcomes(spark, d, ALL, damage=True))
 
 
 QUERIES = {name: lambda spark, d, kinds=kinds: _clean(spark, d, kinds) for name, kinds in FORMATS.items()}

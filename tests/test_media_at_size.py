@@ -47,6 +47,15 @@ def test_no_window_walks_to_the_end_of_a_file_for_each_part(spark):
     assert "windowspecdefinition" in plan and "unboundedfollowing" not in plan.replace("unboundedpreceding$(), unboundedfollowing$()", "")
 
 
+def _workers_in_a_row(table) -> int:
+    """The most Python workers that one task of a plan keeps."""
+    most, run = 0, 0
+    for line in table._jdf.queryExecution().executedPlan().toString().splitlines():
+        run = run + 1 if "MapInArrow" in line else 0 if "Exchange" in line or "Scan" in line else run
+        most = max(most, run)
+    return most
+
+
 def test_videos_are_made_and_read_once(spark, many):
     plan = media.QUERIES["mp4_clean"](spark, many)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1
@@ -64,3 +73,17 @@ def test_a_copy_that_differs_is_not_proven(monkeypatch):
     content, plain = next(c[1] for c in media.cases_of((parts.MP4,)) if c[2] == "cleaned"), movie._edited
     monkeypatch.setattr(movie, "_edited", lambda plan: plain(plan)[:-1] + b"\x55")
     assert sanitise.IN_PLACE[parts.MP4](content)[1] is False
+
+
+def test_a_task_of_outcomes_keeps_one_python_worker(spark, many):
+    assert _workers_in_a_row(media.media_outcomes(spark, many)) == 1
+    assert _workers_in_a_row(media.damaged_outcomes(spark, many)) == 1
+    assert _workers_in_a_row(media.media_parts(spark, many)) == 1
+
+
+@pytest.mark.parametrize("damage", [False, True])
+def test_outcomes_are_those_of_all_files_read_together(spark, many, damage):
+    shown = lambda table: sorted((r.file_id, r.status, r.error_key or "", r.sha or "") for r in table.select("file_id", "status", "error_key", F.sha2("result", 256).alias("sha")).collect())
+    files = media._files(spark, many, damage=damage)
+    told = files.withColumn("kind", parts.kind_of(F.col("content")))
+    assert shown(media._outcomes(spark, many, media.ALL, damage)) == shown(sanitise.clean(told))
